@@ -6,20 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.llm.exact_dedup import ORACLE as EXACT_SQL
+from tessella.llm.exact_dedup import op1_exact_dedup
 from tessella.llm.mixing import op8_mixing
 from tessella.llm.packing import op6_packing
+from tessella.llm.quality import op7_quality
+from tessella.llm.secrets import op4_secrets
 from tessella.llm.sharding import op3_sharding
+from tessella.llm.urls import op5_url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query applies its operator to its whole table."""
     return {
+        "op1_exact_dedup": op1_exact_dedup,
         "op3_sharding": op3_sharding,
+        "op4_secrets": op4_secrets,
+        "op5_url_filter": op5_url_filter,
         "op6_packing": op6_packing,
+        "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those results that SQL can state."""
-    return {}
+    return {"op1_exact_dedup": EXACT_SQL}

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.minhash import signatures, walks
-from tessella.llm.text import chunks, hash_words, mix64, shingle_hashes, text_or_empty, words
+from tessella.llm.minhash import low_bits, signatures, walks
+from tessella.llm.text import chunks, hash_words, shingle_hashes, text_or_empty, words
 
 WORDS = 5
 BINS, BITS = 256, 4
@@ -37,7 +37,7 @@ def packed(texts: list[str], walk: np.ndarray, bins: int = BINS, bits: int = BIT
     """Fingerprints as rows of bytes, and whether each text has words."""
     codes, distinct, offsets = words(pa.array(texts, pa.string()))
     sets = list(shingle_hashes(codes, hash_words(distinct), offsets, k))
-    low = (mix64(signatures(sets, bins, walk)) & np.uint64((1 << bits) - 1)).astype(np.uint8)
+    low = low_bits(signatures(sets, bins, walk), bits)
     spread = (low[:, :, None] >> np.arange(bits, dtype=np.uint8)) & 1
     return np.packbits(spread.reshape(len(texts), -1), axis=1), np.diff(offsets) > 0
 

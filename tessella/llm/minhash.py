@@ -46,3 +46,10 @@ def signatures(sets: list[np.ndarray], bins: int, walk: np.ndarray) -> np.ndarra
     if len(row):
         out[row, column] = own[row, filled[row].argmax(1)]
     return out
+
+
+def low_bits(values: np.ndarray, bits: int) -> np.ndarray:
+    """The lowest ``bits`` bits (at most 8) of each bin's value, after it is mixed with the bin's
+    number: bins that copy one value would otherwise agree by chance all together."""
+    at = np.arange(values.shape[1], dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (mix64(values + at) & np.uint64((1 << bits) - 1)).astype(np.uint8)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a Python worker's memory.
@@ -96,9 +97,17 @@ def shingle_hashes(codes: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, k
                 yield np.zeros(0, np.uint64)
 
 
-def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``df.mapInArrow`` for a function that takes and yields record batches."""
-    return df.mapInArrow(function, schema)
+@contextmanager
+def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
+    """Within this block, jobs hand Python at most ``rows`` rows at a time: for rows that carry
+    several long texts each."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, rows)
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
 
 
 def batch(schema: pa.Schema, **columns) -> pa.RecordBatch:

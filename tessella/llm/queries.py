@@ -10,6 +10,7 @@ from tessella.llm.exact_dedup import ORACLE as EXACT_SQL
 from tessella.llm.exact_dedup import op1_exact_dedup
 from tessella.llm.fingerprints import op10_fingerprints
 from tessella.llm.mixing import op8_mixing
+from tessella.llm.near_dedup import op9_near_dedup
 from tessella.llm.packing import op6_packing
 from tessella.llm.quality import op7_quality
 from tessella.llm.secrets import op4_secrets
@@ -27,6 +28,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_packing": op6_packing,
         "op7_quality": op7_quality,
         "op8_mixing": op8_mixing,
+        "op9_near_dedup": op9_near_dedup,
         "op10_fingerprints": op10_fingerprints,
     }
 

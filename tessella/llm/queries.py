@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from tessella.llm.exact_dedup import ORACLE as EXACT_SQL
 from tessella.llm.exact_dedup import op1_exact_dedup
 from tessella.llm.fingerprints import op10_fingerprints
+from tessella.llm.language_model import op2_language_model
 from tessella.llm.mixing import op8_mixing
 from tessella.llm.near_dedup import op9_near_dedup
 from tessella.llm.packing import op6_packing
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Each query applies its operator to its whole table."""
     return {
         "op1_exact_dedup": op1_exact_dedup,
+        "op2_language_model": op2_language_model,
         "op3_sharding": op3_sharding,
         "op4_secrets": op4_secrets,
         "op5_url_filter": op5_url_filter,

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, lower_ascii, text_or_empty
+from tessella.llm.text import chunks, doc_id, lower_ascii, text_or_empty
 from tessella.plans import broadcast_if_small, materialise
 
 BLOCK_BYTES = 4096
@@ -38,7 +38,7 @@ SMALL = 10_000
 
 
 def _normalised(docs: DataFrame) -> DataFrame:
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
+    return docs.select(doc_id(), text_or_empty().alias("text"))
 
 
 def _cut(raw: bytes, size: int) -> list[bytes]:

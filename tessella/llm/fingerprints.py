@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.minhash import low_bits, signatures, walks
-from tessella.llm.text import chunks, hash_words, shingle_hashes, text_or_empty, words
+from tessella.llm.text import chunks, doc_id, hash_words, shingle_hashes, text_or_empty, words
 
 WORDS = 5
 BINS, BITS = 256, 4
@@ -55,7 +55,7 @@ def likeness(a: np.ndarray, b: np.ndarray, a_any: np.ndarray, b_any: np.ndarray,
 def ranged(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
     """Rows with their range of doc_id and ``ahead``: true for the copy of a range's first row that
     the range before it gets. The driver holds a few numbers per range."""
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
+    ids = docs.select(doc_id())
     bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
 
     def place(ids: pd.Series) -> pd.Series:
@@ -65,7 +65,7 @@ def ranged(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
     firsts = sorted((r[0], r[1]) for r in ids.select(where("doc_id").alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id")).collect())
     to = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
     table = docs.sparkSession.createDataFrame(list(to.items()), "doc_id long, before long")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).withColumn("range", where("doc_id"))
+    rows = docs.select(doc_id(), text_or_empty().alias("text")).withColumn("range", where("doc_id"))
     own = F.struct(F.col("range"), F.lit(False).alias("ahead"))
     copy = F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead"))
     return (

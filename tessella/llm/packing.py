@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, text_or_empty, words
+from tessella.llm.text import chunks, doc_id, text_or_empty, words
 from tessella.plans import materialise
 
 CAPACITY = 2048
@@ -161,7 +161,7 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
             types = [pa.int64()] * 6 + [pa.binary()] * with_ids
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(cut, schema)
+    return docs.select(doc_id(), text_or_empty().alias("text")).mapInArrow(cut, schema)
 
 
 def arrange(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:

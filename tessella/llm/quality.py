@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, hash_words, mix64, text_or_empty
+from tessella.llm.text import chunks, doc_id, hash_words, mix64, text_or_empty
 
 #: Bound of the labelled rows that are learnt from: the first by a hash of their id.
 SAMPLE = 6000
@@ -203,11 +203,11 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     spark = docs.sparkSession
     chosen = (
         labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT))
-        .groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("quality").cast("int").alias("quality"))
+        .groupBy(doc_id()).agg(F.max("quality").cast("int").alias("quality"))
         .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     )
     wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, quality int")
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
+    rows = docs.select(doc_id(), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index, total = index_vectors(), np.zeros((SLOTS, DIM), np.float32)
@@ -254,9 +254,22 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(score, schema)
 
 
+def verdicts(docs: DataFrame, model: Model, reject_below: float) -> DataFrame:
+    """The rows of ``docs``, unchanged, whose text scores ``reject_below`` or more. Only the column
+    named ``text`` is looked at, whatever the others are called."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, own = index_vectors(), shared.value
+        for part in chunks(batches, "text"):
+            yield part.filter(pa.array(own.score([t or "" for t in part.column("text").to_pylist()], index) >= reject_below))
+
+    return docs.mapInArrow(judge, docs.schema)
+
+
 def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The quality score of every document."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(doc_id(), "text")
     model = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     return scored(docs, model).select(
         "doc_id", (fold() == HELD_OUT).alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted")

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, text_or_empty
+from tessella.llm.text import chunks, doc_id, text_or_empty
 from tessella.plans import materialise
 
 
@@ -69,7 +69,7 @@ def find(rule: Rule, compiled: re.Pattern, text: str, lowered: str, raw: bytes)
 def blobs(docs: DataFrame) -> DataFrame:
     """doc_id, blob (the text's SHA-256) and n_chars of every row; no text."""
     text = text_or_empty()
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.sha2(text.cast("binary"), 256).alias("blob"))
+    return docs.select(doc_id(), F.sha2(text.cast("binary"), 256).alias("blob"))
 
 
 def distinct_blobs(docs: DataFrame) -> DataFrame:

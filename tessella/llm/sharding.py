@@ -17,7 +17,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.text import text_or_empty
+from tessella.llm.text import doc_id, text_or_empty
 from tessella.plans import materialise
 
 SHARDS = 16
@@ -31,7 +31,7 @@ def measured(docs: DataFrame, bundles: int = BUNDLES) -> DataFrame:
     text = text_or_empty()
     ascii_words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return docs.select(
-        F.col("doc_id").cast("long").alias("doc_id"),
+        doc_id(),
         (F.octet_length(F.col("text").cast("string")) + 1).cast("long").alias("_size"),
         F.size(ascii_words).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),

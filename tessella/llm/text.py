@@ -34,6 +34,11 @@ def text_or_empty(column: str = "text"):
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
+def doc_id(column: str = "doc_id"):
+    """The document's id as a long, null read as -1, under the column's own name."""
+    return F.coalesce(F.col(column).cast("long"), F.lit(-1).cast("long")).alias(column)
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut batches so that each piece holds about ``limit`` bytes of ``column``, one row at least.
     No row is cut, however long its text."""

@@ -6,10 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessella.queries import catalog, taste
+
+MODULES = (catalog, taste)
+
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    """Every query of the catalog and preference model."""
+    return {name: f for m in MODULES for name, f in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for those queries that SQL can state."""
+    return {name: sql for m in MODULES for name, sql in m.ORACLE.items()}

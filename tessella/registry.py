@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import catalog, taste
+from tessella.queries import catalog, flow, taste
 
-MODULES = (catalog, taste)
+MODULES = (catalog, taste, flow)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

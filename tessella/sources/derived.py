@@ -16,7 +16,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def _line_id():
     """An id of a line item that keeps the order of its order's lines."""
-    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 200003 + F.col("l_partkey")) * 1009 + F.col("l_suppkey") % 1009
+    return ((F.col("l_orderkey") * 8 + F.col("l_linenumber")) * 1009 + F.col("l_partkey") % 1009) * 64 + F.col("l_quantity").cast("long") % 64
 
 
 def entries(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -130,7 +130,7 @@ SQL = {
         sha256('s' || ((o_custkey * 5 + o_orderkey % 3) % 4001)) AS sha256,
         CASE WHEN o_orderstatus <> 'F' THEN round(o_totalprice / 1e6, 6) END AS quality_score,
         CASE WHEN o_custkey % 11 <> 0 THEN 'cl-' || (o_custkey % 211) END AS cluster_id, o_orderdate AS created_at FROM orders""",
-    "analyses": """SELECT ((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 1009 + l_suppkey % 1009 AS id, l_orderkey AS entry_id,
+    "analyses": """SELECT ((l_orderkey * 8 + l_linenumber) * 1009 + l_partkey % 1009) * 64 + l_quantity::bigint % 64 AS id, l_orderkey AS entry_id,
         CASE WHEN l_returnflag = 'R' THEN 'corrupt' ELSE 'ok' END AS status, round(l_quantity / 50, 6) AS sharpness,
         round(l_discount * 10, 6) AS contrast, round(l_tax * 12.5, 6) AS colorfulness,
         round((l_suppkey % 101) / 100, 6) AS harmony, round((l_partkey % 97) / 96, 6) AS aesthetic FROM lineitem""",
@@ -139,7 +139,7 @@ SQL = {
     "preferences": """SELECT event_id AS id, user_id AS entry_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS preference,
         CASE WHEN event_type <> 'error' THEN 'v' || (event_id // 2) END AS vote_group,
         CASE WHEN event_type = 'signup' THEN ts END AS retracted_at, ts AS created_at FROM events""",
-    "publishes": """SELECT ((l_orderkey * 8 + l_linenumber) * 200003 + l_partkey) * 1009 + l_suppkey % 1009 AS id, 'd' || (l_suppkey % 4) AS adapter_id, 'a' || l_partkey AS artifact_id,
+    "publishes": """SELECT ((l_orderkey * 8 + l_linenumber) * 1009 + l_partkey % 1009) * 64 + l_quantity::bigint % 64 AS id, 'd' || (l_suppkey % 4) AS adapter_id, 'a' || l_partkey AS artifact_id,
         'h' || (l_partkey % 50) || '-' || (l_linenumber % 2) AS sha,
         CASE WHEN l_returnflag = 'R' THEN 'error' WHEN l_linestatus = 'O' THEN 'staged' ELSE 'applied' END AS status FROM lineitem""",
     "renders": """SELECT p_partkey AS id, 'h' || (p_partkey % 50) || '-' || (p_partkey % 2) AS artifact_sha,

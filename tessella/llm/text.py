@@ -13,7 +13,7 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a Python worker's memory.
-CHUNK_BYTES = 6_000_000
+CHUNK_BYTES = 2_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 

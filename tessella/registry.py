@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import catalog, flow, taste
+from tessella.queries import catalog, flow, profile, taste
 
-MODULES = (catalog, taste, flow)
+MODULES = (catalog, taste, flow, profile)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

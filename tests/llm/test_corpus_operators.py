@@ -261,6 +261,16 @@ def test_mixing(docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_mixing_many_sources_and_a_hot_one(spark):
+    own = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50))
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), own.alias("source"))
+    got = mixing.mix(rows, block=2, units=16).where("in_mix").collect()
+    end = max(r["slot"] for r in got) + 1
+    for s in {r["source"] for r in got}:
+        own = [r for r in got if r["source"] == s]
+        assert abs(len({r["slot"] for r in own}) - end * own[0]["weight"]) < 2
+
+
 def test_language_model_probabilities_sum_to_one(spark):
     rng = random.Random(8)
     train = [" ".join(rng.choices("abcdefgh", weights=range(1, 9), k=200)) + " end" for _ in range(40)]

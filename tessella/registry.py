@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import catalog, flow, profile, taste
+from tessella.queries import catalog, flow, profile, records, taste
 
-MODULES = (catalog, taste, flow, profile)
+MODULES = (catalog, taste, flow, profile, records)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

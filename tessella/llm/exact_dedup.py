@@ -160,6 +160,8 @@ def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, bits: int = HASH_BITS)
     """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     rows = materialise(identities(docs, size, bits), "identities")
     groups = rows.groupBy("identity").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).cast("long").alias("group_size"))
+    # written first, so that the join has two exchanges of its own and a large group's rows can be split
+    groups = materialise(groups, "groups")
     return rows.join(groups, "identity").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
 
 

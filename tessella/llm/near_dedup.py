@@ -5,12 +5,13 @@ hashed once into bins, empty bins are densified, and bins are grouped into bands
 share a band's values share a bucket. In each bucket the member that meets most others, over all
 its buckets, is the centre, and the candidates are the pairs of centre and member: at most one per
 row of a bucket, however large. A candidate whose signatures are far below the threshold is left
-out; the others are confirmed on the full shingle sets of the texts. Then the links' components are
-taken. In buckets where several components are left, a text may be linked to a member that was no
-centre: the texts outside a bucket's largest component meet all of that component in blocks of
-sketches, and the most alike of each block are confirmed in full; then the rest of the bucket meets
-its next largest component, until ``PATIENCE`` rounds in a row find nothing. Two texts at the threshold share none of the ``BANDS`` bands with probability below
-1e-6.
+out; the others are confirmed on the full shingle sets of the texts. Then the links' components
+are taken. In buckets where several components are left, a text may be linked to a member that was
+no centre: the texts of such buckets are joined exactly. A text's shingles are ordered by the number
+of texts that hold them, rarest first; two texts at the threshold share one of the first
+n - ceil(0.8 n) + 1 of each, so the candidates come from an equi-join on those, with bounds by size
+and place, and each candidate whose ends are still in different components is confirmed in full.
+Two texts at the threshold share none of the ``BANDS`` bands with probability below 1e-6.
 
 Only rows that a bucket brings together are read again. Joins are equi-joins that adaptive
 execution splits where a text class or bucket is large; no group is collected.
@@ -29,7 +30,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.minhash import low_bits, signatures, walks
@@ -42,12 +43,6 @@ BINS, ROWS = 64, 3
 BANDS = BINS // ROWS
 #: Agreeing bins of 64 below which a candidate is not read: six standard deviations under 0.8.
 AGREE = 31
-#: Rounds in a row without a new link after which the search ends.
-PATIENCE = 2
-#: Most alike of a block of a large component that a text is compared with in full.
-BEST = 8
-#: Pairs of blocks that reach a Python worker at a time.
-BLOCKS_PER_BATCH = 64
 #: Pairs of texts that reach a Python worker at a time.
 PAIRS_PER_BATCH = 250
 #: Rows up to which the list of candidate documents is broadcast to the scan of texts.
@@ -153,47 +148,56 @@ def first_stars(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFra
     return _alike(pairs.join(has.toDF("a", "na", "sa"), "a").join(has.toDF("b", "nb", "sb"), "b"), percent)
 
 
-def mixed(buckets: DataFrame, columns: list[str]) -> DataFrame:
-    """The rows of buckets that hold several components, with the bucket's largest one as ``of``."""
-    shares = buckets.groupBy("bucket", "component").agg(F.count(F.lit(1)).alias("k"))
-    largest = shares.groupBy("bucket").agg(F.max(F.struct("k", F.xxhash64("component", "bucket").alias("h"), "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    return buckets.select("bucket", "component", *columns).join(largest.select("bucket", F.col("top.component").alias("of")), "bucket")
+def undecided(placed: DataFrame) -> DataFrame:
+    """The (node, component) that share a bucket with another component."""
+    several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    return placed.join(several.select("bucket"), "bucket").select("node", "component").distinct()
 
 
-def _blocks(rows: DataFrame, size: int, name: str) -> DataFrame:
-    """Per ``of``, its distinct nodes with size and sketch in blocks of about ``size`` rows."""
-    nodes = rows.groupBy("of", "node").agg(F.first("n_shingles").alias("n"), F.first("sketch").alias("s"))
-    many = rows.select("of", "node").distinct().groupBy("of").agg(F.ceil(F.count(F.lit(1)) / size).alias("blocks"))
-    dealt = nodes.join(many, "of").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    return dealt.groupBy("of", "block").agg(F.collect_list(F.struct("node", "n", "s")).alias(name)).drop("block")
+def shingled(texts: DataFrame, k: int) -> DataFrame:
+    """(node, component, n, shingle) of every distinct shingle of the texts (node, component, text)."""
 
-
-def meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a < b) between the rows outside their bucket's largest component and that
-    component. The one side meets the other in blocks, by their sketches, and of each block the
-    ``BEST`` most alike that sizes and sketches allow go on; a row stands for a block of each side."""
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            found: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-            for i in range(part.num_rows):
-                (a, na, sa), (b, nb, sb) = (
-                    (own.field("node").to_numpy(), own.field("n").to_numpy(), np.frombuffer(b"".join(own.field("s").to_pylist()), np.uint8).reshape(-1, BINS))
-                    for own in (part.column(c)[i].values for c in ("left", "right"))
-                )
-                agree = (sa[:, None, :] == sb[None, :, :]).sum(2)
-                agree[np.minimum(na[:, None], nb) * 100 < np.maximum(na[:, None], nb) * percent] = 0
-                best = np.argsort(-agree, axis=1, kind="stable")[:, :BEST]
-                row, place = np.nonzero(np.take_along_axis(agree, best, 1) >= AGREE)
-                found.append(np.stack([a[row], b[best[row, place]]], 1))
-            pairs = np.concatenate(found)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs.min(1)), pa.array(pairs.max(1))], names=["a", "b"])
-
-    outside, inside = _blocks(rows.where("component <> of"), 64, "left"), _blocks(rows.where("component = of"), 256, "right")
-    return outside.join(inside, "of").select("left", "right").mapInArrow(meet, "a long, b long").where("a <> b").distinct()
-
-
-def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, patience: int = PATIENCE) -> DataFrame:
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text"):
+            codes, distinct, offsets = words(part.column("text"))
+            sets = list(shingle_hashes(codes, hash_words(distinct), offsets, k))
+            sizes = np.array([len(s) for s in sets], np.int64)
+            own = [pa.array(np.repeat(v, sizes)) for v in (part.column("node").to_numpy(), part.column("component").to_numpy(), sizes)]
+            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+
+    return texts.select("node", "component", "text").mapInArrow(cut, "node long, component long, n long, shingle long")
+
+
+def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """The rarest shingles of each text that another text holds too, with their place ``i`` among
+    all of the text's shingles: of two texts at the threshold each has a common one here."""
+    counts = materialise(sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shingle-counts")
+    own = Window.partitionBy("node")
+    # those that no other text holds come first and can meet nothing; only their number is needed
+    place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "shingle"))
+    placed = sets.join(counts, "shingle").withColumn("i", place)
+    return placed.where(F.expr(f"i <= n - (n * {percent} + 99) div 100 + 1")).select("shingle", "node", "component", "n", "i")
+
+
+def candidates(rows: DataFrame, percent: int) -> DataFrame:
+    """Pairs a < b of different components ca, cb that share a prefix's shingle and that sizes and
+    places allow, with the number of such shingles. In a shingle the rows of its largest component
+    meet only those outside it, so a large component costs no pairs of its own."""
+    shares = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
+    top = shares.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
+    met = materialise(rows.join(top.select("shingle", F.col("top.component").alias("of")), "shingle"), "met")
+    left = met.where("component <> of").drop("of").toDF("shingle", "x", "cx", "nx", "ix")
+    right = met.toDF("shingle", "y", "cy", "ny", "iy", "of")
+    both = left.join(right, "shingle").where("cx <> cy and (cy = of or x < y)")
+    # at the first common shingle of a linked pair, it and what follows in both hold all that is common
+    common = F.lit(1) + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
+    near = both.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).where(common * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
+    first = F.col("x") < F.col("y")
+    ends = [F.when(first, F.col(u)).otherwise(F.col(v)).alias(n) for u, v, n in (("x", "y", "a"), ("y", "x", "b"), ("cx", "cy", "ca"), ("cy", "cx", "cb"))]
+    return near.select(*ends).groupBy("a", "b", "ca", "cb").agg(F.count(F.lit(1)).alias("hits"))
+
+
+def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, node, component_id and kept of every document."""
     signatures_ = materialise(signed(docs, k), "signatures")
     members = signatures_.select("doc_id", "n_shingles", "node")
@@ -219,30 +223,28 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT, patience
     links = confirm(pairs, texts, 0)
     labels = materialise(connected_components(links), "components-0")
     placed = buckets.drop("n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    open_ = mixed(placed, ["node"]).join(classes.select("node", "n_shingles", "sketch"), "node")
-    rows = materialise(open_, "open-0")
+    rows = materialise(undecided(placed), "undecided")
+    later = None
     if not rows.isEmpty():
         texts = texts.unionByName(read(rows.select("node").join(texts, "node", "left_anti"), "1"))
-    later, turn, idle = None, 0, 0
-    while idle < patience and not rows.isEmpty():
-        turn += 1
-        with arrow_rows(docs.sparkSession, BLOCKS_PER_BATCH):
-            pairs = materialise(meetings(rows, percent), f"pairs-{turn}")
-        new = confirm(pairs, texts, turn)
-        idle = idle + 1 if new.isEmpty() else 0
-        # the largest components have met the others of their buckets; these meet among themselves next
-        rest = rows.where("component <> of").drop("of")
-        if idle == 0:
-            at = rows.select("node", "component").distinct()
-            joined = materialise(new.join(at.toDF("a", "ca"), "a").join(at.toDF("b", "cb"), "b").select("ca", "cb"), f"joined-{turn}")
-            later = joined if later is None else later.unionByName(joined)
-            # each component takes the least of those that a new link joins it to; the end sees to the rest
-            into = joined.unionByName(joined.select(F.col("cb").alias("ca"), F.col("ca").alias("cb"))).groupBy(F.col("ca").alias("component")).agg(F.min("cb").alias("into"))
-            rest = rest.join(into, "component", "left").withColumn("component", F.least("component", "into")).drop("into")
-        rows = materialise(mixed(rest, ["node", "n_shingles", "sketch"]), f"open-{turn}")
+        sets = shingled(texts.join(broadcast_if_small(rows, SMALL), "node"), k)
+        found = materialise(candidates(materialise(prefixes(sets, percent), "prefixes"), percent), "candidates")
+        # the likeliest pair of two components first: where it is a link, their other pairs need no reading
+        pair = [F.least("ca", "cb"), F.greatest("ca", "cb")]
+        likely = materialise(found.groupBy(*pair).agg(F.max(F.struct("hits", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("top")).select("top.a", "top.b"), "likely")
+
+        def joins(pairs: DataFrame, turn: int) -> DataFrame:
+            links = confirm(pairs, texts, turn)
+            return materialise(found.join(links, ["a", "b"]).select("ca", "cb").distinct(), f"joined-{turn}")
+
+        first = joins(likely, 1)
+        into = materialise(connected_components(first, "ca", "cb"), "components-1")
+        rest = found.join(likely, ["a", "b"], "left_anti").join(into.toDF("ca", "ra"), "ca", "left").join(into.toDF("cb", "rb"), "cb", "left")
+        rest = rest.where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb")).select("a", "b")
+        later = first.unionByName(joins(materialise(rest, "rest"), 2))
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if later is not None:
-        grown = materialise(connected_components(later, "ca", "cb"), "components-1").toDF("component", "into")
+        grown = materialise(connected_components(later, "ca", "cb"), "components-2").toDF("component", "into")
         named = named.join(grown, "component", "left").withColumn("component", F.coalesce("into", "component"))
     least = materialise(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "component", "left").select(

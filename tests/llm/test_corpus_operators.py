@@ -100,6 +100,18 @@ def test_chain_of_near_texts_is_one_component(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_pairs_among_texts_that_share_a_passage_are_found(spark):
+    rng = random.Random(12)
+    passage = [f"p{i}" for i in range(89)]
+    rows = []
+    for i in range(150):  # 85 shingles of the passage; a pair has 89 of 111 in common, others 85 of 115
+        own = [f"o{i}-{j}" for j in range(4)]
+        for side in (0, 1):
+            rows.append((2 * i + side, " ".join([*passage, *own, *(f"x{rng.randint(0, 10**9)}" for _ in range(11))])))
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string"), k=5).collect()
+    assert {r["doc_id"]: r["component_id"] for r in got} == {d: d // 2 * 2 for d, _ in rows}
+
+
 def test_densified_signatures_estimate_similarity():
     rng = np.random.default_rng(1)
     walk = minhash.walks(64)

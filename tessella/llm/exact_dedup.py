@@ -96,11 +96,11 @@ def _shared_blocks(docs: DataFrame, shared: DataFrame, size: int, bits: int) ->
             columns = list(zip(*out, strict=True)) or [[]] * 4
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int64(), pa.binary()), strict=True)], names=["row", "idx", "hash", "block"])
 
-    rows = docs.select(F.concat_ws(":", doc_id(), F.sha2(_lower_sql().cast("binary"), 256)).alias("row"), text_or_empty().alias("text")).dropDuplicates(["row"])
+    rows = docs.select(F.concat_ws(":", doc_id(), F.sha2(lower_sql().cast("binary"), 256)).alias("row"), text_or_empty().alias("text")).dropDuplicates(["row"])
     return rows.mapInArrow(cut, "row string, idx long, hash long, block binary").join(shared, "hash", "left_semi")
 
 
-def _lower_sql():
+def lower_sql():
     return F.translate(text_or_empty(), "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 

@@ -63,7 +63,7 @@ def _bands(values: np.ndarray) -> np.ndarray:
 
 
 def signed(docs: DataFrame, k: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, node, sketch and bands of every document; node is null without words."""
+    """doc_id, text_sha256, n_shingles, node, sketch and bands of every document; node is null without words."""
 
     def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = walks(BINS)
@@ -76,16 +76,17 @@ def signed(docs: DataFrame, k: int = WORDS) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [
                     part.column("doc_id"),
+                    part.column("text_sha256"),
                     pa.array(sizes, pa.int64()),
                     pa.array([_node(t) if n else None for t, n in zip(part.column("text").to_pylist(), sizes, strict=True)], pa.int64()),
                     pa.array([r.tobytes() for r in low_bits(values, 8)], pa.binary()),
                     bands,
                 ],
-                names=["doc_id", "n_shingles", "node", "sketch", "bands"],
+                names=["doc_id", "text_sha256", "n_shingles", "node", "sketch", "bands"],
             )
 
-    rows = docs.select(doc_id(), text_or_empty().alias("text"))
-    return rows.mapInArrow(sign, "doc_id long, n_shingles long, node long, sketch binary, bands array<long>")
+    rows = docs.select(doc_id(), F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"), text_or_empty().alias("text"))
+    return rows.mapInArrow(sign, "doc_id long, text_sha256 string, n_shingles long, node long, sketch binary, bands array<long>")
 
 
 def _alike(pairs: DataFrame, percent: int) -> DataFrame:
@@ -198,9 +199,10 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 
 
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """doc_id, n_shingles, node, component_id and kept of every document."""
+    """doc_id, text_sha256, n_shingles, node, component, component_id and kept of every document. Rows
+    that share a component's least doc_id are all kept; ``component`` tells components apart."""
     signatures_ = materialise(signed(docs, k), "signatures")
-    members = signatures_.select("doc_id", "n_shingles", "node")
+    members = signatures_.select("doc_id", "text_sha256", "n_shingles", "node")
     classes = materialise(
         signatures_.where("node is not null").groupBy("node")
         .agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("one")).select("node", "one.*"),
@@ -248,7 +250,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         named = named.join(grown, "component", "left").withColumn("component", F.coalesce("into", "component"))
     least = materialise(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
     return named.join(least, "component", "left").select(
-        "doc_id", "n_shingles", "node", F.coalesce("least", "doc_id").alias("component_id"),
+        "doc_id", "text_sha256", "n_shingles", "node", "component", F.coalesce("least", "doc_id").alias("component_id"),
         (F.coalesce("least", "doc_id") == F.col("doc_id")).alias("kept"),
     )
 

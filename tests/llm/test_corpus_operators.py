@@ -356,3 +356,14 @@ def test_pipeline(spark, docs):
     assert p.packing(spark, d, at).groupBy("doc_id").agg(F.sum("length").alias("s"), F.max("doc_tokens").alias("t")).where("s <> t").count() == 0
     for _, stage in p.STAGES:
         stage(spark, docs.where("false"), at).count()
+
+
+def test_pipeline_keeps_every_distinct_text(spark):
+    import corpus_pipeline as p
+
+    rows = [(None, "first nameless"), (None, "second nameless"), (3, "one text"), (3, "Shared"), (2, "shared"), (3, "one text"), (1, "ONE TEXT")]
+    d = spark.createDataFrame([(i, t, None, "s", None, "x", 1) for i, t in rows], DOCS)
+    want = sorted({lowered(t) for _, t in rows})
+    for stage in (p.exact, p.near, p.mixing):
+        d = spark.createDataFrame(stage(spark, d, DATA).collect(), DOCS)
+        assert sorted(lowered(r["text"]) for r in d.collect()) == want

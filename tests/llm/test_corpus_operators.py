@@ -283,6 +283,13 @@ def test_mixing_many_sources_and_a_hot_one(spark):
         assert abs(len({r["slot"] for r in own}) - end * own[0]["weight"]) < 2
 
 
+def test_mixing_without_weights_leaves_nothing_out(spark):
+    own = F.when(F.col("id") < 330, "large").when(F.col("id") < 990, "larger").otherwise("small")
+    rows = spark.range(1003).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), own.alias("source"))
+    assert mixing.mix(rows).where("in_mix").count() == 1003
+    assert mixing.mix(rows, {"large": 1.0, "larger": 1.0, "small": 1.0}).where("not in_mix").count() > 0
+
+
 def test_language_model_probabilities_sum_to_one(spark):
     rng = random.Random(8)
     train = [" ".join(rng.choices("abcdefgh", weights=range(1, 9), k=200)) + " end" for _ in range(40)]

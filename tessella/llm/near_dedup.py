@@ -4,28 +4,31 @@ Texts with the same words are one class; one member stands for it from then on.
 hashed once into bins, empty bins are densified, and bins are grouped into bands; classes that
 share a band's values share a bucket. In each bucket the member that meets most others, over all
 its buckets, is the centre, and the candidates are the pairs of centre and member: at most one per
-row of a bucket, however large. A candidate whose signatures are far below the threshold is left
-out; the others are confirmed on the full shingle sets of the texts. Then the links' components
-are taken. In buckets where several components are left, a text may be linked to a member that was
-no centre: the texts of such buckets are joined exactly. A text's shingles are ordered by the number
-of texts that hold them, rarest first; two texts at the threshold share one of the first
-n - ceil(0.8 n) + 1 of each, so the candidates come from an equi-join on those, with bounds by size
-and place, and each candidate whose ends are still in different components is confirmed in full.
-Two texts at the threshold share none of the ``BANDS`` bands with probability below 1e-6.
+row of a bucket, however large. A candidate whose sketches are far below the threshold is put off;
+the others are confirmed on the full shingle sets. Then the links' components are taken. In buckets
+where several components are left, a text may be linked to a member that was no centre, or to one
+that was put off: the texts of such buckets are joined exactly. A text's shingles are ordered by the
+number of texts that hold them, rarest first; of two texts at the threshold the larger has a common
+one among its first n - ceil(0.8 n) + 1 and the smaller among its first n - ceil(8/9 n) + 1, so the
+candidates come from an equi-join on those, with bounds by size and place, and each candidate whose
+ends are still in different components is confirmed in full. Two texts at the threshold share none
+of the ``BANDS`` bands with probability below 3e-6, and at 0.85 below 3e-9.
 
 Only rows that a bucket brings together are read again. Joins are equi-joins that adaptive
-execution splits where a text class or bucket is large; no group is collected.
+execution splits where a text class or bucket is large, because what they join is written before
+or dealt anew; no group is collected.
 
 Defined cases: a null or empty text, or one of white space only, has no shingle and is linked with
 nothing; fewer words than a shingle make one shingle, the whole sequence; rows with one doc_id and
-different words are different nodes, and the component's id is the least doc_id of its rows; an
-empty table gives an empty result; other columns are not read.
+different words are different nodes, and the component's id is the least doc_id of its rows; texts
+of any length are hashed whole; ties in the choice of a centre go by the node's hash; an empty table
+gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -34,19 +37,20 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.minhash import low_bits, signatures, walks
-from tessella.llm.text import arrow_rows, chunks, doc_id, hash_words, mix64, shingle_hashes, text_or_empty, words
+from tessella.llm.text import arrow_bytes, chunks, doc_id, hash_words, mix64, shingle_hashes, text_or_empty, words
 from tessella.operators.graph import connected_components
 from tessella.plans import broadcast_if_small, materialise
 
 WORDS, PERCENT = 5, 80
-BINS, ROWS = 64, 3
+BINS, ROWS = 256, 6
 BANDS = BINS // ROWS
-#: Agreeing bins of 64 below which a candidate is not read: six standard deviations under 0.8.
-AGREE = 31
-#: Pairs of texts that reach a Python worker at a time.
-PAIRS_PER_BATCH = 250
+#: Bins whose low byte is kept as the sketch, and the agreeing ones below which a candidate of a star
+#: is put off to the exact join: six standard deviations under 0.8.
+SKETCH, AGREE = 64, 31
+#: Bytes of shingle sets and of texts that reach a Python worker at a time.
+STEP_BYTES = 8_000_000
 #: Rows up to which the list of candidate documents is broadcast to the scan of texts.
-SMALL = 400_000
+SMALL = 100_000
 
 
 def _node(text: str) -> int:
@@ -79,7 +83,7 @@ def signed(docs: DataFrame, k: int = WORDS) -> DataFrame:
                     part.column("text_sha256"),
                     pa.array(sizes, pa.int64()),
                     pa.array([_node(t) if n else None for t, n in zip(part.column("text").to_pylist(), sizes, strict=True)], pa.int64()),
-                    pa.array([r.tobytes() for r in low_bits(values, 8)], pa.binary()),
+                    pa.array([r.tobytes() for r in low_bits(values[:, :: BINS // SKETCH], 8)], pa.binary()),
                     bands,
                 ],
                 names=["doc_id", "text_sha256", "n_shingles", "node", "sketch", "bands"],
@@ -96,46 +100,41 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
         for part in batches:
             if not part.num_rows:
                 continue
-            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, BINS) for c in ("sa", "sb"))
+            left, right = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(part.num_rows, SKETCH) for c in ("sa", "sb"))
             yield part.select(["a", "b"]).filter(pa.array((left == right).sum(1) >= AGREE))
 
     sized = pairs.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent).select("a", "b", "sa", "sb")
     return sized.mapInArrow(compare, "a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, text) of the wanted (doc_id, node), one row each."""
-    rows = docs.select(doc_id(), text_or_empty().alias("text")).join(
-        broadcast_if_small(wanted, SMALL), "doc_id"
-    )
+def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
+    """(node, shingles) of the wanted (doc_id, node), one row each: the sorted distinct hashes of the
+    text's shingles as packed 64-bit integers."""
+    rows = docs.select(doc_id(), text_or_empty().alias("text")).join(broadcast_if_small(wanted, SMALL), "doc_id")
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            same = [_node(t) == n for t, n in zip(part.column("text").to_pylist(), part.column("node").to_pylist(), strict=True)]
-            yield part.filter(pa.array(same, pa.bool_()))
+        for whole in chunks(batches, "text"):
+            same = [_node(t) == n for t, n in zip(whole.column("text").to_pylist(), whole.column("node").to_pylist(), strict=True)]
+            part = whole.filter(pa.array(same, pa.bool_()))
+            codes, distinct, offsets = words(part.column("text"))
+            sets = [s.tobytes() for s in shingle_hashes(codes, hash_words(distinct), offsets, k)]
+            yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(own, "node long, text string")
+    return rows.select("node", "text").mapInArrow(own, "node long, shingles binary").dropDuplicates(["node"])
 
 
-def confirmed(pairs: DataFrame, texts: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
+def confirmed(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """The pairs (a, b) with 100 * common >= percent * union of their full shingle sets."""
-    both = pairs.join(texts.toDF("b", "tb"), "b").join(texts.toDF("a", "ta"), "a").select("a", "b", "ta", "tb")
-
-    def sets(column: pa.Array) -> list[np.ndarray]:
-        codes, distinct, offsets = words(column)
-        return list(shingle_hashes(codes, hash_words(distinct), offsets, k))
+    both = pairs.join(sets.toDF("b", "sb"), "b").join(sets.toDF("a", "sa"), "a").select("a", "b", "sa", "sb")
 
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for part in chunks(iter([whole]), "tb"):
-                # a centre's text comes with each of its members; it is hashed once per batch
-                coded = part.column("ta").dictionary_encode()
-                left = sets(coded.dictionary)
-                keep = []
-                for i, right in zip(coded.indices.to_pylist(), sets(part.column("tb")), strict=True):
-                    common = len(np.intersect1d(left[i], right, assume_unique=True))
-                    keep.append(100 * common >= percent * (len(left[i]) + len(right) - common))
-                yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+        for part in batches:
+            keep = []
+            for x, y in zip(part.column("sa"), part.column("sb"), strict=True):
+                left, right = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+                common = len(np.intersect1d(left, right, assume_unique=True))
+                keep.append(100 * common >= percent * (len(left) + len(right) - common))
+            yield part.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     return both.mapInArrow(confirm, "a long, b long")
 
@@ -143,8 +142,9 @@ def confirmed(pairs: DataFrame, texts: DataFrame, k: int = WORDS, percent: int =
 def first_stars(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """One star per bucket; its centre is the member that meets most others over all its buckets."""
     met = buckets.groupBy("node").agg(F.sum("n").alias("met"))
-    top = buckets.join(met, "node").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("node").alias("h"), "node")).alias("top"))
-    pairs = buckets.join(top.select("bucket", F.col("top.node").alias("a")), "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
+    ranked = buckets.join(met, "node").select("bucket", "node", F.struct("met", F.xxhash64("node").alias("h"), "node").alias("place"))
+    top = materialise(ranked.groupBy("bucket").agg(F.max("place").alias("top")).select("bucket", F.col("top.node").alias("a")), "centres")
+    pairs = buckets.join(top, "bucket").where("node <> a").select("a", F.col("node").alias("b")).distinct()
     has = classes.select("node", "n_shingles", "sketch")
     return _alike(pairs.join(has.toDF("a", "na", "sa"), "a").join(has.toDF("b", "nb", "sb"), "b"), percent)
 
@@ -152,32 +152,33 @@ def first_stars(buckets: DataFrame, classes: DataFrame, percent: int) -> DataFra
 def undecided(placed: DataFrame) -> DataFrame:
     """The (node, component) that share a bucket with another component."""
     several = placed.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    return placed.join(several.select("bucket"), "bucket").select("node", "component").distinct()
+    return placed.join(materialise(several.select("bucket"), "several"), "bucket", "left_semi").select("node", "component").distinct()
 
 
-def shingled(texts: DataFrame, k: int) -> DataFrame:
-    """(node, component, n, shingle) of every distinct shingle of the texts (node, component, text)."""
+def exploded(sets: DataFrame) -> DataFrame:
+    """(node, component, n, shingle) of every distinct shingle of the sets (node, component, shingles)."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in chunks(batches, "text"):
-            codes, distinct, offsets = words(part.column("text"))
-            sets = list(shingle_hashes(codes, hash_words(distinct), offsets, k))
-            sizes = np.array([len(s) for s in sets], np.int64)
+        for part in chunks(batches, "shingles"):
+            sizes = pc.binary_length(part.column("shingles")).to_numpy(zero_copy_only=False).astype(np.int64) // 8
             own = [pa.array(np.repeat(v, sizes)) for v in (part.column("node").to_numpy(), part.column("component").to_numpy(), sizes)]
-            yield pa.RecordBatch.from_arrays([*own, pa.array(np.concatenate(sets).view(np.int64))], names=["node", "component", "n", "shingle"])
+            flat = np.frombuffer(b"".join(part.column("shingles").to_pylist()), np.int64)
+            yield pa.RecordBatch.from_arrays([*own, pa.array(flat)], names=["node", "component", "n", "shingle"])
 
-    return texts.select("node", "component", "text").mapInArrow(cut, "node long, component long, n long, shingle long")
+    return sets.select("node", "component", "shingles").mapInArrow(cut, "node long, component long, n long, shingle long")
 
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
+def prefixes(rows: DataFrame, percent: int) -> DataFrame:
     """The rarest shingles of each text that another text holds too, with their place ``i`` among
-    all of the text's shingles: of two texts at the threshold each has a common one here."""
-    counts = materialise(sets.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shingle-counts")
+    all of the text's shingles: of two texts at the threshold the larger has a common one here, and
+    the smaller one that is marked ``least``."""
+    counts = materialise(rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c")).where("c > 1"), "shingle-counts")
     own = Window.partitionBy("node")
     # those that no other text holds come first and can meet nothing; only their number is needed
     place = F.col("n") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("c", "shingle"))
-    placed = sets.join(counts, "shingle").withColumn("i", place)
-    return placed.where(F.expr(f"i <= n - (n * {percent} + 99) div 100 + 1")).select("shingle", "node", "component", "n", "i")
+    placed = rows.join(counts, "shingle").withColumn("i", place).where(F.expr(f"i <= n - (n * {percent} + 99) div 100 + 1"))
+    least = F.expr(f"i <= n - (2 * {percent} * n + {99 + percent}) div {100 + percent} + 1")
+    return placed.select("shingle", "node", "component", "n", "i", least.alias("least"))
 
 
 def candidates(rows: DataFrame, percent: int) -> DataFrame:
@@ -186,10 +187,11 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
     meet only those outside it, so a large component costs no pairs of its own."""
     shares = rows.groupBy("shingle", "component").agg(F.count(F.lit(1)).alias("k"))
     top = shares.groupBy("shingle").agg(F.max(F.struct("k", "component")).alias("top"), F.count(F.lit(1)).alias("several")).where("several > 1")
-    met = materialise(rows.join(top.select("shingle", F.col("top.component").alias("of")), "shingle"), "met")
-    left = met.where("component <> of").drop("of").toDF("shingle", "x", "cx", "nx", "ix")
-    right = met.toDF("shingle", "y", "cy", "ny", "iy", "of")
-    both = left.join(right, "shingle").where("cx <> cy and (cy = of or x < y)")
+    largest = materialise(top.select("shingle", F.col("top.component").alias("of")), "largest")
+    met = materialise(rows.join(largest, "shingle"), "met")
+    left = met.where("component <> of").drop("of").toDF("shingle", "x", "cx", "nx", "ix", "lx")
+    right = met.toDF("shingle", "y", "cy", "ny", "iy", "ly", "of")
+    both = left.join(right, "shingle").where("cx <> cy and (cy = of or x < y) and ((lx and nx <= ny) or (ly and ny <= nx))")
     # at the first common shingle of a linked pair, it and what follows in both hold all that is common
     common = F.lit(1) + F.least(F.col("nx") - F.col("ix"), F.col("ny") - F.col("iy"))
     near = both.where(F.least("nx", "ny") * 100 >= F.greatest("nx", "ny") * percent).where(common * (100 + percent) >= (F.col("nx") + F.col("ny")) * percent)
@@ -209,41 +211,30 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         "classes",
     )
     every = classes.select("node", F.explode("bands").alias("bucket"))
-    counted = every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    counted = materialise(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
     buckets = materialise(every.join(counted, "bucket").select("bucket", "node", "n"), "buckets")
 
     def read(nodes: DataFrame, name: str) -> DataFrame:
         wanted = materialise(nodes.distinct().join(classes.select("node", "doc_id"), "node"), f"wanted-{name}")
-        return materialise(texts_of(docs, wanted).dropDuplicates(["node"]), f"texts-{name}")
+        return materialise(sets_of(docs, wanted, k), f"sets-{name}")
 
-    def confirm(pairs: DataFrame, texts: DataFrame, turn: int) -> DataFrame:
-        with arrow_rows(docs.sparkSession, PAIRS_PER_BATCH):
-            return materialise(confirmed(pairs, texts, k, percent), f"links-{turn}")
+    def confirm(pairs: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
+        with arrow_bytes(docs.sparkSession, STEP_BYTES):
+            return materialise(confirmed(pairs, sets, percent), f"links-{turn}")
 
     pairs = materialise(first_stars(buckets, classes, percent), "pairs-0")
-    texts = read(pairs.select(F.explode(F.array("a", "b")).alias("node")), "0")
-    links = confirm(pairs, texts, 0)
+    sets = read(pairs.select(F.explode(F.array("a", "b")).alias("node")), "0")
+    links = confirm(pairs, sets, 0)
     labels = materialise(connected_components(links), "components-0")
-    placed = buckets.drop("n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = materialise(buckets.drop("n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
     rows = materialise(undecided(placed), "undecided")
     later = None
     if not rows.isEmpty():
-        texts = texts.unionByName(read(rows.select("node").join(texts, "node", "left_anti"), "1"))
-        sets = shingled(texts.join(broadcast_if_small(rows, SMALL), "node"), k)
-        found = materialise(candidates(materialise(prefixes(sets, percent), "prefixes"), percent), "candidates")
-        # the likeliest pair of two components first: where it is a link, their other pairs need no reading
-        pair = [F.least("ca", "cb"), F.greatest("ca", "cb")]
-        likely = materialise(found.groupBy(*pair).agg(F.max(F.struct("hits", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("top")).select("top.a", "top.b"), "likely")
-
-        def joins(pairs: DataFrame, turn: int) -> DataFrame:
-            links = confirm(pairs, texts, turn)
-            return materialise(found.join(links, ["a", "b"]).select("ca", "cb").distinct(), f"joined-{turn}")
-
-        first = joins(likely, 1)
-        into = materialise(connected_components(first, "ca", "cb"), "components-1")
-        rest = found.join(likely, ["a", "b"], "left_anti").join(into.toDF("ca", "ra"), "ca", "left").join(into.toDF("cb", "rb"), "cb", "left")
-        rest = rest.where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb")).select("a", "b")
-        later = first.unionByName(joins(materialise(rest, "rest"), 2))
+        sets = sets.unionByName(read(rows.select("node").join(sets, "node", "left_anti"), "1"))
+        own = exploded(sets.join(broadcast_if_small(rows, SMALL), "node"))
+        found = materialise(candidates(materialise(prefixes(own, percent), "prefixes"), percent), "candidates")
+        if not found.isEmpty():
+            later = further(found, lambda pairs, turn: confirm(pairs, sets, turn))
     named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
     if later is not None:
         grown = materialise(connected_components(later, "ca", "cb"), "components-2").toDF("component", "into")
@@ -255,6 +246,22 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
     )
 
 
+def further(found: DataFrame, confirm: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
+    """Links (ca, cb) between components that the candidates ``found`` hold. The likeliest pair of
+    two components is confirmed first: where it is a link, their other pairs need no reading."""
+    top = F.max(F.struct("hits", F.xxhash64("a", "b").alias("h"), "a", "b")).alias("top")
+    likely = materialise(found.groupBy(F.least("ca", "cb"), F.greatest("ca", "cb")).agg(top).select("top.a", "top.b"), "likely")
+
+    def joins(pairs: DataFrame, turn: int) -> DataFrame:
+        return materialise(found.join(confirm(pairs, turn), ["a", "b"]).select("ca", "cb").distinct(), f"joined-{turn}")
+
+    first = joins(likely, 1)
+    into = materialise(connected_components(first, "ca", "cb"), "components-1")
+    rest = found.join(likely, ["a", "b"], "left_anti").join(into.toDF("ca", "ra"), "ca", "left").join(into.toDF("cb", "rb"), "cb", "left")
+    rest = materialise(rest.where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb")).select("a", "b"), "rest")
+    return first if rest.isEmpty() else first.unionByName(joins(rest, 2))
+
+
 def op9_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of all documents linked at 0.8 on four-word shingles."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")

@@ -103,12 +103,12 @@ def shingle_hashes(codes: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, k
 
 
 @contextmanager
-def arrow_rows(spark: SparkSession, rows: int) -> Iterator[None]:
-    """Within this block, jobs hand Python at most ``rows`` rows at a time: for rows that carry
-    several long texts each."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+    """Within this block, jobs hand Python about ``most`` bytes at a time: for rows that carry long
+    texts or sets. A single longer row is handed over whole."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
     before = spark.conf.get(key)
-    spark.conf.set(key, rows)
+    spark.conf.set(key, most)
     try:
         yield
     finally:

@@ -8,11 +8,11 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 #: Signals of an analysis, in their fixed order; vibrancy repeats colorfulness.
-SIGNALS = ("sharpness", "contrast", "colorfulness", "vibrancy", "harmony", "aesthetic")
+SIGNALS = ("technical_quality", "aesthetic_quality", "colorfulness", "harmony", "pairing_affinity", "vibrancy")
 
 # Suffixes that are decoded, and raw formats that are listed but not decoded.
-MEDIA = ("jpg", "jpeg", "png", "webp", "gif", "tiff", "tif", "heic")
-RAW = ("dng", "nef", "cr2", "cr3", "arw", "raf", "orf", "rw2", "pef", "srw", "raw")
+MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "heic", "tiff", "tif")
+RAW = ("raw", "cr2", "nef", "arw", "dng", "orf", "raf", "rw2", "pef", "srw", "x3f")
 
 
 def clamp01(x: Column) -> Column:
@@ -107,10 +107,21 @@ def schedule_open(ts: Column, weekdays: list[int] | None, hours: tuple[int, int]
     return out
 
 
+def verified(content: Column, checksum: Column) -> Column:
+    """The content, or an error where its SHA-256 is not the checksum."""
+    wrong = F.raise_error(F.concat(F.lit("checksum mismatch: expected "), F.coalesce(checksum, F.lit("none")))).cast("string")
+    return F.when(F.sha2(content.cast("binary"), 256).eqNullSafe(checksum), content).otherwise(wrong)
+
+
+def palette_distance_of(nearest: Column, share: Column) -> Column:
+    """Share-weighted mean of nearest distances over the root of three, 1 at most; 1 without colours."""
+    return F.coalesce(F.least(F.lit(1.0), F.sum(share * nearest / 3**0.5) / (F.sum(share) + 1e-9)), F.lit(1.0))
+
+
 def date_proximity(a: Column, b: Column) -> Column:
     """1 on the same moment, falling to 0 at thirty days; null if either is unknown."""
     gap = F.abs(F.unix_micros(a.cast("timestamp")) - F.unix_micros(b.cast("timestamp"))) / 86400e6
-    return F.greatest(F.lit(0.0), 1 - F.least(gap / 30, F.lit(1.0)))
+    return F.when(gap.isNotNull(), F.greatest(F.lit(0.0), 1 - F.least(gap / 30, F.lit(1.0))))
 
 
 def gutter(width: Column, height: Column) -> Column:

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessella.operators.ordering import numbered_by
+from tessella.plans import materialise
+
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
     """The row of each key that is last in ``order``: one grouped ``max_by``, combined map-side."""
@@ -36,13 +39,37 @@ def upserted(current: DataFrame, new: DataFrame, keys: list[str], order: str) ->
     return both.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_new", order)).alias("row")).select(*keys, "row.*").drop("_new")
 
 
-def clamped_replay(df: DataFrame, keys: list[str], order: str, delta: str, bound: float) -> DataFrame:
+#: Steps that one fold takes in order.
+RUN = 4096
+
+
+def clamped_replay(df: DataFrame, keys: list[str], order: str, delta: str, bound: float, run: int = RUN) -> DataFrame:
     """Ordered fold of steps into a weight that is clamped after each; and the number of steps.
 
-    The fold needs a key's steps in order, so they are gathered per key as an array of numbers."""
-    steps = F.transform(F.array_sort(F.collect_list(F.struct(order, delta))), lambda s: s[delta])
-    fold = F.aggregate("steps", F.lit(0.0), lambda w, s: F.greatest(F.lit(-bound), F.least(F.lit(bound), w + s)))
-    return df.groupBy(*keys).agg(steps.alias("steps")).select(*keys, fold.alias("weight"), F.size("steps").cast("long").alias("version"))
+    Adding a step and clamping is x -> max(low, min(high, x + shift)), and such functions compose into
+    the same form. So runs of ``run`` steps in order are each reduced to one function, runs of
+    functions again to one, until one is left per key, and that is applied to 0: no task holds more
+    than a run of a key. ``order`` has no ties within a key."""
+    numbered = numbered_by(df.select(*keys, order, delta), order, *keys, name="_at")
+    step = F.struct(F.lit(-bound).alias("low"), F.lit(bound).alias("high"), F.col(delta).cast("double").alias("shift"), F.lit(1).cast("long").alias("n"))
+    level = numbered.select(*keys, F.floor(F.col("_at") / run).cast("long").alias("run"), F.col("_at").alias("at"), step.alias("f"))
+    nothing = F.struct(F.lit(float("-inf")).alias("low"), F.lit(float("inf")).alias("high"), F.lit(0.0).alias("shift"), F.lit(0).cast("long").alias("n"))
+
+    def after(x, s):
+        """The function of ``x`` followed by that of ``s``."""
+
+        def through(v):
+            return F.greatest(s["low"], F.least(s["high"], v + s["shift"]))
+
+        return F.struct(through(x["low"]).alias("low"), through(x["high"]).alias("high"), (x["shift"] + s["shift"]).alias("shift"), (x["n"] + s["n"]).alias("n"))
+
+    while True:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("at", "f"))), lambda p: p["f"])
+        level = materialise(level.groupBy(*keys, "run").agg(ordered.alias("fs")).select(*keys, F.col("run").alias("at"), F.aggregate("fs", nothing, after).alias("f")), "replay")
+        level = level.withColumn("run", F.floor(F.col("at") / run).cast("long"))
+        if not level.groupBy(*keys).agg(F.count(F.lit(1)).alias("n")).where("n > 1").limit(1).count():
+            weight = F.greatest(F.col("f.low"), F.least(F.col("f.high"), F.col("f.shift")))
+            return level.select(*keys, weight.alias("weight"), F.col("f.n").alias("version"))
 
 
 def assert_unique(df: DataFrame, keys: list[str]) -> DataFrame:

@@ -4,47 +4,58 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Items that a frame takes; a frame with more is an error, never cut.
 MOST_CELLS = 64
 
 
-def _cut(weights: list[float]) -> int:
-    """Where to cut a list in two of near equal weight; the last of equal cuts."""
-    total, prefix, best = sum(weights), 0.0, (float("inf"), 1)
-    for k in range(1, len(weights)):
-        prefix += weights[k - 1]
-        gap = abs(2 * prefix - total)
-        if gap <= best[0]:
-            best = (gap, k)
-    return best[1]
-
-
-def cells_of(weights: list[float], x: int, y: int, w: int, h: int, gap: int) -> list[tuple[int, int, int, int]]:
-    """Rectangles of one frame: halved by weight across the longer side, the gap taken between the
-    halves, the far half ending at the far edge."""
-    if len(weights) == 1:
-        return [(x, y, w, h)]
-    usable = [v if v > 0 else 0.0 for v in weights]
-    usable = usable if sum(usable) > 0 else [1.0] * len(weights)
-    k = _cut(usable)
-    share = sum(usable[:k]) / sum(usable)
-    if w >= h:
-        near = max(1, int((w - gap) * share))
-        far = max(1, w - gap - near)
-        return cells_of(weights[:k], x, y, near, h, gap) + cells_of(weights[k:], x + w - far, y, far, h, gap)
-    near = max(1, int((h - gap) * share))
-    far = max(1, h - gap - near)
-    return cells_of(weights[:k], x, y, w, near, gap) + cells_of(weights[k:], x, y + h - far, w, far, gap)
+class FrameTooSmall(ValueError):
+    """A box has fewer than two pixels besides the gap on the side that is to be cut."""
+
+
+def tiles(weights: np.ndarray, width: int, height: int, gap: int) -> np.ndarray:
+    """Rectangles (x, y, w, h) of a frame's items in their order.
+
+    Boxes wait in a stack with the range of items that they hold. A box is cut on its longer side
+    (on its width, if it is square) where the running sum of weights is nearest to half, at the last
+    such place; both parts get the floor of their share of what the gap leaves, a pixel at least, the
+    second one ending at the far edge. A pixel that a starved part got is taken from the other.
+    Weights that are not finite and positive count as 0, and a range without weight is uniform."""
+    n = len(weights)
+    usable = np.where(np.isfinite(weights) & (weights > 0), weights, 0.0)
+    by_weight, by_count = (np.concatenate([[0.0], np.cumsum(x)]) for x in (usable, np.ones(n)))
+    out = np.zeros((n, 4), np.int64)
+    stack = [(0, n, np.array([0, 0, width, height]))]
+    while stack:
+        lo, hi, box = stack.pop()
+        if hi - lo == 1:
+            out[lo] = box
+            continue
+        run = by_weight if by_weight[hi] > by_weight[lo] else by_count
+        ahead = run[lo + 1 : hi] - run[lo]
+        whole = run[hi] - run[lo]
+        k = hi - 1 - int(np.abs(2 * ahead - whole)[::-1].argmin())
+        side = 2 if box[2] >= box[3] else 3
+        room = int(box[side]) - gap
+        if room < 2:
+            raise FrameTooSmall(f"{hi - lo} items do not fit a box of {box[2]} x {box[3]} with a gap of {gap}")
+        sizes = [max(1, int(room * part // whole)) for part in (run[k] - run[lo], run[hi] - run[k])]
+        sizes[0 if sizes[0] >= sizes[1] else 1] -= max(0, sum(sizes) - room)
+        first, second = box.copy(), box.copy()
+        first[side], second[side] = sizes
+        second[side - 2] += box[side] - sizes[1]
+        stack += [(lo, k, first), (k, hi, second)]
+    return out
 
 
 def slice_cells(items: DataFrame, width: int, height: int) -> DataFrame:
     """frame, item, tie, x, y, w, h of the items of each frame (frame, item, tie, weight), in the
-    order of item and tie."""
+    order of item and tie. A frame of more than ``MOST_CELLS`` items is an error, found by a count
+    before they are gathered."""
 
     gap = max(1, min(width, height) // 32)
 
@@ -52,30 +63,54 @@ def slice_cells(items: DataFrame, width: int, height: int) -> DataFrame:
         for part in batches:
             rows = []
             for frame, own in zip(part.column("frame").to_pylist(), part.column("items").to_pylist(), strict=True):
-                if len(own) > MOST_CELLS:
-                    raise ValueError(f"a frame takes {MOST_CELLS} items, not {len(own)}")
-                cells = cells_of([i["weight"] for i in own], 0, 0, width, height, gap)
+                cells = tiles(np.array([i["weight"] for i in own], float), width, height, gap).tolist()
                 rows += [(frame, i["item"], i["tie"], *c) for i, c in zip(own, cells, strict=True)]
             columns = list(zip(*rows, strict=True)) or [[]] * 7
             types = (pa.int64(), pa.int32(), pa.int64(), *[pa.int32()] * 4)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=["frame", "item", "tie", *"xywh"])
 
-    frames = items.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("item", "tie", "weight"))).alias("items"))
+    counted = items.withColumn("_n", F.row_number().over(Window.partitionBy("frame").orderBy("item", "tie")))
+    checked = counted.withColumn("frame", F.when(F.col("_n") > MOST_CELLS, F.raise_error(F.lit(f"a frame takes {MOST_CELLS} items")).cast("long")).otherwise(F.col("frame")))
+    frames = checked.groupBy("frame").agg(F.array_sort(F.collect_list(F.struct("item", "tie", "weight"))).alias("items"))
     return frames.mapInArrow(layout, "frame long, item int, tie long, x int, y int, w int, h int")
 
 
-def feed_order(ranked: DataFrame, longest: int) -> DataFrame:
-    """feed, id, place: each feed by falling score, but with no more than ``longest`` of one creator
-    in a row while another is left (feed, id, creator, score)."""
-
-    def order(pdf: pd.DataFrame) -> pd.DataFrame:
-        left = list(pdf.sort_values(["score", "id"], ascending=[False, True])[["id", "creator"]].itertuples(index=False, name=None))
-        out: list[tuple] = []
-        while left:
-            tail = [c for _, c in out[-longest:]]
-            full = len(tail) == longest and len(set(tail)) == 1
-            at = next((i for i, (_, c) in enumerate(left) if not full or c != tail[-1]), 0)
-            out.append(left.pop(at))
-        return pd.DataFrame({"feed": pdf["feed"].iloc[0], "id": [i for i, _ in out], "place": range(1, len(out) + 1)})
+def composed(creators: list[str], size: int, longest: int, least: int, window: int) -> list[int]:
+    """Positions, in the order in which a feed shows them, of the first ``size`` of ranked items: the
+    best that does not make a creator's run longer than ``longest``; while fewer than ``window`` are
+    placed and fewer than ``least`` creators seen, one of a new creator if there is any. Where nothing
+    fits, the best of the rest."""
+    left, out = list(range(len(creators))), []
+    while left and len(out) < size:
+        tail = [creators[i] for i in out[-longest:]]
+        full = tail[-1] if len(tail) == longest and len(set(tail)) == 1 else None
+        fits = [i for i in left if full is None or creators[i] != full]
+        seen = {creators[i] for i in out}
+        new = [i for i in fits if creators[i] not in seen] if len(out) < window and len(seen) < least else []
+        best = (new or fits or left)[0]
+        out.append(best)
+        left.remove(best)
+    return out
+
+
+def feed_order(ranked: DataFrame, size: int = 12, longest: int = 3, least: int = 2, window: int = 6) -> DataFrame:
+    """feed, id, place of the first ``size`` items of each feed (feed, id, creator, score): by falling
+    score, then id, under the rules of ``composed``.
+
+    The first ``size`` places can only hold the best ``size`` items of the best ``size + 1`` creators,
+    so ranks per creator leave a bounded number of items per feed before any are gathered."""
+    best = Window.partitionBy("feed", "creator").orderBy(F.desc("score"), "id")
+    near = ranked.withColumn("own", F.row_number().over(best)).where(F.col("own") <= size)
+    heads = near.where("own = 1").withColumn("rank", F.row_number().over(Window.partitionBy("feed").orderBy(F.desc("score"), "id"))).where(F.col("rank") <= size + 1)
+    few = near.join(heads.select("feed", "creator"), ["feed", "creator"], "left_semi")
+    gathered = few.groupBy("feed").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("minus"), "id", "creator"))).alias("items"))
+
+    def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            rows = []
+            for feed, own in zip(part.column("feed").to_pylist(), part.column("items").to_pylist(), strict=True):
+                rows += [(feed, own[i]["id"], k) for k, i in enumerate(composed([x["creator"] for x in own], size, longest, least, window), 1)]
+            columns = list(zip(*rows, strict=True)) or [[]] * 3
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32()), strict=True)], names=["feed", "id", "place"])
 
-    return ranked.groupBy("feed").applyInPandas(order, "feed string, id long, place int")
+    return gathered.mapInArrow(order, "feed string, id long, place int")

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
 from tessella.operators.latest import assert_reference, assert_unique, clamped_replay, folded, latest, nth_latest, numbered, upserted
+from tessella.operators.ordering import numbered_by
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
 
@@ -24,7 +25,7 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-WALL = """--more score AS (SELECT entry_id, max_by(aesthetic, id) AS score FROM analyses WHERE status = 'ok' GROUP BY entry_id),
+WALL = """--more score AS (SELECT entry_id, max_by(aesthetic_quality, id) AS score FROM analyses WHERE status = 'ok' GROUP BY entry_id),
 decided AS (SELECT entry_id, max_by(decision, id) AS decision FROM approvals GROUP BY entry_id),
 hung AS (SELECT r.entry_id, count(*) AS n_hung FROM publishes p JOIN renders r ON p.sha = r.artifact_sha WHERE p.status = 'applied' AND r.entry_id IS NOT NULL GROUP BY r.entry_id),
 wall AS (SELECT e.id, e.asset_id, regexp_replace(e.asset_id, '/[^/]*$', '') AS folder, s.score, coalesce(d.decision, 'pending') AS decision, coalesce(h.n_hung, 0) AS n_hung
@@ -34,7 +35,7 @@ wall AS (SELECT e.id, e.asset_id, regexp_replace(e.asset_id, '/[^/]*$', '') AS f
 
 def wall(spark: SparkSession, sf: str) -> DataFrame:
     """Every entry with its latest score and decision and how often it hangs."""
-    scores = D.analyses(spark, sf).where("status = 'ok'").groupBy("entry_id").agg(F.max_by("aesthetic", "id").alias("score"))
+    scores = D.analyses(spark, sf).where("status = 'ok'").groupBy("entry_id").agg(F.max_by("aesthetic_quality", "id").alias("score"))
     decided = D.approvals(spark, sf).groupBy("entry_id").agg(F.max_by("decision", "id").alias("decision"))
     # the hung list is m:n: each journal row counts once per render of its hash
     applied = D.publishes(spark, sf).where("status = 'applied'").groupBy("sha").agg(F.count(F.lit(1)).alias("n"))
@@ -46,10 +47,10 @@ def wall(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("id", "asset_id", "folder", "score", F.coalesce("decision", F.lit("pending")).alias("decision"), F.coalesce("n_hung", F.lit(0)).alias("n_hung"))
 
 
-@query("sl_wall_order", over("entries", "analyses", "approvals", "publishes", "renders", body=WALL + "SELECT row_number() OVER (ORDER BY coalesce(score, -1.0) DESC, asset_id, id) AS place, * FROM wall ORDER BY place LIMIT 200"))
+@query("sl_wall_order", over("entries", "analyses", "approvals", "publishes", "renders", body=WALL + "SELECT row_number() OVER (ORDER BY coalesce(score, -1.0) DESC, asset_id, id) AS place, * FROM wall"))
 def wall_order(spark, sf):
-    top = wall(spark, sf).orderBy(F.coalesce("score", F.lit(-1.0)).desc(), "asset_id", "id").limit(200)
-    return top.withColumn("place", F.row_number().over(Window.orderBy(F.coalesce("score", F.lit(-1.0)).desc(), "asset_id", "id")))
+    """SL1: all entries by falling score, those without one last, then by name."""
+    return numbered_by(wall(spark, sf), F.coalesce("score", F.lit(-1.0)).desc(), "asset_id", "id")
 
 
 @query("jn_wall_state", over("entries", "analyses", "approvals", "publishes", "renders", body=WALL + "SELECT * FROM wall"))
@@ -86,16 +87,16 @@ def by_cluster(spark, sf):
     return D.entries(spark, sf).where("cluster_id = 'cl-7'").select("id", "asset_id", "revision")
 
 
-@query("pf_latest_ok_analysis", over("analyses", body="SELECT entry_id, max(id) AS id, max_by(sharpness, id) AS sharpness, max_by(harmony, id) AS harmony FROM analyses WHERE status = 'ok' GROUP BY entry_id"))
+@query("pf_latest_ok_analysis", over("analyses", body="SELECT entry_id, max(id) AS id, max_by(technical_quality, id) AS technical_quality, max_by(harmony, id) AS harmony FROM analyses WHERE status = 'ok' GROUP BY entry_id"))
 def latest_ok(spark, sf):
-    return latest(D.analyses(spark, sf).where("status = 'ok'").select("entry_id", "id", "sharpness", "harmony"), ["entry_id"], "id")
+    return latest(D.analyses(spark, sf).where("status = 'ok'").select("entry_id", "id", "technical_quality", "harmony"), ["entry_id"], "id")
 
 
-@query("jn_vote_candidates", over("entries", "analyses", body="""SELECT e.id, coalesce(e.quality_score, 0.0) AS baseline, a.aesthetic FROM entries e
- JOIN (SELECT entry_id, max_by(aesthetic, id) AS aesthetic FROM analyses WHERE status = 'ok' GROUP BY entry_id) a ON a.entry_id = e.id"""))
+@query("jn_vote_candidates", over("entries", "analyses", body="""SELECT e.id, coalesce(e.quality_score, 0.0) AS baseline, a.aesthetic_quality FROM entries e
+ JOIN (SELECT entry_id, max_by(aesthetic_quality, id) AS aesthetic_quality FROM analyses WHERE status = 'ok' GROUP BY entry_id) a ON a.entry_id = e.id"""))
 def vote_candidates(spark, sf):
-    a = latest(D.analyses(spark, sf).where("status = 'ok'").select("entry_id", "id", "aesthetic"), ["entry_id"], "id").select(F.col("entry_id").alias("id"), "aesthetic")
-    return D.entries(spark, sf).join(a, "id").select("id", F.coalesce("quality_score", F.lit(0.0)).alias("baseline"), "aesthetic")
+    a = latest(D.analyses(spark, sf).where("status = 'ok'").select("entry_id", "id", "aesthetic_quality"), ["entry_id"], "id").select(F.col("entry_id").alias("id"), "aesthetic_quality")
+    return D.entries(spark, sf).join(a, "id").select("id", F.coalesce("quality_score", F.lit(0.0)).alias("baseline"), "aesthetic_quality")
 
 
 @query("jn_unscored", over("entries", "analyses", body="SELECT id, asset_id FROM entries WHERE id NOT IN (SELECT entry_id FROM analyses WHERE status = 'ok')"))

@@ -8,7 +8,10 @@ from pyspark.sql import functions as F
 from tessella.functions import scalar as S
 from tessella.operators.latest import latest, numbered
 from tessella.operators.layout import feed_order, slice_cells
-from tessella.queries.taste import ACTIVE, COS, LATEST_SIGNALS, TAGGED, signals, tagged, votes
+from tessella.operators.pairs import uncertainty
+from tessella.operators.similarity import vector_search
+from tessella.queries.taste import ACTIVE, COS, FIXED, LATEST_SIGNALS, signals, votes
+from tessella.plans import materialise
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
 from tessella.streaming import journal
@@ -71,10 +74,11 @@ def liked_shas(spark, sf):
     return D.entries(spark, sf).join(liked, "id", "left_semi").select("sha256").distinct()
 
 
-@query("jn_ordered_lookup", over("entries", body="SELECT q.pos, e.id, e.asset_id FROM (SELECT o_custkey AS id, o_orderkey AS pos FROM orders WHERE o_orderkey % 50 = 0) q LEFT JOIN entries e ON e.id = q.id"))
+@query("jn_ordered_lookup", over("entries", body="SELECT q.pos, e.id, e.asset_id, e.id IS NOT NULL AS found FROM (SELECT o_custkey AS id, o_orderkey AS pos FROM orders) q LEFT JOIN entries e ON e.id = q.id"))
 def ordered_lookup(spark, sf):
-    asked = D.table(spark, sf, "orders").where("o_orderkey % 50 = 0").select(F.col("o_custkey").alias("asked"), F.col("o_orderkey").alias("pos"))
-    return asked.join(D.entries(spark, sf).select("id", "asset_id"), F.col("asked") == F.col("id"), "left").select("pos", "id", "asset_id")
+    """JN16: entries by a list of keys, each with its place in the list and whether it was found."""
+    asked = D.table(spark, sf, "orders").select(F.col("o_custkey").alias("asked"), F.col("o_orderkey").alias("pos"))
+    return asked.join(D.entries(spark, sf).select("id", "asset_id"), F.col("asked") == F.col("id"), "left").select("pos", "id", "asset_id", F.col("id").isNotNull().alias("found"))
 
 
 @query("jn_vote_vectors", over("preferences", "vectors", body=ACTIVE + "SELECT vote_group, w.label AS winner_label, l.label AS loser_label, round(list_dot_product(w.vector, l.vector), 6) AS agreement FROM active a JOIN vectors w ON w.id = a.winner JOIN vectors l ON l.id = a.loser WHERE NOT a.retracted"))
@@ -88,12 +92,10 @@ def vote_vectors(spark, sf):
  SELECT query, id, rank FROM (SELECT q.id AS query, v.id, row_number() OVER (PARTITION BY q.id ORDER BY {COS.format(a='v.vector', b='q.vector')} DESC, v.id DESC) AS rank
  FROM vectors q JOIN vectors v ON v.id <> q.id WHERE q.id % 100 = 0 AND v.id IN (SELECT winner FROM liked)) WHERE rank <= 3"""))
 def exemplars(spark, sf):
+    """JN23, SL3: the three most alike of the liked for each query, ties to the higher id."""
     v = D.vectors(spark, sf)
     liked = votes(spark, sf).where("not retracted").select(F.col("winner").alias("id")).distinct()
-    q = v.where("id % 100 = 0").select(F.col("id").alias("query"), F.col("vector").alias("qv"))
-    scored = v.join(liked, "id", "left_semi").join(F.broadcast(q), F.col("id") != F.col("query")).select("query", "id", S.cosine(F.col("vector"), F.col("qv")).alias("similarity"))
-    rank = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("similarity"), F.desc("id")))
-    return scored.withColumn("rank", rank).where("rank <= 3").select("query", "id", "rank")
+    return vector_search(v.where("id % 100 = 0"), v.join(liked, "id", "left_semi"), 3, ties="-id").select("query", "id", "rank")
 
 
 @query("ag_attribution", over("preferences", "vectors", body=ACTIVE.rstrip() + """, t AS (SELECT a.vote_group, list_dot_product(w.vector, q.vector) - list_dot_product(l.vector, q.vector) AS c FROM active a JOIN vectors w ON w.id = a.winner JOIN vectors l ON l.id = a.loser, (SELECT vector FROM vectors WHERE id = 0) q WHERE NOT a.retracted)
@@ -106,45 +108,16 @@ def attribution(spark, sf):
     return t.join(F.broadcast(n)).select("vote_group", F.round(F.col("c") * F.least(F.lit(1.0), F.col("n") / 50.0) / F.col("n"), 6).alias("contribution"))
 
 
-LEANINGS = (("light", 0.5, 0.0), ("calm", -0.5, 0.5), ("bold", 1.0, -0.25), ("warm", 0.25, 0.75))
 
-
-@query("jn_leanings", over("observations", body=TAGGED + "SELECT attribute, polarity, count(*) AS n, round(sum(CASE polarity WHEN 'like' THEN 1 WHEN 'dislike' THEN -1 ELSE 0.25 END * colour), 6) AS colour, round(sum(CASE polarity WHEN 'like' THEN 1 WHEN 'dislike' THEN -1 ELSE 0.25 END * harmony), 6) AS harmony FROM tagged JOIN (VALUES " + ", ".join(f"('{a}', {c}, {h})" for a, c, h in LEANINGS) + ") l(attribute, colour, harmony) USING (attribute) GROUP BY ALL"))
-def leanings(spark, sf):
-    table = spark.createDataFrame(list(LEANINGS), "attribute string, colour double, harmony double")
-    sign = F.when(F.col("polarity") == "like", 1.0).when(F.col("polarity") == "dislike", -1.0).otherwise(0.25)
-    t = tagged(spark, sf).join(F.broadcast(table), "attribute")
-    return t.groupBy("attribute", "polarity").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(sign * F.col("colour")), 6).alias("colour"), F.round(F.sum(sign * F.col("harmony")), 6).alias("harmony"))
-
-
-@query("ag_duplicate_groups", over("images", body="SELECT sha256, list(key ORDER BY key) AS members, arg_min(key, (-coalesce(width * height, 0), -coalesce(width, 0), key)) AS best FROM images GROUP BY sha256 HAVING count(*) > 1"))
+@query("ag_duplicate_groups", over("images", body="SELECT i.sha256, i.key, g.n AS members, i.key = g.best AS best FROM images i JOIN (SELECT sha256, count(*) AS n, arg_min(key, (-coalesce(width * height, 0), -coalesce(width, 0), key)) AS best FROM images GROUP BY sha256 HAVING count(*) > 1) g ON g.sha256 = i.sha256"))
 def duplicate_groups(spark, sf):
+    """AG8, AG19: groups of equal content, one row per member, and the best original of each."""
     area, wide = F.coalesce(F.col("width") * F.col("height"), F.lit(0)), F.coalesce("width", F.lit(0))
     best = F.min_by("key", F.struct((-area).alias("a"), (-wide).alias("w"), "key"))
-    return D.images(spark, sf).groupBy("sha256").agg(F.array_sort(F.collect_list("key")).alias("members"), best.alias("best")).where(F.size("members") > 1)
-
-
-@query("ag_evidence", over("observations", body=TAGGED + "SELECT attribute, count(*) AS n, max(id) AS newest, list_slice(list(id ORDER BY id DESC), 1, 3) AS evidence FROM tagged GROUP BY attribute"))
-def evidence(spark, sf):
-    # the newest three of each attribute: ranked per attribute and session part first, then over those few
-    t = tagged(spark, sf).select("attribute", "id", F.pmod(F.hash("session_id"), F.lit(64)).alias("part"))
-    few = t.withColumn("r", F.row_number().over(Window.partitionBy("attribute", "part").orderBy(F.desc("id")))).where("r <= 3")
-    top = few.groupBy("attribute").agg(F.slice(F.sort_array(F.collect_list("id"), asc=False), 1, 3).alias("evidence"))
-    n = t.groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.max("id").alias("newest"))
-    return n.join(top, "attribute")
-
-
-@query("ag_newest_citation", over("observations", body=TAGGED + "SELECT session_id, arg_max(attribute, (id, attribute)) AS attribute, max(id) AS id FROM tagged GROUP BY session_id"))
-def newest_citation(spark, sf):
-    return tagged(spark, sf).groupBy("session_id").agg(F.max_by("attribute", F.struct("id", "attribute")).alias("attribute"), F.max("id").alias("id"))
+    groups = materialise(D.images(spark, sf).groupBy("sha256").agg(F.count(F.lit(1)).alias("members"), best.alias("one")).where("members > 1"), "groups")
+    return D.images(spark, sf).select("sha256", "key").join(groups, "sha256").select("sha256", "key", "members", (F.col("key") == F.col("one")).alias("best"))
 
 
-@query("sl_citations", over("observations", body=TAGGED.rstrip() + ", c AS (SELECT attribute, session_id, count(*) AS size, count(*) FILTER (polarity = 'like') AS liked FROM tagged GROUP BY ALL ORDER BY (count(*) FILTER (polarity = 'like') > 2) DESC, size DESC, attribute, session_id LIMIT 40) SELECT * FROM c WHERE liked > 0"))
-def citations(spark, sf):
-    c = tagged(spark, sf).groupBy("attribute", "session_id").agg(F.count(F.lit(1)).alias("size"), F.count_if(F.col("polarity") == "like").alias("liked"))
-    # the limit comes before rows without evidence are dropped
-    return c.orderBy((F.col("liked") > 2).desc(), F.desc("size"), "attribute", "session_id").limit(40).where("liked > 0")
-
 
 @query("wn_entry_position", over("approvals", body="SELECT entry_id, list(id ORDER BY id)[2] AS second_id, list_position(list(id ORDER BY id), max(id)) - 1 AS last_position FROM approvals GROUP BY entry_id"))
 def entry_position(spark, sf):
@@ -180,11 +153,6 @@ def region_checks(spark, sf):
     return D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_suppkey") != F.count(F.lit(1))).alias("repeats"), F.countDistinct("l_partkey").alias("parts"))
 
 
-@query("fs_claim_dimension", over("observations", body=TAGGED + "SELECT DISTINCT 'history:' || session_id || ':' || attribute AS claim, attribute AS dimension FROM tagged"))
-def claim_dimension(spark, sf):
-    claim = F.concat_ws(":", F.lit("history"), "session_id", "attribute")
-    return tagged(spark, sf).select(claim.alias("claim")).distinct().withColumn("dimension", F.when(F.col("claim").startswith("history:"), F.substring_index("claim", ":", -1)))
-
 
 @query("fs_override_merge", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, 'base') AS mode, coalesce(CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END, -1)::int AS crop FROM customer")
 def override_merge(spark, sf):
@@ -209,21 +177,28 @@ def parse_formats(spark, sf):
     return D.table(spark, sf, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", F.unix_seconds(parsed).alias("seconds"))
 
 
-@query("fm_palette_distance", """WITH c AS (SELECT l_orderkey AS o, l_linenumber % 2 AS side, l_quantity AS share, l_partkey % 256 AS r, l_suppkey % 256 AS g FROM lineitem),
- near AS (SELECT a.o, a.share, a.r, a.g, min(sqrt((a.r - b.r) ** 2 + (a.g - b.g) ** 2)) AS d FROM c a JOIN c b ON a.o = b.o AND a.side = 0 AND b.side = 1 GROUP BY a.o, a.share, a.r, a.g)
- SELECT o, round(sum(share * d) / sum(share) / (255 * sqrt(2)), 6) AS distance FROM near GROUP BY o""")
+@query("fm_palette_distance", """WITH c AS (SELECT l_orderkey AS o, l_linenumber % 2 AS side, l_linenumber AS i, l_quantity AS share, l_partkey % 256 AS r, l_suppkey % 256 AS g, l_linenumber * 37 % 256 AS b FROM lineitem),
+ near AS (SELECT x.o, x.i, x.share, x.r, x.g, min(sqrt((x.r - y.r) ** 2 + (x.g - y.g) ** 2 + (x.b - y.b) ** 2)) AS d FROM c x JOIN c y ON x.o = y.o AND x.side = 0 AND y.side = 1 GROUP BY ALL)
+ SELECT s.o, round(coalesce(least(1.0, sum(n.share * n.d / sqrt(3)) / (sum(n.share) + 1e-9)), 1.0), 6) AS distance FROM (SELECT DISTINCT o FROM c) s LEFT JOIN near n ON n.o = s.o GROUP BY s.o""")
 def palette_distance(spark, sf):
-    c = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") % 2).alias("side"), F.col("l_quantity").alias("share"), (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") % 256).alias("g"))
-    a, b = c.where("side = 0").drop("side"), c.where("side = 1").select("o", F.col("r").alias("r2"), F.col("g").alias("g2"))
-    d = F.sqrt(F.pow(F.col("r") - F.col("r2"), 2) + F.pow(F.col("g") - F.col("g2"), 2))
-    near = a.join(b, "o").groupBy("o", "share", "r", "g").agg(F.min(d).alias("d"))
-    return near.groupBy("o").agg(F.round(F.sum(F.col("share") * F.col("d")) / F.sum("share") / (255 * F.sqrt(F.lit(2.0))), 6).alias("distance"))
+    """FM10: of two palettes of 0 to 255; 1 where one has no colours."""
+    c = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") % 2).alias("side"), F.col("l_linenumber").alias("i"), F.col("l_quantity").alias("share"), (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") % 256).alias("g"), (F.col("l_linenumber") * 37 % 256).alias("b"))
+    x, y = c.where("side = 0").drop("side"), c.where("side = 1").select("o", *[F.col(n).alias(f"{n}2") for n in "rgb"])
+    d = F.sqrt(F.pow(F.col("r") - F.col("r2"), 2) + F.pow(F.col("g") - F.col("g2"), 2) + F.pow(F.col("b") - F.col("b2"), 2))
+    near = x.join(y, "o").groupBy("o", "i", "share", "r", "g").agg(F.min(d).alias("d"))
+    return c.select("o").distinct().join(near, "o", "left").groupBy("o").agg(F.round(S.palette_distance_of(F.col("d"), F.col("share")), 6).alias("distance"))
+
 
+UNSURE_SQL = "abs(" + " + ".join(f"({w}) * (w.{s} - l.{s})" for s, w in FIXED.items()) + ") AS gap, " + " + ".join(f"{abs(w)} * abs(w.{s} - l.{s})" for s, w in FIXED.items()) + " AS spread"
 
-@query("fm_uncertainty", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, round(1 - abs(sharpness - harmony) / nullif(abs(sharpness) + abs(harmony), 0), 6) AS uncertainty FROM latest"))
-def uncertainty(spark, sf):
-    a, b = F.col("sharpness"), F.col("harmony")
-    return signals(spark, sf).select("entry_id", F.round(1 - F.try_divide(F.abs(a - b), F.abs(a) + F.abs(b)), 6).alias("uncertainty"))
+
+@query("fm_uncertainty", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + f", p AS (SELECT a.vote_group, {UNSURE_SQL} FROM active a JOIN latest w ON w.entry_id = a.winner JOIN latest l ON l.entry_id = a.loser) SELECT vote_group, round(CASE WHEN spread = 0 THEN 1.0 ELSE greatest(0.0, least(1.0, 1 - gap / spread)) END, 6) AS uncertainty FROM p"))
+def fm_uncertainty(spark, sf):
+    """FM14: how near a tie each vote's pair was."""
+    s = signals(spark, sf)
+    w, l = s.select(*[F.col(c).alias(f"w_{c}") for c in s.columns]), s.select(*[F.col(c).alias(f"l_{c}") for c in s.columns])
+    p = votes(spark, sf).join(w, F.col("winner") == F.col("w_entry_id")).join(l, F.col("loser") == F.col("l_entry_id"))
+    return p.select("vote_group", F.round(uncertainty(FIXED, "w_", "l_"), 6).alias("uncertainty"))
 
 
 @query("gr_bisect", """WITH p AS (SELECT l_orderkey AS o, row_number() OVER w AS k, sum(l_quantity) OVER w AS prefix, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
@@ -247,9 +222,9 @@ def cells(spark, sf):
 
 @query("wn_feed_order")
 def feed(spark, sf):
-    """Each cluster's ranked entries in an order without long runs of one connector."""
+    """WN10: the first twelve of each cluster's feed, without long runs of one connector."""
     e = D.entries(spark, sf).where("cluster_id is not null").select(F.col("cluster_id").alias("feed"), "id", F.col("connector_id").alias("creator"), F.coalesce("quality_score", F.lit(0.0)).alias("score"))
-    return feed_order(e, 2)
+    return feed_order(e)
 
 
 @query("ru_cell_fit", over("images", body="SELECT key, CASE WHEN height >= 600 AND abs(width / height - 16.0 / 9) / (16.0 / 9) > 0.1 THEN 'fill' ELSE 'contain' END AS fit FROM images WHERE width IS NOT NULL"))
@@ -280,11 +255,17 @@ def rotation(spark, sf):
     return t.select("event_id", F.when(F.col("event_type") == "signup", "override").when(F.hour("ts") < 8, "closed").when(early, "wait").otherwise("next").alias("decision"))
 
 
-@query("ss_failure_classes", over("publishes", body="SELECT CASE WHEN status = 'applied' THEN 'completed' WHEN status = 'staged' AND id % 3 = 0 THEN 'retryable' WHEN status = 'staged' THEN 'paused' WHEN id % 2 = 0 THEN 'corrupt' ELSE 'failed' END AS outcome, count(*) AS n FROM publishes GROUP BY 1"))
+# How a failure's reason is classed; others are permanent.
+OUTCOMES = {"timeout": "transient", "denied": "policy_blocked", "unsupported": "capability_unsupported", "unresolved": "unresolved_external", "cancelled": "user_cancelled"}
+REASONS = ("timeout", "denied", "unsupported", "unresolved", "cancelled", "broken", "timeout")
+
+
+@query("ss_failure_classes", over("publishes", body="SELECT adapter_id, outcome, count(*) AS n FROM (SELECT adapter_id, CASE [" + ", ".join(f"'{r}'" for r in REASONS) + "][length(artifact_id) * 3 % 7 + 1] " + " ".join(f"WHEN '{r}' THEN '{o}'" for r, o in OUTCOMES.items()) + " ELSE 'permanent' END AS outcome FROM publishes WHERE status = 'error') GROUP BY ALL"))
 def failure_classes(spark, sf):
-    s, i = F.col("status"), F.col("id")
-    c = F.when(s == "applied", "completed").when((s == "staged") & (i % 3 == 0), "retryable").when(s == "staged", "paused").when(i % 2 == 0, "corrupt").otherwise("failed")
-    return D.publishes(spark, sf).groupBy(c.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+    """SS12: failures by adapter and one of six outcomes."""
+    reason = F.element_at(F.array(*map(F.lit, REASONS)), (F.length("artifact_id") * 3 % 7 + 1).cast("int"))
+    outcome = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in OUTCOMES.items() for x in kv]), reason), F.lit("permanent"))
+    return D.publishes(spark, sf).where("status = 'error'").groupBy("adapter_id", outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("ss_cursor_sync", over("remote", body="SELECT asset_id, revision FROM remote WHERE asset_id > 'a-00000050' AND revision IS DISTINCT FROM CASE WHEN star < 2 THEN revision WHEN star = 2 THEN NULL ELSE 'r0' END"))

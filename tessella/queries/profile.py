@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
 from tessella.operators.latest import latest, nth_latest, numbered
-from tessella.queries.taste import LATEST_SIGNALS, TAGGED, signals, tagged
+from tessella.queries.taste import LATEST_SIGNALS, signals
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
 
@@ -25,25 +25,6 @@ def query(name: str, sql: str | None = None):
     return keep
 
 
-@query("ag_profile_document", over("observations", body="""--more w AS (SELECT role, unnest(string_split_regex(lower(verbatim), '[^a-z0-9]+')) AS w FROM observations),
- c AS (SELECT role, w, count(*) AS n, row_number() OVER (PARTITION BY role ORDER BY count(*) DESC, w) AS r FROM w WHERE w <> '' GROUP BY role, w)
- SELECT role, count(*) AS words, sum(n)::bigint AS uses, string_agg(w || ':' || n, ',' ORDER BY r) FILTER (r <= 5) AS vocabulary FROM c GROUP BY role"""))
-def profile_document(spark, sf):
-    w = D.observations(spark, sf).select("role", F.explode(S.tokens(F.col("verbatim"))).alias("w")).groupBy("role", "w").agg(F.count(F.lit(1)).alias("n"))
-    # five of each role are wanted: the best five of each hash part first, so that no task ranks a whole role
-    part = Window.partitionBy("role", F.pmod(F.hash("w"), F.lit(32))).orderBy(F.desc("n"), "w")
-    few = w.withColumn("r", F.row_number().over(part)).where("r <= 5")
-    best = F.slice(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("o"), "w"))), 1, 5)
-    top = few.groupBy("role").agg(F.array_join(F.transform(best, lambda x: F.concat(x["w"], F.lit(":"), -x["o"])), ",").alias("vocabulary"))
-    return w.groupBy("role").agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("uses")).join(top, "role")
-
-
-@query("st_seed_claims", over("observations", body=TAGGED + """SELECT attribute || ':' || session_id AS claim, 'held' AS origin FROM (SELECT DISTINCT attribute, session_id FROM tagged WHERE polarity = 'like')
- UNION ALL SELECT claim, 'seeded' FROM (SELECT DISTINCT attribute || ':' || session_id AS claim FROM tagged WHERE polarity <> 'like') WHERE claim NOT IN (SELECT attribute || ':' || session_id FROM tagged WHERE polarity = 'like')"""))
-def seed_claims(spark, sf):
-    t = tagged(spark, sf).select(F.concat_ws(":", "attribute", "session_id").alias("claim"), (F.col("polarity") == "like").alias("held"))
-    return t.groupBy("claim").agg(F.max("held").alias("held")).select("claim", F.when(F.col("held"), "held").otherwise("seeded").alias("origin"))
-
 
 @query("ru_manifest_checks", """SELECT l_orderkey, concat_ws(',', CASE WHEN count(*) NOT BETWEEN 2 AND 6 THEN 'arity' END, CASE WHEN count(DISTINCT l_partkey) < count(*) THEN 'duplicate' END, CASE WHEN min(l_quantity) < 2 THEN 'weight' END) AS failed
  FROM lineitem GROUP BY l_orderkey""")
@@ -53,27 +34,20 @@ def manifest_checks(spark, sf):
     return D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(failed.alias("failed"))
 
 
-PROBES = ((1, "light", "which light?"), (2, "calm", "how calm?"), (3, "bold", "bolder?"), (4, "warm", "warmer?"))
-
-
-@query("ru_probe_questions", over("observations", body=TAGGED.rstrip() + ", q AS (SELECT * FROM (VALUES " + ", ".join(f"({o}, '{a}', '{t}')" for o, a, t in PROBES) + """) q(o, gap, text))
- SELECT id, text, row_number() OVER (PARTITION BY id ORDER BY o) AS n FROM (SELECT ob.id, q.o, q.text FROM observations ob, q WHERE NOT EXISTS (SELECT 1 FROM tagged t WHERE t.id = ob.id AND t.attribute = q.gap)) QUALIFY n <= 2"""))
-def probe_questions(spark, sf):
-    gaps = F.array(*[F.struct(F.lit(o).alias("o"), F.lit(a).alias("gap"), F.lit(t).alias("text")) for o, a, t in PROBES])
-    seen = tagged(spark, sf).groupBy("id").agg(F.collect_set("attribute").alias("seen"))
-    o = D.observations(spark, sf).select("id").join(seen, "id", "left").withColumn("seen", F.coalesce("seen", F.array().cast("array<string>")))
-    asked = F.slice(F.filter(gaps, lambda g: ~F.array_contains("seen", g["gap"])), 1, 2)
-    return o.select("id", F.posexplode(asked).alias("pos", "q")).select("id", "q.text", (F.col("pos") + 1).cast("long").alias("n"))
+# The stages of each profile, in order.
+STAGES = {
+    "fast": ["perceptual", "technical"],
+    "balanced": ["perceptual", "technical", "aesthetic", "saliency"],
+    "quality": ["perceptual", "technical", "aesthetic", "saliency", "cropsafety", "colorstory"],
+    "max": ["perceptual", "technical", "aesthetic", "saliency", "cropsafety", "colorstory", "pairing"],
+}
 
 
-STAGES = {"fast": ["technical"], "balanced": ["perceptual", "technical", "aesthetic", "saliency"], "full": ["perceptual", "technical", "aesthetic", "saliency", "color", "crop", "pairing"]}
-
-
-@query("ru_stage_list", "SELECT c_custkey, unnest(CASE c_custkey % 3 WHEN 0 THEN " + " ".join(f"{v} WHEN {i + 1} THEN" if i < 2 else f"{v}" for i, v in enumerate(STAGES.values())) + " END) AS stage FROM customer")
+@query("ru_stage_list", "SELECT c_custkey, unnest(l) AS stage, generate_subscripts(l, 1) - 1 AS rank FROM (SELECT c_custkey, CASE c_custkey % 4 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(STAGES.values())) + " END AS l FROM customer)")
 def stage_list(spark, sf):
-    lists = [F.array(*map(F.lit, v)) for v in STAGES.values()]
-    k = F.col("c_custkey") % 3
-    return D.table(spark, sf, "customer").select("c_custkey", F.explode(F.when(k == 0, lists[0]).when(k == 1, lists[1]).otherwise(lists[2])).alias("stage"))
+    """RU10: the ordered stages of a profile, with their ranks."""
+    lists = F.element_at(F.array(*[F.array(*map(F.lit, v)) for v in STAGES.values()]), (F.col("c_custkey") % 4 + 1).cast("int"))
+    return D.table(spark, sf, "customer").select("c_custkey", F.posexplode(lists).alias("rank", "stage")).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query("ss_reconcile", over("files", "publishes", body="SELECT path FROM files WHERE sha256(path) NOT IN (SELECT sha256(path) FROM files WHERE length % 7000 = 0) AND 'a' || (length // 1000) NOT IN (SELECT artifact_id FROM publishes WHERE status <> 'error')"))
@@ -99,11 +73,13 @@ def layout_arity(spark, sf):
     return D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(n.alias("n"), ((n == F.count_if(F.col("l_quantity") > 0)) & n.between(2, 9)).alias("lays_out"))
 
 
-@query("sc_verified_read", "SELECT doc_id, length(coalesce(text, '')) AS n, sha256(coalesce(text, '')) AS checksum, sha256(coalesce(text, '')) < '8' AS verified FROM documents")
+@query("sc_verified_read", "SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS checksum FROM pages WHERE html IS NOT NULL")
 def verified_read(spark, sf):
-    t = F.coalesce("text", F.lit(""))
-    sha = F.sha2(t.cast("binary"), 256)
-    return D.table(spark, sf, "documents").select("doc_id", F.length(t).cast("long").alias("n"), sha.alias("checksum"), (sha < "8").alias("verified"))
+    """SC16: contents read against the checksums that a manifest names; one that differs is an error."""
+    pages = D.table(spark, sf, "pages").where("html is not null")
+    manifest = pages.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("checksum"))
+    read = pages.select("page_id", "html").join(manifest, "page_id").withColumn("html", S.verified(F.col("html"), F.col("checksum")))
+    return read.select("page_id", F.octet_length("html").cast("long").alias("n"), "checksum")
 
 
 @query("sc_preview", "SELECT doc_id, md5(substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2)) AS preview FROM documents")
@@ -131,12 +107,6 @@ def deck_cursor(spark, sf):
     return D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("following"))
 
 
-@query("wn_dial_reversal", over("observations", body=TAGGED + "SELECT session_id, attribute, row_number() OVER (PARTITION BY session_id ORDER BY CASE WHEN session_id < 's4' THEN count(*) ELSE -count(*) END, attribute) AS place FROM tagged GROUP BY session_id, attribute"))
-def dial_reversal(spark, sf):
-    c = tagged(spark, sf).groupBy("session_id", "attribute").agg(F.count(F.lit(1)).alias("n"))
-    w = Window.partitionBy("session_id").orderBy(F.when(F.col("session_id") < "s4", F.col("n")).otherwise(-F.col("n")), "attribute")
-    return c.select("session_id", "attribute", F.row_number().over(w).alias("place"))
-
 
 @query("sl_wildcard", over("entries", body="""--more r AS (SELECT connector_id, cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY coalesce(quality_score, 0) DESC, id) AS r FROM entries WHERE cluster_id IS NOT NULL)
  SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY CASE WHEN r <= 2 THEN r ELSE 3 END, CASE WHEN r > 2 THEN md5('seed' || id) END, id) AS place FROM r"""))
@@ -147,11 +117,11 @@ def wildcard(spark, sf):
     return r.select("cluster_id", "id", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.least("r", F.lit(3)), tail, "id")).alias("place"))
 
 
-@query("fm_alignment", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, round((2 * sharpness - contrast + 0.5 * aesthetic) * 0.7071067811865476, 6) AS alignment, round(greatest(0, least(1, harmony * 2 - 0.5)), 6) AS clamped, round(CASE WHEN contrast + 0.25 > 0 THEN contrast / (contrast + 0.25) ELSE 0 END, 6) AS saturated FROM latest"))
+@query("fm_alignment", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, round((2 * technical_quality - pairing_affinity + 0.5 * aesthetic_quality) * 0.7071067811865476, 6) AS alignment, round(greatest(0, least(1, harmony * 2 - 0.5)), 6) AS clamped, round(CASE WHEN pairing_affinity + 0.25 > 0 THEN pairing_affinity / (pairing_affinity + 0.25) ELSE 0 END, 6) AS saturated FROM latest"))
 def alignment(spark, sf):
     return signals(spark, sf).select(
-        "entry_id", F.round((2 * F.col("sharpness") - F.col("contrast") + 0.5 * F.col("aesthetic")) * 0.7071067811865476, 6).alias("alignment"),
-        F.round(S.clamp01(F.col("harmony") * 2 - 0.5), 6).alias("clamped"), F.round(S.saturate(F.col("contrast"), 0.25), 6).alias("saturated"),
+        "entry_id", F.round((2 * F.col("technical_quality") - F.col("pairing_affinity") + 0.5 * F.col("aesthetic_quality")) * 0.7071067811865476, 6).alias("alignment"),
+        F.round(S.clamp01(F.col("harmony") * 2 - 0.5), 6).alias("clamped"), F.round(S.saturate(F.col("pairing_affinity"), 0.25), 6).alias("saturated"),
     )
 
 
@@ -195,8 +165,11 @@ def inventory_counts(spark, sf):
     )
 
 
-@query("jn_latest_before", """--
-SELECT e.event_id, (SELECT max(o_orderkey) FROM (SELECT o_orderkey, o_custkey, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS r FROM orders) o WHERE o.o_custkey = e.user_id AND o.r = 1) AS newest FROM events e""")
+@query("jn_latest_before", "SELECT e.event_id, o.o_orderkey AS newest FROM events e ASOF LEFT JOIN (SELECT o_custkey, o_orderdate, max(o_orderkey) AS o_orderkey FROM orders GROUP BY ALL) o ON o.o_custkey = e.user_id AND o.o_orderdate <= e.ts")
 def latest_before(spark, sf):
-    newest = D.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id")).agg(F.max_by("o_orderkey", F.struct("o_orderdate", "o_orderkey")).alias("newest"))
-    return D.table(spark, sf, "events").select("event_id", "user_id").join(newest, "user_id", "left").select("event_id", "newest")
+    """The newest order of the event's user at the event's time: both sides in one sorted run per user."""
+    o = D.table(spark, sf, "orders").groupBy(F.col("o_custkey").alias("user_id"), F.col("o_orderdate").cast("timestamp").alias("ts")).agg(F.max("o_orderkey").alias("known"))
+    e = D.table(spark, sf, "events").select("user_id", F.col("ts").cast("timestamp").alias("ts"), "event_id")
+    both = o.withColumn("event_id", F.lit(None).cast("long")).unionByName(e.withColumn("known", F.lit(None).cast("long")))
+    w = Window.partitionBy("user_id").orderBy("ts", F.col("event_id").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    return both.withColumn("newest", F.last("known", ignorenulls=True).over(w)).where("event_id is not null").select("event_id", "newest")

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from tessella.queries.taste import ACTIVE, LATEST_SIGNALS, TAGGED, signals, tagged, votes
+from tessella.functions import scalar as S
+from tessella.queries.taste import ACTIVE, LATEST_SIGNALS, signals, votes
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
 
@@ -28,16 +29,17 @@ def session_fold(spark, sf):
     return D.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("opened"), F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("closed"), F.count(F.lit(1)).alias("events"))
 
 
-@query("sk_batch_approve", "SELECT o_orderkey AS id, u.pos - 1 AS position, u.decision FROM orders, LATERAL (SELECT unnest(['approved', 'rejected', 'approved']) AS decision, unnest([1, 2, 3]) AS pos) u WHERE o_orderkey % 20 = 0")
+@query("sk_batch_approve", "SELECT o_orderkey AS id, u.pos - 1 AS position, u.decision FROM orders, LATERAL (SELECT unnest(['approved', 'rejected', 'approved']) AS decision, unnest([1, 2, 3]) AS pos) u WHERE o_orderpriority LIKE '1%'")
 def batch_approve(spark, sf):
-    ids = D.table(spark, sf, "orders").where("o_orderkey % 20 = 0").select(F.col("o_orderkey").alias("id"))
+    """SK33: one event per id and decision, in order, of the urgent orders."""
+    ids = D.table(spark, sf, "orders").where("o_orderpriority like '1%'").select(F.col("o_orderkey").alias("id"))
     return ids.select("id", F.posexplode(F.array(F.lit("approved"), F.lit("rejected"), F.lit("approved"))).alias("position", "decision"))
 
 
-@query("pf_proposals", over("analyses", body="SELECT entry_id, id, aesthetic, row_number() OVER (PARTITION BY entry_id ORDER BY aesthetic DESC, id) AS place FROM analyses WHERE status = 'ok' AND sharpness > 0.2"))
+@query("pf_proposals", over("analyses", body="SELECT entry_id, id, aesthetic_quality, row_number() OVER (PARTITION BY entry_id ORDER BY aesthetic_quality DESC, id) AS place FROM analyses WHERE status = 'ok' AND technical_quality > 0.2"))
 def proposals(spark, sf):
-    a = D.analyses(spark, sf).where("status = 'ok' and sharpness > 0.2").select("entry_id", "id", "aesthetic")
-    return a.withColumn("place", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("aesthetic"), "id")))
+    a = D.analyses(spark, sf).where("status = 'ok' and technical_quality > 0.2").select("entry_id", "id", "aesthetic_quality")
+    return a.withColumn("place", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("aesthetic_quality"), "id")))
 
 
 @query("pf_publish_history", over("publishes", body="SELECT artifact_id, id, status FROM publishes WHERE status IN ('error', 'staged') AND adapter_id = 'd1'"))
@@ -45,17 +47,23 @@ def publish_history(spark, sf):
     return D.publishes(spark, sf).where("status in ('error', 'staged') and adapter_id = 'd1'").select("artifact_id", "id", "status")
 
 
-@query("ag_verdict", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + """, p AS (SELECT a.winner % 5 AS part, sign(w.harmony - l.harmony) AS x, sign(w.aesthetic - l.aesthetic) AS y FROM active a JOIN latest w ON w.entry_id = a.winner JOIN latest l ON l.entry_id = a.loser),
+# Fixed value: discordant pairs below which there is no verdict.
+LEAST_PAIRS = 10
+WILSON_SQL = "((wins / discordant + 3.841458820694124 / (2 * discordant)) {sign} 1.959963984540054 * sqrt(wins / discordant * (1 - wins / discordant) / discordant + 3.841458820694124 / (4 * discordant * discordant))) / (1 + 3.841458820694124 / discordant)"
+
+
+@query("ag_verdict", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + f""", p AS (SELECT a.winner % 5 AS part, sign(w.harmony - l.harmony) AS x, sign(w.aesthetic_quality - l.aesthetic_quality) AS y FROM active a JOIN latest w ON w.entry_id = a.winner JOIN latest l ON l.entry_id = a.loser),
  t AS (SELECT part, count(*) FILTER (x <> 0 AND y <> 0 AND x <> y) AS discordant, count(*) FILTER (x > 0 AND y < 0) AS wins FROM p GROUP BY part)
- SELECT part, discordant, wins, CASE WHEN discordant < 10 THEN 'insufficient' WHEN wins > 0.6 * discordant THEN 'first' WHEN wins < 0.4 * discordant THEN 'second' ELSE 'tie' END AS verdict FROM t"""))
+ SELECT part, discordant, wins, CASE WHEN discordant < {LEAST_PAIRS} THEN 'insufficient_evidence' WHEN {WILSON_SQL.format(sign='-')} > 0.5 THEN 'embedding_better' WHEN {WILSON_SQL.format(sign='+')} < 0.5 THEN 'lens_better' ELSE 'tie' END AS verdict FROM t"""))
 def verdict(spark, sf):
-    s = signals(spark, sf).select("entry_id", "harmony", "aesthetic")
+    """AG28: of the pairs on which two heads differ, the interval of one head's wins decides."""
+    s = signals(spark, sf).select("entry_id", "harmony", "aesthetic_quality")
     p = votes(spark, sf).join(s.toDF("winner", "wh", "wa"), "winner").join(s.toDF("loser", "lh", "la"), "loser")
     p = p.select((F.col("winner") % 5).alias("part"), F.signum(F.col("wh") - F.col("lh")).alias("x"), F.signum(F.col("wa") - F.col("la")).alias("y"))
     x, y = F.col("x"), F.col("y")
     t = p.groupBy("part").agg(F.count_if((x != 0) & (y != 0) & (x != y)).alias("discordant"), F.count_if((x > 0) & (y < 0)).alias("wins"))
-    d, w = F.col("discordant"), F.col("wins")
-    return t.withColumn("verdict", F.when(d < 10, "insufficient").when(w > 0.6 * d, "first").when(w < 0.4 * d, "second").otherwise("tie"))
+    low, high = S.wilson(F.col("wins"), F.col("discordant"))
+    return t.withColumn("verdict", F.when(F.col("discordant") < LEAST_PAIRS, "insufficient_evidence").when(low > 0.5, "embedding_better").when(high < 0.5, "lens_better").otherwise("tie"))
 
 
 @query("ag_label_histogram", over("vectors", body="SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM vectors), 6) AS share FROM vectors GROUP BY label"))
@@ -65,23 +73,30 @@ def label_histogram(spark, sf):
 
 
 @query("ag_palette_harmony", """--
-WITH c AS (SELECT DISTINCT l_orderkey AS o, l_partkey % 256 AS r, l_suppkey % 256 AS g FROM lineitem)
-SELECT a.o, count(*) AS pairs, round(avg(sqrt((a.r - b.r) ** 2 + (a.g - b.g) ** 2) / 255), 6) AS mean, round(var_pop(sqrt((a.r - b.r) ** 2 + (a.g - b.g) ** 2) / 255), 6) AS variance FROM c a JOIN c b ON a.o = b.o AND (a.r, a.g) < (b.r, b.g) GROUP BY a.o""")
+WITH c AS (SELECT l_orderkey AS o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS i, (l_partkey % 256) / 255.0 AS r, (l_suppkey % 256) / 255.0 AS g, (l_linenumber * 37 % 256) / 255.0 AS b FROM lineitem),
+ d AS (SELECT x.o, sqrt((x.r - y.r) ** 2 + (x.g - y.g) ** 2 + (x.b - y.b) ** 2) / sqrt(3) AS d FROM c x JOIN c y ON x.o = y.o AND x.i < y.i), m AS (SELECT o, avg(d) AS mean, var_pop(d) AS variance FROM d GROUP BY o)
+ SELECT s.o, round(CASE WHEN m.o IS NULL THEN 1.0 ELSE 0.5 * (1 - least(1.0, mean)) + 0.5 * (1 - least(1.0, variance * 4)) END, 6) AS harmony FROM (SELECT DISTINCT o FROM c) s LEFT JOIN m ON m.o = s.o""")
 def palette_harmony(spark, sf):
-    c = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_partkey") % 256).alias("r"), (F.col("l_suppkey") % 256).alias("g")).distinct()
-    later = (F.col("r") < F.col("r2")) | ((F.col("r") == F.col("r2")) & (F.col("g") < F.col("g2")))
-    d = F.sqrt(F.pow(F.col("r") - F.col("r2"), 2) + F.pow(F.col("g") - F.col("g2"), 2)) / 255
-    p = c.join(c.toDF("o", "r2", "g2"), "o").where(later).select("o", d.alias("d"))
-    return p.groupBy("o").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.avg("d"), 6).alias("mean"), F.round(F.var_pop("d"), 6).alias("variance"))
+    """AG34: 1 for one colour, lower as colours lie apart and unevenly."""
+    k = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey")
+    c = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), F.row_number().over(k).alias("i"), *[((x % 256) / 255.0).alias(n) for n, x in (("r", F.col("l_partkey")), ("g", F.col("l_suppkey")), ("b", F.col("l_linenumber") * 37))])
+    square = sum(((F.col(n) - F.col(f"{n}2")) * (F.col(n) - F.col(f"{n}2")) for n in "rgb"), F.lit(0.0))
+    d = c.join(c.toDF("o", "i2", "r2", "g2", "b2"), "o").where("i < i2").select("o", (F.sqrt(square) / 3**0.5).alias("d"))
+    m = d.groupBy("o").agg(F.avg("d").alias("mean"), F.var_pop("d").alias("variance"))
+    harmony = 0.5 * (1 - F.least(F.lit(1.0), F.col("mean"))) + 0.5 * (1 - F.least(F.lit(1.0), F.col("variance") * 4))
+    return c.select("o").distinct().join(m, "o", "left").select("o", F.round(F.when(F.col("mean").isNull(), 1.0).otherwise(harmony), 6).alias("harmony"))
+
 
+METRIC_SQL = "sqrt(var_pop(l_quantity - l_discount * 100) + var_pop(0.5 * (l_quantity + l_discount * 100) - l_tax * 100)) + 0.3 * sqrt(avg(l_quantity - l_discount * 100) ** 2 + avg(0.5 * (l_quantity + l_discount * 100) - l_tax * 100) ** 2)"
 
-@query("fm_colourfulness", "SELECT l_suppkey, round(sqrt(var_pop(l_quantity - l_discount * 100) + var_pop(0.5 * (l_quantity + l_discount * 100) - l_tax * 100)) + 0.3 * sqrt(avg(l_quantity - l_discount * 100) ** 2 + avg(0.5 * (l_quantity + l_discount * 100) - l_tax * 100) ** 2), 6) AS colourfulness FROM lineitem GROUP BY l_suppkey")
+
+@query("fm_colourfulness", f"SELECT l_suppkey, round(m / (m + 25.0), 6) AS colourfulness FROM (SELECT l_suppkey, {METRIC_SQL} AS m FROM lineitem GROUP BY l_suppkey)")
 def colourfulness(spark, sf):
+    """FM9: the metric of opponent colours, saturated at 25."""
     r, g, b = F.col("l_quantity"), F.col("l_discount") * 100, F.col("l_tax") * 100
     rg, yb = r - g, 0.5 * (r + g) - b
-    return D.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(
-        F.round(F.sqrt(F.var_pop(rg) + F.var_pop(yb)) + 0.3 * F.sqrt(F.pow(F.avg(rg), 2) + F.pow(F.avg(yb), 2)), 6).alias("colourfulness")
-    )
+    metric = F.sqrt(F.var_pop(rg) + F.var_pop(yb)) + 0.3 * F.sqrt(F.pow(F.avg(rg), 2) + F.pow(F.avg(yb), 2))
+    return D.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(S.clamp01(S.saturate(metric, 25.0)), 6).alias("colourfulness"))
 
 
 @query("fs_parse_weights", "SELECT l_orderkey, string_agg(l_quantity::int::varchar, ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS raw, sum(l_quantity) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey")
@@ -98,21 +113,17 @@ def newest_stamp(spark, sf):
     return D.table(spark, sf, "events").groupBy("user_id").agg(F.coalesce(F.max(F.nullif(stamp, F.lit(""))), F.lit("")).alias("stamp"))
 
 
-@query("fm_profile_fit", over("observations", body=TAGGED + """SELECT session_id, round(sum(CASE WHEN polarity = 'like' THEN 1.0 ELSE 0.25 END * l.lean), 6) AS fit FROM tagged JOIN (VALUES ('light', 0.5), ('calm', -0.5), ('bold', 1.0), ('warm', 0.25)) l(attribute, lean) USING (attribute) GROUP BY session_id"""))
-def profile_fit(spark, sf):
-    lean = F.create_map(*[F.lit(x) for kv in (("light", 0.5), ("calm", -0.5), ("bold", 1.0), ("warm", 0.25)) for x in kv])
-    held = F.when(F.col("polarity") == "like", 1.0).otherwise(0.25)
-    return tagged(spark, sf).groupBy("session_id").agg(F.round(F.sum(held * F.element_at(lean, F.col("attribute"))), 6).alias("fit"))
-
 
-@query("wn_dimension_order", over("observations", body=TAGGED + "SELECT session_id, attribute, row_number() OVER (PARTITION BY session_id ORDER BY min(id), attribute) AS place FROM tagged GROUP BY session_id, attribute"))
-def dimension_order(spark, sf):
-    first = tagged(spark, sf).groupBy("session_id", "attribute").agg(F.min("id").alias("first"))
-    return first.select("session_id", "attribute", F.row_number().over(Window.partitionBy("session_id").orderBy("first", "attribute")).alias("place"))
+CELLS_SQL = """WITH c AS (SELECT l_orderkey AS o, l_quantity * 20 AS w, sum(l_quantity * 20) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING) - l_quantity * 20 AS x, l_returnflag = 'R' AND l_quantity < 10 AS unset FROM lineitem)"""
 
 
-@query("gr_tiling_check", """--
-WITH c AS (SELECT l_orderkey AS o, l_linenumber * 100 AS x, l_quantity::int AS w FROM lineitem) SELECT o, max(x + w) AS reach, max(x + w) = max(x) + max(w) AS tight FROM c GROUP BY o""")
+@query("gr_tiling_check", CELLS_SQL + " SELECT o, max(x + w)::bigint AS reach, count(*) AS cells, CASE WHEN NOT bool_or(unset) AND max(x + w) = ceil(max(x + w) / 2000) * 2000 THEN 'stored' ELSE 'recomputed' END AS regions FROM c GROUP BY o")
 def tiling_check(spark, sf):
-    c = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), (F.col("l_linenumber") * 100).alias("x"), F.col("l_quantity").cast("int").alias("w"))
-    return c.groupBy("o").agg(F.max(F.col("x") + F.col("w")).alias("reach"), (F.max(F.col("x") + F.col("w")) == F.max("x") + F.max("w")).alias("tight"))
+    """GR8: stored cells stand only if all are set and reach the target's width, a whole number of
+    2000 pixels here, and height exactly; else all are recomputed."""
+    run = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
+    w = F.col("l_quantity") * 20
+    c = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o"), w.alias("w"), (F.sum(w).over(run) - w).alias("x"), ((F.col("l_returnflag") == "R") & (F.col("l_quantity") < 10)).alias("unset"))
+    reach = F.max(F.col("x") + F.col("w"))
+    tiles = ~F.max("unset") & (reach == F.ceil(reach / 2000) * 2000)
+    return c.groupBy("o").agg(reach.cast("long").alias("reach"), F.count(F.lit(1)).alias("cells"), F.when(tiles, "stored").otherwise("recomputed").alias("regions"))

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
 from tessella.operators.latest import clamped_replay, latest
-from tessella.operators.similarity import image_clusters, near_hashes, vector_search
+from tessella.operators.ordering import numbered_by
+from tessella.operators.pairs import most_uncertain
+from tessella.operators.similarity import NEAR as NEAR_BITS
+from tessella.operators.similarity import hash_classes, image_clusters, near_hashes, vector_search
 from tessella.plans import materialise
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
@@ -53,9 +56,10 @@ def active_votes(spark, sf):
 
 
 @query("sk_retract", over("preferences", body="""SELECT p.id, p.vote_group, p.retracted_at IS NOT NULL OR r.vote_group IS NOT NULL AS retracted FROM preferences p
- LEFT JOIN (SELECT 'v' || o_orderkey AS vote_group FROM orders WHERE o_orderkey % 10 = 0) r ON r.vote_group = p.vote_group"""))
+ LEFT JOIN (SELECT DISTINCT 'v' || (event_id // 2) AS vote_group FROM events WHERE event_type = 'view') r ON r.vote_group = p.vote_group"""))
 def retract(spark, sf):
-    gone = D.table(spark, sf, "orders").where("o_orderkey % 10 = 0").select(F.concat(F.lit("v"), "o_orderkey").alias("vote_group"), F.lit(True).alias("now"))
+    """SK14: the votes that an event names are retracted, those that were before stay so."""
+    gone = D.table(spark, sf, "events").where("event_type = 'view'").select(F.concat(F.lit("v"), F.floor(F.col("event_id") / 2)).alias("vote_group"), F.lit(True).alias("now")).distinct()
     return D.preferences(spark, sf).join(gone, "vote_group", "left").select("id", "vote_group", (F.col("retracted_at").isNotNull() | F.coalesce("now", F.lit(False))).alias("retracted"))
 
 
@@ -65,7 +69,7 @@ def vote_append(spark, sf):
     return votes(spark, sf).select("vote_group", F.explode(both).alias("row")).select("vote_group", "row.*")
 
 
-SIGNAL_NAMES = ("sharpness", "contrast", "colorfulness", "harmony", "aesthetic")
+SIGNAL_NAMES = ("technical_quality", "pairing_affinity", "colorfulness", "harmony", "aesthetic_quality")
 LATEST_SIGNALS = "latest AS (SELECT entry_id, " + ", ".join(f"max_by({s}, id) AS {s}" for s in SIGNAL_NAMES) + " FROM analyses WHERE status = 'ok' GROUP BY entry_id)"
 
 
@@ -95,7 +99,7 @@ def vote_replay(spark, sf):
     return weights(spark, sf).withColumn("weight", F.round("weight", 6))
 
 
-FIXED = {"sharpness": 1.5, "contrast": -0.5, "colorfulness": 0.8, "harmony": 2.0, "aesthetic": -1.0}
+FIXED = {"technical_quality": 1.5, "pairing_affinity": -0.5, "colorfulness": 0.8, "harmony": 2.0, "aesthetic_quality": -1.0}
 DELTA_SQL = " + ".join(f"({w}) * {s}" for s, w in FIXED.items())
 
 
@@ -127,11 +131,11 @@ def largest_contribution(spark, sf):
 
 
 @query("ag_evaluate", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + f""",
- d AS (SELECT entry_id, round({DELTA_SQL}, 6) AS new, aesthetic AS old FROM latest), p AS (SELECT w.new - l.new AS new, w.old - l.old AS old FROM active a JOIN d w ON w.entry_id = a.winner JOIN d l ON l.entry_id = a.loser)
+ d AS (SELECT entry_id, round({DELTA_SQL}, 6) AS new, aesthetic_quality AS old FROM latest), p AS (SELECT w.new - l.new AS new, w.old - l.old AS old FROM active a JOIN d w ON w.entry_id = a.winner JOIN d l ON l.entry_id = a.loser)
  SELECT count(*) AS pairs, count(*) FILTER (new > 0) AS new_right, count(*) FILTER (old > 0) AS old_right, round(count(*) FILTER (new > 0) / count(*), 6) AS accuracy,
  count(*) FILTER (new <> 0 AND old <> 0 AND sign(new) <> sign(old)) AS discordant, count(*) FILTER (new > 0 AND old < 0) AS new_wins FROM p"""))
 def evaluate(spark, sf):
-    d = signals(spark, sf).select("entry_id", F.round(delta(), 6).alias("new"), F.col("aesthetic").alias("old"))
+    d = signals(spark, sf).select("entry_id", F.round(delta(), 6).alias("new"), F.col("aesthetic_quality").alias("old"))
     p = votes(spark, sf).join(d.toDF("winner", "wn", "wo"), "winner").join(d.toDF("loser", "ln", "lo"), "loser").select((F.col("wn") - F.col("ln")).alias("new"), (F.col("wo") - F.col("lo")).alias("old"))
     n, o = F.col("new"), F.col("old")
     return p.agg(
@@ -150,7 +154,7 @@ def wilson(spark, sf):
     return t.select("user_id", "n", "s", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("ag_spearman", over("analyses", "entries", body="--more " + LATEST_SIGNALS + """, p AS (SELECT e.cluster_id, row_number() OVER (PARTITION BY e.cluster_id ORDER BY l.aesthetic DESC, e.id) AS a, row_number() OVER (PARTITION BY e.cluster_id ORDER BY l.harmony DESC, e.id) AS b
+@query("ag_spearman", over("analyses", "entries", body="--more " + LATEST_SIGNALS + """, p AS (SELECT e.cluster_id, row_number() OVER (PARTITION BY e.cluster_id ORDER BY l.aesthetic_quality DESC, e.id) AS a, row_number() OVER (PARTITION BY e.cluster_id ORDER BY l.harmony DESC, e.id) AS b
   FROM entries e JOIN latest l ON l.entry_id = e.id WHERE e.cluster_id IS NOT NULL)
  SELECT cluster_id, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE round(corr(a, b), 6) END AS rho FROM p GROUP BY cluster_id"""))
 def spearman(spark, sf):
@@ -159,39 +163,40 @@ def spearman(spark, sf):
     def place(c):
         return F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc(c), "id")).cast("double")
 
-    p = e.select("cluster_id", place("aesthetic").alias("a"), place("harmony").alias("b"))
+    p = e.select("cluster_id", place("aesthetic_quality").alias("a"), place("harmony").alias("b"))
     varies = (F.count(F.lit(1)) >= 2) & (F.max("a") > F.min("a"))
     return p.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.round(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), 6)).otherwise(0.0).alias("rho"))
 
 
-@query("ag_cold_start", over("approvals", "analyses", body="--more " + LATEST_SIGNALS + """, d AS (SELECT entry_id, max_by(decision, id) = 'approved' AS liked FROM approvals GROUP BY entry_id),
- long AS (SELECT s.signal, d.liked, s.v FROM d JOIN latest l ON l.entry_id = d.entry_id, LATERAL (VALUES """ + ", ".join(f"('{s}', l.{s})" for s in SIGNAL_NAMES) + """) s(signal, v))
- SELECT signal, count(*) FILTER (liked) AS likes, round(avg(v) FILTER (liked) - coalesce(avg(v) FILTER (NOT liked), 0.5), 6) AS lean FROM long GROUP BY signal"""))
-def cold_start(spark, sf):
-    d = latest(D.approvals(spark, sf).select("entry_id", "id", "decision"), ["entry_id"], "id").select("entry_id", (F.col("decision") == "approved").alias("liked"))
-    long = d.join(signals(spark, sf), "entry_id").select("liked", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), F.col(s).alias("v")) for s in SIGNAL_NAMES])).alias("x")).select("liked", "x.*")
-    return long.groupBy("signal").agg(
-        F.count_if("liked").alias("likes"), F.round(F.avg(F.when(F.col("liked"), F.col("v"))) - F.coalesce(F.avg(F.when(~F.col("liked"), F.col("v"))), F.lit(0.5)), 6).alias("lean")
-    )
-
 
 @query("wn_holdout_split", over("preferences", body=ACTIVE + """SELECT vote_group, first_id, row_number() OVER (ORDER BY first_id) > (SELECT count(*) FROM active) - greatest(1, round_even((SELECT count(*) FROM active) * 0.2, 0)) AS held_out FROM active"""))
 def holdout_split(spark, sf):
-    # the cut is a rank from the end: only its id is needed, so the votes are not numbered in one task
-    v = materialise(votes(spark, sf).select("vote_group", "first_id"), "votes")
-    keep = max(1, round(v.count() * 0.2))
-    cut = v.orderBy(F.desc("first_id")).limit(keep).agg(F.min("first_id").alias("cut"))
-    return v.join(F.broadcast(cut)).select("vote_group", "first_id", (F.col("first_id") >= F.col("cut")).alias("held_out"))
+    """WN13: the last fifth of the votes, one at least; votes are numbered across partitions."""
+    v = numbered_by(votes(spark, sf).select("vote_group", "first_id"), "first_id")
+    n = F.broadcast(v.agg(F.count(F.lit(1)).alias("n")))
+    return v.join(n).select("vote_group", "first_id", (F.col("place") > F.col("n") - F.greatest(F.lit(1), F.bround(F.col("n") * 0.2, 0).cast("long"))).alias("held_out"))
 
 
-@query("wn_learning_curve", over("preferences", body=ACTIVE.rstrip() + """, numbered AS (SELECT winner, loser, row_number() OVER (ORDER BY first_id) AS n, count(*) OVER () AS total FROM active WHERE NOT retracted)
- SELECT q.part, count(*) AS votes, count(DISTINCT winner) AS winners FROM numbered, (VALUES (1), (2), (3), (4)) q(part) WHERE n <= total * q.part // 4 GROUP BY q.part"""))
+@query("wn_learning_curve", over("preferences", "vectors", body=ACTIVE.rstrip() + """, terms AS (SELECT row_number() OVER (ORDER BY a.first_id) AS n, w.vector AS w, l.vector AS l FROM active a JOIN vectors w ON w.id = a.winner JOIN vectors l ON l.id = a.loser WHERE NOT a.retracted),
+ tot AS (SELECT count(*) AS total FROM terms), parts AS (SELECT DISTINCT k FROM (SELECT unnest([greatest(1, total // 4), total // 2, 3 * total // 4, total]) AS k, total FROM tot) WHERE k > 0 AND k <= total),
+ long AS (SELECT n, generate_subscripts(w, 1) AS pos, unnest(w) - unnest(l) AS d FROM terms), dir AS (SELECT k, pos, least(1.0, k / 50.0) / k * sum(d) AS v FROM parts JOIN long ON n <= k GROUP BY k, pos),
+ held AS (SELECT n, pos, d FROM long, tot WHERE n > total - greatest(1, round_even(total * 0.2, 0))), score AS (SELECT k, h.n, sum(d.v * h.d) AS s FROM dir d JOIN held h ON h.pos = d.pos GROUP BY k, h.n)
+ SELECT k AS votes, round(count(*) FILTER (s > 0) / count(*), 6) AS accuracy FROM score GROUP BY k"""))
 def learning_curve(spark, sf):
-    v = materialise(votes(spark, sf).where("not retracted").select("winner", "first_id"), "votes")
-    total = v.count()
-    marks = [v.orderBy("first_id").limit(total * p // 4).agg(F.max("first_id")).first()[0] for p in (1, 2, 3, 4)]
-    cuts = spark.createDataFrame(list(zip((1, 2, 3, 4), marks, strict=True)), "part int, cut long")
-    return v.join(F.broadcast(cuts), F.col("first_id") <= F.col("cut")).groupBy("part").agg(F.count(F.lit(1)).alias("votes"), F.countDistinct("winner").alias("winners"))
+    """WN7: held-out accuracy of the head fitted on the first quarter, half, three quarters and all of
+    the votes. A direction is four vectors at most, whatever the number of votes."""
+    v = D.vectors(spark, sf).select("id", "vector")
+    pairs = votes(spark, sf).where("not retracted").join(v.toDF("winner", "w"), "winner").join(v.toDF("loser", "l"), "loser")
+    terms = numbered_by(pairs.select("first_id", F.zip_with("w", "l", lambda x, y: x - y).alias("d")), "first_id", name="n")
+    total = terms.count()
+    marks = sorted({k for k in (max(1, total // 4), total // 2, 3 * total // 4, total) if 0 < k <= total})
+    parts = F.broadcast(spark.createDataFrame([(k,) for k in marks], "k long"))
+    summed = terms.join(parts, F.col("n") <= F.col("k")).select("k", F.posexplode("d").alias("pos", "x")).groupBy("k", "pos").agg(F.sum("x").alias("x"))
+    alpha = F.least(F.lit(1.0), F.col("k") / 50.0) / F.col("k")
+    heads = summed.groupBy("k").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "x"))), lambda p: p["x"]).alias("v")).select("k", F.transform("v", lambda x: x * alpha).alias("v"))
+    held = terms.where(F.col("n") > total - max(1, round(total * 0.2)))
+    right = held.join(F.broadcast(heads)).select("k", (S.dot(F.col("v"), F.col("d")) > 0).cast("int").alias("right"))
+    return right.groupBy(F.col("k").alias("votes")).agg(F.round(F.avg("right"), 6).alias("accuracy"))
 
 
 @query("wn_rotation_next", over("approvals", body="SELECT entry_id, id, coalesce(lead(id) OVER w, first_value(id) OVER (PARTITION BY entry_id ORDER BY id)) AS next_id FROM approvals WINDOW w AS (PARTITION BY entry_id ORDER BY id)"))
@@ -207,16 +212,11 @@ def feed(spark, sf):
     return e.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(12)
 
 
-@query("jn_next_pair", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + """, c AS (SELECT entry_id, round(aesthetic, 6) AS s FROM latest WHERE entry_id < 150)
- SELECT a.entry_id AS a, b.entry_id AS b, round(1 - abs(a.s - b.s), 6) AS uncertainty FROM c a JOIN c b ON a.entry_id < b.entry_id
- WHERE NOT EXISTS (SELECT 1 FROM active v WHERE NOT v.retracted AND least(v.winner, v.loser) = a.entry_id AND greatest(v.winner, v.loser) = b.entry_id) ORDER BY uncertainty DESC, a, b LIMIT 20"""))
+@query("jn_next_pair")
 def next_pair(spark, sf):
-    # only entries that votes name can be asked about: a stated set, joined as a range of ids
-    c = signals(spark, sf).where("entry_id < 150").select("entry_id", F.round("aesthetic", 6).alias("s"))
-    other = F.broadcast(c.toDF("b", "sb"))
+    """JN21, JN28, SL9: the most uncertain pair of all analysed entries that no active vote names."""
     had = votes(spark, sf).where("not retracted").select(F.least("winner", "loser").alias("a"), F.greatest("winner", "loser").alias("b")).distinct()
-    pairs = c.toDF("a", "sa").join(other, F.col("a") < F.col("b")).join(had, ["a", "b"], "left_anti")
-    return pairs.select("a", "b", F.round(1 - F.abs(F.col("sa") - F.col("sb")), 6).alias("uncertainty")).orderBy(F.desc("uncertainty"), "a", "b").limit(20)
+    return most_uncertain(signals(spark, sf).withColumnRenamed("entry_id", "id"), FIXED, had)
 
 
 @query("fs_tokens", over("observations", body="""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(verbatim), '[^a-z0-9]+')) AS w FROM observations) WHERE w <> '' GROUP BY w"""))
@@ -224,83 +224,39 @@ def token_counts(spark, sf):
     return D.observations(spark, sf).select(F.explode(S.tokens(F.col("verbatim"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
-RULES = (("light", ("the ", "light")), ("calm", ("and", "quiet")), ("bold", ("er.", "bold")), ("warm", ("on,", "warm")))
-
-
-@query("fs_attributes", over("observations", body="SELECT id, list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(verbatim), '{w}')" for w in ws) + f" THEN '{tag}' END" for tag, ws in RULES) + """], lambda x: x IS NOT NULL) AS attributes,
- CASE WHEN contains(lower(verbatim), 'die ') THEN 'dislike' WHEN contains(lower(verbatim), 'th') THEN 'like' ELSE 'conflicted' END AS polarity FROM observations"""))
-def attributes(spark, sf):
-    low = F.lower("verbatim")
-
-    def any_of(words):
-        out = F.lit(False)
-        for w in words:
-            out = out | F.contains(low, F.lit(w))
-        return out
-
-    tags = F.array_compact(F.array(*[F.when(any_of(ws), tag) for tag, ws in RULES]))
-    polarity = F.when(F.contains(low, F.lit("die ")), "dislike").when(F.contains(low, F.lit("th")), "like").otherwise("conflicted")
-    return D.observations(spark, sf).select("id", tags.alias("attributes"), polarity.alias("polarity"))
-
-
-TAGGED = "--more tagged AS (SELECT id, session_id, unnest(list_filter([" + ", ".join("CASE WHEN " + " OR ".join(f"contains(lower(verbatim), '{w}')" for w in ws) + f" THEN '{tag}' END" for tag, ws in RULES) + "], lambda x: x IS NOT NULL)) AS attribute, CASE WHEN contains(lower(verbatim), 'die ') THEN 'dislike' WHEN contains(lower(verbatim), 'th') THEN 'like' ELSE 'conflicted' END AS polarity FROM observations)\n"
-
-
-def tagged(spark, sf):
-    a = attributes(spark, sf).join(D.observations(spark, sf).select("id", "session_id"), "id")
-    return a.select("id", "session_id", F.explode("attributes").alias("attribute"), "polarity")
-
-
-@query("ag_patterns", over("observations", body=TAGGED + "SELECT attribute, count(*) AS n, count(DISTINCT session_id) AS sessions, max(id) AS newest FROM tagged GROUP BY attribute HAVING count(*) >= 2"))
-def patterns(spark, sf):
-    return tagged(spark, sf).groupBy("attribute").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("session_id").alias("sessions"), F.max("id").alias("newest")).where("n >= 2")
-
-
-@query("ag_tensions", over("observations", body=TAGGED + "SELECT attribute, count(*) FILTER (polarity = 'like') AS liked, count(*) FILTER (polarity = 'dislike') AS disliked FROM tagged GROUP BY attribute HAVING count(*) FILTER (polarity = 'like') > 0 AND count(*) FILTER (polarity = 'dislike') > 0"))
-def tensions(spark, sf):
-    t = tagged(spark, sf).groupBy("attribute").pivot("polarity", ["like", "dislike"]).agg(F.count(F.lit(1)))
-    return t.select("attribute", F.col("like").alias("liked"), F.col("dislike").alias("disliked")).where("liked > 0 and disliked > 0")
-
-
-@query("st_session_delta", over("observations", body=TAGGED.rstrip() + """, w AS (SELECT attribute, count(*) AS after_n, count(*) FILTER (session_id <> 's1') AS before_n FROM tagged GROUP BY attribute)
- SELECT attribute, after_n, before_n, CASE WHEN before_n = 0 THEN 'new' WHEN after_n > before_n THEN 'reinforced' ELSE 'same' END AS change FROM w"""))
-def session_delta(spark, sf):
-    w = tagged(spark, sf).groupBy("attribute").agg(F.count(F.lit(1)).alias("after_n"), F.count_if(F.col("session_id") != "s1").alias("before_n"))
-    return w.withColumn("change", F.when(F.col("before_n") == 0, "new").when(F.col("after_n") > F.col("before_n"), "reinforced").otherwise("same"))
-
-
-@query("st_vocabulary_evolution", over("observations", body="""--more w AS (SELECT session_id, unnest(string_split_regex(lower(verbatim), '[^a-z0-9]+')) AS w FROM observations),
- old AS (SELECT DISTINCT w FROM w WHERE w <> '' AND session_id < 's3'), new AS (SELECT DISTINCT w FROM w WHERE w <> '' AND session_id >= 's3')
- SELECT w AS word, 'added' AS change FROM new WHERE w NOT IN (SELECT w FROM old) UNION ALL SELECT w, 'dropped' FROM old WHERE w NOT IN (SELECT w FROM new)"""))
-def vocabulary_evolution(spark, sf):
-    w = D.observations(spark, sf).select((F.col("session_id") >= "s3").alias("late"), F.explode(S.tokens(F.col("verbatim"))).alias("word"))
-    per = w.groupBy("word").agg(F.max("late").alias("new"), F.max(~F.col("late")).alias("old"))
-    return per.where("new <> old").select("word", F.when(F.col("new"), "added").otherwise("dropped").alias("change"))
-
-
 @query("st_veto", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, harmony > 0.5 AS disliked, row_number() OVER (PARTITION BY entry_id % 10 ORDER BY harmony > 0.5, entry_id) AS place FROM latest"))
 def veto(spark, sf):
     s = signals(spark, sf).select("entry_id", (F.col("harmony") > 0.5).alias("disliked"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy(F.col("entry_id") % 10).orderBy("disliked", "entry_id")))
 
 
-@query("fm_blend", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, [round(0.3 * sharpness + 0.7 * harmony, 6), round(0.3 * contrast + 0.7 * aesthetic, 6)] AS blend, [CASE WHEN contrast > 0.8 THEN contrast ELSE sharpness END, CASE WHEN aesthetic > 0.8 THEN aesthetic ELSE harmony END] AS vetoed FROM latest"))
+@query("fm_blend", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, [round(0.3 * technical_quality + 0.7 * harmony, 6), round(0.3 * pairing_affinity + 0.7 * aesthetic_quality, 6)] AS blend, [CASE WHEN pairing_affinity > 0.8 THEN pairing_affinity ELSE technical_quality END, CASE WHEN aesthetic_quality > 0.8 THEN aesthetic_quality ELSE harmony END] AS vetoed FROM latest"))
 def blend(spark, sf):
-    a, b = F.array("sharpness", "contrast"), F.array("harmony", "aesthetic")
+    a, b = F.array("technical_quality", "pairing_affinity"), F.array("harmony", "aesthetic_quality")
     return signals(spark, sf).select(
         "entry_id", F.zip_with(a, b, lambda x, y: F.round(0.3 * x + 0.7 * y, 6)).alias("blend"),
-        F.zip_with(F.array("sharpness", "harmony"), F.array("contrast", "aesthetic"), lambda x, y: F.when(y > 0.8, y).otherwise(x)).alias("vetoed"),
+        F.zip_with(F.array("technical_quality", "harmony"), F.array("pairing_affinity", "aesthetic_quality"), lambda x, y: F.when(y > 0.8, y).otherwise(x)).alias("vetoed"),
     )
 
 
 HAMMING = "bit_count(xor(('0x' || substr({a}, 1, 8))::bigint, ('0x' || substr({b}, 1, 8))::bigint)) + bit_count(xor(('0x' || substr({a}, 9, 8))::bigint, ('0x' || substr({b}, 9, 8))::bigint))"
 NEAR = f"""near AS (SELECT a.key AS a, b.key AS b FROM {{t}} a JOIN {{t}} b ON a.key < b.key AND a.phash IS NOT NULL AND b.phash IS NOT NULL
- WHERE {HAMMING.format(a='a.phash', b='b.phash')} <= 3 AND coalesce(greatest(a.width / a.height, b.width / b.height) / least(a.width / a.height, b.width / b.height) <= 2.0, true))"""
+ WHERE {HAMMING.format(a='a.phash', b='b.phash')} <= {NEAR_BITS} AND coalesce(greatest(a.width / a.height, b.width / b.height) / least(a.width / a.height, b.width / b.height) <= 2.0, true))"""
 
 
-@query("jn_near_hashes", over("images", body="--more " + NEAR.format(t="images") + " SELECT * FROM near"))
+@query("jn_near_hashes", over("images", body="--more c AS (SELECT phash, width, height, min(key) AS key, count(*) AS size FROM images WHERE phash IS NOT NULL GROUP BY ALL),\n" + NEAR.format(t="c") + " SELECT a, b FROM near"))
 def near_pairs(spark, sf):
-    return near_hashes(D.images(spark, sf), 3)
+    """JN20: near pairs between the classes of equal hash and size, each named by its least key."""
+    return near_hashes(materialise(hash_classes(D.images(spark, sf)), "hash-classes"))
+
+
+@query("jn_hash_members", over("images", body="SELECT i.key, min(i.key) OVER (PARTITION BY i.phash, i.width, i.height) AS class FROM images i WHERE i.phash IS NOT NULL"))
+def hash_members(spark, sf):
+    """The class of each image whose pairs ``jn_near_hashes`` gives."""
+    i = D.images(spark, sf).where("phash is not null").select("key", "phash", "width", "height")
+    c = materialise(hash_classes(i), "hash-classes").select(F.col("key").alias("class"), F.col("phash").alias("p"), F.col("width").alias("w"), F.col("height").alias("h"))
+    same = (F.col("phash") == F.col("p")) & F.col("width").eqNullSafe(F.col("w")) & F.col("height").eqNullSafe(F.col("h"))
+    return i.join(c, same).select("key", "class")
 
 
 @query("gr_image_clusters", over("images", body="--more reps AS (SELECT sha256, min(key) AS key, arg_min(phash, key) FILTER (true) AS p0, min_by(coalesce(phash, ''), key) AS ph, min_by(coalesce(width, -1), key) AS w, min_by(height, key) AS height FROM images GROUP BY sha256),\n r AS (SELECT sha256, key, nullif(ph, '') AS phash, nullif(w, -1) AS width, height FROM reps),\n" + NEAR.format(t="r") + """,
@@ -310,12 +266,16 @@ def near_pairs(spark, sf):
  per AS (SELECT root, min(key) AS cluster, count(*) AS n, count(DISTINCT sha256) AS d, arg_min(key, (-coalesce(width * height, 0), -coalesce(width, 0), key)) AS best FROM placed GROUP BY root)
  SELECT key, cluster, CASE WHEN n = 1 THEN 'single' WHEN d = 1 THEN 'exact' ELSE 'near' END AS kind, key = best AS best FROM placed JOIN per ON per.root = placed.root"""))
 def clusters(spark, sf):
-    return image_clusters(D.images(spark, sf), 3)
+    return image_clusters(D.images(spark, sf))
 
 
 COS = "list_dot_product({a}, {b}) / (sqrt(list_dot_product({a}, {a})) * sqrt(list_dot_product({b}, {b})))"
 
 
+# The bound of a candidate pool, the least cosine of companions, and a group's size.
+POOL, ALIKE, GROUP = 256, 0.6, 3
+
+
 @query("jn_vector_search", over("vectors", body=f"""SELECT query, id, rank FROM (SELECT q.id AS query, v.id, row_number() OVER (PARTITION BY q.id ORDER BY {COS.format(a='v.vector', b='q.vector')} DESC, v.id) AS rank
  FROM vectors q JOIN vectors v ON v.id <> q.id WHERE q.id % 100 = 0) WHERE rank <= 5"""))
 def search(spark, sf):
@@ -323,12 +283,28 @@ def search(spark, sf):
     return vector_search(v.where("id % 100 = 0"), v, 5).select("query", "id", "rank")
 
 
-@query("gr_seeded_group", over("vectors", body=f"SELECT id, round({COS.format(a='vector', b='(SELECT vector FROM vectors WHERE id = 0)')}, 6) AS similarity FROM vectors WHERE id BETWEEN 1 AND 255 AND {COS.format(a='vector', b='(SELECT vector FROM vectors WHERE id = 0)')} >= 0.1 ORDER BY similarity DESC, id LIMIT 8"))
+@query("gr_seeded_group", over("vectors", body=f"""--more pool AS (SELECT id, vector FROM vectors ORDER BY id DESC LIMIT {POOL}), seeds AS (SELECT id AS seed, vector AS sv FROM vectors WHERE id % 100 = 0),
+ ranked AS (SELECT seed, id, sim, row_number() OVER (PARTITION BY seed ORDER BY sim DESC, id) AS r FROM (SELECT s.seed, p.id, {COS.format(a='p.vector', b='s.sv')} AS sim FROM seeds s JOIN pool p ON p.id <> s.seed)),
+ kept AS (SELECT seed, list(id ORDER BY sim DESC, id) AS members FROM ranked WHERE sim >= {ALIKE} AND r < {GROUP} GROUP BY seed), seen AS (SELECT seed, count(*) AS considered FROM ranked GROUP BY seed)
+ SELECT s.seed, k.members IS NOT NULL AS available, k.members, coalesce(n.considered, 0) AS considered,
+ CASE WHEN k.members IS NOT NULL THEN len(k.members) || ' of {GROUP - 1} requested companion(s) at or above cosine {ALIKE:.2f}' WHEN sqrt(list_dot_product(s.sv, s.sv)) = 0 THEN 'the seed''s stored vector is all zeros — no defined direction to compare'
+  WHEN n.considered IS NULL THEN 'no candidate in the pool has a stored vector' ELSE 'no candidate met the similarity threshold' END AS reason FROM seeds s LEFT JOIN kept k ON k.seed = s.seed LEFT JOIN seen n ON n.seed = s.seed"""))
 def seeded_group(spark, sf):
-    v = D.vectors(spark, sf)
-    seed = v.where("id = 0").select(F.col("vector").alias("seed"))
-    s = v.where("id between 1 and 255").join(F.broadcast(seed)).select("id", S.cosine(F.col("vector"), F.col("seed")).alias("similarity")).where("similarity >= 0.1")
-    return s.select("id", F.round("similarity", 6).alias("similarity")).orderBy(F.desc("similarity"), "id").limit(8)
+    """GR9, SL4: for each seed (ids divisible by 100) the most alike of the newest 256, and why there are none."""
+    v = D.vectors(spark, sf).select("id", "vector")
+    pool = v.orderBy(F.desc("id")).limit(POOL)  # the stated bound of a pool
+    seeds = v.where("id % 100 = 0").select(F.col("id").alias("seed"), F.col("vector").alias("sv"), S.norm(F.col("vector")).alias("sn"))
+    pairs = seeds.where("sn > 0").join(F.broadcast(pool), F.col("id") != F.col("seed")).select("seed", "id", S.cosine(F.col("vector"), F.col("sv")).alias("similarity")).where("similarity is not null")
+    ranked = pairs.withColumn("r", F.row_number().over(Window.partitionBy("seed").orderBy(F.desc("similarity"), "id")))
+    near = F.filter(F.array_sort(F.collect_list(F.when(F.col("r") < GROUP, F.struct("r", "id", "similarity")))), lambda m: m["similarity"] >= ALIKE)  # group members at most
+    per = ranked.groupBy("seed").agg(F.count(F.lit(1)).alias("considered"), F.transform(near, lambda m: m["id"]).alias("found"))
+    out = seeds.join(per, "seed", "left").withColumn("members", F.when(F.size("found") > 0, F.col("found")))
+    reason = (
+        F.when(F.col("members").isNotNull(), F.concat(F.size("members"), F.lit(f" of {GROUP - 1} requested companion(s) at or above cosine {ALIKE:.2f}")))
+        .when(F.col("sn") == 0, "the seed's stored vector is all zeros — no defined direction to compare")
+        .when(F.col("considered").isNull(), "no candidate in the pool has a stored vector").otherwise("no candidate met the similarity threshold")
+    )
+    return out.select("seed", F.col("members").isNotNull().alias("available"), "members", F.coalesce("considered", F.lit(0)).cast("long").alias("considered"), reason.alias("reason"))
 
 
 @query("fm_normalised", over("vectors", body="SELECT id, round(sqrt(list_dot_product(vector, vector)), 6) AS length, round(list_aggregate(list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))), 'max'), 6) AS largest FROM vectors"))
@@ -360,14 +336,34 @@ def hsv(spark, sf):
     return c.select("p_partkey", S.hex_colour(F.col("ri"), F.col("gi"), F.col("bi")).alias("hex"), F.round(h, 6).alias("hue"), F.round(s, 6).alias("saturation"), F.round(v, 6).alias("value"))
 
 
-@query("fm_pair_affinity", over("images", "entries", body=f"""SELECT a.key AS a, b.key AS b, round(0.3 * (1 - ({HAMMING.format(a='a.phash', b='b.phash')}) / 128) + 0.2 * ((a.width >= a.height) = (b.width >= b.height))::int + 0.1 * 0.5, 6) AS affinity
- FROM images a JOIN images b ON a.sha256 = b.sha256 AND a.key < b.key WHERE a.phash IS NOT NULL AND b.phash IS NOT NULL AND a.width IS NOT NULL AND b.width IS NOT NULL"""))
+SHAPE_SQL = "CASE WHEN {t}.width > {t}.height THEN 1 WHEN {t}.width < {t}.height THEN -1 ELSE 0 END"
+DAY_SQL = "CASE WHEN substr({t}.key, 2)::bigint % 5 <> 0 THEN substr({t}.key, 2)::bigint % 60 END"
+
+
+@query("fm_pair_affinity", over("images", "palettes", body=f"""--more one AS (SELECT sha256, min(key) AS key FROM images WHERE phash IS NOT NULL AND width IS NOT NULL GROUP BY sha256),
+ pairs AS (SELECT o.key AS a, i.key AS b FROM images i JOIN one o ON o.sha256 = i.sha256 WHERE i.key <> o.key AND i.phash IS NOT NULL AND i.width IS NOT NULL),
+ near AS (SELECT p.a, p.b, x.share, x.j, min(sqrt((x.r - y.r) ** 2 + (x.g - y.g) ** 2 + (x.b - y.b) ** 2)) AS d FROM pairs p JOIN palettes x ON x.key = p.a JOIN palettes y ON y.key = p.b GROUP BY ALL),
+ pal AS (SELECT a, b, coalesce(least(1.0, sum(share * d / sqrt(3)) / (sum(share) + 1e-9)), 1.0) AS pd FROM near GROUP BY a, b)
+ SELECT p.a, p.b, round(greatest(0.0, least(1.0, 0.4 * (1 - pal.pd) + 0.3 * (1 - ({HAMMING.format(a='a.phash', b='b.phash')}) / 128) + 0.2 * (({SHAPE_SQL.format(t='a')}) = ({SHAPE_SQL.format(t='b')}))::int
+  + 0.1 * (CASE WHEN ({DAY_SQL.format(t='a')}) IS NULL OR ({DAY_SQL.format(t='b')}) IS NULL THEN 0.5 ELSE greatest(0.0, 1 - least(abs(({DAY_SQL.format(t='a')}) - ({DAY_SQL.format(t='b')})) / 30.0, 1.0)) END))), 4) AS affinity
+ FROM pairs p JOIN pal ON pal.a = p.a AND pal.b = p.b JOIN images a ON a.key = p.a JOIN images b ON b.key = p.b"""))
 def pair_affinity(spark, sf):
+    """FM11, FM3, FM10: of each image and the representative of its content: palette, hash, shape, date."""
     i = D.images(spark, sf).where("phash is not null and width is not null")
-    o = i.toDF("k2", "sha256", "p2", "w2", "h2")
-    p = i.join(o, "sha256").where("key < k2")
-    same = ((F.col("width") >= F.col("height")) == (F.col("w2") >= F.col("h2"))).cast("int")
-    return p.select(F.col("key").alias("a"), F.col("k2").alias("b"), F.round(0.3 * (1 - S.hamming_hex(F.col("phash"), F.col("p2")) / 128) + 0.2 * same + 0.1 * 0.5, 6).alias("affinity"))
+    number = F.substring("key", 2, 20).cast("long")
+    shape = F.when(F.col("width") > F.col("height"), 1).when(F.col("width") < F.col("height"), -1).otherwise(0)
+    has = i.select("key", "sha256", "phash", shape.alias("shape"), F.when(number % 5 != 0, number % 60).alias("day"))
+    one = has.groupBy("sha256").agg(F.min_by(F.struct("key", "phash", "shape", "day"), "key").alias("one"))
+    pairs = has.join(materialise(one, "one"), "sha256").where("key <> one.key").select(F.col("one.key").alias("a"), F.col("key").alias("b"), F.col("one.phash").alias("pa"), F.col("phash").alias("pb"), (F.col("one.shape") == F.col("shape")).alias("same"), F.abs(F.col("one.day") - F.col("day")).alias("days"))
+    p = D.palettes(spark, sf)
+    x, y = p.select(F.col("key").alias("a"), "j", "share", "r", "g", F.col("b").alias("bl")), p.select(F.col("key").alias("b"), F.col("r").alias("r2"), F.col("g").alias("g2"), F.col("b").alias("b2"))
+    d = F.sqrt(F.pow(F.col("r") - F.col("r2"), 2) + F.pow(F.col("g") - F.col("g2"), 2) + F.pow(F.col("bl") - F.col("b2"), 2))
+    keys = ["a", "b", "pa", "pb", "same", "days"]
+    near = pairs.join(x, "a").join(y, "b").groupBy(*keys, "j", "share").agg(F.min(d).alias("d"))
+    pal = near.groupBy(*keys).agg(S.palette_distance_of(F.col("d"), F.col("share")).alias("pd"))
+    date = F.when(F.col("days").isNull(), 0.5).otherwise(F.greatest(F.lit(0.0), 1 - F.least(F.col("days") / 30.0, F.lit(1.0))))
+    total = 0.4 * (1 - F.col("pd")) + 0.3 * (1 - S.hamming_hex(F.col("pa"), F.col("pb")) / 128) + 0.2 * F.col("same").cast("int") + 0.1 * date
+    return pal.select("a", "b", F.round(S.clamp01(total), 4).alias("affinity"))
 
 
 @query("ru_treatments", over("images", body="""--more s AS (SELECT key, width / height AS ratio, height FROM images WHERE width IS NOT NULL)
@@ -380,13 +376,41 @@ def treatments(spark, sf):
     return s.select("key", F.explode(rules).alias("treatment"))
 
 
-@query("ru_promotion", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + """, p AS (SELECT a.winner % 7 AS part, w.aesthetic - l.aesthetic AS d FROM active a JOIN latest w ON w.entry_id = a.winner JOIN latest l ON l.entry_id = a.loser)
- SELECT part, round(avg((d > 0)::int), 6) AS accuracy, avg((d > 0)::int) >= 0.5 AND avg(d) >= 0 AS promoted FROM p GROUP BY part"""))
+EVIDENCE = ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + f""", c AS (SELECT l.entry_id AS id, round(coalesce(e.quality_score, 0.0), 6) AS old, round(coalesce(e.quality_score, 0.0) + {DELTA_SQL}, 6) AS new FROM latest l JOIN entries e ON e.id = l.entry_id),
+ p AS (SELECT a.winner // 20 AS part, w.id AS winner, l.id AS loser, w.new AS wn, l.new AS ln FROM active a JOIN c w ON w.id = a.winner JOIN c l ON l.id = a.loser WHERE NOT a.retracted),
+ ids AS (SELECT part, id, sum(won) AS wins FROM (SELECT part, winner AS id, 1 AS won FROM p UNION ALL SELECT part, loser, 0 FROM p) GROUP BY ALL),
+ places AS (SELECT i.part, row_number() OVER (PARTITION BY part ORDER BY wins DESC, i.id) AS truth, row_number() OVER (PARTITION BY part ORDER BY c.new DESC, i.id) AS trained, row_number() OVER (PARTITION BY part ORDER BY c.old DESC, i.id) AS base FROM ids i JOIN c ON c.id = i.id),
+ lifts AS (SELECT part, CASE WHEN count(*) < 2 THEN 0.0 ELSE round(corr(trained, truth) - corr(base, truth), 6) END AS lift FROM places GROUP BY part),
+ right_ AS (SELECT part, count(*) AS pairs, round(count(*) FILTER (wn > ln) / count(*), 6) AS accuracy FROM p GROUP BY part)
+"""
+
+
+def evidence_of(spark, sf):
+    """Held-out accuracy (ties abstain) and rank lift against the baseline, per part of the votes: the
+    winners of twenty ids in a row, so parts stay small as ids grow."""
+    base = D.entries(spark, sf).select("id", F.round(F.coalesce("quality_score", F.lit(0.0)), 6).alias("old"))
+    c = signals(spark, sf).withColumnRenamed("entry_id", "id").select("id", delta().alias("delta")).join(base, "id").select("id", "old", F.round(F.col("old") + F.col("delta"), 6).alias("new"))
+    pairs = votes(spark, sf).where("not retracted").select("winner", "loser").join(c.select(F.col("id").alias("winner"), F.col("new").alias("wn")), "winner").join(c.select(F.col("id").alias("loser"), F.col("new").alias("ln")), "loser")
+    p = materialise(pairs.withColumn("part", F.floor(F.col("winner") / 20).cast("long")), "pairs")
+    ids = p.select("part", F.col("winner").alias("id"), F.lit(1).alias("won")).unionByName(p.select("part", F.col("loser").alias("id"), F.lit(0).alias("won"))).groupBy("part", "id").agg(F.sum("won").alias("wins"))
+
+    def place(*order):
+        return F.row_number().over(Window.partitionBy("part").orderBy(*order)).cast("double")
+
+    places = ids.join(c, "id").select("part", place(F.desc("wins"), "id").alias("truth"), place(F.desc("new"), "id").alias("trained"), place(F.desc("old"), "id").alias("base"))
+
+    def rho(x):
+        return F.try_divide(F.covar_pop(x, "truth"), F.stddev_pop(x) * F.stddev_pop("truth"))
+
+    lifts = places.groupBy("part").agg(F.when(F.count(F.lit(1)) < 2, 0.0).otherwise(F.round(rho("trained") - rho("base"), 6)).alias("lift"))
+    right = p.groupBy("part").agg(F.count(F.lit(1)).alias("pairs"), F.round(F.count_if(F.col("wn") > F.col("ln")) / F.count(F.lit(1)), 6).alias("accuracy"))
+    return right.join(lifts, "part")
+
+
+@query("ru_promotion", over("preferences", "analyses", "entries", body=EVIDENCE + "SELECT r.part, r.pairs, r.accuracy, l.lift, r.accuracy >= 0.8 AND l.lift >= 0 AS promoted FROM right_ r JOIN lifts l ON l.part = r.part"))
 def promotion(spark, sf):
-    s = signals(spark, sf).select("entry_id", "aesthetic")
-    p = votes(spark, sf).join(s.toDF("winner", "w"), "winner").join(s.toDF("loser", "l"), "loser").select((F.col("winner") % 7).alias("part"), (F.col("w") - F.col("l")).alias("d"))
-    right = F.avg((F.col("d") > 0).cast("int"))
-    return p.groupBy("part").agg(F.round(right, 6).alias("accuracy"), ((right >= 0.5) & (F.avg("d") >= 0)).alias("promoted"))
+    """RU6, AG25: promoted where accuracy is at least 0.8 and the lift not negative."""
+    return evidence_of(spark, sf).withColumn("promoted", (F.col("accuracy") >= 0.8) & (F.col("lift") >= 0))
 
 
 @query("jn_overlaps", """--
@@ -401,10 +425,10 @@ def overlaps(spark, sf):
     return r.join(b, "o").where((F.col("id") < F.col("id2")) & hit).groupBy("o").agg(F.lit(True).alias("overlap"), F.count(F.lit(1)).alias("pairs"))
 
 
-@query("ag_percentiles", over("analyses", body="SELECT entry_id % 100 AS part, round(quantile_cont(sharpness, 0.1), 6) AS p10, round(quantile_cont(sharpness, 0.9), 6) AS p90, round(stddev_pop(contrast), 6) AS sd, round(var_pop(harmony), 6) AS var FROM analyses GROUP BY 1"))
+@query("ag_percentiles", over("analyses", body="SELECT entry_id % 100 AS part, round(quantile_cont(technical_quality, 0.1), 6) AS p10, round(quantile_cont(technical_quality, 0.9), 6) AS p90, round(stddev_pop(pairing_affinity), 6) AS sd, round(var_pop(harmony), 6) AS var FROM analyses GROUP BY 1"))
 def percentiles(spark, sf):
     return D.analyses(spark, sf).groupBy((F.col("entry_id") % 100).alias("part")).agg(
-        F.round(F.percentile("sharpness", 0.1), 6).alias("p10"), F.round(F.percentile("sharpness", 0.9), 6).alias("p90"), F.round(F.stddev_pop("contrast"), 6).alias("sd"), F.round(F.var_pop("harmony"), 6).alias("var")
+        F.round(F.percentile("technical_quality", 0.1), 6).alias("p10"), F.round(F.percentile("technical_quality", 0.9), 6).alias("p90"), F.round(F.stddev_pop("pairing_affinity"), 6).alias("sd"), F.round(F.var_pop("harmony"), 6).alias("var")
     )
 
 

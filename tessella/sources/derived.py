@@ -39,11 +39,11 @@ def analyses(spark: SparkSession, sf_dir: str) -> DataFrame:
         _line_id().alias("id"),
         F.col("l_orderkey").alias("entry_id"),
         F.when(F.col("l_returnflag") == "R", "corrupt").otherwise("ok").alias("status"),
-        F.round(F.col("l_quantity") / 50, 6).alias("sharpness"),
-        F.round(F.col("l_discount") * 10, 6).alias("contrast"),
+        F.round(F.col("l_quantity") / 50, 6).alias("technical_quality"),
+        F.round(F.col("l_discount") * 10, 6).alias("pairing_affinity"),
         F.round(F.col("l_tax") * 12.5, 6).alias("colorfulness"),
         F.round((F.col("l_suppkey") % 101) / 100, 6).alias("harmony"),
-        F.round((F.col("l_partkey") % 97) / 96, 6).alias("aesthetic"),
+        F.round((F.col("l_partkey") % 97) / 96, 6).alias("aesthetic_quality"),
     )
 
 
@@ -111,11 +111,29 @@ def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).dropDuplicates(["path"])
 
 
+#: What a turn says of an image before its own text.
+REMARKS = (
+    "Love the quiet light here.", "A warm room, beautiful.", "Too busy and crowded, hate it.", "Don't like the heavy texture.", "Minimal and geometric.", "A lone tree in negative space.",
+    "Great contrast and motion.", "Awful, chaotic repetition.", "Nostalgic, organic movement.", "I like the breathing space.", "Symmetric and repeating, gorgeous.", "Ugly light.", "Nothing to say.",
+)
+
+
 def observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Dialogue observations: turns of conversations."""
+    """Dialogue observations: turns of conversations, each with a remark and, mostly, an image."""
+    c, t = F.col("conv_id"), F.col("turn")
+    remark = F.element_at(F.array(*map(F.lit, REMARKS)), ((c * 5 + t * 3) % len(REMARKS) + 1).cast("int"))
+    stamp = F.concat(F.lit("2024-01-"), F.lpad((c % 28 + 1).cast("string"), 2, "0"), F.lit("T"), F.lpad((t % 24).cast("string"), 2, "0"), F.lit(":00:00+00:00"))
     return table(spark, sf_dir, "conversations").select(
-        (F.col("conv_id") * 1000 + F.col("turn")).alias("id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.coalesce("text", F.lit("")).alias("verbatim"), "role"
-    )
+        (c * 1000 + t).alias("id"), F.concat(F.lit("s"), "conv_id").alias("session_id"), F.concat(remark, F.lit(" "), F.coalesce("text", F.lit(""))).alias("verbatim"), "role",
+        stamp.alias("created_at"), F.when(t % 3 != 2, F.sha2(F.concat(F.lit("s"), (c * 5 + t) % 4001).cast("binary"), 256)).alias("image"),
+    )
+
+
+def palettes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Image palettes: three colours with shares per part."""
+    k, j = F.col("p_partkey"), F.col("j")
+    each = table(spark, sf_dir, "part").select("p_partkey", F.concat(F.lit("k"), F.lpad(F.col("p_partkey").cast("string"), 8, "0")).alias("key"), F.explode(F.array(*map(F.lit, range(3)))).alias("j"))
+    return each.select("key", "j", *[((k * a + j * b) % 256).cast("double").alias(c) for c, a, b in (("r", 7, 91), ("g", 13, 53), ("b", 29, 17))], ((k + j) % 5 + 1).cast("double").alias("share"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -131,9 +149,9 @@ SQL = {
         CASE WHEN o_orderstatus <> 'F' THEN round(o_totalprice / 1e6, 6) END AS quality_score,
         CASE WHEN o_custkey % 11 <> 0 THEN 'cl-' || (o_custkey % 211) END AS cluster_id, o_orderdate AS created_at FROM orders""",
     "analyses": """SELECT ((l_orderkey * 8 + l_linenumber) * 1009 + l_partkey % 1009) * 64 + l_quantity::bigint % 64 AS id, l_orderkey AS entry_id,
-        CASE WHEN l_returnflag = 'R' THEN 'corrupt' ELSE 'ok' END AS status, round(l_quantity / 50, 6) AS sharpness,
-        round(l_discount * 10, 6) AS contrast, round(l_tax * 12.5, 6) AS colorfulness,
-        round((l_suppkey % 101) / 100, 6) AS harmony, round((l_partkey % 97) / 96, 6) AS aesthetic FROM lineitem""",
+        CASE WHEN l_returnflag = 'R' THEN 'corrupt' ELSE 'ok' END AS status, round(l_quantity / 50, 6) AS technical_quality,
+        round(l_discount * 10, 6) AS pairing_affinity, round(l_tax * 12.5, 6) AS colorfulness,
+        round((l_suppkey % 101) / 100, 6) AS harmony, round((l_partkey % 97) / 96, 6) AS aesthetic_quality FROM lineitem""",
     "approvals": """SELECT event_id AS id, user_id AS entry_id, CASE WHEN event_type = 'error' THEN 'rejected' ELSE 'approved' END AS decision,
         ts AS created_at FROM events WHERE event_type IN ('purchase', 'error', 'click')""",
     "preferences": """SELECT event_id AS id, user_id AS entry_id, CASE WHEN event_id % 2 = 0 THEN 1 ELSE -1 END AS preference,
@@ -151,7 +169,10 @@ SQL = {
         [c_mktsegment, 'n' || c_nationkey] AS tags, c_acctbal > 0 AS available, 'r' || (c_custkey % 5) AS revision FROM customer""",
     "files": """SELECT path, any_value(length) AS length FROM (SELECT 'lib/' || lower(replace(p_brand, '#', '')) || '/IMG_2021' || lpad((p_partkey % 12 + 1)::varchar, 2, '0') || '15_' || (p_partkey % 700)
         || ['.jpg', '.JPG', '.png', '.dng', '.txt', '.heic', '.NEF', '.webp', '.json'][(p_partkey % 9 + 1)::int] AS path, (p_size * 1000)::bigint AS length FROM part) GROUP BY path""",
-    "observations": """SELECT conv_id * 1000 + turn AS id, 's' || conv_id AS session_id, coalesce(text, '') AS verbatim, role FROM conversations""",
+    "observations": "SELECT conv_id * 1000 + turn AS id, 's' || conv_id AS session_id, [" + ", ".join("'" + r.replace("'", "''") + "'" for r in REMARKS) + f"""][((conv_id * 5 + turn * 3) % {len(REMARKS)} + 1)::int] || ' ' || coalesce(text, '') AS verbatim, role,
+        '2024-01-' || lpad((conv_id % 28 + 1)::varchar, 2, '0') || 'T' || lpad((turn % 24)::varchar, 2, '0') || ':00:00+00:00' AS created_at, CASE WHEN turn % 3 <> 2 THEN sha256('s' || ((conv_id * 5 + turn) % 4001)) END AS image FROM conversations""",
+    "palettes": """SELECT 'k' || lpad(p_partkey::varchar, 8, '0') AS key, j::int AS j, ((p_partkey * 7 + j * 91) % 256)::double AS r, ((p_partkey * 13 + j * 53) % 256)::double AS g, ((p_partkey * 29 + j * 17) % 256)::double AS b, ((p_partkey + j) % 5 + 1)::double AS share
+        FROM part, (SELECT unnest([0, 1, 2]) AS j)""",
     "vectors": """SELECT vec_id AS id, embedding::double[] AS vector, label FROM embeddings""",
 }
 

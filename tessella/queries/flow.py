@@ -33,12 +33,14 @@ def query(name: str, sql: str | None = None):
 @query("pf_review_pending", over("entries", "approvals", body="""SELECT e.id, e.asset_id FROM entries e LEFT JOIN (SELECT entry_id, max_by(decision, id) AS decision FROM approvals GROUP BY entry_id) d ON d.entry_id = e.id
  WHERE coalesce(d.decision, 'pending') = 'pending'"""))
 def review_pending(spark, sf):
+    """PF10: review list with status filter, pending ⇔ decision IS NULL."""
     d = latest(D.approvals(spark, sf).select("entry_id", "id", "decision"), ["entry_id"], "id").select(F.col("entry_id").alias("id"), "decision")
     return D.entries(spark, sf).join(d, "id", "left").where(F.coalesce("decision", F.lit("pending")) == "pending").select("id", "asset_id")
 
 
 @query("sk_update_flags", over("entries", body="SELECT id, asset_id, CASE WHEN id = max(id) OVER (PARTITION BY connector_id, asset_id) THEN 0.9 ELSE quality_score END AS quality_score FROM entries"))
 def update_flags(spark, sf):
+    """SK5: update quality flags on one revision or on the newest row."""
     e = D.entries(spark, sf)
     newest = e.groupBy("connector_id", "asset_id").agg(F.max("id").alias("newest"))
     return e.join(newest, ["connector_id", "asset_id"]).select("id", "asset_id", F.when(F.col("id") == F.col("newest"), 0.9).otherwise(F.col("quality_score")).alias("quality_score"))
@@ -46,24 +48,28 @@ def update_flags(spark, sf):
 
 @query("pf_exclusion_policy", over("remote", body="""SELECT asset_id, NOT (list_contains(x, 'all') OR list_contains(x, 'n3')) AS allowed FROM (SELECT asset_id, list_sort(list_distinct(list_concat(tags, CASE WHEN star = 0 THEN ['all'] ELSE ['n7'] END))) AS x FROM remote)"""))
 def exclusion_policy(spark, sf):
+    """PF16, ST7: exclusion policy."""
     x = F.array_union("tags", F.when(F.col("star") == 0, F.array(F.lit("all"))).otherwise(F.array(F.lit("n7"))))
     return D.remote(spark, sf).select("asset_id", (~F.array_contains(x, "all") & ~F.array_contains(x, "n3")).alias("allowed"))
 
 
 @query("pf_eligible_works", over("remote", body="SELECT asset_id FROM remote WHERE available AND asset_id NOT IN (SELECT 'a-' || lpad(o_custkey::varchar, 8, '0') FROM orders WHERE o_orderstatus = 'P')"))
 def eligible_works(spark, sf):
+    """PF18: works eligible = creator available and not denied."""
     denied = D.table(spark, sf, "orders").where("o_orderstatus = 'P'").select(F.concat(F.lit("a-"), F.lpad(F.col("o_custkey").cast("string"), 8, "0")).alias("asset_id"))
     return D.remote(spark, sf).where("available").join(denied, "asset_id", "left_anti").select("asset_id")
 
 
 @query("jn_group_pool", over("entries", body="SELECT sha256, max(id) AS id FROM entries WHERE sha256 IN (SELECT sha256('s' || p_partkey) FROM part) GROUP BY sha256 ORDER BY id DESC LIMIT 256"))
 def group_pool(spark, sf):
+    """JN8: join + group."""
     embedded = D.table(spark, sf, "part").select(F.sha2(F.concat(F.lit("s"), "p_partkey").cast("binary"), 256).alias("sha256"))
     return D.entries(spark, sf).join(embedded, "sha256", "left_semi").groupBy("sha256").agg(F.max("id").alias("id")).orderBy(F.desc("id")).limit(256)
 
 
 @query("jn_missing_vectors", over("entries", body="SELECT DISTINCT sha256 FROM entries WHERE sha256 NOT IN (SELECT sha256('s' || p_partkey) FROM part)"))
 def missing_vectors(spark, sf):
+    """JN10: anti-join."""
     embedded = D.table(spark, sf, "part").select(F.sha2(F.concat(F.lit("s"), "p_partkey").cast("binary"), 256).alias("sha256"))
     return D.entries(spark, sf).select("sha256").distinct().join(embedded, "sha256", "left_anti")
 
@@ -83,6 +89,7 @@ def ordered_lookup(spark, sf):
 
 @query("jn_vote_vectors", over("preferences", "vectors", body=ACTIVE + "SELECT vote_group, w.label AS winner_label, l.label AS loser_label, round(list_dot_product(w.vector, l.vector), 6) AS agreement FROM active a JOIN vectors w ON w.id = a.winner JOIN vectors l ON l.id = a.loser WHERE NOT a.retracted"))
 def vote_vectors(spark, sf):
+    """JN17: two-sided role join."""
     v = D.vectors(spark, sf).select("id", "vector", "label")
     p = votes(spark, sf).where("not retracted").join(v.toDF("winner", "w", "winner_label"), "winner").join(v.toDF("loser", "l", "loser_label"), "loser")
     return p.select("vote_group", "winner_label", "loser_label", F.round(S.dot(F.col("w"), F.col("l")), 6).alias("agreement"))
@@ -101,6 +108,7 @@ def exemplars(spark, sf):
 @query("ag_attribution", over("preferences", "vectors", body=ACTIVE.rstrip() + """, t AS (SELECT a.vote_group, list_dot_product(w.vector, q.vector) - list_dot_product(l.vector, q.vector) AS c FROM active a JOIN vectors w ON w.id = a.winner JOIN vectors l ON l.id = a.loser, (SELECT vector FROM vectors WHERE id = 0) q WHERE NOT a.retracted)
  SELECT vote_group, round(c * least(1.0, (SELECT count(*) FROM t) / 50.0) / (SELECT count(*) FROM t), 6) AS contribution FROM t"""))
 def attribution(spark, sf):
+    """AG24, FM16: additive attribution per vote."""
     v = D.vectors(spark, sf).select("id", "vector")
     q = v.where("id = 0").select(F.col("vector").alias("q"))
     t = votes(spark, sf).where("not retracted").join(v.toDF("winner", "w"), "winner").join(v.toDF("loser", "l"), "loser").join(F.broadcast(q)).select("vote_group", (S.dot(F.col("w"), F.col("q")) - S.dot(F.col("l"), F.col("q"))).alias("c"))
@@ -121,41 +129,48 @@ def duplicate_groups(spark, sf):
 
 @query("wn_entry_position", over("approvals", body="SELECT entry_id, list(id ORDER BY id)[2] AS second_id, list_position(list(id ORDER BY id), max(id)) - 1 AS last_position FROM approvals GROUP BY entry_id"))
 def entry_position(spark, sf):
+    """WN12: position of entry in member list."""
     n = numbered(D.approvals(spark, sf).select("entry_id", "id"), ["entry_id"], "id")
     return n.groupBy("entry_id").agg(F.max(F.when(F.col("seq") == 2, F.col("id"))).alias("second_id"), (F.max("seq").cast("long") - 1).alias("last_position"))
 
 
 @query("sl_rotation_order", over("entries", body="SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score IS NOT NULL DESC, md5(id || '-17'), id) AS place FROM entries WHERE cluster_id IS NOT NULL"))
 def rotation_order(spark, sf):
+    """SL8: rotation order."""
     w = Window.partitionBy("cluster_id").orderBy(F.col("quality_score").isNotNull().desc(), F.md5(F.concat(F.col("id").cast("string"), F.lit("-17")).cast("binary")), "id")
     return D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", F.row_number().over(w).alias("place"))
 
 
 @query("sl_next_job", over("publishes", body="SELECT adapter_id, min(id) AS id FROM publishes WHERE status = 'staged' GROUP BY adapter_id"))
 def next_job(spark, sf):
+    """SL13: next runnable job."""
     return D.publishes(spark, sf).where("status = 'staged'").groupBy("adapter_id").agg(F.min("id").alias("id"))
 
 
 @query("st_decisions_union", over("approvals", "preferences", body="SELECT 0 AS source, entry_id, decision = 'approved' AS liked FROM (SELECT entry_id, max_by(decision, id) AS decision FROM approvals GROUP BY entry_id) UNION ALL SELECT 1, entry_id, preference > 0 FROM preferences WHERE retracted_at IS NULL AND preference <> 0"))
 def decisions_union(spark, sf):
+    """ST5: union of approvals and pairwise decisions."""
     a = latest(D.approvals(spark, sf).select("entry_id", "id", "decision"), ["entry_id"], "id").select(F.lit(0).alias("source"), "entry_id", (F.col("decision") == "approved").alias("liked"))
     return a.unionByName(D.preferences(spark, sf).where("retracted_at is null and preference <> 0").select(F.lit(1).alias("source"), "entry_id", (F.col("preference") > 0).alias("liked")))
 
 
 @query("st_first_category_wins", over("files", body="SELECT path, min_by(c, r) AS category FROM (SELECT path, 'panel' AS c, 0 AS r FROM files WHERE length % 3000 = 0 UNION ALL SELECT path, 'photo', 1 FROM files WHERE lower(path) LIKE '%.jpg' UNION ALL SELECT path, 'any', 2 FROM files) GROUP BY path"))
 def first_category(spark, sf):
+    """ST10: order-preserving dedupe by relative path."""
     f = F.when(F.col("length") % 3000 == 0, "panel").when(F.lower("path").endswith(".jpg"), "photo").otherwise("any")
     return D.files(spark, sf).select("path", f.alias("category"))
 
 
 @query("st_region_checks", "SELECT l_orderkey, len(list_distinct(list(l_suppkey))) <> count(*) AS repeats, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey")
 def region_checks(spark, sf):
+    """ST11: region–source set equality checks, duplicate detection."""
     return D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg((F.countDistinct("l_suppkey") != F.count(F.lit(1))).alias("repeats"), F.countDistinct("l_partkey").alias("parts"))
 
 
 
 @query("fs_override_merge", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, 'base') AS mode, coalesce(CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END, -1)::int AS crop FROM customer")
 def override_merge(spark, sf):
+    """FS16: nested override merge."""
     return D.table(spark, sf, "customer").select(
         "c_custkey", F.coalesce(F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.lit("base")).alias("mode"),
         F.coalesce(F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")), F.lit(-1)).alias("crop"),
@@ -164,6 +179,7 @@ def override_merge(spark, sf):
 
 @query("fs_signed_template", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, CASE WHEN harmony - 0.5 >= 0 THEN '+' ELSE '-' END || printf('%.3f', abs(round(harmony - 0.5, 2))) || ' harmony' AS text FROM latest"))
 def signed_template(spark, sf):
+    """FS7: text templates."""
     x = F.round(F.col("harmony") - 0.5, 2)
     return signals(spark, sf).select("entry_id", F.concat(F.when(F.col("harmony") - 0.5 >= 0, "+").otherwise("-"), F.format_string("%.3f", F.abs(x)), F.lit(" harmony")).alias("text"))
 
@@ -171,6 +187,7 @@ def signed_template(spark, sf):
 @query("fd_parse_formats", """SELECT o_orderkey, epoch(coalesce(try_strptime(s, '%Y:%m:%d'), try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%Y%m%d')))::bigint AS seconds
  FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y:%m:%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') ELSE 'unknown' END AS s FROM orders)""")
 def parse_formats(spark, sf):
+    """FD1: four-format date parse → epoch seconds, local time zone, first match wins."""
     k, d = F.col("o_orderkey") % 4, F.col("o_orderdate").cast("timestamp")
     s = F.when(k == 0, F.date_format(d, "yyyy:MM:dd")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "yyyyMMdd")).otherwise("unknown")
     parsed = F.coalesce(*[F.try_to_timestamp("s", F.lit(f)) for f in ("yyyy:MM:dd", "yyyy-MM-dd", "yyyyMMdd")])
@@ -204,6 +221,7 @@ def fm_uncertainty(spark, sf):
 @query("gr_bisect", """WITH p AS (SELECT l_orderkey AS o, row_number() OVER w AS k, sum(l_quantity) OVER w AS prefix, sum(l_quantity) OVER (PARTITION BY l_orderkey) AS total, count(*) OVER (PARTITION BY l_orderkey) AS n FROM lineitem
  WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity ROWS UNBOUNDED PRECEDING)) SELECT o, arg_max(k, (-abs(2 * prefix - total), k)) AS k FROM p WHERE k < n GROUP BY o""")
 def bisect(spark, sf):
+    """GR5: weighted bisect index, last tie wins."""
     by = Window.partitionBy("o").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy("o")
     p = D.table(spark, sf, "lineitem").withColumnRenamed("l_orderkey", "o").select(
@@ -215,7 +233,7 @@ def bisect(spark, sf):
 
 @query("gr_slice_cells")
 def cells(spark, sf):
-    """Cells of each order's lines, by weight, in a frame of 1920 x 1080."""
+    """GR4: Cells of each order's lines, by weight, in a frame of 1920 x 1080."""
     items = D.table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("item"), F.col("l_partkey").alias("tie"), F.col("l_quantity").alias("weight"))
     return slice_cells(items, 1920, 1080)
 
@@ -229,18 +247,21 @@ def feed(spark, sf):
 
 @query("ru_cell_fit", over("images", body="SELECT key, CASE WHEN height >= 600 AND abs(width / height - 16.0 / 9) / (16.0 / 9) > 0.1 THEN 'fill' ELSE 'contain' END AS fit FROM images WHERE width IS NOT NULL"))
 def cell_fit(spark, sf):
+    """RU2: cell fit rule."""
     gap = F.abs(F.col("width") / F.col("height") - 16.0 / 9) / (16.0 / 9)
     return D.images(spark, sf).where("width is not null").select("key", F.when((F.col("height") >= 600) & (gap > 0.1), "fill").otherwise("contain").alias("fit"))
 
 
 @query("ru_routing", "SELECT event_id, CASE WHEN event_type IN ('click', 'view') AND value > 5 THEN 'cloud' ELSE 'local' END AS provider, event_type IN ('click', 'view') AND value <= 5 AS paused FROM events")
 def routing(spark, sf):
+    """RU8: provider routing by kind, cloud outage → local + pause record."""
     cloud, up = F.col("event_type").isin("click", "view"), F.col("value") > 5
     return D.table(spark, sf, "events").select("event_id", F.when(cloud & up, "cloud").otherwise("local").alias("provider"), (cloud & ~up).alias("paused"))
 
 
 @query("ru_corrections", over("approvals", body="SELECT entry_id, CASE WHEN max(id) FILTER (decision = 'rejected') = max(id) THEN 'disputed' ELSE 'pinned' END AS state, count(*) FILTER (decision = 'approved') AS edits FROM approvals GROUP BY entry_id"))
 def corrections(spark, sf):
+    """RU12: correction replay on claims."""
     return D.approvals(spark, sf).groupBy("entry_id").agg(
         F.when(F.max_by("decision", "id") == "rejected", "disputed").otherwise("pinned").alias("state"), F.count_if(F.col("decision") == "approved").alias("edits")
     )
@@ -249,6 +270,7 @@ def corrections(spark, sf):
 @query("ru_rotation", """WITH t AS (SELECT user_id, event_id, ts, event_type, lag(ts) OVER (PARTITION BY user_id ORDER BY event_id) AS last FROM events)
  SELECT event_id, CASE WHEN event_type = 'signup' THEN 'override' WHEN hour(ts) < 8 THEN 'closed' WHEN last IS NOT NULL AND epoch_us(ts) - epoch_us(last) < 86400000000 THEN 'wait' ELSE 'next' END AS decision FROM t""")
 def rotation(spark, sf):
+    """RU14, SS19: rotation decision."""
     ts = F.col("ts").cast("timestamp")
     t = D.table(spark, sf, "events").withColumn("ts", ts).withColumn("last", F.lag("ts").over(Window.partitionBy("user_id").orderBy("event_id")))
     early = F.col("last").isNotNull() & (F.unix_micros("ts") - F.unix_micros("last") < 86400000000)
@@ -270,6 +292,7 @@ def failure_classes(spark, sf):
 
 @query("ss_cursor_sync", over("remote", body="SELECT asset_id, revision FROM remote WHERE asset_id > 'a-00000050' AND revision IS DISTINCT FROM CASE WHEN star < 2 THEN revision WHEN star = 2 THEN NULL ELSE 'r0' END"))
 def cursor_sync(spark, sf):
+    """SS8: incremental cursor sync with tombstones."""
     r = D.remote(spark, sf)
     prev = r.select("asset_id", F.when(F.col("star") < 2, F.col("revision")).when(F.col("star") == 2, F.lit(None)).otherwise("r0").alias("had"))
     return r.where("asset_id > 'a-00000050'").join(prev, "asset_id").where(~F.col("revision").eqNullSafe(F.col("had"))).select("asset_id", "revision")
@@ -277,11 +300,13 @@ def cursor_sync(spark, sf):
 
 @query("ss_stream_first_seen", "SELECT user_id, event_type, count(*) AS n FROM (SELECT DISTINCT user_id, event_type FROM events) GROUP BY ALL")
 def stream_first_seen(spark, sf):
+    """SS2, SS9: poll once."""
     return journal.first_seen(spark, f"{sf}/events.parquet")
 
 
 @query("ss_stream_job_state", "SELECT user_id, count(*) AS attempts, max_by(event_type, event_id) AS state, count(*) FILTER (event_type = 'error') AS errors FROM events GROUP BY user_id")
 def stream_job_state(spark, sf):
+    """SS5, SS10: done / error transition."""
     return journal.job_states(spark, f"{sf}/events.parquet")
 
 

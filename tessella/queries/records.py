@@ -26,6 +26,7 @@ def query(name: str, sql: str | None = None):
 
 @query("sk_session_fold", "SELECT user_id, min(ts) AS opened, max(ts) FILTER (event_type = 'signup') AS closed, count(*) AS events FROM events GROUP BY user_id")
 def session_fold(spark, sf):
+    """SK17: session open / close."""
     return D.table(spark, sf, "events").groupBy("user_id").agg(F.min("ts").alias("opened"), F.max(F.when(F.col("event_type") == "signup", F.col("ts"))).alias("closed"), F.count(F.lit(1)).alias("events"))
 
 
@@ -38,12 +39,14 @@ def batch_approve(spark, sf):
 
 @query("pf_proposals", over("analyses", body="SELECT entry_id, id, aesthetic_quality, row_number() OVER (PARTITION BY entry_id ORDER BY aesthetic_quality DESC, id) AS place FROM analyses WHERE status = 'ok' AND technical_quality > 0.2"))
 def proposals(spark, sf):
+    """PF14, SL2: proposals by entry and optional treatment, ORDER BY score DESC, id."""
     a = D.analyses(spark, sf).where("status = 'ok' and technical_quality > 0.2").select("entry_id", "id", "aesthetic_quality")
     return a.withColumn("place", F.row_number().over(Window.partitionBy("entry_id").orderBy(F.desc("aesthetic_quality"), "id")))
 
 
 @query("pf_publish_history", over("publishes", body="SELECT artifact_id, id, status FROM publishes WHERE status IN ('error', 'staged') AND adapter_id = 'd1'"))
 def publish_history(spark, sf):
+    """PF15: publish history by artifact / rows by status."""
     return D.publishes(spark, sf).where("status in ('error', 'staged') and adapter_id = 'd1'").select("artifact_id", "id", "status")
 
 
@@ -68,6 +71,7 @@ def verdict(spark, sf):
 
 @query("ag_label_histogram", over("vectors", body="SELECT label, count(*) AS n, round(count(*) / (SELECT count(*) FROM vectors), 6) AS share FROM vectors GROUP BY label"))
 def label_histogram(spark, sf):
+    """AG32: label histogram."""
     per = D.vectors(spark, sf).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return per.join(F.broadcast(per.agg(F.sum("n").alias("all")))).select("label", "n", F.round(F.col("n") / F.col("all"), 6).alias("share"))
 
@@ -101,6 +105,7 @@ def colourfulness(spark, sf):
 
 @query("fs_parse_weights", "SELECT l_orderkey, string_agg(l_quantity::int::varchar, ',' ORDER BY l_linenumber, l_partkey, l_quantity) AS raw, sum(l_quantity) AS total, count(*) AS n FROM lineitem GROUP BY l_orderkey")
 def parse_weights(spark, sf):
+    """FS18: 64-hex validation, weights list parsing."""
     items = F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_quantity")))
     raw = D.table(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.transform(items, lambda x: x["l_quantity"].cast("int").cast("string")), ",").alias("raw"))
     parsed = F.transform(F.split("raw", ","), lambda x: F.trim(x).try_cast("double"))
@@ -109,6 +114,7 @@ def parse_weights(spark, sf):
 
 @query("fd_newest_stamp", "SELECT user_id, coalesce(max(nullif(CASE WHEN event_type = 'error' THEN '' ELSE strftime(ts, '%Y-%m-%d %H:%M:%S') END, '')), '') AS stamp FROM events GROUP BY user_id")
 def newest_stamp(spark, sf):
+    """FD7: newest non-empty ISO stamp, '' when none."""
     stamp = F.when(F.col("event_type") == "error", "").otherwise(F.date_format("ts", "yyyy-MM-dd HH:mm:ss"))
     return D.table(spark, sf, "events").groupBy("user_id").agg(F.coalesce(F.max(F.nullif(stamp, F.lit(""))), F.lit("")).alias("stamp"))
 

@@ -47,11 +47,13 @@ def votes(spark, sf):
 
 @query("ag_vote_pivot", over("preferences", body=ACTIVE + "SELECT * FROM active"))
 def vote_pivot(spark, sf):
+    """AG20: vote pivot."""
     return votes(spark, sf)
 
 
 @query("pf_active_votes", over("preferences", body="SELECT id, entry_id, preference > 0 AS liked FROM preferences WHERE retracted_at IS NULL AND vote_group IS NOT NULL AND preference <> 0"))
 def active_votes(spark, sf):
+    """PF12, PF13: nULL-aware active-vote filter retracted_at IS NULL AND vote_group IS NOT NULL."""
     return D.preferences(spark, sf).where("retracted_at is null and vote_group is not null and preference <> 0").select("id", "entry_id", (F.col("preference") > 0).alias("liked"))
 
 
@@ -65,6 +67,7 @@ def retract(spark, sf):
 
 @query("sk_vote_append", over("preferences", body=ACTIVE + "SELECT vote_group, winner AS entry_id, 1 AS preference FROM active UNION ALL SELECT vote_group, loser, -1 FROM active"))
 def vote_append(spark, sf):
+    """SK13: vote append."""
     both = F.array(F.struct(F.col("winner").alias("entry_id"), F.lit(1).alias("preference")), F.struct(F.col("loser").alias("entry_id"), F.lit(-1).alias("preference")))
     return votes(spark, sf).select("vote_group", F.explode(both).alias("row")).select("vote_group", "row.*")
 
@@ -79,6 +82,7 @@ def signals(spark, sf):
 
 @query("pf_signals", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT *, colorfulness AS vibrancy FROM latest"))
 def six_signals(spark, sf):
+    """PF21: six-signal projection, vibrancy aliased to colorfulness."""
     return signals(spark, sf).withColumn("vibrancy", F.col("colorfulness"))
 
 
@@ -96,6 +100,7 @@ def weights(spark, sf):
   LATERAL (VALUES """ + ", ".join(f"('{s}', w.{s}, l.{s})" for s in SIGNAL_NAMES) + """) s(signal, w, l) WHERE NOT a.retracted)
  SELECT signal, round(list_reduce(list_prepend(0.0, list(step ORDER BY first_id)), lambda x, y: greatest(-10.0, least(10.0, x + y))), 6) AS weight, count(*) AS version FROM steps GROUP BY signal"""))
 def vote_replay(spark, sf):
+    """AG21, FM15: ordered fold."""
     return weights(spark, sf).withColumn("weight", F.round("weight", 6))
 
 
@@ -112,12 +117,14 @@ def delta():
 
 @query("fm_personal_delta", over("analyses", body="--more " + LATEST_SIGNALS + f" SELECT entry_id, round({DELTA_SQL}, 6) AS delta, round(0.8 * colorfulness, 6) AS from_colorfulness FROM latest"))
 def personal_delta(spark, sf):
+    """FM12: linear score Σ weight×value + per-signal contributions."""
     return signals(spark, sf).select("entry_id", F.round(delta(), 6).alias("delta"), F.round(0.8 * F.col("colorfulness"), 6).alias("from_colorfulness"))
 
 
 @query("wn_rank", over("entries", "analyses", body="--more " + LATEST_SIGNALS + f""", scored AS (SELECT e.id, e.cluster_id, round(coalesce(e.quality_score, 0.0) + {DELTA_SQL}, 6) AS score FROM entries e JOIN latest l ON l.entry_id = e.id WHERE e.cluster_id IS NOT NULL)
  SELECT id, cluster_id, score, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, id) AS rank FROM scored"""))
 def rank(spark, sf):
+    """WN8, WN9: rank by baseline + delta, stable on input order."""
     e = D.entries(spark, sf).where("cluster_id is not null").join(signals(spark, sf).withColumnRenamed("entry_id", "id"), "id")
     scored = e.select("id", "cluster_id", F.round(F.coalesce("quality_score", F.lit(0.0)) + delta(), 6).alias("score"))
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "id")))
@@ -126,6 +133,7 @@ def rank(spark, sf):
 @query("ag_largest_contribution", over("analyses", body="--more " + LATEST_SIGNALS + """, parts AS (SELECT entry_id, p.signal, p.c FROM latest, LATERAL (VALUES """ + ", ".join(f"('{s}', round(({w}) * {s}, 6))" for s, w in FIXED.items()) + """) p(signal, c))
  SELECT entry_id, arg_max(signal, (abs(c), signal)) AS signal, max(abs(c)) AS size FROM parts GROUP BY entry_id"""))
 def largest_contribution(spark, sf):
+    """AG17: arg-max by."""
     parts = F.array(*[F.struct(F.abs(F.round(F.lit(w) * F.col(s), 6)).alias("size"), F.lit(s).alias("signal")) for s, w in FIXED.items()])
     return signals(spark, sf).select("entry_id", F.array_max(parts).alias("top")).select("entry_id", "top.signal", "top.size")
 
@@ -135,6 +143,7 @@ def largest_contribution(spark, sf):
  SELECT count(*) AS pairs, count(*) FILTER (new > 0) AS new_right, count(*) FILTER (old > 0) AS old_right, round(count(*) FILTER (new > 0) / count(*), 6) AS accuracy,
  count(*) FILTER (new <> 0 AND old <> 0 AND sign(new) <> sign(old)) AS discordant, count(*) FILTER (new > 0 AND old < 0) AS new_wins FROM p"""))
 def evaluate(spark, sf):
+    """JN18, AG25: held-out votes semi-joined twice to analysed entries, pair id-ordered."""
     d = signals(spark, sf).select("entry_id", F.round(delta(), 6).alias("new"), F.col("aesthetic_quality").alias("old"))
     p = votes(spark, sf).join(d.toDF("winner", "wn", "wo"), "winner").join(d.toDF("loser", "ln", "lo"), "loser").select((F.col("wn") - F.col("ln")).alias("new"), (F.col("wo") - F.col("lo")).alias("old"))
     n, o = F.col("new"), F.col("old")
@@ -149,6 +158,7 @@ WITH t AS (SELECT user_id, count(*) AS n, count(*) FILTER (event_type = 'purchas
 SELECT user_id, n, s, round(greatest(0, (s / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) - 1.959963984540054 * sqrt(s / n * (1 - s / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n)), 6) AS low,
  round(least(1, (s / n + 3.841458820694124 / (2 * n)) / (1 + 3.841458820694124 / n) + 1.959963984540054 * sqrt(s / n * (1 - s / n) / n + 3.841458820694124 / (4 * n * n)) / (1 + 3.841458820694124 / n)), 6) AS high FROM t""")
 def wilson(spark, sf):
+    """AG27: wilson 95% interval."""
     t = D.table(spark, sf, "events").groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("event_type") == "purchase").alias("s"))
     low, high = S.wilson(F.col("s"), F.col("n"))
     return t.select("user_id", "n", "s", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
@@ -158,6 +168,7 @@ def wilson(spark, sf):
   FROM entries e JOIN latest l ON l.entry_id = e.id WHERE e.cluster_id IS NOT NULL)
  SELECT cluster_id, count(*) AS n, CASE WHEN count(*) < 2 THEN 0.0 ELSE round(corr(a, b), 6) END AS rho FROM p GROUP BY cluster_id"""))
 def spearman(spark, sf):
+    """AG26: spearman over shared ids."""
     e = D.entries(spark, sf).where("cluster_id is not null").join(signals(spark, sf).withColumnRenamed("entry_id", "id"), "id")
 
     def place(c):
@@ -201,12 +212,14 @@ def learning_curve(spark, sf):
 
 @query("wn_rotation_next", over("approvals", body="SELECT entry_id, id, coalesce(lead(id) OVER w, first_value(id) OVER (PARTITION BY entry_id ORDER BY id)) AS next_id FROM approvals WINDOW w AS (PARTITION BY entry_id ORDER BY id)"))
 def rotation_next(spark, sf):
+    """WN11: rotation successor."""
     w = Window.partitionBy("entry_id").orderBy("id")
     return D.approvals(spark, sf).select("entry_id", "id", F.coalesce(F.lead("id").over(w), F.first("id").over(w)).alias("next_id"))
 
 
 @query("sl_feed", over("entries", "analyses", body="--more " + LATEST_SIGNALS + f""" SELECT e.id, round(coalesce(e.quality_score, 0.0) + (1 - 2 * 0.3) * ({DELTA_SQL}) + 5 * (e.connector_id = 'c1')::int, 6) AS score FROM entries e JOIN latest l ON l.entry_id = e.id ORDER BY score DESC, id LIMIT 12"""))
 def feed(spark, sf):
+    """SL6, FM22: feed order."""
     e = D.entries(spark, sf).join(signals(spark, sf).withColumnRenamed("entry_id", "id"), "id")
     score = F.coalesce("quality_score", F.lit(0.0)) + (1 - 2 * 0.3) * delta() + 5 * (F.col("connector_id") == "c1").cast("int")
     return e.select("id", F.round(score, 6).alias("score")).orderBy(F.desc("score"), "id").limit(12)
@@ -221,17 +234,20 @@ def next_pair(spark, sf):
 
 @query("fs_tokens", over("observations", body="""SELECT w AS word, count(*) AS n FROM (SELECT unnest(string_split_regex(lower(verbatim), '[^a-z0-9]+')) AS w FROM observations) WHERE w <> '' GROUP BY w"""))
 def token_counts(spark, sf):
+    """AG11, FS2: word usage count over a controlled vocabulary."""
     return D.observations(spark, sf).select(F.explode(S.tokens(F.col("verbatim"))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query("st_veto", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, harmony > 0.5 AS disliked, row_number() OVER (PARTITION BY entry_id % 10 ORDER BY harmony > 0.5, entry_id) AS place FROM latest"))
 def veto(spark, sf):
+    """ST12: demote or drop vetoed candidates."""
     s = signals(spark, sf).select("entry_id", (F.col("harmony") > 0.5).alias("disliked"))
     return s.withColumn("place", F.row_number().over(Window.partitionBy(F.col("entry_id") % 10).orderBy("disliked", "entry_id")))
 
 
 @query("fm_blend", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, [round(0.3 * technical_quality + 0.7 * harmony, 6), round(0.3 * pairing_affinity + 0.7 * aesthetic_quality, 6)] AS blend, [CASE WHEN pairing_affinity > 0.8 THEN pairing_affinity ELSE technical_quality END, CASE WHEN aesthetic_quality > 0.8 THEN aesthetic_quality ELSE harmony END] AS vetoed FROM latest"))
 def blend(spark, sf):
+    """FM20, FM21: profile blend w·a+."""
     a, b = F.array("technical_quality", "pairing_affinity"), F.array("harmony", "aesthetic_quality")
     return signals(spark, sf).select(
         "entry_id", F.zip_with(a, b, lambda x, y: F.round(0.3 * x + 0.7 * y, 6)).alias("blend"),
@@ -266,6 +282,7 @@ def hash_members(spark, sf):
  per AS (SELECT root, min(key) AS cluster, count(*) AS n, count(DISTINCT sha256) AS d, arg_min(key, (-coalesce(width * height, 0), -coalesce(width, 0), key)) AS best FROM placed GROUP BY root)
  SELECT key, cluster, CASE WHEN n = 1 THEN 'single' WHEN d = 1 THEN 'exact' ELSE 'near' END AS kind, key = best AS best FROM placed JOIN per ON per.root = placed.root"""))
 def clusters(spark, sf):
+    """GR1, GR2: three-pass dedup."""
     return image_clusters(D.images(spark, sf))
 
 
@@ -279,6 +296,7 @@ POOL, ALIKE, GROUP = 256, 0.6, 3
 @query("jn_vector_search", over("vectors", body=f"""SELECT query, id, rank FROM (SELECT q.id AS query, v.id, row_number() OVER (PARTITION BY q.id ORDER BY {COS.format(a='v.vector', b='q.vector')} DESC, v.id) AS rank
  FROM vectors q JOIN vectors v ON v.id <> q.id WHERE q.id % 100 = 0) WHERE rank <= 5"""))
 def search(spark, sf):
+    """JN22, FM17: one-to-many similarity join."""
     v = D.vectors(spark, sf)
     return vector_search(v.where("id % 100 = 0"), v, 5).select("query", "id", "rank")
 
@@ -309,6 +327,7 @@ def seeded_group(spark, sf):
 
 @query("fm_normalised", over("vectors", body="SELECT id, round(sqrt(list_dot_product(vector, vector)), 6) AS length, round(list_aggregate(list_transform(vector, lambda x: x / sqrt(list_dot_product(vector, vector))), 'max'), 6) AS largest FROM vectors"))
 def normalised(spark, sf):
+    """FM18: l2 normalisation."""
     v = F.col("vector")
     return D.vectors(spark, sf).select("id", F.round(S.norm(v), 6).alias("length"), F.round(F.array_max(S.l2_normalised(v)), 6).alias("largest"))
 
@@ -317,6 +336,7 @@ def normalised(spark, sf):
  n AS (SELECT count(*) AS n, least(1.0, count(*) / 50.0) / count(*) AS alpha FROM terms)
  SELECT pos, round(alpha * sum(d), 6) AS weight FROM (SELECT generate_subscripts(w, 1) - 1 AS pos, unnest(w) - unnest(l) AS d FROM terms), n GROUP BY pos, alpha"""))
 def head_direction(spark, sf):
+    """AG22, AG23: head fit."""
     v = D.vectors(spark, sf).select("id", "vector")
     terms = votes(spark, sf).where("not retracted").join(v.toDF("winner", "w"), "winner").join(v.toDF("loser", "l"), "loser")
     long = terms.select(F.posexplode(F.zip_with("w", "l", lambda x, y: x - y)).alias("pos", "d"))
@@ -330,6 +350,7 @@ m AS (SELECT *, greatest(r, g, b) AS hi, least(r, g, b) AS lo FROM c),
 s AS (SELECT *, CASE WHEN hi = lo THEN 0 WHEN hi = r THEN (g - b) / (hi - lo) WHEN hi = g THEN (b - r) / (hi - lo) + 2 ELSE (r - g) / (hi - lo) + 4 END AS six FROM m)
 SELECT p_partkey, printf('#%02x%02x%02x', ri, gi, bi) AS hex, round(CASE WHEN six < 0 THEN six + 6 ELSE six END / 6, 6) AS hue, round(CASE WHEN hi > 0 THEN (hi - lo) / hi ELSE 0 END, 6) AS saturation, round(hi, 6) AS value FROM s""")
 def hsv(spark, sf):
+    """FS12, FM8: hex colour."""
     k = F.col("p_partkey")
     c = D.table(spark, sf, "part").select("p_partkey", *[(k * m % 256).alias(n) for n, m in (("ri", 1), ("gi", 7), ("bi", 13))])
     h, s, v = S.hue_saturation_value(*[F.col(x) / 255.0 for x in ("ri", "gi", "bi")])
@@ -369,6 +390,7 @@ def pair_affinity(spark, sf):
 @query("ru_treatments", over("images", body="""--more s AS (SELECT key, width / height AS ratio, height FROM images WHERE width IS NOT NULL)
  SELECT key, unnest(list_filter([CASE WHEN ratio >= 2.0 THEN 'panoramic' END, CASE WHEN ratio BETWEEN 0.8 AND 1.25 THEN 'square' END, CASE WHEN height >= 800 THEN 'fullbleed' ELSE 'matte' END], lambda x: x IS NOT NULL)) AS treatment FROM s"""))
 def treatments(spark, sf):
+    """RU1: treatment proposal rules."""
     s = D.images(spark, sf).where("width is not null").select("key", (F.col("width") / F.col("height")).alias("ratio"), "height")
     rules = F.array_compact(F.array(
         F.when(F.col("ratio") >= 2.0, "panoramic"), F.when(F.col("ratio").between(0.8, 1.25), "square"), F.when(F.col("height") >= 800, "fullbleed").otherwise("matte")
@@ -417,6 +439,7 @@ def promotion(spark, sf):
 WITH r AS (SELECT l_orderkey AS o, l_partkey AS id, l_suppkey % 40 AS x, l_partkey % 40 AS y, l_quantity::int AS w, (l_quantity / 2)::int + 1 AS h FROM lineitem)
 SELECT a.o, min((a.id, b.id)) IS NOT NULL AS overlap, count(*) AS pairs FROM r a JOIN r b ON a.o = b.o AND a.id < b.id AND a.x < b.x + b.w AND b.x < a.x + a.w AND a.y < b.y + b.h AND b.y < a.y + a.h GROUP BY a.o""")
 def overlaps(spark, sf):
+    """JN24, FM25: rectangle-overlap self-join."""
     r = D.table(spark, sf, "lineitem").select(
         F.col("l_orderkey").alias("o"), F.col("l_partkey").alias("id"), (F.col("l_suppkey") % 40).alias("x"), (F.col("l_partkey") % 40).alias("y"), F.col("l_quantity").cast("int").alias("w"), (F.rint(F.col("l_quantity") / 2).cast("int") + 1).alias("h")
     )
@@ -427,6 +450,7 @@ def overlaps(spark, sf):
 
 @query("ag_percentiles", over("analyses", body="SELECT entry_id % 100 AS part, round(quantile_cont(technical_quality, 0.1), 6) AS p10, round(quantile_cont(technical_quality, 0.9), 6) AS p90, round(stddev_pop(pairing_affinity), 6) AS sd, round(var_pop(harmony), 6) AS var FROM analyses GROUP BY 1"))
 def percentiles(spark, sf):
+    """AG30: percentiles p10 / p90."""
     return D.analyses(spark, sf).groupBy((F.col("entry_id") % 100).alias("part")).agg(
         F.round(F.percentile("technical_quality", 0.1), 6).alias("p10"), F.round(F.percentile("technical_quality", 0.9), 6).alias("p90"), F.round(F.stddev_pop("pairing_affinity"), 6).alias("sd"), F.round(F.var_pop("harmony"), 6).alias("var")
     )
@@ -434,10 +458,12 @@ def percentiles(spark, sf):
 
 @query("ag_weighted_centroid", "SELECT l_suppkey, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS x, round(sum(l_quantity * l_tax) / sum(l_quantity), 6) AS y FROM lineitem GROUP BY l_suppkey")
 def weighted_centroid(spark, sf):
+    """AG31: weighted centroid."""
     q = F.col("l_quantity")
     return D.table(spark, sf, "lineitem").groupBy("l_suppkey").agg(F.round(F.sum(q * F.col("l_discount")) / F.sum(q), 6).alias("x"), F.round(F.sum(q * F.col("l_tax")) / F.sum(q), 6).alias("y"))
 
 
 @query("fm_gutter", over("images", body="SELECT key, greatest(1, least(width, height) // 32)::int AS gutter FROM images WHERE width IS NOT NULL"))
 def gutters(spark, sf):
+    """FM24: gutter = max."""
     return D.images(spark, sf).where("width is not null").select("key", S.gutter(F.col("width"), F.col("height")).alias("gutter"))

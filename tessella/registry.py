@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import catalog, dialogue, flow, profile, records, taste
+from tessella.queries import catalog, dialogue, flow, profile, records, stores, taste
 
-MODULES = (catalog, taste, dialogue, flow, profile, records)
+MODULES = (catalog, taste, dialogue, flow, profile, records, stores)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

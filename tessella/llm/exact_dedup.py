@@ -13,7 +13,7 @@ copies are combined before each shuffle. Joins on names may be skewed by large g
 they are plain equi-joins that adaptive execution splits, and their rows are a few bytes.
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest doc_id stays;
-rows equal in doc_id and text are one row each of the same group, and all of them are kept or none;
+a long text has as many blocks as it needs and one more round per doubling; rows equal in doc_id and text are one row each of the same group, and all of them are kept or none;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, doc_id, lower_ascii, text_or_empty
-from tessella.plans import broadcast_if_small, materialise
+from tessella.llm.text import arrow_bytes, chunks, doc_id, lower_ascii, text_or_empty
+from tessella.plans import broadcast_if_small, materialise, scratch
 
 BLOCK_BYTES = 4096
 #: Bits of the routing hash; tests lower it so that hashes collide.
@@ -158,11 +158,12 @@ def identities(docs: DataFrame, size: int = BLOCK_BYTES, bits: int = HASH_BITS)
 
 def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, bits: int = HASH_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
-    rows = materialise(identities(docs, size, bits), "identities")
-    groups = rows.groupBy("identity").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).cast("long").alias("group_size"))
-    # written first, so that the join has two exchanges of its own and a large group's rows can be split
-    groups = materialise(groups, "groups")
-    return rows.join(groups, "identity").select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256")
+    with scratch(docs.sparkSession) as result, arrow_bytes(docs.sparkSession):
+        rows = materialise(identities(docs, size, bits), "identities")
+        groups = rows.groupBy("identity").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).cast("long").alias("group_size"))
+        # written first, so that the join has two exchanges of its own and a large group's rows can be split
+        joined = rows.join(materialise(groups, "groups"), "identity")
+        return result(joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"), "exact")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from tessella.llm.minhash import low_bits, signatures, walks
 from tessella.llm.text import arrow_bytes, chunks, doc_id, hash_words, mix64, shingle_hashes, text_or_empty, words
 from tessella.operators.graph import connected_components
-from tessella.plans import broadcast_if_small, materialise
+from tessella.plans import broadcast_if_small, materialise, scratch
 
 WORDS, PERCENT = 5, 80
 BINS, ROWS = 256, 6
@@ -203,47 +203,48 @@ def candidates(rows: DataFrame, percent: int) -> DataFrame:
 def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataFrame:
     """doc_id, text_sha256, n_shingles, node, component, component_id and kept of every document. Rows
     that share a component's least doc_id are all kept; ``component`` tells components apart."""
-    signatures_ = materialise(signed(docs, k), "signatures")
-    members = signatures_.select("doc_id", "text_sha256", "n_shingles", "node")
-    classes = materialise(
-        signatures_.where("node is not null").groupBy("node")
-        .agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("one")).select("node", "one.*"),
-        "classes",
-    )
-    every = classes.select("node", F.explode("bands").alias("bucket"))
-    counted = materialise(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
-    buckets = materialise(every.join(counted, "bucket").select("bucket", "node", "n"), "buckets")
-
-    def read(nodes: DataFrame, name: str) -> DataFrame:
-        wanted = materialise(nodes.distinct().join(classes.select("node", "doc_id"), "node"), f"wanted-{name}")
-        return materialise(sets_of(docs, wanted, k), f"sets-{name}")
-
-    def confirm(pairs: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
-        with arrow_bytes(docs.sparkSession, STEP_BYTES):
+    with scratch(docs.sparkSession) as result, arrow_bytes(docs.sparkSession, STEP_BYTES):
+        signatures_ = materialise(signed(docs, k), "signatures")
+        members = signatures_.select("doc_id", "text_sha256", "n_shingles", "node")
+        classes = materialise(
+            signatures_.where("node is not null").groupBy("node")
+            .agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("one")).select("node", "one.*"),
+            "classes",
+        )
+        every = classes.select("node", F.explode("bands").alias("bucket"))
+        counted = materialise(every.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "bucket-sizes")
+        buckets = materialise(every.join(counted, "bucket").select("bucket", "node", "n"), "buckets")
+
+        def read(nodes: DataFrame, name: str) -> DataFrame:
+            wanted = materialise(nodes.distinct().join(classes.select("node", "doc_id"), "node"), f"wanted-{name}")
+            return materialise(sets_of(docs, wanted, k), f"sets-{name}")
+
+        def confirm(pairs: DataFrame, sets: DataFrame, turn: int) -> DataFrame:
             return materialise(confirmed(pairs, sets, percent), f"links-{turn}")
 
-    pairs = materialise(first_stars(buckets, classes, percent), "pairs-0")
-    sets = read(pairs.select(F.explode(F.array("a", "b")).alias("node")), "0")
-    links = confirm(pairs, sets, 0)
-    labels = materialise(connected_components(links), "components-0")
-    placed = materialise(buckets.drop("n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
-    rows = materialise(undecided(placed), "undecided")
-    later = None
-    if not rows.isEmpty():
-        sets = sets.unionByName(read(rows.select("node").join(sets, "node", "left_anti"), "1"))
-        own = exploded(sets.join(broadcast_if_small(rows, SMALL), "node"))
-        found = materialise(candidates(materialise(prefixes(own, percent), "prefixes"), percent), "candidates")
-        if not found.isEmpty():
-            later = further(found, lambda pairs, turn: confirm(pairs, sets, turn))
-    named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if later is not None:
-        grown = materialise(connected_components(later, "ca", "cb"), "components-2").toDF("component", "into")
-        named = named.join(grown, "component", "left").withColumn("component", F.coalesce("into", "component"))
-    least = materialise(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
-    return named.join(least, "component", "left").select(
-        "doc_id", "text_sha256", "n_shingles", "node", "component", F.coalesce("least", "doc_id").alias("component_id"),
-        (F.coalesce("least", "doc_id") == F.col("doc_id")).alias("kept"),
-    )
+        pairs = materialise(first_stars(buckets, classes, percent), "pairs-0")
+        sets = read(pairs.select(F.explode(F.array("a", "b")).alias("node")), "0")
+        links = confirm(pairs, sets, 0)
+        labels = connected_components(links)
+        placed = materialise(buckets.drop("n").join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")), "placed")
+        rows = materialise(undecided(placed), "undecided")
+        later = None
+        if not rows.isEmpty():
+            sets = sets.unionByName(read(rows.select("node").join(sets, "node", "left_anti"), "1"))
+            own = exploded(sets.join(broadcast_if_small(rows, SMALL), "node"))
+            found = materialise(candidates(materialise(prefixes(own, percent), "prefixes"), percent), "candidates")
+            if not found.isEmpty():
+                later = further(found, lambda pairs, turn: confirm(pairs, sets, turn))
+        named = members.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        if later is not None:
+            grown = connected_components(later, "ca", "cb").toDF("component", "into")
+            named = named.join(grown, "component", "left").withColumn("component", F.coalesce("into", "component"))
+        least = materialise(named.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("least")), "least")
+        final = named.join(least, "component", "left").select(
+            "doc_id", "text_sha256", "n_shingles", "node", "component", F.coalesce("least", "doc_id").alias("component_id"),
+            (F.coalesce("least", "doc_id") == F.col("doc_id")).alias("kept"),
+        )
+        return result(final, "near")
 
 
 def further(found: DataFrame, confirm: Callable[[DataFrame, int], DataFrame]) -> DataFrame:
@@ -256,7 +257,7 @@ def further(found: DataFrame, confirm: Callable[[DataFrame, int], DataFrame]) ->
         return materialise(found.join(confirm(pairs, turn), ["a", "b"]).select("ca", "cb").distinct(), f"joined-{turn}")
 
     first = joins(likely, 1)
-    into = materialise(connected_components(first, "ca", "cb"), "components-1")
+    into = connected_components(first, "ca", "cb")
     rest = found.join(likely, ["a", "b"], "left_anti").join(into.toDF("ca", "ra"), "ca", "left").join(into.toDF("cb", "rb"), "cb", "left")
     rest = materialise(rest.where(F.coalesce("ra", "ca") != F.coalesce("rb", "cb")).select("a", "b"), "rest")
     return first if rest.isEmpty() else first.unionByName(joins(rest, 2))

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: Bytes of text that one vectorised step handles; bounds a Python worker's memory.
 CHUNK_BYTES = 2_000_000
+#: Bytes that a job hands a Python worker at a time, where the job runs at once.
+BATCH_BYTES = 8_000_000
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
@@ -103,7 +105,7 @@ def shingle_hashes(codes: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, k
 
 
 @contextmanager
-def arrow_bytes(spark: SparkSession, most: int) -> Iterator[None]:
+def arrow_bytes(spark: SparkSession, most: int = BATCH_BYTES) -> Iterator[None]:
     """Within this block, jobs hand Python about ``most`` bytes at a time: for rows that carry long
     texts or sets. A single longer row is handed over whole."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"

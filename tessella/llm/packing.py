@@ -1,15 +1,18 @@
 """Harmonic packing of tokenised documents into sequences of a fixed capacity.
 
-A class holds pieces of one length and its bins take ``capacity // length`` pieces each. Documents
-may be cut, so they are cut at the reciprocals that divide the capacity: whole sequences, then
-halves, quarters and so on down to ``LEAST``; what is left (shorter than ``LEAST``) joins the class
-of its own length, whose bins waste less than one piece. A bin's number and a piece's place in it
-follow from the piece's number in its class alone. That number is a rank inside a bucket of
-documents plus the bucket's offset, so workers fill bins independently of each other.
+Lengths fall into classes by the reciprocals of the capacity: class m holds pieces of capacity // m
+tokens and its bins take m of them each. Documents may be cut, so a document gives whole sequences
+first, and then, while at least ``LEAST`` tokens are left, a piece of the largest class that they
+fill. What each cut leaves is quadratically less, so a document is cut a few times at most; what is
+left in the end (shorter than ``LEAST``) joins the class of its own length, whose bins waste less
+than one piece. A bin's number and a piece's place in it follow from the piece's number in its class
+alone. That number is a rank inside a bucket of documents plus the bucket's offset, so workers fill
+bins independently of each other.
 
 Defined cases: a null or empty text has the end id only and gives one piece of length 1; repeated
-doc_ids are told apart by their text; an empty table gives an empty result; columns other than
-``doc_id`` and ``text`` are not read.
+doc_ids are told apart by their text, and equal rows have equal pieces in places of their own; a long
+text is encoded whole; an empty table gives an empty result; columns other than ``doc_id`` and
+``text`` are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, doc_id, text_or_empty, words
+from tessella.llm.text import arrow_bytes, chunks, doc_id, text_or_empty, words
 from tessella.plans import materialise
 
 CAPACITY = 2048
@@ -34,9 +37,9 @@ LEAST = 64
 END_ID = 1
 VOCABULARY = "word_bpe_49k.json"
 #: Distinct word parts whose ids a Python worker remembers; bounds its memory, not what is encoded.
-REMEMBERED = 700_000
+REMEMBERED = 400_000
 #: Bytes of text that one step encodes together.
-STEP_BYTES = 16_000_000
+STEP_BYTES = 6_000_000
 
 # The pattern by which the vocabulary file splits words (written for the plain
 # characters below), and its special tokens.
@@ -121,21 +124,14 @@ def tokenizer(vocabulary: str = VOCABULARY) -> WordTokenizer:
 
 
 def cuts(tokens: int, capacity: int = CAPACITY, least: int = LEAST) -> Iterator[tuple[int, int]]:
-    """Start and length of a document's pieces: whole capacities, then falling halves of it while
-    they fit and are not below ``least``, then the rest."""
+    """Start and length of a document's pieces: the longest reciprocal of the capacity that fits,
+    again and again, while ``least`` tokens are left, then the rest."""
     start = 0
-    while tokens - start >= capacity:
-        yield start, capacity
-        start += capacity
-    size = capacity // 2
-    while size >= least:
-        if tokens - start >= size:
-            yield start, size
-            start += size
-        size //= 2
-    while tokens - start >= max(least, 1):  # capacity is no power of two times least
-        yield start, least
-        start += least
+    while tokens - start >= least:
+        left = tokens - start
+        length = capacity // max(1, -(-capacity // left))
+        yield start, length
+        start += length
     if tokens > start:
         yield start, tokens - start
 
@@ -169,8 +165,8 @@ def arrange(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     table; its columns are kept."""
     spark = cut.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start"), F.lit(buckets)).cast("int"))
-    # bounded: lengths up to LEAST and the powers of two above it, times buckets
+    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    # bounded: lengths below LEAST and at most capacity / LEAST reciprocals, times buckets
     counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
     per: dict[int, dict[int, int]] = {}
     for r in counts:
@@ -197,7 +193,9 @@ def arrange(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row per piece of every document with its sequence and the place in it."""
-    return arrange(materialise(pieces(docs, vocabulary, capacity, with_ids), "pieces"), capacity)
+    with arrow_bytes(docs.sparkSession):
+        cut = materialise(pieces(docs, vocabulary, capacity, with_ids), "pieces")
+    return arrange(cut, capacity)
 
 
 def op6_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,32 +1,36 @@
 """Language-model scores from a hierarchical Pitman-Yor model.
 
-The root restaurant holds all words over a uniform base; each context has a restaurant whose parent
-is the root. A context is the class of the word before: its last three characters, hashed into
-``CONTEXTS`` classes, so frequent short words are their own contexts and the number of restaurants
-has a bound. Customers are the training tokens. The tables of each dish in each restaurant are
-drawn by Gibbs steps given the rest: for up to ``EXACT`` customers from the exact conditional over
-the number of tables (by generalised Stirling numbers), beyond that by seating the further ones in
-doubling runs by the restaurant's rule. The tables of a restaurant are the customers of its parent.
-After burn-in the predictive probabilities of ``SAMPLES`` states are averaged, and the sum of their
-log10 over a text is its score.
+Three levels of Chinese restaurants: the root over a uniform base, one restaurant per class of the
+word before (its last three characters, hashed into ``CLASSES``), and under each class one per word
+before that holds at least ``SHARE`` of the training tokens, so there are at most 1 / SHARE of
+those. Rarer words before seat their customers in the class directly. Customers are the training
+tokens; the tables of a restaurant are the customers of its parent.
+
+Seating is sampled by Gibbs sweeps: given a restaurant's totals and its parent's probability of a
+dish, the number of the dish's tables is drawn from its conditional, which is exact up to ``TABLE``
+customers (by generalised Stirling numbers); further customers come in runs of doubling size by the same
+conditional's rate of new tables. After each sweep the restaurants' totals are
+added up and the levels' strengths are drawn anew given them. The predictive probabilities of
+``SAMPLES`` states after ``BURN_IN`` sweeps are averaged, and the sum of their log10 over a text is
+its score. Every draw follows from the word, its context and the sweep, so scores do not depend on
+how rows are dealt.
 
 Everything about a word (its counts per context, its tables, its root customers) lies in one bucket
-of the words' hash, so a Gibbs sweep is a narrow pass over buckets and only the restaurants' totals,
-a vector of CONTEXTS numbers, are added up between passes (they are held at their last value within
-a sweep). Tokens are counted per step of a scan before they are shuffled, as packed arrays. For
-scores the tokens travel once more to their word's bucket and come back as one partial sum per
-document and bucket. Words with at least 1 / HOT of the training tokens (no more than HOT of them)
-are scored where the text is read, from a table of HOT x CONTEXTS numbers at most, so no bucket
-holds more than its share.
+of the words' hash, so a sweep is a narrow pass over buckets. A word with 1 / HOT of the tokens is
+dealt by word and class instead, and its root tables are drawn with the totals. Pairs of a word
+before and a word with 1 / HOT of the tokens (at most HOT of them) are scored where the text is
+read. The number of buckets follows the number of training tokens.
 
 Words are identified by a 64-bit hash. Defined cases: a null or empty text has the end token alone;
-without training rows every probability is that of the base; rows of one doc_id are separate;
-an empty table gives an empty result; other columns are not read.
+without training rows every probability is that of the base; rows of one doc_id are separate, and
+equal texts have equal scores; a long text is cut nowhere, its tokens being summed per bucket; an
+empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import functools
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -36,22 +40,25 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, doc_id, hash_words, mix64, text_or_empty, words
+from tessella.llm.text import arrow_bytes, chunks, doc_id, hash_words, mix64, text_or_empty, words
 from tessella.plans import materialise
 
-CONTEXTS = 2048
+CLASSES = 2048
 SUFFIX = 3
+#: Least share of the training tokens of a word that has a restaurant of its own as a context.
+SHARE = 2.0**-20
 SAMPLES, BURN_IN = 3, 1
-EXACT = 24
-STRENGTH, ROOT_STRENGTH = 1.0, 1.0
+TABLE = 256
 HOT = 512
 FOLDS = 10
 #: Bytes of text whose tokens are counted together before they are shuffled.
-STEP_BYTES = 16_000_000
+STEP_BYTES = 4_000_000
+#: Training tokens that a bucket holds on average.
+BUCKET_TOKENS = 1_500_000
 SEED = 20
 
-PACKED = "bucket int, kind int, chunk long, words binary, per binary, contexts binary, numbers binary"
-_FIELDS = pa.schema([("bucket", pa.int32()), ("kind", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("per", pa.binary()), ("contexts", pa.binary()), ("numbers", pa.binary())])
+PACKED = "bucket long, kind int, chunk long, words binary, per binary, contexts binary, numbers binary"
+_FIELDS = pa.schema([("bucket", pa.int64()), ("kind", pa.int32()), ("chunk", pa.int64()), ("words", pa.binary()), ("per", pa.binary()), ("contexts", pa.binary()), ("numbers", pa.binary())])
 MODEL, TOKENS, LOCAL = 0, 1, 2
 
 
@@ -60,45 +67,112 @@ def _end() -> np.uint64:
     return hash_words(pa.array([" "]))[0]
 
 
+def _known(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Whether each value is among the sorted ``places``, and where (0 if not)."""
+    at = np.searchsorted(places, values)
+    at = np.where(at < len(places), at, 0)
+    return (places[at] == values if len(places) else np.zeros(len(values), bool)), at
+
+
+@dataclass
+class Lexicon:
+    """What all tasks know of the training words: their number of tokens and types, the words with
+    a restaurant of their own and those words' classes, and the hot words with their counts."""
+
+    tokens: int
+    types: int
+    contexts: np.ndarray
+    classes: np.ndarray
+    hot: np.ndarray
+    hot_counts: np.ndarray
+    buckets: int
+
+    def class_of(self, contexts: np.ndarray) -> np.ndarray:
+        """The class of each context number: classes come first, then the words."""
+        own = contexts.astype(np.int64)
+        return np.concatenate([np.arange(CLASSES), self.classes])[own]
+
+    @property
+    def restaurants(self) -> int:
+        return CLASSES + len(self.contexts)
+
+
+def _classes(distinct: pa.Array) -> np.ndarray:
+    """The words' classes, from 1."""
+    if not len(distinct):
+        return np.zeros(0, np.int64)
+    tail = hash_words(pc.utf8_slice_codeunits(distinct, start=-SUFFIX))
+    return (tail % np.uint64(CLASSES - 1) + np.uint64(1)).astype(np.int64)
+
+
+def vocabulary(training: DataFrame) -> DataFrame:
+    """(word, class, n) of every distinct training word; the end token has class 0."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in chunks(batches, "text", STEP_BYTES):
+            codes, distinct, _ = words(part.column("text"))
+            n = np.bincount(codes, minlength=len(distinct)) if len(codes) else np.zeros(0, np.int64)
+            hashes = np.concatenate([hash_words(distinct), [_end()]]).view(np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(hashes), pa.array(np.concatenate([_classes(distinct), [0]])), pa.array(np.concatenate([n, [part.num_rows]]).astype(np.int64))], names=["word", "class", "n"]
+            )
+
+    return training.select("text").mapInArrow(count, "word long, class long, n long").groupBy("word").agg(F.max("class").alias("class"), F.sum("n").alias("n"))
+
+
+def lexicon(training: DataFrame, buckets: int | None = None) -> Lexicon:
+    """At most 1 / SHARE contexts and HOT words reach the driver."""
+    table = materialise(vocabulary(training), "words")
+    tokens, types = table.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    own = table.where(F.col("n") >= tokens * SHARE).toArrow()
+    hashes = own.column("word").to_numpy().view(np.uint64)
+    order = np.argsort(hashes)
+    hashes, counts = hashes[order], own.column("n").to_numpy()[order]
+    hot = counts * HOT >= tokens
+    least = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return Lexicon(int(tokens), int(types), hashes, own.column("class").to_numpy()[order].astype(np.int64), hashes[hot], counts[hot], buckets or max(least, int(tokens) // BUCKET_TOKENS + 1))
+
+
 @dataclass
 class Step:
-    """Tokens of some texts in a row: codes into ``hashes`` (sorted by bucket and hash), the class
-    of the token before, and each token's text."""
+    """Tokens of some texts in a row: codes into ``hashes``, each token's context, bucket and text."""
 
     hashes: np.ndarray
-    buckets: np.ndarray
     codes: np.ndarray
     contexts: np.ndarray
+    buckets: np.ndarray
     rows: np.ndarray
 
 
-def step(column: pa.Array, buckets: int) -> Step:
+def step(column: pa.Array, lex: Lexicon) -> Step:
     codes, distinct, offsets = words(column)
     n = len(offsets) - 1
     hashes = np.concatenate([hash_words(distinct), [_end()]])
-    tail = hash_words(pc.utf8_slice_codeunits(distinct, start=-SUFFIX)) if len(distinct) else np.zeros(0, np.uint64)
-    classes = np.concatenate([tail % np.uint64(CONTEXTS - 1) + np.uint64(1), [np.uint64(0)]]).astype(np.int64)
-    place = (mix64(hashes) % np.uint64(buckets)).astype(np.int64)
-    order = np.lexsort((hashes, place))
-    rank = np.empty(len(order), np.int64)
-    rank[order] = np.arange(len(order))
+    classes = np.concatenate([_classes(distinct), [0]])
+    known, at = _known(lex.contexts, hashes)
+    context = np.where(known, CLASSES + at, classes)
     rows = np.repeat(np.arange(n), np.diff(offsets))
     sequence = np.full(len(codes) + n, len(hashes) - 1, np.int64)
     sequence[np.arange(len(codes)) + rows] = codes
     before = np.concatenate([[len(hashes) - 1], sequence[:-1]]) if len(sequence) else sequence
-    return Step(hashes[order], place[order], rank[sequence], classes[before], np.repeat(np.arange(n), np.diff(offsets) + 1))
-
-
-def _split(s: Step, codes: np.ndarray, contexts: np.ndarray, numbers: np.ndarray, kind: int, chunk: int) -> Iterator[dict]:
-    """Packed rows per bucket of entries sorted by code."""
-    used, first = np.unique(codes, return_index=True)
-    per = np.diff(np.append(first, len(codes)))
-    bounds = np.flatnonzero(np.diff(s.buckets[used], prepend=-1))
-    for a, b in zip(bounds, [*bounds[1:], len(used)], strict=True):
-        lo, hi = first[a], first[b] if b < len(used) else len(codes)
+    # a frequent word is dealt by word and class, any other by word
+    hot = _known(lex.hot, hashes)[0]
+    key = mix64(hashes)[sequence] + np.where(hot[sequence], mix64(classes[before].astype(np.uint64) + np.uint64(1)), np.uint64(0))
+    return Step(hashes, sequence, context[before], (mix64(key) % np.uint64(lex.buckets)).astype(np.int64), np.repeat(np.arange(n), np.diff(offsets) + 1))
+
+
+def _split(s: Step, keep: np.ndarray, numbers: np.ndarray, kind: int, chunk: int) -> Iterator[dict]:
+    """Packed rows per bucket of the tokens ``keep``, each with a number."""
+    order = keep[np.lexsort((s.contexts[keep], s.codes[keep], s.buckets[keep]))]
+    codes, buckets, numbers = s.codes[order], s.buckets[order], numbers[order]
+    starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(buckets, prepend=-1) != 0))
+    per = np.diff(np.append(starts, len(codes)))
+    bounds = np.flatnonzero(np.diff(buckets[starts], prepend=-1))
+    for a, b in zip(bounds, [*bounds[1:], len(starts)], strict=True):
+        lo, hi = starts[a], starts[b] if b < len(starts) else len(codes)
         yield {
-            "bucket": int(s.buckets[used[a]]), "kind": kind, "chunk": chunk, "words": s.hashes[used[a:b]].tobytes(), "per": per[a:b].astype(np.uint32).tobytes(),
-            "contexts": contexts[lo:hi].astype(np.uint16).tobytes(), "numbers": numbers[lo:hi].astype(np.uint32).tobytes(),
+            "bucket": int(buckets[lo]), "kind": kind, "chunk": chunk, "words": s.hashes[codes[starts[a:b]]].tobytes(), "per": per[a:b].astype(np.uint32).tobytes(),
+            "contexts": s.contexts[order[lo:hi]].astype(np.uint32).tobytes(), "numbers": numbers[lo:hi].astype(np.uint32).tobytes(),
         }
 
 
@@ -106,46 +180,57 @@ def _batch(rows: list[dict]) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist(rows, schema=_FIELDS)
 
 
-def counted(docs: DataFrame, buckets: int) -> DataFrame:
+def counted(docs: DataFrame, lex: Lexicon) -> DataFrame:
     """Packed counts of (word, context) of the documents' tokens, per step of the scan."""
+    shared = docs.sparkSession.sparkContext.broadcast(lex)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in chunks(batches, "text", STEP_BYTES):
-            s = step(part.column("text"), buckets)
-            keys, n = np.unique(s.codes * CONTEXTS + s.contexts, return_counts=True)
-            yield _batch(list(_split(s, keys // CONTEXTS, keys % CONTEXTS, n, MODEL, 0)))
+            s = step(part.column("text"), shared.value)
+            _, first, n = np.unique(s.codes * shared.value.restaurants + s.contexts, return_index=True, return_counts=True)
+            numbers = np.zeros(len(s.codes), np.int64)
+            numbers[first] = n
+            yield _batch(list(_split(s, first, numbers, MODEL, 0)))
 
     return docs.select("text").mapInArrow(count, PACKED)
 
 
 @dataclass
 class Counts:
-    """A bucket's merged counts: distinct words, and their (word index, context, count) in order."""
+    """A bucket's merged counts in order of word, class and context: distinct words, and each
+    entry's word (its index), context and count; groups are the entries of one word and class."""
 
     words: np.ndarray
     index: np.ndarray
     contexts: np.ndarray
     counts: np.ndarray
+    group: np.ndarray
+    group_word: np.ndarray
+    group_class: np.ndarray
 
-    @property
-    def totals(self) -> np.ndarray:
-        return np.bincount(self.index, self.counts, len(self.words)).astype(np.int64)
+    def sums(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(self.group, values, len(self.group_word)).astype(np.int64)
 
 
 def unpacked(columns: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, entries per word, contexts and numbers of several packed rows, one after the other."""
-    return tuple(np.frombuffer(b"".join(columns[c]), t) for c, t in (("words", np.uint64), ("per", np.uint32), ("contexts", np.uint16), ("numbers", np.uint32)))
+    return tuple(np.frombuffer(b"".join(columns[c]), t) for c, t in (("words", np.uint64), ("per", np.uint32), ("contexts", np.uint32), ("numbers", np.uint32)))
 
 
-def merged(columns: dict[str, list[bytes]]) -> Counts:
+def merged(columns: dict[str, list[bytes]], lex: Lexicon, more: np.ndarray | None = None) -> Counts:
+    """The sums of packed counts; ``more`` are words that are listed even if they have no entry."""
     own, per, contexts, numbers = unpacked(columns)
-    distinct, inverse = np.unique(own, return_inverse=True)
-    keys = np.repeat(inverse, per).astype(np.int64) * CONTEXTS + contexts
-    order = np.argsort(keys, kind="stable")
-    keys = keys[order]
-    first = np.flatnonzero(np.diff(keys, prepend=-1))
+    distinct = np.unique(own) if more is None else np.union1d(own, more)
+    inverse = np.searchsorted(distinct, own)
+    word, contexts = np.repeat(inverse, per).astype(np.int64), contexts.astype(np.int64)
+    pair = word * CLASSES + lex.class_of(contexts)
+    order = np.lexsort((contexts, pair))
+    pair, contexts = pair[order], contexts[order]
+    first = np.flatnonzero((np.diff(pair, prepend=-1) != 0) | (np.diff(contexts, prepend=-1) != 0))
     counts = np.add.reduceat(numbers[order].astype(np.int64), first) if len(first) else np.zeros(0, np.int64)
-    return Counts(distinct, keys[first] // CONTEXTS, keys[first] % CONTEXTS, counts)
+    pair, contexts = pair[first], contexts[first]
+    groups, group = np.unique(pair, return_inverse=True)
+    return Counts(distinct, pair // CLASSES, contexts, counts, group, groups // CLASSES, groups % CLASSES)
 
 
 def _columns(table: pa.Table | pa.RecordBatch, keep: np.ndarray | None = None) -> dict[str, list[bytes]]:
@@ -153,18 +238,20 @@ def _columns(table: pa.Table | pa.RecordBatch, keep: np.ndarray | None = None) -
     return {c: part.column(c).to_pylist() for c in ("words", "per", "contexts", "numbers")}
 
 
-def bucketed(packed: DataFrame) -> DataFrame:
+def bucketed(packed: DataFrame, lex: Lexicon) -> DataFrame:
     """One packed row of merged counts per bucket."""
+    shared = packed.sparkSession.sparkContext.broadcast(lex)
 
     def merge(table: pa.Table) -> pa.Table:
-        c = merged(_columns(table))
-        row = {"bucket": table.column("bucket")[0].as_py(), "kind": MODEL, "chunk": 0, "words": c.words.tobytes(), "per": np.bincount(c.index, minlength=len(c.words)).astype(np.uint32).tobytes(), "contexts": c.contexts.astype(np.uint16).tobytes(), "numbers": c.counts.astype(np.uint32).tobytes()}
+        c = merged(_columns(table), shared.value)
+        row = {"bucket": table.column("bucket")[0].as_py(), "kind": MODEL, "chunk": 0, "words": c.words.tobytes(), "per": np.bincount(c.index, minlength=len(c.words)).astype(np.uint32).tobytes(), "contexts": c.contexts.astype(np.uint32).tobytes(), "numbers": c.counts.astype(np.uint32).tobytes()}
         return pa.Table.from_pylist([row], schema=_FIELDS)
 
     return packed.groupBy("bucket").applyInArrow(merge, PACKED)
 
 
-def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
+@functools.lru_cache(maxsize=8)
+def log_stirling(discount: float, most: int = TABLE) -> np.ndarray:
     """Logs of generalised Stirling numbers: ways, weighted by the discount, of c customers at t
     tables; row c, column t."""
     out = np.full((most + 1, most + 1), -np.inf)
@@ -176,236 +263,344 @@ def log_stirling(discount: float, most: int = EXACT) -> np.ndarray:
     return out
 
 
-def seat(customers: np.ndarray, weight: np.ndarray, discount: float, table: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+def uniform(keys: np.ndarray, turn: int) -> np.ndarray:
+    """A number above 0 and below 1 that follows from each key and the turn."""
+    bits = mix64(keys + np.uint64(0x9E3779B97F4A7C15 * (turn + 1) & (1 << 64) - 1))
+    return ((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53
+
+
+def binomial(n: np.ndarray, p: np.ndarray, keys: np.ndarray, turn: int) -> np.ndarray:
+    """Binomial draws: by inversion for small means, else rounded from the normal distribution."""
+    mean, u = n * p, uniform(keys, 2 * turn)
+    out = np.zeros(len(n), np.int64)
+    large = mean >= 30
+    spread = np.sqrt(-2 * np.log(u[large])) * np.cos(2 * np.pi * uniform(keys[large], 2 * turn + 1))
+    out[large] = np.rint(mean[large] + spread * np.sqrt(mean[large] * (1 - p[large])))
+    at = np.flatnonzero(~large)
+    term = np.exp(n[at] * np.log1p(-np.minimum(p[at], 1 - 1e-12)))
+    total, k = term.copy(), 0
+    while len(at):
+        more = (u[at] > total) & (k < n[at])
+        at, term, total = at[more], term[more], total[more]
+        term = term * (n[at] - k) / (k + 1) * p[at] / (1 - p[at])
+        total, k = total + np.maximum(term, 1e-300), k + 1
+        out[at] = k
+    return np.clip(out, 0, n)
+
+
+def seat(customers: np.ndarray, weight: np.ndarray, discount: float, keys: np.ndarray) -> np.ndarray:
     """Tables of each dish given its customers and the weight of a new table, which is the
-    restaurant's (strength + discount * tables) times the parent's probability of the dish."""
-    tables = np.ones(len(customers), np.int64)
-    exact = np.minimum(customers, EXACT)
+    restaurant's (strength + discount * tables) times the parent's probability of the dish.
+
+    A table makes each later customer's staying less likely by discount / customers, so one that
+    opens before the last customers counts for less, by the ratio of customers then and at the end
+    to the power of the discount."""
+    table = log_stirling(discount)
+
+    def lessened(at: np.ndarray, seated: np.ndarray | float) -> np.ndarray:
+        ratio = (seated + weight[at]) / (customers[at] + weight[at])
+        return weight[at] * np.minimum(ratio, 1.0) ** discount
+
+    tables = np.minimum(customers, 1).astype(np.int64)
+    exact = np.minimum(customers, TABLE)
     order = np.argsort(exact, kind="stable")
-    bounds = np.searchsorted(exact[order], np.arange(2, EXACT + 2))
-    for c in range(2, EXACT + 1):
+    bounds = np.searchsorted(exact[order], np.arange(2, TABLE + 2))
+    u = uniform(keys, 0)
+    for c in range(2, TABLE + 1):
         at = order[bounds[c - 2] : bounds[c - 1]]
         if not len(at):
             continue
         t = np.arange(1, c + 1)
-        for lo in range(0, len(at), 200_000):
-            own = at[lo : lo + 200_000]
-            logs = np.log(weight[own])[:, None] * t + table[c, t]
+        for lo in range(0, len(at), 400_000 // c):
+            own = at[lo : lo + 400_000 // c]
+            logs = np.log(lessened(own, float(c)))[:, None] * t + table[c, t]
             share = np.exp(logs - logs.max(1, keepdims=True)).cumsum(1)
-            tables[own] = 1 + (share < rng.random(len(own))[:, None] * share[:, -1:]).sum(1)
-    at = np.flatnonzero(customers > EXACT)
-    seated = np.full(len(at), EXACT, np.int64)
+            tables[own] = 1 + (share < u[own][:, None] * share[:, -1:]).sum(1)
+    at = np.flatnonzero(customers > TABLE)
+    seated, turn = np.full(len(at), TABLE, np.int64), 1
     while len(at):
         run = np.minimum(seated, customers[at] - seated)
-        chance = weight[at] / (weight[at] + np.maximum(seated + run / 2 - discount * tables[at], 1e-9))
-        tables[at] += rng.binomial(run, np.clip(chance, 0, 1))
-        seated += run
+        new = lessened(at, seated + run / 2)
+        chance = new / (new + np.maximum(seated + run / 2 - discount * tables[at], 1e-9))
+        tables[at] += binomial(run, chance, keys[at], turn)
+        seated, turn = seated + run, turn + 1
         left = seated < customers[at]
         at, seated = at[left], seated[left]
     return np.minimum(tables, customers)
 
 
 @dataclass
-class Settings:
-    """What the driver knows of the corpus: bounded numbers and vectors."""
-
-    tokens: int
-    types: int
-    discount: float
-    root_discount: float
-    context_customers: np.ndarray
-    context_tables: np.ndarray
+class Totals:
+    """The restaurants' totals after a sweep: tables of each context, customers and tables of each
+    class, those of the root, each hot word's root customers and tables, and the levels' strengths
+    (of contexts, classes and the root)."""
+
+    tables: np.ndarray
+    class_customers: np.ndarray
+    class_tables: np.ndarray
     root_customers: float
     root_tables: float
-
-
-def sweeps(c: Counts, s: Settings, bucket: int, samples: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """Tables per entry, and root customers and root tables per word, after each kept sweep. The
-    draws follow from the bucket and the settings, so that every pass sees the same states."""
-    rng = np.random.default_rng([SEED, bucket])
-    own, root = log_stirling(s.discount), log_stirling(s.root_discount)
-    base = 1.0 / (s.types + 1)
-    customers, tables = np.bincount(c.index, minlength=len(c.words)).astype(np.int64), np.ones(len(c.words), np.int64)
-    out = []
-    for turn in range(BURN_IN + samples):
-        parent = (customers - s.root_discount * tables + (ROOT_STRENGTH + s.root_discount * s.root_tables) * base) / (ROOT_STRENGTH + s.root_customers)
-        weight = (STRENGTH + s.discount * s.context_tables[c.contexts]) * parent[c.index]
-        drawn = seat(c.counts, weight, s.discount, own, rng)
-        customers = np.bincount(c.index, drawn, len(c.words)).astype(np.int64)
-        tables = seat(customers, np.full(len(customers), (ROOT_STRENGTH + s.root_discount * s.root_tables) * base), s.root_discount, root, rng)
-        if turn >= BURN_IN:
-            out.append((drawn, customers, tables))
-    return out
+    hot_customers: np.ndarray
+    hot_tables: np.ndarray
+    strengths: tuple[float, float, float] = (1.0, 1.0, 1.0)
 
 
 @dataclass
-class Predictor:
-    """Settings and each sample's exact totals; turns a bucket's states into probabilities."""
-
-    settings: Settings
-    context_tables: np.ndarray  # samples x CONTEXTS
-    root_customers: np.ndarray  # samples
-    root_tables: np.ndarray
+class Model:
+    """The lexicon, the levels' discounts, each context's customers, and the totals at the start and
+    after each sweep."""
 
-    def root(self, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
-        """Root probabilities: words x samples."""
-        s = self.settings
-        rest = (ROOT_STRENGTH + s.root_discount * self.root_tables) / (s.types + 1)
-        return (customers - s.root_discount * tables + rest) / (ROOT_STRENGTH + self.root_customers)
-
-    @property
-    def unknown(self) -> np.ndarray:
-        return self.root(np.zeros((1, len(self.root_tables))), np.zeros((1, len(self.root_tables))))[0]
+    lex: Lexicon
+    discounts: tuple[float, float, float]
+    customers: np.ndarray
+    totals: list[Totals]
 
     @property
-    def back(self) -> np.ndarray:
-        """What each restaurant leaves to its parent: CONTEXTS x samples."""
-        s = self.settings
-        return ((STRENGTH + s.discount * self.context_tables) / (STRENGTH + s.context_customers)).T
+    def base(self) -> float:
+        return 1.0 / (self.lex.types + 1)
 
-    def own(self, counts: np.ndarray, tables: np.ndarray, contexts: np.ndarray) -> np.ndarray:
-        """The averaged part of a probability that a restaurant's own customers give."""
-        return (counts - self.settings.discount * tables.mean(1)) / (STRENGTH + self.settings.context_customers[contexts])
 
-
-def _stacked(states: list, i: int) -> np.ndarray:
-    return np.stack([s[i] for s in states], axis=1).astype(np.float64)
-
-
-def _add_up(df: DataFrame, width: int) -> np.ndarray:
-    """Sums per name of rows (name, values) whose names have a bound."""
-    rows = df.groupBy("name").agg(*[F.sum(F.get("values", F.lit(i))).alias(f"v{i}") for i in range(width)]).collect()
-    out = np.zeros((CONTEXTS + 1, width))
-    for r in rows:
-        out[r[0]] = r[1:]
-    return out
-
-
-def _sums(model: DataFrame, width: int, per_bucket) -> np.ndarray:
-    """CONTEXTS + 1 rows of sums over buckets of what ``per_bucket(counts, bucket)`` gives: a matrix
-    of CONTEXTS rows and a vector, which is the last row."""
+@dataclass
+class State:
+    """A bucket's tables: of each entry, of each group, and root customers and tables per word."""
+
+    entries: np.ndarray
+    groups: np.ndarray
+    customers: np.ndarray
+    tables: np.ndarray
+
+
+def _root(m: Model, t: Totals, customers: np.ndarray, tables: np.ndarray) -> np.ndarray:
+    d, s = m.discounts[2], t.strengths[2]
+    return (customers - d * tables + (s + d * t.root_tables) * m.base) / (s + t.root_customers)
+
+
+def _in_class(m: Model, t: Totals, customers: np.ndarray, tables: np.ndarray, classes: np.ndarray, parent: np.ndarray) -> np.ndarray:
+    d, s = m.discounts[1], t.strengths[1]
+    return (customers - d * tables + (s + d * t.class_tables[classes]) * parent) / (s + t.class_customers[classes])
+
+
+def _with_hot(c: Counts, m: Model, state: State, t: Totals) -> State:
+    """The state with hot words' root customers and tables, which lie in several buckets, from the totals."""
+    hot, at = _known(m.lex.hot, c.words)
+    if not hot.any():
+        return state
+    customers, tables = state.customers.copy(), state.tables.copy()
+    customers[hot], tables[hot] = t.hot_customers[at[hot]], t.hot_tables[at[hot]]
+    return State(state.entries, state.groups, customers, tables)
+
+
+def sweeps(c: Counts, m: Model, number: int) -> Iterator[State]:
+    """The states after 1, 2, ... ``number`` sweeps, each drawn given the totals after the one before."""
+    leaf = c.contexts >= CLASSES
+    classes = c.group_class
+    own = mix64(c.words)[c.index] + mix64(c.contexts.astype(np.uint64) + np.uint64(SEED))
+    between = mix64(c.words)[c.group_word] + mix64(classes.astype(np.uint64) + np.uint64(SEED << 32))
+    ones = np.ones(len(c.counts), np.int64)
+    state = State(ones, np.ones(len(classes), np.int64), np.bincount(c.group_word, minlength=len(c.words)), np.ones(len(c.words), np.int64))
+    for turn in range(number):
+        t = m.totals[turn]
+        state = _with_hot(c, m, state, t)
+        root = _root(m, t, state.customers, state.tables)
+        inside = _in_class(m, t, c.sums(np.where(leaf, state.entries, c.counts)), state.groups, classes, root[c.group_word])
+        salt = np.uint64(mix64(np.array([SEED + turn], np.uint64))[0])
+        entries = c.counts.copy()
+        at = np.flatnonzero(leaf)
+        if len(at):
+            weight = (t.strengths[0] + m.discounts[0] * t.tables[c.contexts[at] - CLASSES]) * inside[c.group[at]]
+            entries[at] = seat(c.counts[at], weight, m.discounts[0], own[at] ^ salt)
+        groups = seat(c.sums(entries), (t.strengths[1] + m.discounts[1] * t.class_tables[classes]) * root[c.group_word], m.discounts[1], between ^ salt)
+        customers = np.bincount(c.group_word, groups, len(c.words)).astype(np.int64)
+        tables = seat(customers, np.full(len(customers), _new_root(m, t)), m.discounts[2], mix64(c.words) ^ salt)
+        state = State(entries, groups, customers, tables)
+        yield state
+
+
+def _new_root(m: Model, t: Totals) -> float:
+    return (t.strengths[2] + m.discounts[2] * t.root_tables) * m.base
+
+
+def _strength(customers: np.ndarray, tables: np.ndarray, discount: float, now: float, rng: np.random.Generator) -> float:
+    """A level's strength from its gamma conditional given the restaurants' totals; of the
+    auxiliary variables the beta ones are drawn and the sums of indicators taken at their mean."""
+    used = customers >= 2
+    c, t = customers[used].astype(float), tables[used].astype(float)
+    if not len(c):
+        return now
+    logs = np.log(np.maximum(rng.beta(now + 1, c - 1), 1e-300)).sum()
+    ones = (now / discount * np.log((now / discount + np.maximum(t, 1) - 0.5) / (now / discount + 0.5))).sum()
+    return float(np.clip(rng.gamma(1 + ones, 1 / (1 - logs)), 1e-3, 1e6))
+
+
+def _sums(table: DataFrame, lex: Lexicon, per_bucket: Callable[[Counts], list[tuple[np.ndarray, np.ndarray]]]) -> np.ndarray:
+    """Sums over buckets of (names, pairs of values); names are those of the classes, contexts and
+    hot words, in this order, and three more."""
+    size = lex.restaurants + len(lex.hot) + 3
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((CONTEXTS + 1, width))
+        total = np.zeros((size, 2))
         for part in batches:
             for i in range(part.num_rows):
-                matrix, vector = per_bucket(merged(_columns(part.slice(i, 1))), part.column("bucket")[i].as_py())
-                total[:CONTEXTS] += matrix
-                total[CONTEXTS] += vector
+                for names, values in per_bucket(merged(_columns(part.slice(i, 1)), lex)):
+                    total[names] += values
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["name", "values"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used, 0]), pa.array(total[used, 1])], names=["name", "x", "y"])
+
+    got = table.mapInArrow(emit, "name long, x double, y double").groupBy("name").agg(F.sum("x").alias("x"), F.sum("y").alias("y")).toArrow()
+    out = np.zeros((size, 2))
+    for i, c in enumerate("xy"):
+        out[got.column("name").to_numpy(), i] = got.column(c).to_numpy()
+    return out
+
 
-    return _add_up(model.mapInArrow(emit, "name int, values array<double>"), width)
+def _dense(names: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The used names and their sums of each of the values."""
+    used, inverse = np.unique(names, return_inverse=True)
+    return used, np.stack([np.bincount(inverse, v, len(used)) for v in values], 1)
+
+
+def fit(training: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Model]:
+    """The bucketed counts of (word, context), and the model's numbers over ``BURN_IN + SAMPLES`` sweeps."""
+    spark = training.sparkSession
+    lex = lexicon(training, buckets)
+    table = materialise(bucketed(counted(training, lex), lex), "model")
+    n, hot = lex.restaurants, len(lex.hot)
+
+    def first(c: Counts):
+        leaf = c.contexts >= CLASSES
+        customers, groups = c.sums(np.where(leaf, 1, c.counts)), np.ones(len(c.group_word))
+        spread = np.bincount(c.group_word, minlength=len(c.words))
+        is_hot, at = _known(lex.hot, c.words)
+        few = np.array([[(x == 1).sum(), (x == 2).sum()] for x in (c.counts[leaf], customers, spread[~is_hot])], float)
+        return [
+            _dense(c.contexts[leaf], c.counts[leaf], np.ones(leaf.sum())), _dense(c.group_class, customers, groups),
+            (n + at[is_hot], np.stack([spread[is_hot], 0 * spread[is_hot]], 1)), (n + hot + np.arange(3), few),
+        ]
+
+    got = _sums(table, lex, first)
+    discounts = tuple(float(np.clip(one / max(one + 2 * two, 1.0), 0.1, 0.95)) for one, two in got[n + hot : n + hot + 3])
+    start = Totals(got[CLASSES:n, 1], got[:CLASSES, 0], got[:CLASSES, 1], float(got[:CLASSES, 1].sum()), float(lex.types), got[n : n + hot, 0], np.ones(hot))
+    m = Model(lex, discounts, got[CLASSES:n, 0], [start])
+
+    def after(c: Counts):
+        state = list(sweeps(c, m, len(m.totals)))[-1]
+        leaf = c.contexts >= CLASSES
+        is_hot, at = _known(lex.hot, c.words)
+        return [
+            _dense(c.contexts[leaf], state.entries[leaf], np.zeros(leaf.sum())), _dense(c.group_class, c.sums(state.entries), state.groups),
+            (n + at[is_hot], np.stack([state.customers[is_hot], 0 * state.customers[is_hot]], 1)), (np.array([n + hot]), np.array([[state.tables[~is_hot].sum(), 0.0]])),
+        ]
+
+    for turn in range(BURN_IN + SAMPLES):
+        got, before = _sums(table, lex, after), m.totals[-1]
+        salt = np.uint64(mix64(np.array([SEED + turn], np.uint64))[0])
+        customers = got[n : n + hot, 0].astype(np.int64)
+        tables = seat(customers, np.full(hot, _new_root(m, before)), discounts[2], mix64(lex.hot) ^ salt)
+        now = Totals(got[CLASSES:n, 0], got[:CLASSES, 0], got[:CLASSES, 1], float(got[:CLASSES, 1].sum()), float(got[n + hot, 0] + tables.sum()), customers, tables)
+        rng = np.random.default_rng([SEED, turn])
+        root = (np.array([now.root_customers]), np.array([now.root_tables]))
+        levels = ((m.customers, now.tables), (now.class_customers, now.class_tables), root)
+        now.strengths = tuple(_strength(c, t, d, s, rng) for (c, t), d, s in zip(levels, discounts, before.strengths, strict=True))
+        m.totals.append(now)
+    return table, m
+
+
+class Scorer:
+    """Averaged predictive probabilities of a bucket's words after any context."""
+
+    def __init__(self, c: Counts, m: Model):
+        self.c, self.m = c, m
+        self.samples = m.totals[BURN_IN + 1 :]
+        self.own, self.inside, self.root = np.zeros((len(self.samples), len(c.counts))), [], []
+        leaf = c.contexts >= CLASSES
+        at = c.contexts[leaf] - CLASSES
+        for j, (t, raw) in enumerate(zip(self.samples, list(sweeps(c, m, BURN_IN + SAMPLES))[BURN_IN:], strict=True)):
+            state = _with_hot(c, m, raw, t)
+            root = _root(m, t, np.append(state.customers, 0), np.append(state.tables, 0))  # the last is for unknown words
+            self.root.append(root)
+            self.inside.append(_in_class(m, t, c.sums(state.entries), state.groups, c.group_class, root[c.group_word]))
+            self.own[j, leaf] = (c.counts[leaf] - m.discounts[0] * state.entries[leaf]) / (t.strengths[0] + m.customers[at])
+        self.groups = c.group_word * CLASSES + c.group_class
+        self.entries = c.index * m.lex.restaurants + c.contexts if len(c.words) else np.zeros(0, np.int64)
+        order = np.argsort(self.entries)
+        self.entries, self.own = self.entries[order], self.own[:, order]
+
+    def __call__(self, word: np.ndarray, contexts: np.ndarray) -> np.ndarray:
+        """Probabilities of words, by their index (one past the last: unknown), after contexts."""
+        m, (d0, d1, _) = self.m, self.m.discounts
+        classes = m.lex.class_of(contexts)
+        grouped, g = _known(self.groups, word * CLASSES + classes)
+        seen, e = _known(self.entries, word * m.lex.restaurants + contexts)
+        leaf = contexts >= CLASSES
+        at = contexts[leaf] - CLASSES
+        total = np.zeros(len(word))
+        for j, t in enumerate(self.samples):
+            s0, s1, _ = t.strengths
+            p = (s1 + d1 * t.class_tables[classes]) / (s1 + t.class_customers[classes]) * self.root[j][word]
+            p[grouped] = self.inside[j][g[grouped]]
+            p[leaf] *= (s0 + d0 * t.tables[at]) / (s0 + m.customers[at])
+            p[leaf & seen] += self.own[j, e[leaf & seen]]
+            total += p
+        return total / len(self.samples)
 
 
 @dataclass
-class HotWords:
-    """Scores of the most frequent words in every context: log10 probabilities (words x CONTEXTS)
-    and their counts."""
+class HotPairs:
+    """The most frequent pairs of a context and a word: their words, sorted (word, context) keys,
+    log10 probabilities and words' counts."""
 
     words: np.ndarray
-    counts: np.ndarray
+    keys: np.ndarray
     logs: np.ndarray
+    counts: np.ndarray
 
 
-def fit(training: DataFrame, buckets: int) -> tuple[DataFrame, Predictor, HotWords]:
-    """The bucketed counts, the corpus-wide numbers of the sampled states, and the hot words."""
-    model = materialise(bucketed(counted(training, buckets)), "model")
-
-    def first(c: Counts, bucket: int):
-        kt = np.bincount(c.contexts, minlength=CONTEXTS)
-        kc = np.bincount(c.contexts, c.counts, CONTEXTS)
-        spread = np.bincount(c.index, minlength=len(c.words))
-        return np.stack([kc, kt, 0 * kt, 0 * kt, 0 * kt, 0 * kt], 1), np.array(
-            [c.counts.sum(), len(c.words), (c.counts == 1).sum(), (c.counts == 2).sum(), (spread == 1).sum(), (spread == 2).sum()], float
-        )
-
-    got = _sums(model, 6, first)
-    tokens, types, n1, n2, r1, r2 = got[CONTEXTS]
-
-    def discount(one: float, two: float) -> float:
-        return float(np.clip(one / max(one + 2 * two, 1.0), 0.1, 0.95))
-
-    s = Settings(int(tokens), int(types), discount(n1, n2), discount(r1, r2), got[:CONTEXTS, 0].copy(), got[:CONTEXTS, 1].copy(), float(got[:CONTEXTS, 1].sum()), float(types))
-
-    def tables(samples: int):
-        def count(c: Counts, bucket: int):
-            states = sweeps(c, s, bucket, samples)
-            matrix = np.stack([np.bincount(c.contexts, t, CONTEXTS) for t, _, _ in states] + [np.zeros(CONTEXTS)] * samples, 1)
-            return matrix, np.array([x[1].sum() for x in states] + [x[2].sum() for x in states], float)
-
-        return count
-
-    burnt = _sums(model, 2, tables(1))  # the restaurants' totals move once to where the sweeps start
-    s.context_tables, s.root_customers, s.root_tables = burnt[:CONTEXTS, 0].copy(), float(burnt[CONTEXTS, 0]), float(burnt[CONTEXTS, 1])
-    totals = _sums(model, 2 * SAMPLES, tables(SAMPLES))
-    predictor = Predictor(s, totals[:CONTEXTS, :SAMPLES].T.copy(), totals[CONTEXTS, :SAMPLES].copy(), totals[CONTEXTS, SAMPLES:].copy())
-    return model, predictor, hot_words(model, predictor)
-
-
-def hot_words(model: DataFrame, predictor: Predictor) -> HotWords:
-    """At most HOT words: those with at least 1 / HOT of the training tokens."""
-    s = predictor.settings
-    least = max(s.tokens / HOT, 1)
+def hot_pairs(table: DataFrame, m: Model) -> HotPairs:
+    """At most HOT pairs: those with at least 1 / HOT of the training tokens."""
+    lex = m.lex
+    shared = table.sparkSession.sparkContext.broadcast(m)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        back = predictor.back
+        own = shared.value
         for part in batches:
             for i in range(part.num_rows):
-                c = merged(_columns(part.slice(i, 1)))
-                totals = c.totals
-                hot = np.flatnonzero(totals >= least)
-                if not len(hot):
-                    continue
-                states = sweeps(c, s, part.column("bucket")[i].as_py(), SAMPLES)
-                tables, root = _stacked(states, 0), predictor.root(_stacked(states, 1), _stacked(states, 2))
-                own = predictor.own(c.counts, tables, c.contexts)
-                p = root[hot] @ back.T / SAMPLES
-                for j, w in enumerate(hot):
-                    mine = c.index == w
-                    p[j, c.contexts[mine]] += own[mine]
-                rows = [(c.words[w].tobytes(), int(totals[w]), np.log10(p[j]).tobytes()) for j, w in enumerate(hot)]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), (pa.binary(), pa.int64(), pa.binary()), strict=True)], names=["word", "n", "logs"])
-
-    rows = model.mapInArrow(emit, "word binary, n long, logs binary").collect()
-    found = sorted((np.frombuffer(bytes(r[0]), np.uint64)[0], r[1], bytes(r[2])) for r in rows)
-    logs = np.frombuffer(b"".join(x[2] for x in found), np.float64).reshape(len(found), CONTEXTS)
-    return HotWords(np.array([x[0] for x in found], np.uint64), np.array([x[1] for x in found], np.int64), logs)
-
-
-def _base(counts: np.ndarray, s: Settings) -> np.ndarray:
-    return np.log10((counts + 0.1) / (s.tokens + 0.1 * (s.types + 1)))
+                c = merged(_columns(part.slice(i, 1)), own.lex)
+                hot = np.flatnonzero(c.counts * HOT >= own.lex.tokens)
+                if len(hot):
+                    p = Scorer(c, own)(c.index[hot], c.contexts[hot])
+                    yield pa.RecordBatch.from_arrays([pa.array(c.words[c.index[hot]].view(np.int64)), pa.array(c.contexts[hot]), pa.array(np.log10(p))], names=["word", "context", "log"])
 
+    got = table.mapInArrow(emit, "word long, context long, log double").toArrow()
+    word, context, logs = (got.column(c).to_numpy() for c in ("word", "context", "log"))
+    names = np.unique(word.view(np.uint64))
+    keys = np.searchsorted(names, word.view(np.uint64)) * lex.restaurants + context
+    order = np.argsort(keys)
+    return HotPairs(names, keys[order], logs[order], lex.hot_counts[np.searchsorted(lex.hot, names)])
 
-def _known(places: np.ndarray, values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Whether each value is among the sorted ``places``, and where (0 if not)."""
-    at = np.searchsorted(places, values)
-    at = np.where(at < len(places), at, 0)
-    return (places[at] == values if len(places) else np.zeros(len(values), bool)), at
 
+def _base(counts: np.ndarray, lex: Lexicon) -> np.ndarray:
+    return np.log10((counts + 0.1) / (lex.tokens + 0.1 * (lex.types + 1)))
 
-def tokens_to_buckets(docs: DataFrame, buckets: int, predictor: Predictor, hot: HotWords) -> DataFrame:
+
+def tokens_to_buckets(docs: DataFrame, m: Model, hot: HotPairs) -> DataFrame:
     """Packed tokens per step and bucket (numbers: the text's place in its step), and a local row
-    per step: doc_ids, tokens per text, and the partial sums of its hot words."""
-    shared = docs.sparkSession.sparkContext.broadcast(hot)
-    s = predictor.settings
+    per step: doc_ids, tokens per text, and the partial sums of its hot pairs."""
+    shared = docs.sparkSession.sparkContext.broadcast((m.lex, hot))
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = shared.value
-        base = _base(own.counts, s)
+        lex, own = shared.value
+        base = _base(own.counts, lex)
         for nth, part in enumerate(chunks(batches, "text", STEP_BYTES)):
             chunk = (TaskContext.get().partitionId() << 24) + nth
-            t = step(part.column("text"), buckets)
-            is_hot, at = _known(own.words, t.hashes)
-            mine = is_hot[t.codes]
+            t = step(part.column("text"), lex)
+            there, word = _known(own.words, t.hashes)
+            paired, at = _known(own.keys, np.where(there, word, -1)[t.codes] * lex.restaurants + t.contexts)
             n = part.num_rows
-            w, k, r = at[t.codes[mine]], t.contexts[mine], t.rows[mine]
-            sums = [np.bincount(r, x, n) for x in (own.logs[w, k] if len(w) else w, base[w] if len(w) else w, np.ones(len(w)))]
+            r, w = t.rows[paired], word[t.codes[paired]]
+            sums = [np.bincount(r, x, n) for x in (own.logs[at[paired]], base[w] if len(w) else w, np.ones(len(w)))]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            local = {"bucket": (TaskContext.get().partitionId() + 7919 * nth) % buckets, "kind": LOCAL, "chunk": chunk, "words": ids.tobytes(), "per": np.bincount(t.rows, minlength=n).astype(np.uint32).tobytes(), "contexts": sums[2].astype(np.uint32).tobytes(), "numbers": np.concatenate(sums[:2]).tobytes()}
-            rest = np.flatnonzero(~mine)
-            order = rest[np.argsort(t.codes[rest], kind="stable")]
-            yield _batch([local, *_split(t, t.codes[order], t.contexts[order], t.rows[order], TOKENS, chunk)])
+            local = {"bucket": (TaskContext.get().partitionId() + 7919 * nth) % lex.buckets, "kind": LOCAL, "chunk": chunk, "words": ids.tobytes(), "per": np.bincount(t.rows, minlength=n).astype(np.uint32).tobytes(), "contexts": sums[2].astype(np.uint32).tobytes(), "numbers": np.concatenate(sums[:2]).tobytes()}
+            yield _batch([local, *_split(t, np.flatnonzero(~paired), t.rows, TOKENS, chunk)])
 
     return docs.select("doc_id", "text").mapInArrow(emit, PACKED)
 
@@ -414,44 +609,35 @@ PARTIAL = "chunk long, ids binary, lengths binary, rows binary, score binary, ba
 _PARTIAL = pa.schema([("chunk", pa.int64())] + [(c, pa.binary()) for c in ("ids", "lengths", "rows", "score", "base", "known")])
 
 
-def scored_in_buckets(model: DataFrame, tokens: DataFrame, predictor: Predictor) -> DataFrame:
+def scored_in_buckets(table: DataFrame, tokens: DataFrame, m: Model) -> DataFrame:
     """Partial sums per step of a scan: the texts' places with the sums of one bucket's words."""
-    s = predictor.settings
+    shared = table.sparkSession.sparkContext.broadcast(m)
 
-    def score(table: pa.Table) -> pa.Table:
-        kinds = table.column("kind").to_numpy()
-        out = []
-        for r in table.filter(pa.array(kinds == LOCAL)).to_pylist():
+    def score(rows: pa.Table) -> pa.Table:
+        own, kinds = shared.value, rows.column("kind").to_numpy()
+        lex, out = own.lex, []
+        for r in rows.filter(pa.array(kinds == LOCAL)).to_pylist():
             n = len(r["per"]) // 4
             sums = np.frombuffer(r["numbers"], np.float64)
             out.append({"chunk": r["chunk"], "ids": r["words"], "lengths": r["per"], "rows": np.arange(n, dtype=np.uint32).tobytes(), "score": sums[:n].tobytes(), "base": sums[n:].tobytes(), "known": r["contexts"]})
-        c = merged(_columns(table, kinds == MODEL))
-        if len(c.words):
-            states = sweeps(c, s, table.column("bucket")[0].as_py(), SAMPLES)
-            root = predictor.root(_stacked(states, 1), _stacked(states, 2))
-            own = predictor.own(c.counts, _stacked(states, 0), c.contexts)
-            del states
-        else:
-            root, own = np.zeros((0, SAMPLES)), np.zeros(0)
-        keys, totals, back = c.index * CONTEXTS + c.contexts, c.totals, predictor.back
-        root = np.concatenate([root, predictor.unknown[None]])
-        totals = np.append(totals, 0)
-        base = _base(totals, s)
-        for r in table.filter(pa.array(kinds == TOKENS)).to_pylist():
-            mine, per, contexts, rows = unpacked({x: [r[x]] for x in ("words", "per", "contexts", "numbers")})
+        c = merged(_columns(rows, kinds == MODEL), lex, lex.hot)
+        probability = Scorer(c, own)
+        totals = np.append(np.bincount(c.index, c.counts, len(c.words)), 0)
+        totals[np.searchsorted(c.words, lex.hot)] = lex.hot_counts
+        base = _base(totals, lex)
+        for r in rows.filter(pa.array(kinds == TOKENS)).to_pylist():
+            mine, per, contexts, texts = unpacked({x: [r[x]] for x in ("words", "per", "contexts", "numbers")})
             known, at = _known(c.words, mine)
             at = np.repeat(np.where(known, at, len(c.words)), per)
-            p = np.einsum("is,is->i", root[at], back[contexts]) / SAMPLES
-            seen, where = _known(keys, at * CONTEXTS + contexts)
-            p[seen] += own[where[seen]]
-            place, inverse = np.unique(rows, return_inverse=True)
+            logs = np.log10(probability(at, contexts.astype(np.int64)))
+            place, inverse = np.unique(texts, return_inverse=True)
             out.append({
-                "chunk": r["chunk"], "ids": None, "lengths": None, "rows": place.astype(np.uint32).tobytes(), "score": np.bincount(inverse, np.log10(p)).tobytes(),
+                "chunk": r["chunk"], "ids": None, "lengths": None, "rows": place.astype(np.uint32).tobytes(), "score": np.bincount(inverse, logs).tobytes(),
                 "base": np.bincount(inverse, base[at]).tobytes(), "known": np.bincount(inverse, totals[at] > 0).astype(np.uint32).tobytes(),
             })
         return pa.Table.from_pylist(out, schema=_PARTIAL)
 
-    return model.unionByName(tokens).groupBy("bucket").applyInArrow(score, PARTIAL)
+    return table.unionByName(tokens).groupBy("bucket").applyInArrow(score, PARTIAL)
 
 
 def gathered(partial: DataFrame) -> DataFrame:
@@ -470,17 +656,16 @@ def gathered(partial: DataFrame) -> DataFrame:
     return partial.groupBy("chunk").applyInArrow(gather, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def scores(docs: DataFrame, training: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Predictor]:
+def scores(docs: DataFrame, training: DataFrame, buckets: int | None = None) -> tuple[DataFrame, Model]:
     """Scores of ``docs`` (doc_id, text without nulls) under the model of ``training`` (text)."""
-    buckets = buckets or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    model, predictor, hot = fit(training, buckets)
-    partial = scored_in_buckets(model, tokens_to_buckets(docs, buckets, predictor, hot), predictor)
-    return gathered(partial), predictor
+    with arrow_bytes(docs.sparkSession):
+        table, m = fit(training, buckets)
+    return gathered(scored_in_buckets(table, tokens_to_buckets(docs, m, hot_pairs(table, m)), m)), m
 
 
 def op2_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scores of all documents; the model learns from nine folds of ten."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(doc_id(), text_or_empty().alias("text"))
     held = F.crc32(F.col("doc_id").cast("string").cast("binary")) % FOLDS == 0
-    got, predictor = scores(docs, docs.where(~held))
-    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(predictor.settings.tokens).cast("long").alias("train_tokens"), "base_score", "score")
+    got, m = scores(docs, docs.where(~held))
+    return got.select("doc_id", held.alias("held_out"), "n_tokens", "n_known", F.lit(m.lex.tokens).cast("long").alias("train_tokens"), "base_score", "score")

@@ -1,100 +1,125 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Rows of equal text form a group and stay in one shard. The groups are first gathered into a
-bounded number of bundles by a hash of the text; a group too large for a bundle stands alone, and
-one that would overfill a shard is cut into pieces by ``doc_id``. Only the bundles' three sums
-reach the driver (at most ``3 * bundles`` large groups by the pigeonhole principle), which places
-them in falling size, each where the dot product of its vector with the shards' residual capacity
-is highest. Numbering inside a shard is done per bundle, so that no task holds a whole shard.
-
-Defined cases: a null text counts as empty, with size 1 and no token; an empty table gives an
-empty result; repeated rows are separate rows of one group; other columns are not read.
+Rows of equal text form a group and stay in one shard, unless the group is more than half a shard:
+a group is cut into as many pieces as it has halves of a shard. Each group goes where the dot product
+of its vector (bytes, tokens, rows) with the shards' residual capacity is highest, in falling size.
+Groups and pieces of at least 1 / ``LARGE`` of any total, at most three times LARGE of them, are
+placed first, on the driver. The residual capacity that they leave is shared out evenly to buckets
+of all other groups, and each bucket's groups are placed against its own part: the last ones placed
+are the smallest, so every bucket ends near even.
+
+Rows are numbered when they are measured. Slots follow from a rank inside a part of a shard, a part
+being some of these numbers, plus the sizes of the parts before, so no task holds a whole shard or
+a whole group.
+
+Defined cases: a null text counts as empty, with size 1 and no token; an empty table gives an empty
+result; repeated rows are separate rows of one group; equal sizes are placed in the order of the
+group's hash; a long text counts with all its bytes; other columns are not read.
 """
 
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession, Window
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.llm.text import doc_id, text_or_empty
-from tessella.plans import materialise
+from tessella.plans import materialise, scratch
 
 SHARDS = 16
-#: Bundles per run. It bounds what the driver holds and sets the grain of the balance.
-BUNDLES = 8192
+#: A group of at least 1 / LARGE of all bytes, tokens or rows is placed on the driver.
+LARGE = 8192
+#: Groups that one bucket places, and rows that one part numbers, on average.
+BUCKET_GROUPS, PART_ROWS = 20_000, 50_000
+DIMENSIONS = ("size", "tokens", "rows")
 
 
-def measured(docs: DataFrame, bundles: int = BUNDLES) -> DataFrame:
-    """One row per document: size in bytes plus one, tokens, checksum, the hash of its text and
-    the bundle that this hash falls in."""
+def measured(docs: DataFrame) -> DataFrame:
+    """One row per document with a number of its own: size in bytes plus one, tokens, checksum and
+    the hash of its text."""
     text = text_or_empty()
     ascii_words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     return docs.select(
         doc_id(),
-        (F.octet_length(F.col("text").cast("string")) + 1).cast("long").alias("_size"),
+        F.coalesce(F.octet_length(F.col("text").cast("string")) + 1, F.lit(1)).cast("long").alias("size"),
         F.size(ascii_words).cast("long").alias("tokens"),
         F.crc32(text.cast("binary")).cast("long").alias("text_crc32"),
         F.xxhash64(text, F.lit(7)).alias("group"),
-    ).select(
-        "doc_id", F.coalesce("_size", F.lit(1)).cast("long").alias("size"), "tokens", "text_crc32", "group",
-        F.pmod("group", F.lit(bundles)).cast("int").alias("bundle"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
-def place(vectors: np.ndarray, shards: int, capacity: np.ndarray | None = None) -> np.ndarray:
-    """Vector bin packing of rows of ``vectors`` (items x dimensions): in falling size, each goes
-    where the dot product with the residual capacity is highest. Ties go to the lowest shard.
-
-    The vectors are scaled so that one is a shard's fair share, and residuals may turn negative:
-    the least overfull shard then has the highest product."""
-    share = np.maximum(vectors.sum(0) / shards, 1e-12) if capacity is None else capacity
-    scaled = vectors / share
-    residual = np.ones((shards, vectors.shape[1]))
+def place(vectors: np.ndarray, shards: int, residual: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """The shard of each row of ``vectors`` (items x dimensions, in units of a shard's capacity) and
+    what capacity is left: in falling size, each goes where the dot product with the residual
+    capacity is highest, ties to the lowest shard. Residuals may turn negative: the least overfull
+    shard then has the highest product."""
+    left = np.ones((shards, vectors.shape[1])) if residual is None else residual.copy()
     where = np.zeros(len(vectors), np.int64)
-    for i in np.argsort(-scaled.max(1), kind="stable"):
-        where[i] = k = int(np.argmax(residual @ scaled[i]))
-        residual[k] -= scaled[i]
-    return where
+    for i in np.argsort(-vectors.max(1), kind="stable"):
+        where[i] = k = int(np.argmax(left @ vectors[i]))
+        left[k] -= vectors[i]
+    return where, left
+
+
+def _matrix(rows: list, share: np.ndarray) -> np.ndarray:
+    return np.array([[r[k] for k in DIMENSIONS] for r in rows], float).reshape(-1, len(DIMENSIONS)) / share
+
+
+def place_small(groups: DataFrame, buckets: int, share: np.ndarray, residual: np.ndarray) -> DataFrame:
+    """(group, shard) of groups that no one bucket or task need know all of."""
+    part = residual / buckets
 
+    def pack(table: pa.Table) -> pa.Table:
+        table = table.sort_by("group")
+        vectors = np.stack([table.column(k).to_numpy() for k in DIMENSIONS], 1) / share
+        return pa.table({"group": table.column("group"), "shard": pa.array(place(vectors, len(part), part)[0], pa.int32())})
 
-def shard(docs: DataFrame, shards: int = SHARDS, bundles: int = BUNDLES) -> DataFrame:
+    dealt = groups.withColumn("bucket", F.pmod(F.xxhash64("group"), F.lit(buckets)))
+    return dealt.groupBy("bucket").applyInArrow(pack, "group long, shard int")
+
+
+def slots(rows: DataFrame, parts: int) -> DataFrame:
+    """``rows`` with a gapless ``slot`` in each ``shard``; ``number`` tells rows apart."""
+    dealt = rows.withColumn("part", F.pmod(F.xxhash64("number"), F.lit(parts)))
+    sizes = materialise(dealt.groupBy("shard", "part").agg(F.count(F.lit(1)).alias("n")), "shard-parts")
+    before = sizes.select("shard", "part", (F.sum("n").over(Window.partitionBy("shard").orderBy("part")) - F.col("n")).alias("before"))
+    rank = F.row_number().over(Window.partitionBy("shard", "part").orderBy("number"))
+    return dealt.withColumn("nth", rank).join(before, ["shard", "part"]).withColumn("slot", (F.col("before") + F.col("nth") - 1).cast("long"))
+
+
+def shard(docs: DataFrame, shards: int = SHARDS, large: int = LARGE) -> DataFrame:
     """``docs`` with doc_id, size, text_crc32, tokens, group, shard and a gapless slot."""
     spark = docs.sparkSession
-    rows = materialise(measured(docs, bundles), "shard-rows")
-    sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).cast("long").alias("rows")]
-    total = rows.agg(*sums).first()
-    whole = [max(1, total[k] or 0) for k in ("size", "tokens", "rows")]
-    groups = rows.groupBy("group").agg(*sums)
-    ratio = F.greatest(*[F.col(k) * bundles / w for k, w in zip(("size", "tokens", "rows"), whole, strict=True)])
-    # a group of more than a bundle's share is an item of its own: at most three times as many as bundles
-    large = groups.where(ratio > 1).select("group", *("size", "tokens", "rows")).collect()
-    pieces = {}
-    for g in large:
-        part = max(g[k] * shards / w for k, w in zip(("size", "tokens", "rows"), whole, strict=True))
-        pieces[g["group"]] = 1 if part <= 0.5 else int(np.ceil(part * 32))  # of a thirty-second of a shard each
-    own = spark.createDataFrame(
-        [(g, bundles + i, n) for i, (g, n) in enumerate(sorted(pieces.items()))], "group long, own int, pieces int"
-    )
-    items = rows.join(F.broadcast(own), "group", "left").select(
-        "doc_id", "size", "tokens", "text_crc32", "group",
-        F.coalesce("own", "bundle").alias("bundle"),
-        F.coalesce(F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.lit(0)).cast("int").alias("piece"),
-    )
-    vectors = sorted(items.groupBy("bundle", "piece").agg(*sums).collect(), key=lambda r: (r["bundle"], r["piece"]))
-    at = place(np.array([[r["size"], r["tokens"], r["rows"]] for r in vectors], float).reshape(-1, 3), shards)
-    before = [0] * shards
-    placed = []
-    for r, k in zip(vectors, at.tolist(), strict=True):
-        placed.append((r["bundle"], r["piece"], k, before[k]))
-        before[k] += r["rows"]
-    table = spark.createDataFrame(placed, "bundle int, piece int, shard int, before long")
-    order = Window.partitionBy("bundle", "piece").orderBy("doc_id", "text_crc32")
-    return (
-        items.withColumn("nth", F.row_number().over(order))
-        .join(F.broadcast(table), ["bundle", "piece"])
-        .select("doc_id", "size", "tokens", "text_crc32", "group", "shard", (F.col("before") + F.col("nth") - 1).alias("slot"))
-    )
+    with scratch(spark) as result:
+        rows = materialise(measured(docs), "shard-rows")
+        sums = [F.sum("size").alias("size"), F.sum("tokens").alias("tokens"), F.count(F.lit(1)).cast("long").alias("rows")]
+        groups = materialise(rows.groupBy("group").agg(*sums), "shard-groups")
+        total = groups.agg(*[F.coalesce(F.sum(k), F.lit(0)).alias(k) for k in DIMENSIONS], F.count(F.lit(1)).alias("groups")).first()
+        share = np.array([max(1, total[k]) / shards for k in DIMENSIONS])
+
+        def part(column: str, i: int) -> Column:
+            return F.col(column) / F.lit(float(share[i]))
+
+        most = F.greatest(*[part(k, i) for i, k in enumerate(DIMENSIONS)])
+        heavy = groups.withColumn("most", most).where(F.col("most") >= shards / large).collect()  # at most three times ``large``
+        pieces = {g["group"]: int(np.ceil(2 * g["most"])) for g in heavy}
+        cut = spark.createDataFrame(sorted(pieces.items()), "group long, pieces int")
+        tagged = rows.join(F.broadcast(cut), "group", "left").withColumn("piece", F.when(F.col("pieces").isNotNull(), F.pmod(F.xxhash64("number", F.lit(3)), F.col("pieces"))).cast("int"))
+        tagged = tagged.drop("pieces")
+        own = sorted(tagged.where("piece is not null").groupBy("group", "piece").agg(*sums).collect(), key=lambda r: (r["group"], r["piece"]))
+        at, residual = place(_matrix(own, share), shards)
+        placed = spark.createDataFrame([(r["group"], r["piece"], int(k)) for r, k in zip(own, at, strict=True)], "group long, piece int, shard int")
+        buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["groups"] // BUCKET_GROUPS)
+        small = place_small(groups.join(F.broadcast(cut), "group", "left_anti"), buckets, share, residual)
+        # a small group has less than 1 / large of the rows, a large one is looked up by broadcast
+        columns = ["doc_id", "size", "tokens", "text_crc32", "group", "number", "shard"]
+        both = tagged.where("piece is null").join(materialise(small, "shard-small"), "group").select(*columns).unionByName(
+            tagged.where("piece is not null").join(F.broadcast(placed), ["group", "piece"]).select(*columns)
+        )
+        numbered = slots(materialise(both, "shard-placed"), max(8, total["rows"] // shards // PART_ROWS))
+        return result(numbered.select("doc_id", "size", "tokens", "text_crc32", "group", "shard", "slot"), "shards")
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,15 +5,20 @@ triples were scanned and what was found. A run scans each unseen triple once, wh
 paths carry the blob, appends to the ledger, and joins the findings back to all paths. Raising a
 rule's version rescans all blobs with that rule only.
 
+A ledger is kept in a folder: a run reads what is there, scans what is missing, and appends it in
+one commit, so a run that fails leaves the folder as it was. Rows of a blob lie together by rule.
+
 Defined cases: a null text counts as empty and finds nothing; copies are scanned once and each
-gets the findings; spans count code points, the end is exclusive; an empty table gives an empty
-result; other columns are not read.
+gets the findings; spans count code points, the end is exclusive; of spans with one start the kinds
+are listed in the rules' order; a long text is scanned whole; repeated rows are rows of their own;
+an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -21,8 +26,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, doc_id, text_or_empty
+from tessella.llm.text import arrow_bytes, chunks, doc_id, text_or_empty
 from tessella.plans import materialise
+from tessella.plans.materialise import shared_dir
 
 
 @dataclass(frozen=True)
@@ -124,16 +130,28 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...
     current = ledger.withColumn("rank", F.element_at(rank, F.concat_ws(":", "kind", "version"))).where("rank is not null and size(spans) > 0")
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
     per = current.select("blob", spans.alias("s")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
+    # at most one ledger row per rule is gathered; written first, so that the paths of one frequent blob can be split
+    per = materialise(per, "found")
     nothing = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
     return paths.join(per, "blob", "left").withColumn("found", F.coalesce("found", nothing))
 
 
-def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, ledger: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
-    """The paths with their findings, and the ledger with this run's rows. Only rows with a finding
-    or, where a ledger is kept, all new rows are written."""
-    new = materialise(scan(distinct_blobs(docs), rules, None if ledger is None else ledger.select("blob", "kind", "version")), "ledger")
-    whole = new if ledger is None else ledger.unionByName(new)
-    return findings_by_path(blobs(docs), whole, rules), whole
+def read_ledger(spark: SparkSession, at: str) -> DataFrame:
+    """The ledger in the folder ``at``; empty if it holds none yet."""
+    spark.createDataFrame([], LEDGER).write.mode("ignore").parquet(at)
+    return spark.read.schema(LEDGER).parquet(at)
+
+
+def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, at: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """The paths with their findings, and the ledger in the folder ``at`` (a new one if none is
+    named) with this run's rows appended: one per unseen blob and rule version, found or not."""
+    spark = docs.sparkSession
+    at = at or f"{shared_dir(spark)}/tessella/ledger-{uuid.uuid4().hex}"
+    seen = read_ledger(spark, at)
+    with arrow_bytes(spark):
+        scan(distinct_blobs(docs), rules, None if seen.isEmpty() else seen.select("blob", "kind", "version")).write.mode("append").parquet(at)
+    ledger = spark.read.schema(LEDGER).parquet(at)
+    return findings_by_path(blobs(docs), ledger, rules), ledger
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,18 +2,21 @@
 
 Listed rules decide the urls they fit and label them. For all others a tree is learnt per host:
 a url's path is a chain of segments; a segment with a digit, or one whose siblings are many and
-thinly spread, is generalised into a wildcard; a branch whose share of urls
-known to be blocked does not differ from its parent's by a two-proportion test is merged into a
-shared branch. Each remaining node is a template with a purity, the share of blocked urls among its
-labelled ones, smoothed towards ``NEUTRAL`` so that a template without labels is not rejected. A url takes the purity of its deepest
-template and is blocked at ``reject`` or more.
+thinly spread, is generalised into a wildcard. A branch is merged with its siblings into a shared
+branch where it is statistically like them: none of its shares of blocked, allowed and unlabelled
+urls differs from the share among its siblings' urls by more than ``Z`` standard errors. Each
+remaining node is a template with a purity, the share of blocked urls among its labelled ones,
+smoothed towards ``NEUTRAL`` so that a template without labels is not rejected. A url takes the
+purity of its deepest template and is blocked at ``reject`` or more.
 
 The tree is built level by level with grouped counts, so a host with a third of all pages is
-combined before each shuffle, and urls of one host never meet in one task.
+combined before each shuffle, and urls of one host never meet in one task. What urls and chains are
+joined with is written first, so that adaptive execution can split a host of many chains.
 
 Defined cases: a url that is null or has no ``://`` has empty host and path and is judged by the
-root of the empty host; repeated urls count as often as they stand; an empty table gives an empty
-result; other columns are not read.
+root of the empty host; repeated urls count as often as they stand; of fitting rules of equal length
+the later listed wins; the segments below the last level of a long path are one segment, and no url
+is cut; an empty table gives an empty result; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,7 +24,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.plans import materialise
+from tessella.plans import materialise, scratch
 
 #: Rules of the query: verdict, host, path.
 RULES = (
@@ -37,7 +40,7 @@ DEPTH = 4
 CHILDREN, THIN = 16, 8.0
 #: The purity that no label gives, its weight in labelled urls, and the standard errors of a
 #: difference that counts.
-NEUTRAL, PRIOR, Z = 0.25, 8.0, 2.0
+NEUTRAL, PRIOR, Z = 0.25, 8.0, 3.0
 REJECT = 0.5
 WILD = "*"
 
@@ -73,59 +76,78 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
     )
 
 
+def unlike(own: dict[str, Column], parent: dict[str, Column]) -> Column:
+    """Whether a branch's urls (n, labelled, blocked) differ from those of its siblings, which are the
+    parent's without its own; false without siblings."""
+    rest = {k: parent[k] - own[k] for k in own}
+
+    def shares(of: dict[str, Column]) -> list[tuple[Column, Column]]:
+        kinds = (of["blocked"], of["labelled"] - of["blocked"], of["n"] - of["labelled"])
+        p = [(k + 1.0) / (of["n"] + 3.0) for k in kinds]
+        return [(x, x * (1 - x) / (of["n"] + 3.0)) for x in p]
+
+    out = F.lit(False)
+    for (p, v), (q, w) in zip(shares(own), shares(rest), strict=True):
+        out = out | (F.abs(p - q) > Z * F.sqrt(v + w))
+    return out & (rest["n"] > 0)
+
+
+COUNTS = ("n", "labelled", "blocked")
+
+
 def judged(pages: DataFrame, rules=RULES, depth: int = DEPTH, reject: float = REJECT) -> DataFrame:
     """page_id, host, path, rule, verdict, template and purity of every page."""
     host, path = parts(F.col("url"))
     split = pages.select("page_id", host.alias("host"), path.alias("path"))
     rule, verdict = matched(F.col("host"), F.col("path"), rules)
-    rows = materialise(
-        split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), segments(F.col("path"), depth).alias("segments")),
-        "urls",
-    )
-    # the counts of each distinct chain are all that the tree needs
-    counts = [F.sum("n").alias("n"), F.sum("labelled").alias("labelled"), F.sum("blocked").alias("blocked")]
-    chains = rows.groupBy("host", "segments").agg(
-        F.count(F.lit(1)).alias("n"), F.count("listed").alias("labelled"), F.count_if(F.col("listed") == "block").alias("blocked")
-    )
-    purity = (F.col("blocked") + PRIOR * NEUTRAL) / (F.col("labelled") + PRIOR)
-    roots = chains.groupBy("host").agg(*counts).select(
-        "host", F.lit("").alias("template"), purity.alias("purity"), F.col("n").alias("pn"), F.col("blocked").alias("pb")
-    )
-    tree = materialise(chains.join(roots, "host"), "tree-0")
-    for level in range(depth):
-        here = tree.withColumn("segment", F.get("segments", F.lit(level)))
-        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(
-            *counts, F.max("pn").alias("pn"), F.max("pb").alias("pb")
-        )
-        fixed = F.col("segment") != WILD
-        spread = children.groupBy("host", "template").agg(
-            (F.count_if(fixed) > CHILDREN).alias("many"),
-            (F.sum(F.when(fixed, F.col("n"))) < THIN * F.count_if(fixed)).alias("thin"),
-        )
-        pooled = (F.col("pb") + 1.0) / (F.col("pn") + 2.0)
-        gap = F.abs((F.col("blocked") + 1.0) / (F.col("n") + 2.0) - pooled)
-        differs = gap > Z * F.sqrt(pooled * (1 - pooled) * (1 / (F.col("n") + 2.0) + 1 / (F.col("pn") + 2.0)))
-        varies = (F.coalesce("many", F.lit(False)) & F.coalesce("thin", F.lit(False))) | ~fixed
-        named = children.join(spread, ["host", "template"]).withColumn(
-            "branch", F.when(varies | ~differs, F.lit(WILD)).otherwise(F.col("segment"))
-        )
-        branches = named.groupBy("host", "template", "branch").agg(*counts).select(
-            "host", "template", "branch", purity.alias("p"), F.col("n").alias("bn"), F.col("blocked").alias("bb")
+    with scratch(pages.sparkSession) as result:
+        rows = materialise(
+            split.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("listed"), segments(F.col("path"), depth).alias("segments")),
+            "urls",
+        )
+        # the counts of each distinct chain are all that the tree needs
+        counts = [F.sum(k).alias(k) for k in COUNTS]
+        chains = rows.groupBy("host", "segments").agg(
+            F.count(F.lit(1)).alias("n"), F.count("listed").alias("labelled"), F.count_if(F.col("listed") == "block").alias("blocked")
         )
-        given = named.select("host", "template", "segment", "branch").join(branches, ["host", "template", "branch"])
-        tree = materialise(
-            here.join(given, ["host", "template", "segment"], "left").select(
-                "host", "segments", "n", "labelled", "blocked",
-                F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template"),
-                F.coalesce("p", "purity").alias("purity"), F.coalesce("bn", "pn").alias("pn"), F.coalesce("bb", "pb").alias("pb"),
-            ),
-            f"tree-{level + 1}",
+        chains = materialise(chains, "chains")
+        purity = (F.col("blocked") + PRIOR * NEUTRAL) / (F.col("labelled") + PRIOR)
+        of_parent = [F.col(k).alias(f"p_{k}") for k in COUNTS]
+        roots = materialise(chains.groupBy("host").agg(*counts).select("host", F.lit("").alias("template"), purity.alias("purity"), *of_parent), "roots")
+        tree = materialise(chains.join(roots, "host"), "tree-0")
+        for level in range(depth):
+            here = tree.withColumn("segment", F.get("segments", F.lit(level)))
+            children = here.where("segment is not null").groupBy("host", "template", "segment").agg(*counts, *[F.max(f"p_{k}").alias(f"p_{k}") for k in COUNTS])
+            children = materialise(children, f"children-{level}")
+            fixed = F.col("segment") != WILD
+            spread = children.groupBy("host", "template").agg(
+                (F.count_if(fixed) > CHILDREN).alias("many"),
+                (F.sum(F.when(fixed, F.col("n"))) < THIN * F.count_if(fixed)).alias("thin"),
+            )
+            differs = unlike({k: F.col(k) for k in COUNTS}, {k: F.col(f"p_{k}") for k in COUNTS})
+            varies = (F.coalesce("many", F.lit(False)) & F.coalesce("thin", F.lit(False))) | ~fixed
+            named = children.join(materialise(spread, f"spread-{level}"), ["host", "template"]).withColumn(
+                "branch", F.when(varies | ~differs, F.lit(WILD)).otherwise(F.col("segment"))
+            )
+            named = materialise(named.select("host", "template", "segment", "branch", *COUNTS), f"named-{level}")
+            branches = materialise(
+                named.groupBy("host", "template", "branch").agg(*counts).select("host", "template", "branch", purity.alias("b_purity"), *[F.col(k).alias(f"b_{k}") for k in COUNTS]), f"branches-{level}"
+            )
+            given = materialise(named.select("host", "template", "segment", "branch").join(branches, ["host", "template", "branch"]), f"given-{level}")
+            tree = materialise(
+                here.join(given, ["host", "template", "segment"], "left").select(
+                    "host", "segments", *COUNTS,
+                    F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template"),
+                    F.coalesce("b_purity", "purity").alias("purity"), *[F.coalesce(f"b_{k}", f"p_{k}").alias(f"p_{k}") for k in COUNTS],
+                ),
+                f"tree-{level + 1}",
+            )
+        placed = rows.join(tree.select("host", "segments", "template", "purity"), ["host", "segments"])
+        final = placed.select(
+            "page_id", "host", "path", "rule",
+            F.coalesce("listed", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity",
         )
-    placed = rows.join(tree.select("host", "segments", "template", "purity"), ["host", "segments"])
-    return placed.select(
-        "page_id", "host", "path", "rule",
-        F.coalesce("listed", F.when(F.col("purity") >= reject, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"), "template", "purity",
-    )
+        return result(final, "judged")
 
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

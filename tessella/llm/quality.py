@@ -1,19 +1,22 @@
 """Quality classifier: random-indexing word vectors, pooled, and a two-layer network.
 
 Every term has a sparse random index vector that follows from its hash. A term's word vector is the
-sum of the index vectors that stand next to it in a bounded sample of labelled documents; terms
-share a bounded number of slots, so the table that tasks receive has a fixed size. A document is
+sum of the index vectors that stand next to it in all documents; terms share a bounded number of
+slots, so the table that tasks receive has a fixed size, and each task adds up its own table before
+the shuffle. A document is
 pooled into the directions of the means of its terms' word and index vectors, the means' lengths,
 which tell repetition as do its largest and summed squared shares, and the shares of character classes. A two-layer network over these is
-trained on the sample on the driver, where only one vector per sampled document arrives; its
-temperature is set on a part of the sample that the weights have not seen. Scoring reads each text
-once where it lies and shuffles nothing.
+trained on a bounded sample of labelled documents on the driver, where only one vector per sampled
+document arrives; its temperature is set on a part of the sample that the weights have not seen.
+Scoring reads each text once where it lies and shuffles nothing.
 
 Terms are runs of letters, digits or symbols, in lower case, and one mark for each run's case and
 kind, so that the form of a text counts as well as its words.
 
-Defined cases: a null or empty text is scored from a zero vector; documents without a label are
-scored like others; without labelled rows of both classes every score is 0.5; only ``doc_id`` and
+Defined cases: a null or empty text is scored from a zero vector; a long text is read whole; equal
+texts score alike, and repeated rows are rows of their own; of several labels of one doc_id the
+highest counts, and ties in the sample's order go by doc_id; documents without a label are scored
+like others; without labelled rows of both classes every score is 0.5; only ``doc_id`` and
 ``text`` are read of documents, and ``doc_id`` decides the fold only.
 """
 
@@ -28,9 +31,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.text import chunks, doc_id, hash_words, mix64, text_or_empty
+from tessella.llm.text import arrow_bytes, chunks, doc_id, hash_words, mix64, text_or_empty
 
-#: Bound of the labelled rows that are learnt from: the first by a hash of their id.
+#: Bound of the labelled rows that the network is fitted to: the first by a hash of their id.
 SAMPLE = 6000
 #: Slots of the term table and the vectors' length; the table is SLOTS x DIM x 4 bytes.
 SLOTS, DIM = 1 << 14, 48
@@ -197,35 +200,45 @@ def fold(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary")) % FOLDS
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
-    """A model learnt from at most ``sample`` labelled rows outside the held-out fold. ``docs`` are
-    read twice, the rows wanted being chosen by a list of at most ``sample`` ids."""
-    spark = docs.sparkSession
-    chosen = (
-        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT))
-        .groupBy(doc_id()).agg(F.max("quality").cast("int").alias("quality"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    )
-    wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, quality int")
-    rows = docs.select(doc_id(), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
+def word_vectors(docs: DataFrame) -> np.ndarray:
+    """The unit word vectors of all slots, from the neighbours of terms in all documents."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((SLOTS, DIM), np.float32)
+        index, total = index_vectors(), np.zeros((SLOTS, DIM))
         for part in chunks(batches, "text"):
             total += context_counts(coded(part.column("text").to_pylist()), index)
         used = np.flatnonzero(np.abs(total).sum(1))
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(list(total[used].astype(np.float64)), pa.list_(pa.float64()))], names=["slot", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["slot", "sums"])
 
     summed = (
-        rows.mapInArrow(contexts, "slot long, sums array<double>").groupBy("slot")
+        docs.select(text_or_empty().alias("text")).mapInArrow(contexts, "slot long, sums array<double>").groupBy("slot")
         .agg(*[F.sum(F.get("sums", F.lit(i))).alias(f"v{i}") for i in range(DIM)])
     )
-    vectors = np.zeros((SLOTS, DIM), np.float32)
+    vectors = np.zeros((SLOTS, DIM))
     for r in summed.collect():
         vectors[r[0]] = r[1:]
     norm = np.linalg.norm(vectors, axis=1, keepdims=True)
-    vectors = np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0).astype(np.float32)
-    shared = spark.sparkContext.broadcast(vectors)
+    return np.divide(vectors, norm, out=np.zeros_like(vectors), where=norm > 0).astype(np.float32)
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+    """A model of the word vectors of all ``docs`` and a network learnt from at most ``sample``
+    labelled rows outside the held-out fold, which are chosen by a list of at most ``sample`` ids."""
+    spark = docs.sparkSession
+    chosen = (
+        labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull() & (fold() != HELD_OUT))
+        .groupBy(doc_id()).agg(F.max("quality").cast("int").alias("quality"))
+        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    )
+    wanted = spark.createDataFrame([tuple(r) for r in chosen.collect()], "doc_id long, quality int")
+    with arrow_bytes(spark):
+        return _fitted(docs, wanted)
+
+
+def _fitted(docs: DataFrame, wanted: DataFrame) -> Model:
+    rows = docs.select(doc_id(), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
+    vectors = word_vectors(docs)
+    shared = docs.sparkSession.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = index_vectors()
@@ -240,8 +253,9 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 
 def scored(docs: DataFrame, model: Model) -> DataFrame:
-    """The columns of ``docs`` with ``score``, a number from 0 to 1."""
+    """The columns of ``docs`` with ``score``, a number from 0 to 1; a column of that name is replaced."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    docs = docs.drop("score")
     names = docs.columns
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

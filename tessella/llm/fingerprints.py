@@ -4,15 +4,17 @@ A fingerprint keeps the lowest ``BITS`` bits of each bin of the signature of a t
 shingles, as hexadecimal text. Unlike bins still agree by chance with probability 2 ** -BITS, which
 the likeness of two fingerprints takes out.
 
-To compare each document with the next by doc_id, rows are dealt into ranges of doc_id, and the
-first row of a range is also given to the range before it (the very first to the last). A task
-then reads its range in order and holds one row back; the text is shuffled once, and no task or
-driver sees more than its range.
+To compare each document with the next by doc_id, rows are dealt into ranges of doc_id and, among
+equal ids, of a hash of the text. There are as many ranges as the text's bytes call for, and the
+first row of a range is also given to the range before it (the very first to the last). A task then
+reads its range in order and holds one row back; the text is shuffled once, and no task or driver
+sees more than its range.
 
 Defined cases: a null text counts as empty; a text without words has an empty fingerprint, like
 only to another such; a text of fewer than five words has one shingle, the whole; rows of equal
-doc_id follow each other by text; the only document is its own next; an empty table gives an empty
-result; other columns are not read.
+doc_id follow each other by the hash of their text, and equal rows by nothing; a long text is
+shingled whole; the only document is its own next; an empty table gives an empty result; other
+columns are not read.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ from tessella.llm.text import chunks, doc_id, hash_words, shingle_hashes, text_o
 
 WORDS = 5
 BINS, BITS = 256, 4
+#: Bytes of text in a range on average, and rows sampled per range to find the ranges' bounds.
+RANGE_BYTES, RANGE_SAMPLE = 8_000_000, 200
 
 
 def packed(texts: list[str], walk: np.ndarray, bins: int = BINS, bits: int = BITS, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -52,26 +56,39 @@ def likeness(a: np.ndarray, b: np.ndarray, a_any: np.ndarray, b_any: np.ndarray,
     return np.where(a_any & b_any, out, (a_any == b_any).astype(float))
 
 
-def ranged(docs: DataFrame, ranges: int) -> tuple[DataFrame, int]:
-    """Rows with their range of doc_id and ``ahead``: true for the copy of a range's first row that
-    the range before it gets. The driver holds a few numbers per range."""
-    ids = docs.select(doc_id())
-    bounds = sorted({int(b) for b in ids.approxQuantile("doc_id", [i / ranges for i in range(1, ranges)], 0.2 / ranges)})
+def _placed(ids: np.ndarray, ties: np.ndarray) -> np.ndarray:
+    """Keys that numpy orders by id, then tie."""
+    out = np.empty(len(ids), [("id", np.int64), ("tie", np.int64)])
+    out["id"], out["tie"] = ids, ties
+    return out
 
-    def place(ids: pd.Series) -> pd.Series:
-        return pd.Series(np.searchsorted(bounds, ids.to_numpy(), side="right"))
+
+def ranged(docs: DataFrame, ranges: int | None = None) -> tuple[DataFrame, int]:
+    """Rows with their range and ``ahead``: true for the copy of a range's first row that the range
+    before it gets; and the number of ranges. The driver holds a sample of bounded size, which only
+    sets the bounds, and a few numbers per range."""
+    spark = docs.sparkSession
+    keys = docs.select(doc_id(), F.xxhash64(text_or_empty()).alias("tie"), F.octet_length(text_or_empty()).alias("size"))
+    total = keys.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
+    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["bytes"] // RANGE_BYTES)
+    every = max(1, total["rows"] // (ranges * RANGE_SAMPLE))
+    sample = keys.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(9)), F.lit(every)) == 0).select("doc_id", "tie").toArrow()
+    known = np.sort(_placed(sample.column("doc_id").to_numpy(), sample.column("tie").to_numpy()))
+    bounds = np.unique(known[[i * len(known) // ranges for i in range(1, ranges)]]) if len(known) else known
+
+    def place(ids: pd.Series, ties: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, _placed(ids.to_numpy(), ties.to_numpy()), side="right"))
 
     where = F.pandas_udf(place, "long")
-    firsts = sorted((r[0], r[1]) for r in ids.select(where("doc_id").alias("range"), "doc_id").groupBy("range").agg(F.min("doc_id")).collect())
-    to = {firsts[i][1]: firsts[i - 1][0] for i in range(len(firsts))}
-    table = docs.sparkSession.createDataFrame(list(to.items()), "doc_id long, before long")
-    rows = docs.select(doc_id(), text_or_empty().alias("text")).withColumn("range", where("doc_id"))
+    firsts = sorted(tuple(r["first"]) + (r["range"],) for r in keys.groupBy(where("doc_id", "tie").alias("range")).agg(F.min(F.struct("doc_id", "tie")).alias("first")).collect())
+    table = spark.createDataFrame([(d, t, firsts[i - 1][2]) for i, (d, t, _) in enumerate(firsts)], "doc_id long, tie long, before long")
+    rows = docs.select(doc_id(), text_or_empty().alias("text")).withColumn("tie", F.xxhash64("text")).withColumn("range", where("doc_id", "tie"))
     own = F.struct(F.col("range"), F.lit(False).alias("ahead"))
     copy = F.struct(F.col("before").alias("range"), F.lit(True).alias("ahead"))
     return (
-        rows.join(F.broadcast(table), "doc_id", "left")
-        .select("doc_id", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to"))
-        .select("to.range", "to.ahead", "doc_id", "text"),
+        rows.join(F.broadcast(table), ["doc_id", "tie"], "left")
+        .select("doc_id", "tie", "text", F.explode(F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, copy))).alias("to"))
+        .select("to.range", "to.ahead", "doc_id", "tie", "text"),
         len(bounds) + 1,
     )
 
@@ -87,9 +104,8 @@ RESULT = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 
 def compared(docs: DataFrame, ranges: int | None = None) -> DataFrame:
     """Each document's fingerprint, that of its edited text, and the likenesses."""
-    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows, _ = ranged(docs, ranges or 3 * partitions)
-    dealt = rows.repartition(partitions, "range").sortWithinPartitions("range", "ahead", "doc_id", "text")
+    rows, number = ranged(docs, ranges)
+    dealt = rows.repartition(number, "range").sortWithinPartitions("range", "ahead", "doc_id", "tie")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         walk = walks(BINS)

@@ -237,7 +237,7 @@ def leanings_of(spark, sf):
 
 @query("ag_cold_start", over("approvals", "preferences", "analyses", body="--more " + HISTORY + f"SELECT l.source, l.signal, l.picks, l.lean, h.text FROM leans l LEFT JOIN history h ON h.id = 'history:' || l.source || ':' || l.signal"))
 def cold_start(spark, sf):
-    """AG14: leans per source and signal, with the claim's text where the lean makes one."""
+    """AG14, JN4: leans per source and signal, with the claim's text where the lean makes one."""
     h = history_of(spark, sf).select("id", "text")
     l = leans_of(spark, sf).withColumn("id", F.concat_ws(":", F.lit("history"), "source", "signal"))
     return l.join(h, "id", "left").select("source", "signal", "picks", "lean", "text")

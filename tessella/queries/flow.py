@@ -119,7 +119,7 @@ def attribution(spark, sf):
 
 @query("ag_duplicate_groups", over("images", body="SELECT i.sha256, i.key, g.n AS members, i.key = g.best AS best FROM images i JOIN (SELECT sha256, count(*) AS n, arg_min(key, (-coalesce(width * height, 0), -coalesce(width, 0), key)) AS best FROM images GROUP BY sha256 HAVING count(*) > 1) g ON g.sha256 = i.sha256"))
 def duplicate_groups(spark, sf):
-    """AG8, AG19: groups of equal content, one row per member, and the best original of each."""
+    """AG8, AG19, FM5: groups of equal content, one row per member, and the best original of each."""
     area, wide = F.coalesce(F.col("width") * F.col("height"), F.lit(0)), F.coalesce("width", F.lit(0))
     best = F.min_by("key", F.struct((-area).alias("a"), (-wide).alias("w"), "key"))
     groups = materialise(D.images(spark, sf).groupBy("sha256").agg(F.count(F.lit(1)).alias("members"), best.alias("one")).where("members > 1"), "groups")

@@ -80,7 +80,7 @@ def layout_arity(spark, sf):
 
 @query("sc_verified_read", "SELECT page_id, octet_length(encode(html)) AS n, sha256(html) AS checksum FROM pages WHERE html IS NOT NULL")
 def verified_read(spark, sf):
-    """SC16: contents read against the checksums that a manifest names; one that differs is an error."""
+    """SC16, FS1: contents read against the checksums that a manifest names; one that differs is an error."""
     pages = D.table(spark, sf, "pages").where("html is not null")
     manifest = pages.select("page_id", F.sha2(F.col("html").cast("binary"), 256).alias("checksum"))
     read = pages.select("page_id", "html").join(manifest, "page_id").withColumn("html", S.verified(F.col("html"), F.col("checksum")))

@@ -262,7 +262,7 @@ NEAR = f"""near AS (SELECT a.key AS a, b.key AS b FROM {{t}} a JOIN {{t}} b ON a
 
 @query("jn_near_hashes", over("images", body="--more c AS (SELECT phash, width, height, min(key) AS key, count(*) AS size FROM images WHERE phash IS NOT NULL GROUP BY ALL),\n" + NEAR.format(t="c") + " SELECT a, b FROM near"))
 def near_pairs(spark, sf):
-    """JN20: near pairs between the classes of equal hash and size, each named by its least key."""
+    """JN20, FM1, FM2, FM4: near pairs between the classes of equal hash and size, each named by its least key."""
     return near_hashes(materialise(hash_classes(D.images(spark, sf)), "hash-classes"))
 
 

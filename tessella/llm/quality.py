@@ -64,14 +64,20 @@ def _marked(distinct: list[str]) -> tuple[list[str], np.ndarray]:
 KINDS = 7
 
 
-def index_vectors() -> np.ndarray:
-    """SLOTS x DIM sparse ternary vectors that follow from the slot's number."""
-    out = np.zeros((SLOTS, DIM), np.float32)
+def index_parts() -> tuple[np.ndarray, np.ndarray]:
+    """Places and signs of the entries of each slot's index vector (NONZERO x SLOTS), which follow from
+    the slot's number; entries that share a place add up."""
     slot = np.arange(SLOTS, dtype=np.uint64)
     with np.errstate(over="ignore"):
-        for j in range(NONZERO):
-            h = mix64(slot * np.uint64(2 * NONZERO) + np.uint64(j + 1) * np.uint64(0x9E3779B97F4A7C15))
-            out[slot.astype(np.int64), (h >> np.uint64(32)).astype(np.int64) % DIM] += np.where(h & np.uint64(1), 1.0, -1.0)
+        h = np.stack([mix64(slot * np.uint64(2 * NONZERO) + np.uint64((j + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1)) for j in range(NONZERO)])
+    return (h >> np.uint64(32)).astype(np.int64) % DIM, np.where(h & np.uint64(1), 1.0, -1.0)
+
+
+def index_vectors() -> np.ndarray:
+    """The index vectors in full: SLOTS x DIM."""
+    out = np.zeros((SLOTS, DIM), np.float32)
+    for place, sign in zip(*index_parts(), strict=True):
+        out[np.arange(SLOTS), place] += sign
     return out
 
 
@@ -94,17 +100,17 @@ def coded(texts: list[str]) -> Coded:
     return Coded(slots[codes] if len(codes) else codes.astype(np.int64), kinds[codes] if len(codes) else codes.astype(np.int64), offsets)
 
 
-def context_counts(c: Coded, index: np.ndarray) -> np.ndarray:
+def context_counts(c: Coded, parts: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
     """Sum over the terms of a slot of the index vectors that stand next to them."""
-    out = np.zeros_like(index)
+    out = np.zeros(SLOTS * DIM)
     doc = np.repeat(np.arange(len(c.offsets) - 1), np.diff(c.offsets))
     for d in range(1, WINDOW + 1):
         same = doc[d:] == doc[:-d]
         left, right = c.slots[:-d][same], c.slots[d:][same]
-        pair, n = np.unique(left * SLOTS + right, return_counts=True)
-        np.add.at(out, pair // SLOTS, index[pair % SLOTS] * n[:, None].astype(np.float32))
-        np.add.at(out, pair % SLOTS, index[pair // SLOTS] * n[:, None].astype(np.float32))
-    return out
+        for place, sign in zip(*parts, strict=True):
+            out += np.bincount(left * DIM + place[right], sign[right], SLOTS * DIM)
+            out += np.bincount(right * DIM + place[left], sign[left], SLOTS * DIM)
+    return out.reshape(SLOTS, DIM)
 
 
 def pooled(c: Coded, index: np.ndarray, vectors: np.ndarray) -> np.ndarray:
@@ -204,9 +210,9 @@ def word_vectors(docs: DataFrame) -> np.ndarray:
     """The unit word vectors of all slots, from the neighbours of terms in all documents."""
 
     def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index, total = index_vectors(), np.zeros((SLOTS, DIM))
+        parts, total = index_parts(), np.zeros((SLOTS, DIM))
         for part in chunks(batches, "text"):
-            total += context_counts(coded(part.column("text").to_pylist()), index)
+            total += context_counts(coded(part.column("text").to_pylist()), parts)
         used = np.flatnonzero(np.abs(total).sum(1))
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(list(total[used]), pa.list_(pa.float64()))], names=["slot", "sums"])
 

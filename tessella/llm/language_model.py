@@ -54,7 +54,7 @@ FOLDS = 10
 #: Bytes of text whose tokens are counted together before they are shuffled.
 STEP_BYTES = 4_000_000
 #: Training tokens that a bucket holds on average.
-BUCKET_TOKENS = 1_500_000
+BUCKET_TOKENS = 2_000_000
 SEED = 20
 
 PACKED = "bucket long, kind int, chunk long, words binary, per binary, contexts binary, numbers binary"
@@ -85,7 +85,7 @@ class Lexicon:
     classes: np.ndarray
     hot: np.ndarray
     hot_counts: np.ndarray
-    buckets: int
+    buckets: np.ndarray  # their keys
 
     def class_of(self, contexts: np.ndarray) -> np.ndarray:
         """The class of each context number: classes come first, then the words."""
@@ -129,13 +129,28 @@ def lexicon(training: DataFrame, buckets: int | None = None) -> Lexicon:
     order = np.argsort(hashes)
     hashes, counts = hashes[order], own.column("n").to_numpy()[order]
     hot = counts * HOT >= tokens
-    least = int(training.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return Lexicon(int(tokens), int(types), hashes, own.column("class").to_numpy()[order].astype(np.int64), hashes[hot], counts[hot], buckets or max(least, int(tokens) // BUCKET_TOKENS + 1))
+    keys = even_keys(training.sparkSession, int(tokens) // BUCKET_TOKENS + 1) if buckets is None else np.arange(buckets)
+    return Lexicon(int(tokens), int(types), hashes, own.column("class").to_numpy()[order].astype(np.int64), hashes[hot], counts[hot], keys)
+
+
+def even_keys(spark: SparkSession, least: int) -> np.ndarray:
+    """Keys of at least ``least`` buckets. While there are few per partition, they are numbers that
+    Spark's hash deals to all partitions alike; many are even by themselves."""
+    partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    each = -(-least // partitions)
+    if each > 16:
+        return np.arange(each * partitions)
+    tried = spark.range(partitions * (40 + 4 * each)).select("id", F.pmod(F.hash("id"), F.lit(partitions)).alias("part")).toArrow()
+    ids, parts = tried.column("id").to_numpy(), tried.column("part").to_numpy()
+    order = np.lexsort((ids, parts))
+    nth = np.arange(len(order)) - np.searchsorted(parts[order], parts[order])
+    return np.sort(ids[order][nth < each])
 
 
 @dataclass
 class Step:
-    """Tokens of some texts in a row: codes into ``hashes``, each token's context, bucket and text."""
+    """Tokens of some texts in a row: codes into ``hashes``, each token's context, bucket (by its place
+    among the buckets) and text."""
 
     hashes: np.ndarray
     codes: np.ndarray
@@ -156,14 +171,18 @@ def step(column: pa.Array, lex: Lexicon) -> Step:
     sequence[np.arange(len(codes)) + rows] = codes
     before = np.concatenate([[len(hashes) - 1], sequence[:-1]]) if len(sequence) else sequence
     # a frequent word is dealt by word and class, any other by word
-    hot = _known(lex.hot, hashes)[0]
-    key = mix64(hashes)[sequence] + np.where(hot[sequence], mix64(classes[before].astype(np.uint64) + np.uint64(1)), np.uint64(0))
-    return Step(hashes, sequence, context[before], (mix64(key) % np.uint64(lex.buckets)).astype(np.int64), np.repeat(np.arange(n), np.diff(offsets) + 1))
-
-
-def _split(s: Step, keep: np.ndarray, numbers: np.ndarray, kind: int, chunk: int) -> Iterator[dict]:
-    """Packed rows per bucket of the tokens ``keep``, each with a number."""
-    order = keep[np.lexsort((s.contexts[keep], s.codes[keep], s.buckets[keep]))]
+    mixed, many = mix64(hashes), np.uint64(len(lex.buckets))
+    place = (mix64(mixed) % many).astype(np.int64)[sequence]
+    at = np.flatnonzero(_known(lex.hot, hashes)[0][sequence])
+    place[at] = mix64(mixed[sequence[at]] + mix64(classes[before[at]].astype(np.uint64) + np.uint64(1))) % many
+    return Step(hashes, sequence, context[before], place, np.repeat(np.arange(n), np.diff(offsets) + 1))
+
+
+def _split(s: Step, lex: Lexicon, keep: np.ndarray, numbers: np.ndarray, kind: int, chunk: int) -> Iterator[dict]:
+    """Packed rows per bucket of the tokens ``keep``, each with a number; numbers below 2^16 take two
+    bytes."""
+    order = keep[np.argsort(s.buckets[keep] * len(s.hashes) + s.codes[keep], kind="stable")]
+    width = np.uint16 if len(order) == 0 or numbers[keep].max() < 1 << 16 else np.uint32
     codes, buckets, numbers = s.codes[order], s.buckets[order], numbers[order]
     starts = np.flatnonzero((np.diff(codes, prepend=-1) != 0) | (np.diff(buckets, prepend=-1) != 0))
     per = np.diff(np.append(starts, len(codes)))
@@ -171,8 +190,8 @@ def _split(s: Step, keep: np.ndarray, numbers: np.ndarray, kind: int, chunk: int
     for a, b in zip(bounds, [*bounds[1:], len(starts)], strict=True):
         lo, hi = starts[a], starts[b] if b < len(starts) else len(codes)
         yield {
-            "bucket": int(buckets[lo]), "kind": kind, "chunk": chunk, "words": s.hashes[codes[starts[a:b]]].tobytes(), "per": per[a:b].astype(np.uint32).tobytes(),
-            "contexts": s.contexts[order[lo:hi]].astype(np.uint32).tobytes(), "numbers": numbers[lo:hi].astype(np.uint32).tobytes(),
+            "bucket": int(lex.buckets[buckets[lo]]), "kind": kind, "chunk": chunk, "words": s.hashes[codes[starts[a:b]]].tobytes(), "per": per[a:b].astype(np.uint32).tobytes(),
+            "contexts": s.contexts[order[lo:hi]].astype(np.uint32).tobytes(), "numbers": numbers[lo:hi].astype(width).tobytes(),
         }
 
 
@@ -190,7 +209,7 @@ def counted(docs: DataFrame, lex: Lexicon) -> DataFrame:
             _, first, n = np.unique(s.codes * shared.value.restaurants + s.contexts, return_index=True, return_counts=True)
             numbers = np.zeros(len(s.codes), np.int64)
             numbers[first] = n
-            yield _batch(list(_split(s, first, numbers, MODEL, 0)))
+            yield _batch(list(_split(s, shared.value, first, numbers, MODEL, 0)))
 
     return docs.select("text").mapInArrow(count, PACKED)
 
@@ -214,7 +233,9 @@ class Counts:
 
 def unpacked(columns: dict[str, list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Words, entries per word, contexts and numbers of several packed rows, one after the other."""
-    return tuple(np.frombuffer(b"".join(columns[c]), t) for c, t in (("words", np.uint64), ("per", np.uint32), ("contexts", np.uint32), ("numbers", np.uint32)))
+    own, per, contexts = (np.frombuffer(b"".join(columns[c]), t) for c, t in (("words", np.uint64), ("per", np.uint32), ("contexts", np.uint32)))
+    numbers = [np.frombuffer(x, np.uint16 if len(x) * 2 == len(c) else np.uint32).astype(np.uint32) for x, c in zip(columns["numbers"], columns["contexts"], strict=True)]
+    return own, per, contexts, np.concatenate(numbers) if numbers else np.zeros(0, np.uint32)
 
 
 def merged(columns: dict[str, list[bytes]], lex: Lexicon, more: np.ndarray | None = None) -> Counts:
@@ -599,8 +620,8 @@ def tokens_to_buckets(docs: DataFrame, m: Model, hot: HotPairs) -> DataFrame:
             r, w = t.rows[paired], word[t.codes[paired]]
             sums = [np.bincount(r, x, n) for x in (own.logs[at[paired]], base[w] if len(w) else w, np.ones(len(w)))]
             ids = part.column("doc_id").to_numpy(zero_copy_only=False).astype(np.int64)
-            local = {"bucket": (TaskContext.get().partitionId() + 7919 * nth) % lex.buckets, "kind": LOCAL, "chunk": chunk, "words": ids.tobytes(), "per": np.bincount(t.rows, minlength=n).astype(np.uint32).tobytes(), "contexts": sums[2].astype(np.uint32).tobytes(), "numbers": np.concatenate(sums[:2]).tobytes()}
-            yield _batch([local, *_split(t, np.flatnonzero(~paired), t.rows, TOKENS, chunk)])
+            local = {"bucket": int(lex.buckets[(TaskContext.get().partitionId() + 7919 * nth) % len(lex.buckets)]), "kind": LOCAL, "chunk": chunk, "words": ids.tobytes(), "per": np.bincount(t.rows, minlength=n).astype(np.uint32).tobytes(), "contexts": sums[2].astype(np.uint32).tobytes(), "numbers": np.concatenate(sums[:2]).tobytes()}
+            yield _batch([local, *_split(t, lex, np.flatnonzero(~paired), t.rows, TOKENS, chunk)])
 
     return docs.select("doc_id", "text").mapInArrow(emit, PACKED)
 

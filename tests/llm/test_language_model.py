@@ -178,3 +178,12 @@ def test_clashing_columns_nulls_and_long_texts(spark):
     got = sorted(tuple(r) for r in lm.scores(clean, clean, 2)[0].select("doc_id", "n_tokens", "score").collect())
     assert [(r[0], r[1]) for r in got] == [(-1, 30_001), (0, 1), (1, 1), (3, 2), (3, 3), (3, 3)]
     assert got[1][2] == got[2][2] and got[4][2] == got[5][2]
+
+
+def test_buckets_are_dealt_evenly(spark):
+    for least in (1, 9, 30, 100):
+        keys = lm.even_keys(spark, least)
+        parts = spark.createDataFrame([(int(k),) for k in keys], "k long").select(F.pmod(F.hash("k"), F.lit(4)).alias("p")).groupBy("p").count().collect()
+        assert len(set(keys.tolist())) == len(keys) >= least
+        if least <= 64:
+            assert len(parts) == 4 and len({r["count"] for r in parts}) == 1

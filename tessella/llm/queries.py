@@ -10,6 +10,8 @@ from tessella.llm.exact_dedup import ORACLE as EXACT_SQL
 from tessella.llm.exact_dedup import op1_exact_dedup
 from tessella.llm.fingerprints import op10_fingerprints
 from tessella.llm.language_model import op2_language_model
+from tessella.llm.line_dedup import ORACLE as LINES_SQL
+from tessella.llm.line_dedup import op12_line_dedup
 from tessella.llm.mixing import op8_mixing
 from tessella.llm.near_dedup import op9_near_dedup
 from tessella.llm.packing import op6_packing
@@ -32,9 +34,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_fingerprints": op10_fingerprints,
+        "op12_line_dedup": op12_line_dedup,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those results that SQL can state."""
-    return {"op1_exact_dedup": EXACT_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op12_line_dedup": LINES_SQL}

@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm.exact_dedup import ORACLE as EXACT_SQL
 from tessella.llm.exact_dedup import op1_exact_dedup
+from tessella.llm.filter_audit import ORACLE as AUDIT_SQL
+from tessella.llm.filter_audit import op13_filter_audit
 from tessella.llm.fingerprints import op10_fingerprints
 from tessella.llm.language_model import op2_language_model
 from tessella.llm.line_dedup import ORACLE as LINES_SQL
@@ -35,9 +37,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_near_dedup": op9_near_dedup,
         "op10_fingerprints": op10_fingerprints,
         "op12_line_dedup": op12_line_dedup,
+        "op13_filter_audit": op13_filter_audit,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those results that SQL can state."""
-    return {"op1_exact_dedup": EXACT_SQL, "op12_line_dedup": LINES_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op12_line_dedup": LINES_SQL, "op13_filter_audit": AUDIT_SQL}

@@ -11,6 +11,8 @@ from tessella.llm.exact_dedup import op1_exact_dedup
 from tessella.llm.filter_audit import ORACLE as AUDIT_SQL
 from tessella.llm.filter_audit import op13_filter_audit
 from tessella.llm.fingerprints import op10_fingerprints
+from tessella.llm.hard_negatives import ORACLE as NEGATIVES_SQL
+from tessella.llm.hard_negatives import op11_hard_negatives
 from tessella.llm.language_model import op2_language_model
 from tessella.llm.line_dedup import ORACLE as LINES_SQL
 from tessella.llm.line_dedup import op12_line_dedup
@@ -36,6 +38,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_mixing": op8_mixing,
         "op9_near_dedup": op9_near_dedup,
         "op10_fingerprints": op10_fingerprints,
+        "op11_hard_negatives": op11_hard_negatives,
         "op12_line_dedup": op12_line_dedup,
         "op13_filter_audit": op13_filter_audit,
     }
@@ -43,4 +46,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for those results that SQL can state."""
-    return {"op1_exact_dedup": EXACT_SQL, "op12_line_dedup": LINES_SQL, "op13_filter_audit": AUDIT_SQL}
+    return {"op1_exact_dedup": EXACT_SQL, "op11_hard_negatives": NEGATIVES_SQL, "op12_line_dedup": LINES_SQL, "op13_filter_audit": AUDIT_SQL}

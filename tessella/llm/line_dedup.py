@@ -105,17 +105,27 @@ class LineRuns:
         full = self.levels[level] if len(self.levels[level]) >= self.fanout else []
         if full:
             self.levels[level] = []
-            self._place(self._write(merged([self.spark.table(n) for n in full])), level + 1)
-            for old in full:
-                self._drop(old)
+            self._place(self._merge(full), level + 1)
         self.levels[level].append(name)
 
+    def _merge(self, names: list[str]) -> str:
+        """One run in place of several, two at a time: each is written again as buckets."""
+
+        def both(a: str, b: str) -> str:
+            name = self._write(merged(self.spark.table(a), self.spark.table(b)))
+            self._drop(a)
+            self._drop(b)
+            return name
+
+        return reduce(both, names)
+
     def decided(self) -> DataFrame:
-        """h1 and h2 of the keys that ``settle`` documents or more hold."""
-        runs = self.runs()
-        if not runs:
+        """h1 and h2 of the keys that ``settle`` documents or more hold; all runs become one."""
+        names = [name for level in reversed(self.levels) for name in level][::-1]
+        if not names:
             return self.spark.createDataFrame([], "h1 long, h2 long")
-        return merged(runs).where(F.col("n") >= self.settle).select("h1", "h2")
+        self.levels = [[self._merge(names)]]  # the smallest first
+        return self.runs()[0].where(F.col("n") >= self.settle).select("h1", "h2")
 
     def close(self) -> None:
         for name in list(self.paths):
@@ -123,14 +133,10 @@ class LineRuns:
         self.levels = []
 
 
-def merged(runs: list[DataFrame]) -> DataFrame:
-    """One run of several: a merge join, bucket by bucket, that adds up the counts of equal keys."""
-
-    def both(a: DataFrame, b: DataFrame) -> DataFrame:
-        joined = a.join(b.withColumnRenamed("n", "m"), ["h1", "h2"], "full_outer")
-        return joined.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
-
-    return reduce(both, runs)
+def merged(a: DataFrame, b: DataFrame) -> DataFrame:
+    """One run of two: a merge join, bucket by bucket, that adds up the counts of equal keys."""
+    joined = a.join(b.withColumnRenamed("n", "m"), ["h1", "h2"], "full_outer")
+    return joined.select("h1", "h2", (F.coalesce("n", F.lit(0)) + F.coalesce("m", F.lit(0))).alias("n"))
 
 
 def without(docs: DataFrame, dropped: DataFrame, least: int = LEAST) -> DataFrame:

@@ -8,8 +8,10 @@ are told apart by doc_id and text hash.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,8 +28,31 @@ REJECT_BELOW = 0.5
 
 
 def _keyed(docs: DataFrame, text: Column) -> DataFrame:
-    """``docs`` with the document's id and the hash of ``text``: rows that share an id differ in it."""
-    return docs.withColumn("_id", doc_id()).withColumn("_sha", F.sha2(text.cast("binary"), 256))
+    """The rows of ``docs``, whole, with the document's id and the hash of ``text``: rows that share
+    an id differ in it. A row is one column, so that its own columns may have any names."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    return docs.select(whole, doc_id().alias("id"), F.sha2(text.cast("binary"), 256).alias("sha"))
+
+
+def _id() -> list[Column]:
+    return [F.col("doc_id").alias("id"), F.col("text_sha256").alias("sha")]
+
+
+def in_order(docs: DataFrame) -> DataFrame:
+    """doc_id, text and ``place``, from 0, of the rows of a table, in the order in which they were
+    written: by file, and by row in the file. Other frames are written first."""
+    try:
+        at = docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
+    except AnalysisException:  # not read from files
+        return in_order(materialise(docs.select("doc_id", "text"), "unordered"))
+    # as many rows as the table has files
+    sizes = at.groupBy("file").agg(F.count(F.lit(1)).alias("n")).collect()
+    first, before = [], 0
+    for r in sorted(sizes, key=lambda r: (int((re.search(r"part-(\d+)", r["file"]) or [0, 0])[1]), r["file"])):
+        first.append((r["file"], before))
+        before += r["n"]
+    offsets = docs.sparkSession.createDataFrame(first, "file string, first long")
+    return at.join(F.broadcast(offsets), "file").select("doc_id", "text", (F.col("first") + F.col("row")).alias("place"))
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,32 +65,32 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest doc_id."""
-    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))
-    found = _keyed(docs, lower_sql()).join(kept, ["_id", "_sha"], "left_semi")
-    return found.dropDuplicates(["_id", "_sha"]).select(*docs.columns)
+    kept = exact_dedup(docs.select("doc_id", "text")).where("kept").select(*_id())
+    return _keyed(docs, lower_sql()).join(kept, ["id", "sha"], "left_semi").dropDuplicates(["id", "sha"]).select("row.*")
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component of near-duplicates: the one with the least doc_id, and of
     several texts with that id the one with the least hash."""
     group = F.coalesce(F.col("component").cast("string"), F.concat_ws(":", "doc_id", "text_sha256"))
-    least = F.min(F.struct(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"))).alias("least")
+    least = F.min(F.struct(*_id())).alias("least")
     kept = components(docs.select("doc_id", "text")).where("kept").groupBy(group.alias("group")).agg(least).select("least.*")
-    return _keyed(docs, text_or_empty()).join(kept, ["_id", "_sha"], "left_semi").select(*docs.columns)
+    return _keyed(docs, text_or_empty()).join(kept, ["id", "sha"], "left_semi").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents in the order of a mix by their sources' shares; none is left out, as no weights
-    are stated."""
-    placed = mix(docs.select("doc_id", "text", "source")).where("in_mix").select(F.col("doc_id").alias("_id"), F.col("text_sha256").alias("_sha"), F.col("position").alias("_position"))
-    ordered = _keyed(docs, text_or_empty()).join(placed, ["_id", "_sha"])
+    are stated. The order is that of the rows as they are written."""
+    placed = mix(docs.select("doc_id", "text", "source")).where("in_mix").select(*_id(), "position")
+    ordered = _keyed(docs, text_or_empty()).join(placed, ["id", "sha"])
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return ordered.repartitionByRange(partitions, "_position").sortWithinPartitions("_position").select(*docs.columns)
+    return ordered.repartitionByRange(partitions, "position").sortWithinPartitions("position").select("row.*")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 2048 tokens."""
-    return pack(docs.select("doc_id", "text")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    """The pieces of all documents in sequences of at most 2048 tokens, which follow the order in
+    which the mix has the documents."""
+    return pack(in_order(docs)).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]

@@ -13,7 +13,7 @@ copies are combined before each shuffle. Joins on names may be skewed by large g
 they are plain equi-joins that adaptive execution splits, and their rows are a few bytes.
 
 Defined cases: a null text counts as empty; of equal texts the row with the largest doc_id stays;
-a long text has as many blocks as it needs and one more round per doubling; rows equal in doc_id and text are one row each of the same group, and all of them are kept or none;
+a long text has as many blocks as it needs and one more round per doubling; rows equal in doc_id and text are one row each of the same group, of which one row is kept;
 an empty table gives an empty result; other columns are not read.
 """
 
@@ -159,11 +159,13 @@ def identities(docs: DataFrame, size: int = BLOCK_BYTES, bits: int = HASH_BITS)
 def exact_dedup(docs: DataFrame, size: int = BLOCK_BYTES, bits: int = HASH_BITS) -> DataFrame:
     """doc_id, keep_id, group_size, kept and text_sha256 of every document."""
     with scratch(docs.sparkSession) as result, arrow_bytes(docs.sparkSession):
-        rows = materialise(identities(docs, size, bits), "identities")
-        groups = rows.groupBy("identity").agg(F.max("doc_id").alias("keep_id"), F.count(F.lit(1)).cast("long").alias("group_size"))
+        # written with a number, by which equal rows are told apart
+        rows = materialise(identities(docs, size, bits).withColumn("row", F.monotonically_increasing_id()), "identities")
+        groups = rows.groupBy("identity").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count(F.lit(1)).cast("long").alias("group_size"))
         # written first, so that the join has two exchanges of its own and a large group's rows can be split
         joined = rows.join(materialise(groups, "groups"), "identity")
-        return result(joined.select("doc_id", "keep_id", "group_size", (F.col("doc_id") == F.col("keep_id")).alias("kept"), "text_sha256"), "exact")
+        kept = (F.col("row") == F.col("keep.row")).alias("kept")
+        return result(joined.select("doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size", kept, "text_sha256"), "exact")
 
 
 def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -174,8 +176,8 @@ def op1_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 # A plain restatement over whole texts, for comparison.
 ORACLE = """
 WITH t AS (
-  SELECT doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
-), g AS (SELECT norm, max(doc_id) AS keep_id, count(*) AS group_size FROM t GROUP BY norm)
-SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256
+  SELECT doc_id, row_number() OVER () AS r, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS norm FROM documents
+), g AS (SELECT norm, max(doc_id) AS keep_id, arg_max(r, doc_id) AS keep_r, count(*) AS group_size FROM t GROUP BY norm)
+SELECT doc_id, keep_id, group_size, r = keep_r AS kept, sha256(norm) AS text_sha256
 FROM t JOIN g USING (norm)
 """

@@ -108,14 +108,14 @@ def _alike(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """(node, shingles) of the wanted (doc_id, node), one row each: the sorted distinct hashes of the
-    text's shingles as packed 64-bit integers."""
-    rows = docs.select(doc_id(), text_or_empty().alias("text")).join(broadcast_if_small(wanted, SMALL), "doc_id")
+    """(node, shingles) of the wanted (doc_id, text_sha256, node), one row each: the sorted distinct
+    hashes of the text's shingles as packed 64-bit integers. Ids and texts name a row together, so that
+    rows without id, or with one id, meet only their own."""
+    rows = docs.select(doc_id(), F.sha2(text_or_empty().cast("binary"), 256).alias("text_sha256"), text_or_empty().alias("text"))
+    rows = rows.join(broadcast_if_small(wanted, SMALL), ["doc_id", "text_sha256"])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in chunks(batches, "text"):
-            same = [_node(t) == n for t, n in zip(whole.column("text").to_pylist(), whole.column("node").to_pylist(), strict=True)]
-            part = whole.filter(pa.array(same, pa.bool_()))
+        for part in chunks(batches, "text"):
             codes, distinct, offsets = words(part.column("text"))
             sets = [s.tobytes() for s in shingle_hashes(codes, hash_words(distinct), offsets, k)]
             yield pa.RecordBatch.from_arrays([part.column("node"), pa.array(sets, pa.binary())], names=["node", "shingles"])
@@ -208,7 +208,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         members = signatures_.select("doc_id", "text_sha256", "n_shingles", "node")
         classes = materialise(
             signatures_.where("node is not null").groupBy("node")
-            .agg(F.min_by(F.struct("doc_id", "n_shingles", "sketch", "bands"), "doc_id").alias("one")).select("node", "one.*"),
+            .agg(F.min_by(F.struct("doc_id", "text_sha256", "n_shingles", "sketch", "bands"), F.struct("doc_id", "text_sha256")).alias("one")).select("node", "one.*"),
             "classes",
         )
         every = classes.select("node", F.explode("bands").alias("bucket"))
@@ -216,7 +216,7 @@ def components(docs: DataFrame, k: int = WORDS, percent: int = PERCENT) -> DataF
         buckets = materialise(every.join(counted, "bucket").select("bucket", "node", "n"), "buckets")
 
         def read(nodes: DataFrame, name: str) -> DataFrame:
-            wanted = materialise(nodes.distinct().join(classes.select("node", "doc_id"), "node"), f"wanted-{name}")
+            wanted = materialise(nodes.distinct().join(classes.select("node", "doc_id", "text_sha256"), "node"), f"wanted-{name}")
             return materialise(sets_of(docs, wanted, k), f"sets-{name}")
 
         def confirm(pairs: DataFrame, sets: DataFrame, turn: int) -> DataFrame:

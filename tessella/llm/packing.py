@@ -7,7 +7,9 @@ fill. What each cut leaves is quadratically less, so a document is cut a few tim
 left in the end (shorter than ``LEAST``) joins the class of its own length, whose bins waste less
 than one piece. A bin's number and a piece's place in it follow from the piece's number in its class
 alone. That number is a rank inside a bucket of documents plus the bucket's offset, so workers fill
-bins independently of each other.
+bins independently of each other. Buckets are dealt by hash, or, where documents have a ``place``, by
+ranges of it: then the pieces of each class follow the places, and so do the sequences, which are
+numbered bucket by bucket.
 
 Defined cases: a null or empty text has the end id only and gives one piece of length 1; repeated
 doc_ids are told apart by their text, and equal rows have equal pieces in places of their own; a long
@@ -138,8 +140,9 @@ def cuts(tokens: int, capacity: int = CAPACITY, least: int = LEAST) -> Iterator[
 
 def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
     """A row per piece: doc_id, nth, start, length, ids_crc32, doc_tokens and, if asked for, the
-    ids themselves as little-endian 32-bit words."""
-    schema = PIECES + (", ids binary" if with_ids else "")
+    ids themselves as little-endian 32-bit words; with the document's place, where it has one."""
+    placed = "place" in docs.columns
+    schema = PIECES + (", ids binary" if with_ids else "") + (", place long" if placed else "")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = struct.pack("<I", END_ID)
@@ -147,17 +150,18 @@ def pieces(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACI
         for part in chunks(batches, "text", STEP_BYTES):
             out: list[tuple] = []
             every, offsets = encoder.encode(part.column("text"))
-            for doc_id, a, b in zip(part.column("doc_id").to_pylist(), offsets[:-1], offsets[1:], strict=True):
+            places = [(x,) for x in part.column("place").to_pylist()] if placed else [()] * part.num_rows
+            for doc_id, place, a, b in zip(part.column("doc_id").to_pylist(), places, offsets[:-1], offsets[1:], strict=True):
                 ids = every[a:b].tobytes() + end
                 n = len(ids) // 4
                 for nth, (a, length) in enumerate(cuts(n, capacity)):
                     own = ids[4 * a : 4 * (a + length)]
-                    out.append((doc_id, nth, a, length, zlib.crc32(own), n) + ((own,) if with_ids else ()))
-            names = ["doc_id", "nth", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids
-            types = [pa.int64()] * 6 + [pa.binary()] * with_ids
+                    out.append((doc_id, nth, a, length, zlib.crc32(own), n) + ((own,) if with_ids else ()) + place)
+            names = ["doc_id", "nth", "start", "length", "ids_crc32", "doc_tokens"] + ["ids"] * with_ids + ["place"] * placed
+            types = [pa.int64()] * 6 + [pa.binary()] * with_ids + [pa.int64()] * placed
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=names)
 
-    return docs.select(doc_id(), text_or_empty().alias("text")).mapInArrow(cut, schema)
+    return docs.select(doc_id(), text_or_empty().alias("text"), *["place"] * placed).mapInArrow(cut, schema)
 
 
 def arrange(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None) -> DataFrame:
@@ -165,34 +169,39 @@ def arrange(cut: DataFrame, capacity: int = CAPACITY, buckets: int | None = None
     table; its columns are kept."""
     spark = cut.sparkSession
     buckets = buckets or max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = cut.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)).cast("int"))
+    key, order = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(buckets)), ["doc_id", "start", "ids_crc32"]
+    if "place" in cut.columns:
+        end = (cut.agg(F.max("place")).first()[0] or 0) + 1
+        key, order = F.floor(F.col("place") * buckets / end), ["place", *order]
+    dealt = cut.withColumn("bucket", key.cast("int"))
     # bounded: lengths below LEAST and at most capacity / LEAST reciprocals, times buckets
-    counts = dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()
-    per: dict[int, dict[int, int]] = {}
-    for r in counts:
-        per.setdefault(r["length"], {})[r["bucket"]] = r["n"]
-    table, first = [], 0
-    for length in sorted(per):
-        seen = 0
-        for bucket in sorted(per[length]):
-            table.append((length, bucket, seen, first))
-            seen += per[length][bucket]
-        first += -(-seen // (capacity // length))
-    offsets = spark.createDataFrame(table, "length long, bucket int, before long, first long")
-    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy("doc_id", "start", "ids_crc32"))
+    counts = {(r["bucket"], r["length"]): r["n"] for r in dealt.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).collect()}
+    table, used, seen, unfilled = [], 0, {}, {}
+    for bucket, length in sorted(counts):
+        fits, before, n = capacity // length, seen.get(length, 0), counts[bucket, length]
+        # a bin belongs to the bucket of its first piece; pieces that fill an earlier one go there
+        own = -(-(before + n) // fits) - -(-before // fits)
+        table.append((length, bucket, before, used - -(-before // fits), unfilled.get(length, -1)))
+        if own:
+            unfilled[length] = used + own - 1
+        used, seen[length] = used + own, before + n
+    offsets = spark.createDataFrame(table, "length long, bucket int, before long, first long, unfilled long")
+    rank = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(*order))
     fits = F.floor(F.lit(capacity) / F.col("length")).cast("long")
     number = F.col("before") + F.col("rank") - 1
+    bin_ = F.floor(number / fits).cast("long")
     return (
         dealt.withColumn("rank", rank)
         .join(F.broadcast(offsets), ["length", "bucket"])
-        .withColumn("sequence_id", (F.col("first") + F.floor(number / fits)).cast("long"))
+        .withColumn("sequence_id", F.when(bin_ * fits < F.col("before"), F.col("unfilled")).otherwise(F.col("first") + bin_))
         .withColumn("offset", (number % fits * F.col("length")).cast("long"))
         .select(*cut.columns, "sequence_id", "offset")
     )
 
 
 def pack(docs: DataFrame, vocabulary: str = VOCABULARY, capacity: int = CAPACITY, with_ids: bool = False) -> DataFrame:
-    """A row per piece of every document with its sequence and the place in it."""
+    """A row per piece of every document with its sequence and the place in it. Where ``docs`` has a
+    column ``place`` (long, from 0), sequences follow it."""
     with arrow_bytes(docs.sparkSession):
         cut = materialise(pieces(docs, vocabulary, capacity, with_ids), "pieces")
     return arrange(cut, capacity)

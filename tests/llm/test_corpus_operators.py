@@ -14,6 +14,7 @@ from conftest import DATA, same
 from pyspark.sql import functions as F
 
 from tessella.llm import exact_dedup, fingerprints, language_model, minhash, mixing, near_dedup, packing, quality, queries, secrets, sharding, text, urls
+from tessella.plans import materialise
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, node string, kept int"
 
@@ -56,7 +57,8 @@ def test_exact_dedup(docs, bits):
     for d, t in rows:
         k = lowered(t)
         keep[k], size[k] = max(keep.get(k, -1), d), size.get(k, 0) + 1
-    want = sorted((d, keep[lowered(t)], size[lowered(t)], d == keep[lowered(t)], hashlib.sha256(lowered(t).encode()).hexdigest()) for d, t in rows)
+    stays = {(keep[k], k): 1 for k in keep}  # of rows equal in id and text one stays
+    want = sorted((d, keep[lowered(t)], size[lowered(t)], stays.pop((d, lowered(t)), 0) == 1, hashlib.sha256(lowered(t).encode()).hexdigest()) for d, t in rows)
     got = sorted(tuple(r) for r in exact_dedup.exact_dedup(docs, size=64, bits=bits).collect())  # two-bit hashes collide throughout
     assert got == want
     assert exact_dedup.exact_dedup(empty(docs)).count() == 0
@@ -390,10 +392,8 @@ def plain_mix(rows, units, block, deviation=None):
 
 
 def test_mixing(docs):
-    units = mixing.whole_units({"a": 5.0, "b": 3.0, "c": 0.001, "d": 0.0}, 64)
-    assert sum(units.values()) == 64 and min(units.values()) >= 1 and "d" not in units
-    assert mixing.deviation(mixing.period(units), units) < 1
-    got = mixing.mix(docs, block=2, units=16).collect()
+    assert mixing.whole({"a": 0.75, "b": 0.25, "c": 2**-20, "d": 0.0}) == {"a": 3 << 18, "b": 1 << 18, "c": 1}
+    got = mixing.mix(docs, block=2).collect()
     assert len(got) == docs.count()
     slots = {}
     for r in got:
@@ -402,16 +402,41 @@ def test_mixing(docs):
     assert mixing.mix(empty(docs)).count() == 0
 
 
+def test_shares_are_exact_at_any_number_of_blocks():
+    blocks = {"a": 30_000, "b": 20_000, "c": 10_000, "d": 4_103, "tiny": 10, "one": 1}
+    run = mixing.schedule(blocks, blocks)
+    assert sorted((k, j) for k, j, _ in run) == sorted((k, j) for k, n in blocks.items() for j in range(n))
+    assert [slot for _, _, slot in run] == list(range(sum(blocks.values())))
+    assert mixing.deviation(run, blocks) < 1
+    rng = random.Random(11)
+    for _ in range(30):
+        blocks = {str(i): rng.choice([1, 3, 40, 900, 5000]) for i in range(rng.randint(1, 12))}
+        units = mixing.whole({k: rng.random() ** 4 + 1e-4 for k in blocks})
+        run = mixing.schedule(blocks, units)
+        assert mixing.deviation(run, units) < 1
+        last = {k: max((j for x, j, _ in run if x == k), default=-1) for k in blocks}
+        assert any(last[k] == blocks[k] - 1 for k in blocks)
+
+
+def test_blocks_grow_with_the_input_within_the_bound(spark):
+    rows = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 7, "tiny").otherwise("rest").alias("source"))
+    got = mixing.mix(rows, most=100).collect()
+    assert {r["in_mix"] for r in got} == {True} and len({r["position"] for r in got}) == 5000
+    assert len({(r["source"], r["block"]) for r in got}) == 101 and max(r["slot"] for r in got) == 100
+
+
 def test_mixing_against_a_plain_schedule(spark):
     names = ["a"] * 33 + ["b"] * 70 + ["c"] * 8 + [None] * 5 + ["unnamed"] * 4
     rows = spark.createDataFrame([(i, "t", s) for i, s in enumerate(names)], "doc_id long, text string, source string")
     weights = {"a": 5.0, "b": 3.0, "c": 1.0, mixing.NO_SOURCE: 1.0}
-    got = mixing.mix(rows, weights, block=3, units=20).collect()
+    got = mixing.mix(rows, weights, block=3).collect()
     filled = [mixing.NO_SOURCE if s is None else s for s in names]
-    want = plain_mix(filled, mixing.whole_units(weights, 20), 3)
+    want = plain_mix(filled, {k: int(w) for k, w in weights.items()}, 3)
     for r in got:
         if r["source"] == "unnamed":
             assert r["slot"] is None and not r["in_mix"] and r["weight"] == 0
+        elif not r["in_mix"]:
+            assert r["slot"] is None and r["weight"] == weights[r["source"] or mixing.NO_SOURCE] / 10
         else:
             assert r["slot"] == want[r["source"] or mixing.NO_SOURCE, r["block"]]
     end = max(r["slot"] for r in got if r["in_mix"]) + 1
@@ -424,7 +449,7 @@ def test_mixing_against_a_plain_schedule(spark):
 def test_mixing_many_sources_and_a_hot_one(spark):
     own = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("s"), F.col("id") % 50))
     rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), own.alias("source"))
-    got = mixing.mix(rows, block=2, units=16).where("in_mix").collect()
+    got = mixing.mix(rows, block=2).where("in_mix").collect()
     assert len(got) == 3000
     end = max(r["slot"] for r in got) + 1
     for s in {r["source"] for r in got}:
@@ -557,6 +582,57 @@ def test_pipeline(spark, docs):
         stage(spark, docs.where("false"), DATA).count()
 
 
+def test_columns_of_any_name_survive(spark):
+    import corpus_pipeline as p
+
+    names = ("_id", "_sha", "_position", "id", "sha", "row", "position")
+    rows = [(i, f"a text of its own {i}", "s", *[f"keep-{i}-{n}" for n in names]) for i in range(20)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, source string, " + ", ".join(f"{n} string" for n in names))
+    for stage in (p.exact, p.near, p.mixing):
+        got = stage(spark, d, DATA)
+        assert got.columns == d.columns and sorted(map(tuple, got.collect())) == sorted(rows)
+
+
+def test_equal_rows_keep_one_and_rows_without_id_stay_linear(spark):
+    rows = [(5, "same"), (5, "same"), (4, "Same"), (None, "same")]
+    got = exact_dedup.exact_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"]) for r in got) == [(-1, 5, 4, False), (4, 5, 4, False), (5, 5, 4, False), (5, 5, 4, True)]
+    nameless = spark.range(3000).select(F.lit(None).cast("long").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"w{j}-"), F.floor(F.col("id") / 2)) for j in range(12)], F.col("id").cast("string")).alias("text"))
+    wanted = near_dedup.signed(nameless).select("doc_id", "text_sha256", "node")
+    assert near_dedup.sets_of(nameless, wanted, 5).count() == 3000
+    joined = near_dedup.sets_of(nameless, materialise(wanted), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "text_sha256" in joined.split("Join")[1]
+    got = near_dedup.components(nameless).groupBy("component").count().collect()
+    assert {r["count"] for r in got} == {2} and len(got) == 1500
+
+
+def test_sequences_follow_the_mix(spark):
+    import corpus_pipeline as p
+
+    own = F.when(F.col("id") < 1500, "large").when(F.col("id") < 1900, "middle").otherwise("small")
+    words = F.concat_ws(" ", F.transform(F.sequence(F.lit(1), (F.col("id") % 7 * 60 + 20).cast("int")), lambda i: F.concat(F.lit("w"), F.col("id") * 7 + i)))
+    docs = spark.range(2000).select(F.col("id").alias("doc_id"), words.alias("text"), own.alias("source"))
+    place = {r["doc_id"]: r["position"] for r in mixing.mix(docs).collect()}
+    mixed = materialise(p.mixing(spark, docs, DATA))
+    order = [r["doc_id"] for r in p.in_order(mixed).orderBy("place").collect()]
+    assert order == sorted(place, key=place.get)
+    got = p.packing(spark, mixed, DATA).collect()
+    at = {d: i for i, d in enumerate(order)}
+    ids = sorted({r["sequence_id"] for r in got})
+    assert ids == list(range(len(ids)))
+    buckets = 8
+    first = {}
+    for r in got:
+        first.setdefault(r["sequence_id"], []).append(at[r["doc_id"]])
+    starts = [min(first[i]) * buckets // len(order) for i in ids]
+    assert starts == sorted(starts) and len(set(starts)) == buckets  # sequences go through the mix from begin to end
+    without = packing.pack(docs).collect()
+    assert sum(r["length"] for r in without) == sum(r["length"] for r in got)
+    parts = [r for r in got if r["sequence_id"] < len(ids) // 4]
+    share = sum(r["length"] for r in parts if r["doc_id"] < 1500) / sum(r["length"] for r in parts)
+    assert abs(share - 0.75) < 0.05  # each stretch of sequences holds the sources by their shares
+
+
 def test_pipeline_keeps_every_distinct_text(spark):
     import corpus_pipeline as p
 

@@ -102,6 +102,19 @@ def remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The remote's assets as it lists them, named by the day of a customer's first order, so that later
+    assets have greater ids; with the customer's balance and that day."""
+    first = table(spark, sf_dir, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(F.min("o_orderdate").alias("first"), F.count(F.lit(1)).alias("n"))
+    asset = F.concat(F.lit("a-"), F.date_format("first", "yyyyMMdd"), F.lit("-"), F.lpad(F.col("c_custkey").cast("string"), 8, "0"))
+    return table(spark, sf_dir, "customer").join(first, "c_custkey").select(
+        asset.alias("asset_id"), F.concat(F.lit("r"), F.col("n") % 5).alias("revision"), F.sha2(F.concat(F.lit("s"), "c_custkey").cast("binary"), 256).alias("checksum"),
+        (F.col("n") * 1000 + F.col("c_custkey") % 997).alias("size_bytes"), (F.col("c_acctbal") > 0).alias("available"), (F.col("c_acctbal") > 5000).alias("favorite"),
+        (F.col("c_custkey") % 6).cast("double").alias("star"), F.array("c_mktsegment", F.concat(F.lit("n"), "c_nationkey")).alias("tags"),
+        F.when(F.col("c_custkey") % 4 != 0, F.date_format("first", "yyyy-MM-dd")).alias("date"), F.col("c_acctbal").alias("balance"), F.date_format("first", "yyyy-MM-dd").alias("day"),
+    )
+
+
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A folder's files: parts with a suffix by key, some in other case, some raw or unknown."""
     suffix = F.element_at(F.array(*map(F.lit, (".jpg", ".JPG", ".png", ".dng", ".txt", ".heic", ".NEF", ".webp", ".json"))), (F.col("p_partkey") % 9 + 1).cast("int"))
@@ -167,6 +180,10 @@ SQL = {
         CASE WHEN p_partkey % 29 <> 0 THEN p_size * 40 END AS width, ((p_partkey % 7 + 1) * 200)::int AS height FROM part""",
     "remote": """SELECT 'a-' || lpad(c_custkey::varchar, 8, '0') AS asset_id, c_acctbal > 5000 AS favorite, (c_custkey % 6)::double AS star,
         [c_mktsegment, 'n' || c_nationkey] AS tags, c_acctbal > 0 AS available, 'r' || (c_custkey % 5) AS revision FROM customer""",
+    "listing": """SELECT 'a-' || strftime(first, '%Y%m%d') || '-' || lpad(c_custkey::varchar, 8, '0') AS asset_id, 'r' || (n % 5) AS revision, sha256('s' || c_custkey) AS checksum,
+        n * 1000 + c_custkey % 997 AS size_bytes, c_acctbal > 0 AS available, c_acctbal > 5000 AS favorite, (c_custkey % 6)::double AS star, [c_mktsegment, 'n' || c_nationkey] AS tags,
+        CASE WHEN c_custkey % 4 <> 0 THEN strftime(first, '%Y-%m-%d') END AS date, c_acctbal AS balance, strftime(first, '%Y-%m-%d') AS day
+        FROM customer JOIN (SELECT o_custkey, min(o_orderdate) AS first, count(*) AS n FROM orders GROUP BY o_custkey) ON o_custkey = c_custkey""",
     "files": """SELECT path, any_value(length) AS length FROM (SELECT 'lib/' || lower(replace(p_brand, '#', '')) || '/IMG_2021' || lpad((p_partkey % 12 + 1)::varchar, 2, '0') || '15_' || (p_partkey % 700)
         || ['.jpg', '.JPG', '.png', '.dng', '.txt', '.heic', '.NEF', '.webp', '.json'][(p_partkey % 9 + 1)::int] AS path, (p_size * 1000)::bigint AS length FROM part) GROUP BY path""",
     "observations": "SELECT conv_id * 1000 + turn AS id, 's' || conv_id AS session_id, [" + ", ".join("'" + r.replace("'", "''") + "'" for r in REMARKS) + f"""][((conv_id * 5 + turn * 3) % {len(REMARKS)} + 1)::int] || ' ' || coalesce(text, '') AS verbatim, role,

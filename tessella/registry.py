@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import catalog, dialogue, flow, profile, records, remote, stores, taste
+from tessella.queries import catalog, dialogue, flow, machines, profile, records, remote, stores, taste
 
-MODULES = (catalog, taste, dialogue, flow, profile, records, stores, remote)
+MODULES = (catalog, taste, dialogue, flow, profile, records, stores, remote, machines)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+import contextlib
+import uuid
+
 from pyspark.sql import functions as F
 
+from tessella.plans import materialise
+from tessella.plans.materialise import shared_dir
 from tessella.sources import derived as D
-from tessella.streaming import journal
+from tessella.sources.derived import with_tables as over
+from tessella.streaming import delivery, journal
 from tessella.streaming.machines import TransientError
 
 QUERIES: dict = {}
@@ -123,3 +129,73 @@ def rotation(spark, sf):
     opened = (F.hour(ts) >= OPENS) & (F.hour(ts) < CLOSES)
     rows = ticks.select("playlist", "event_id", F.unix_millis(ts).alias("at"), opened.alias("open"), override.alias("override"), "members", "order")
     return journal.rotated(rows, INTERVAL)
+
+
+def _store(spark, name):
+    return f"{shared_dir(spark)}/tessella/{name}-{uuid.uuid4().hex}"
+
+
+# Batches of the publish query are its rows by three years of their shipping.
+PUBLISHED = f"""WITH RECURSIVE i AS ({D.SQL['publishes']}), s AS (SELECT *, dense_rank() OVER (ORDER BY year) AS b FROM (SELECT i.*, year(l_shipdate) // 3 AS year FROM i JOIN
+ (SELECT ((l_orderkey * 8 + l_linenumber) * 1009 + l_partkey % 1009) * 64 + l_quantity::bigint % 64 AS id, max(l_shipdate) AS l_shipdate FROM lineitem GROUP BY 1) USING (id))),
+n AS (SELECT b, artifact_id, adapter_id, max_by(sha || CASE WHEN status = 'error' THEN '!' ELSE '' END, id) AS sha, max_by(status = 'error', id) AS fails FROM s GROUP BY ALL),
+f AS (SELECT DISTINCT artifact_id, adapter_id, 0::bigint AS b, NULL::varchar AS sha, NULL::varchar AS status, 0::bigint AS rows FROM n
+ UNION ALL SELECT f.artifact_id, f.adapter_id, f.b + 1, CASE WHEN n.sha IS NULL OR (f.status = 'applied' AND f.sha = n.sha) THEN f.sha ELSE n.sha END,
+  CASE WHEN n.sha IS NULL OR (f.status = 'applied' AND f.sha = n.sha) THEN f.status WHEN n.fails THEN 'error' ELSE 'applied' END,
+  f.rows + (n.sha IS NOT NULL AND NOT coalesce(f.status = 'applied' AND f.sha = n.sha, false) AND coalesce(f.status = 'applied', true))::int
+ FROM f LEFT JOIN n ON n.artifact_id = f.artifact_id AND n.adapter_id = f.adapter_id AND n.b = f.b + 1 WHERE f.b < (SELECT max(b) FROM n))
+SELECT artifact_id, adapter_id, sha256(sha) AS sha, status, rows FROM f WHERE b = (SELECT max(b) FROM n)"""
+
+
+def destination(rows):
+    """A destination that holds what it is sent, and refuses content that ends in !."""
+    refused = F.substring("data", -1, 1) == F.lit(b"!")
+    return rows.select("artifact_id", "adapter_id", "row_id", F.when(~refused, F.col("data")).alias("written"), F.when(refused, "refused").alias("error"))
+
+
+@query("ss_publish", PUBLISHED)
+def publish(spark, sf):
+    """SK28, SK7, PF8, SK36: contents published as the years of their shipping come, through a stream whose batches are journalled: staged,
+    verified, applied or in error; equal content is skipped, unfinished rows go on. The last batch is played
+    again in the end, which changes nothing."""
+    ids = D.table(spark, sf, "lineitem").select(D._line_id().alias("id"), F.year("l_shipdate").alias("year")).groupBy("id").agg(F.floor(F.max("year") / 3).alias("year"))
+    rows = D.publishes(spark, sf).join(ids, "id")
+    data = F.concat("sha", F.when(F.col("status") == "error", "!").otherwise("")).cast("binary")
+    rows = materialise(rows.select("artifact_id", "adapter_id", F.col("id").alias("seq"), data.alias("data"), "year"), "to-publish")
+    store, came = _store(spark, "publish"), _store(spark, "publish-in")
+    years = [r["year"] for r in rows.select("year").distinct().orderBy("year").collect()]
+    for year in years:  # as many runs as there are three-year spans
+        rows.where(F.col("year") == year).drop("year").write.parquet(f"{came}/year={year}")
+        stream = spark.readStream.schema("artifact_id string, adapter_id string, seq long, data binary").parquet(f"{came}/year=*")
+        delivery.publish_stream(stream, store, destination)
+    delivery.publish(rows.where(F.col("year") == years[-1]).drop("year"), len(years) - 1, store, destination)
+    newest = F.max_by(F.struct("sha", "status"), "row_id").alias("row")
+    return delivery.journal(spark, store).groupBy("artifact_id", "adapter_id").agg(newest, F.count(F.lit(1)).alias("rows")).select("artifact_id", "adapter_id", "row.*", "rows")
+
+
+class Killed(Exception):
+    """Stands for a run that ends in the middle."""
+
+
+DRAINED_ROWS = 5_000
+
+
+@query("ss_drain", over("entries", body=f"""SELECT id, CASE WHEN quality_score IS NULL THEN 'error' ELSE 'done' END AS state, CASE WHEN place > {DRAINED_ROWS} AND place <= {2 * DRAINED_ROWS} THEN 2 ELSE 1 END AS attempt,
+ CASE WHEN place <= {DRAINED_ROWS} THEN 1 ELSE 2 END AS run FROM (SELECT *, row_number() OVER (ORDER BY id) AS place FROM entries)"""))
+def drain(spark, sf):
+    """SS4, SS5, SS6: a queue drained in the order of its ids by a run that ends in its second batch, and by one
+    that reclaims what that left in processing and does the rest."""
+    rows, store, batches = D.entries(spark, sf).select("id", "quality_score"), _store(spark, "drain"), iter(range(1 << 30))
+
+    def process(own):
+        return own.select("id", F.col("quality_score").isNotNull().alias("ok"))
+
+    def killed(own):
+        if next(batches) == 1:
+            raise Killed
+        return process(own)
+
+    with contextlib.suppress(Killed):
+        delivery.drain(rows, store, 1, killed, DRAINED_ROWS)
+    delivery.drain(rows, store, 2, process, DRAINED_ROWS)
+    return delivery.queue(spark, store)

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 #: Signals of an analysis, in their fixed order; vibrancy repeats colorfulness.
 SIGNALS = ("technical_quality", "aesthetic_quality", "colorfulness", "harmony", "pairing_affinity", "vibrancy")
 
-# Suffixes that are decoded, and raw formats that are listed but not decoded.
+# Suffixes that are decoded, those that go with an image, and raw formats that are listed but not decoded.
 MEDIA = ("jpg", "jpeg", "png", "gif", "webp", "heic", "tiff", "tif")
+SIDECARS = ("xmp", "json", "txt", "md")
 RAW = ("raw", "cr2", "nef", "arw", "dng", "orf", "raf", "rw2", "pef", "srw", "x3f")
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessella.plans import materialise
+from tessella.plans import broadcast_if_small, materialise
 
 
 
@@ -26,3 +26,17 @@ def numbered_by(df: DataFrame, *order: str | Column, name: str = "place") -> Dat
     offsets = spark.createDataFrame(before, "_numbered_range long, _numbered_before long")
     placed = held.join(F.broadcast(offsets), "_numbered_range").withColumn(name, F.col("_numbered_before") + F.col("_numbered_nth") + 1)
     return placed.drop("_numbered_at", "_numbered_range", "_numbered_nth", "_numbered_before")
+
+
+#: Groups up to which the list of their first places is broadcast.
+SMALL = 100_000
+
+
+def placed_within(df: DataFrame, keys: list[str], *order: str | Column, name: str = "place") -> DataFrame:
+    """``df`` with each row's place, from 1, within its key in the order of the columns, which should
+    have no ties there: its place among all rows, by key and order, less those before its key. A key
+    that holds most rows is many ranges, not one task."""
+    numbered = numbered_by(df, *keys, *order, name="_placed_at")
+    first = materialise(numbered.groupBy(*keys).agg(F.min("_placed_at").alias("_placed_first")), "first-places")
+    found = numbered.join(broadcast_if_small(first, SMALL), keys)
+    return found.withColumn(name, F.col("_placed_at") - F.col("_placed_first") + 1).drop("_placed_at", "_placed_first")

@@ -259,9 +259,12 @@ def reference(spark, sf):
     return assert_reference(a, "entry_id", D.entries(spark, sf), "id")
 
 
+MEDIA_SQL, RAW_SQL = (", ".join(f"'{s}'" for s in suffixes) for suffixes in (S.MEDIA, S.RAW))
+
+
 @query("sc_local_scan", over("files", body="""--more f AS (SELECT path, length, lower(regexp_extract(path, '\\.([^./]+)$', 1)) AS suffix FROM files)
- SELECT path, length, suffix, CASE WHEN suffix IN ('dng','nef','cr2','cr3','arw','raf','orf','rw2','pef','srw','raw') THEN 'unsupported' ELSE 'ok' END AS status FROM f
- WHERE suffix IN ('jpg','jpeg','png','webp','gif','tiff','tif','heic','dng','nef','cr2','cr3','arw','raf','orf','rw2','pef','srw','raw') AND path > 'lib/brand1'"""))
+ SELECT path, length, suffix, CASE WHEN suffix IN (""" + RAW_SQL + """) THEN 'unsupported' ELSE 'ok' END AS status FROM f
+ WHERE suffix IN (""" + RAW_SQL + ", " + MEDIA_SQL + """) AND path > 'lib/brand1'"""))
 def local_scan(spark, sf):
     """SC1, SC2, SC3: recursive local file scan, sorted by path, media + RAW suffixes only, resumable with path > cursor."""
     f = D.files(spark, sf).withColumn("suffix", S.suffix(F.col("path"))).where(F.col("suffix").isin(*S.MEDIA, *S.RAW) & (F.col("path") > "lib/brand1"))

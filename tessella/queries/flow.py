@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessella.functions import scalar as S
 from tessella.operators.latest import latest, numbered
 from tessella.operators.layout import feed_order, slice_cells
+from tessella.operators.ordering import placed_within
 from tessella.operators.pairs import uncertainty
 from tessella.operators.similarity import vector_search
 from tessella.queries.taste import ACTIVE, COS, FIXED, LATEST_SIGNALS, signals, votes
@@ -137,8 +138,9 @@ def entry_position(spark, sf):
 @query("sl_rotation_order", over("entries", body="SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY quality_score IS NOT NULL DESC, md5(id || '-17'), id) AS place FROM entries WHERE cluster_id IS NOT NULL"))
 def rotation_order(spark, sf):
     """SL8: rotation order."""
-    w = Window.partitionBy("cluster_id").orderBy(F.col("quality_score").isNotNull().desc(), F.md5(F.concat(F.col("id").cast("string"), F.lit("-17")).cast("binary")), "id")
-    return D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", F.row_number().over(w).alias("place"))
+    e = D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", F.col("quality_score").isNotNull().alias("favourite"))
+    turn = F.md5(F.concat(F.col("id").cast("string"), F.lit("-17")).cast("binary"))
+    return placed_within(e, ["cluster_id"], F.desc("favourite"), turn, "id").select("cluster_id", "id", "place")
 
 
 @query("sl_next_job", over("publishes", body="SELECT adapter_id, min(id) AS id FROM publishes WHERE status = 'staged' GROUP BY adapter_id"))

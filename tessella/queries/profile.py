@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
-from tessella.operators.latest import latest, nth_latest, numbered
+from tessella.operators.latest import latest, nth_latest
+from tessella.operators.ordering import placed_within
 from tessella.queries.taste import LATEST_SIGNALS, signals
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
@@ -106,14 +107,17 @@ def revision_observation(spark, sf):
 def playlist_members(spark, sf):
     """SK20: playlist save."""
     e = D.entries(spark, sf).where("cluster_id is not null and quality_score is not null").select("cluster_id", "id")
-    return numbered(e, ["cluster_id"], "id").select("cluster_id", "id", (F.col("seq") - 1).cast("long").alias("position"))
+    return placed_within(e, ["cluster_id"], "id").select("cluster_id", "id", (F.col("place") - 1).alias("position"))
 
 
 @query("wn_deck_cursor", over("entries", body="SELECT cluster_id, id, lag(id) OVER w AS previous, lead(id) OVER w AS following FROM entries WHERE cluster_id IS NOT NULL WINDOW w AS (PARTITION BY cluster_id ORDER BY quality_score DESC NULLS LAST, id)"))
 def deck_cursor(spark, sf):
     """WN15: next/previous deck cursor over the composed feed."""
-    w = Window.partitionBy("cluster_id").orderBy(F.desc_nulls_last("quality_score"), "id")
-    return D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", F.lag("id").over(w).alias("previous"), F.lead("id").over(w).alias("following"))
+    e = D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", "quality_score")
+    deck = placed_within(e, ["cluster_id"], F.desc_nulls_last("quality_score"), "id").select("cluster_id", "id", "place")
+    previous = deck.select("cluster_id", F.col("id").alias("previous"), (F.col("place") + 1).alias("place"))
+    following = deck.select("cluster_id", F.col("id").alias("following"), (F.col("place") - 1).alias("place"))
+    return deck.join(previous, ["cluster_id", "place"], "left").join(following, ["cluster_id", "place"], "left").select("cluster_id", "id", "previous", "following")
 
 
 
@@ -122,9 +126,9 @@ def deck_cursor(spark, sf):
 def wildcard(spark, sf):
     """SL7: wildcard."""
     e = D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "id", F.coalesce("quality_score", F.lit(0.0)).alias("s"))
-    r = e.withColumn("r", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("s"), "id")))
+    r = placed_within(e, ["cluster_id"], F.desc("s"), "id", name="r")
     tail = F.when(F.col("r") > 2, F.md5(F.concat(F.lit("seed"), "id").cast("binary")))
-    return r.select("cluster_id", "id", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.least("r", F.lit(3)), tail, "id")).alias("place"))
+    return placed_within(r.select("cluster_id", "id", "r"), ["cluster_id"], F.least("r", F.lit(3)), tail, "id").select("cluster_id", "id", "place")
 
 
 @query("fm_alignment", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, round((2 * technical_quality - pairing_affinity + 0.5 * aesthetic_quality) * 0.7071067811865476, 6) AS alignment, round(greatest(0, least(1, harmony * 2 - 0.5)), 6) AS clamped, round(CASE WHEN pairing_affinity + 0.25 > 0 THEN pairing_affinity / (pairing_affinity + 0.25) ELSE 0 END, 6) AS saturated FROM latest"))
@@ -171,12 +175,12 @@ def dms(spark, sf):
 
 
 @query("ag_inventory_counts", over("files", body="""SELECT count(*) AS files, count(*) FILTER (lower(path) LIKE '%.jpg') AS photos, count(*) FILTER (lower(path) LIKE '%.nef' OR path LIKE '%.dng') AS raw,
- count(*) FILTER (path LIKE '%.json' OR path LIKE '%.txt') AS sidecars, sum(length)::bigint AS bytes, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS folders FROM files"""))
+ count(*) FILTER (regexp_matches(lower(path), '\.(xmp|json|txt|md)$')) AS sidecars, sum(length)::bigint AS bytes, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS folders FROM files"""))
 def inventory_counts(spark, sf):
     """SC18, AG7, AG36: directory inventory scan."""
     p, s = F.col("path"), S.suffix(F.col("path"))
     return D.files(spark, sf).agg(
-        F.count(F.lit(1)).alias("files"), F.count_if(s == "jpg").alias("photos"), F.count_if(s.isin("nef", "dng")).alias("raw"), F.count_if(s.isin("json", "txt")).alias("sidecars"),
+        F.count(F.lit(1)).alias("files"), F.count_if(s == "jpg").alias("photos"), F.count_if(s.isin("nef", "dng")).alias("raw"), F.count_if(s.isin(*S.SIDECARS)).alias("sidecars"),
         F.sum("length").alias("bytes"), F.countDistinct(S.folder(p)).alias("folders"),
     )
 

@@ -3,13 +3,15 @@ and the remaining scans and rules. Docstrings begin with the operators' ids in t
 
 from __future__ import annotations
 
-from pyspark.sql import Window
+from functools import reduce
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
 from tessella.operators.graph import connected_components
 from tessella.operators.latest import folded, latest, upserted
-from tessella.operators.ordering import numbered_by
+from tessella.operators.ordering import numbered_by, placed_within
 from tessella.plans import materialise
 from tessella.queries.taste import ACTIVE, DELTA_SQL, LATEST_SIGNALS, delta, signals, votes
 from tessella.sources import derived as D
@@ -52,13 +54,14 @@ def vector_lookup(spark, sf):
     return D.table(spark, sf, "part").select("p_partkey").join(v, "p_partkey", "left").select("p_partkey", F.col("vector").isNotNull().alias("found"), F.round(S.dot(F.col("vector"), F.col("vector")), 6).alias("square"))
 
 
-@query("sc_table_list", "SELECT name FROM (VALUES " + ", ".join(f"('{n}')" for n in sorted(D.SQL)) + ") t(name) WHERE (SELECT count(*) FROM orders) >= 0")
+STORED = ("customer", "documents", "events", "lineitem", "orders", "part")
+
+
+@query("sc_table_list", "SELECT * FROM (" + " UNION ALL ".join(f"SELECT '{n}' AS name, count(*) AS n FROM {n}" for n in STORED) + ")")
 def table_list(spark, sf):
-    """SC29: the catalog's tables by name, from the views that Spark lists."""
-    for name in D.SQL:
-        getattr(D, name)(spark, sf).createOrReplaceTempView(f"tessella_{name}")
-    found = [t.name for t in spark.catalog.listTables() if t.isTemporary and t.name.startswith("tessella_")]
-    return spark.createDataFrame([(n.removeprefix("tessella_"),) for n in found], "name string")
+    """SC29: the stored tables by name, as their files are found, with the rows that each holds."""
+    rows = [spark.read.parquet(f"{sf}/{n}.parquet").select(F.lit(n).alias("name")).groupBy("name").agg(F.count(F.lit(1)).alias("n")) for n in STORED]
+    return reduce(DataFrame.unionByName, rows)
 
 
 @query("sc_file_metadata")
@@ -79,15 +82,16 @@ def pages_enumerated(spark, sf):
 
 MEDIA_SQL = ", ".join(f"'{s}'" for s in S.MEDIA)
 RAW_SQL = ", ".join(f"'{s}'" for s in S.RAW)
+SIDECAR_SQL = ", ".join(f"'{s}'" for s in S.SIDECARS)
 SUFFIX_SQL = "lower(regexp_extract(path, '\\.([^./]+)$', 1))"
 
 
-@query("sc_inventory_classes", over("files", body=f"SELECT path, CASE WHEN length < 2000 THEN 'corrupt' WHEN {SUFFIX_SQL} IN ({MEDIA_SQL}) THEN 'media' WHEN {SUFFIX_SQL} IN ({RAW_SQL}) THEN 'raw' WHEN {SUFFIX_SQL} IN ('json', 'txt') THEN 'sidecar' ELSE 'other' END AS kind, count(*) OVER (PARTITION BY regexp_extract(path, '[^/]+$')) > 1 AS collides FROM files"))
+@query("sc_inventory_classes", over("files", body=f"SELECT path, CASE WHEN length < 2000 THEN 'corrupt' WHEN {SUFFIX_SQL} IN ({MEDIA_SQL}) THEN 'media' WHEN {SUFFIX_SQL} IN ({RAW_SQL}) THEN 'raw' WHEN {SUFFIX_SQL} IN ({SIDECAR_SQL}) THEN 'sidecar' ELSE 'other' END AS kind, count(*) OVER (PARTITION BY regexp_extract(path, '[^/]+$')) > 1 AS collides FROM files"))
 def inventory_classes(spark, sf):
     """SC18, SC22, SC3: each file's class, and whether its name stands in another folder too."""
     f, s = D.files(spark, sf).select("path", "length", S.basename(F.col("path")).alias("name")), S.suffix(F.col("path"))
     names = materialise(f.groupBy("name").agg((F.count(F.lit(1)) > 1).alias("collides")), "names")
-    kind = F.when(F.col("length") < 2000, "corrupt").when(s.isin(*S.MEDIA), "media").when(s.isin(*S.RAW), "raw").when(s.isin("json", "txt"), "sidecar").otherwise("other")
+    kind = F.when(F.col("length") < 2000, "corrupt").when(s.isin(*S.MEDIA), "media").when(s.isin(*S.RAW), "raw").when(s.isin(*S.SIDECARS), "sidecar").otherwise("other")
     return f.join(names, "name").select("path", kind.alias("kind"), "collides")
 
 
@@ -152,10 +156,10 @@ def journal_append(spark, sf):
     return p.select("id", "artifact_id", F.explode(rows).alias("r")).select("id", "artifact_id", "r.*")
 
 
-@query("sk_analysis_append", over("analyses", body="""SELECT id, entry_id, status, CASE WHEN status = 'ok' THEN NULL ELSE 'decode failed' END AS reason, CASE WHEN status = 'ok' THEN '{"harmony":' || harmony || '}' ELSE '{}' END AS payload FROM analyses WHERE harmony > 0.01"""))
+@query("sk_analysis_append", over("analyses", body="""SELECT id, entry_id, status, CASE WHEN status = 'ok' THEN NULL ELSE 'decode failed' END AS reason, CASE WHEN status = 'ok' THEN '{"harmony":' || harmony || '}' ELSE '{}' END AS payload FROM (SELECT id, entry_id, status, harmony::decimal(8, 6) AS harmony FROM analyses)"""))
 def analysis_append(spark, sf):
     """SK9, SK10: results with their payload, corrupt ones with a reason and an empty payload."""
-    a, ok = D.analyses(spark, sf).where("harmony > 0.01"), F.col("status") == "ok"
+    a, ok = D.analyses(spark, sf).withColumn("harmony", F.col("harmony").cast("decimal(8,6)")), F.col("status") == "ok"
     return a.select("id", "entry_id", "status", F.when(~ok, "decode failed").alias("reason"), F.when(ok, F.to_json(F.struct("harmony"))).otherwise("{}").alias("payload"))
 
 
@@ -322,14 +326,14 @@ def group_affinity(spark, sf):
 def creators(spark, sf):
     """SL10: each creator's works in the order of their ids (a creator is a segment of one nation)."""
     r = D.remote(spark, sf).where("available").select(F.element_at("tags", 1).alias("creator"), F.element_at("tags", 2).alias("nation"), "asset_id")
-    return r.withColumn("place", F.row_number().over(Window.partitionBy("creator", "nation").orderBy("asset_id"))).select("creator", "asset_id", "place")
+    return placed_within(r, ["creator", "nation"], "asset_id").select("creator", "asset_id", "place")
 
 
 @query("sl_cluster_members", over("entries", body="SELECT cluster_id, id, row_number() OVER (PARTITION BY cluster_id ORDER BY asset_id, sha256, id) AS place FROM entries WHERE cluster_id IS NOT NULL"))
 def cluster_members(spark, sf):
     """SL11: the members of each cluster by key and hash."""
-    w = Window.partitionBy("cluster_id").orderBy("asset_id", "sha256", "id")
-    return D.entries(spark, sf).where("cluster_id is not null").withColumn("place", F.row_number().over(w)).select("cluster_id", "id", "place")
+    e = D.entries(spark, sf).where("cluster_id is not null").select("cluster_id", "asset_id", "sha256", "id")
+    return placed_within(e, ["cluster_id"], "asset_id", "sha256", "id").select("cluster_id", "id", "place")
 
 
 @query("sl_subjects", "SELECT l_orderkey, list(l_partkey ORDER BY l_quantity * l_suppkey DESC, l_quantity DESC, l_suppkey DESC, l_partkey DESC) AS subjects FROM lineitem GROUP BY l_orderkey")
@@ -518,28 +522,37 @@ def apply_scorer(candidates, scorer):
     return candidates.withColumn("score", scorer(candidates))
 
 
-def scorer_of(votes_with_deltas, signal_names):
-    """UD8: a scorer fitted to votes: the mean difference of each signal is its weight."""
-    row = votes_with_deltas.agg(*[F.avg(s).alias(s) for s in signal_names]).first()
+def scorers_of(votes_with_deltas, part, signal_names):
+    """UD8: scorers fitted to votes, one per part: a row with each signal's weight, the mean difference
+    of winner and loser. Signals have six digits, and their sums are added up as integers, so that a
+    weight doesn't depend on the order of the votes."""
+    return votes_with_deltas.groupBy(part).agg(*[(F.sum(F.round(F.col(s) * 1e6).cast("long")) / F.count(s) / 1e6).alias(f"weight_{s}") for s in signal_names])
 
-    def scorer(candidates):
+
+def scored_by(candidates, scorers, part, signal_names):
+    """Candidates with the score that their part's scorer gives them; a part without votes gives 0."""
+
+    def scorer(rows):
         out = F.lit(0.0)
         for s in signal_names:
-            out = out + F.lit(row[s] or 0.0) * candidates[s]
+            out = out + F.coalesce(rows[f"weight_{s}"], F.lit(0.0)) * rows[s]
         return out
 
-    return scorer
+    return apply_scorer(candidates.join(scorers, part, "left"), scorer)
 
 
-@query("ud_fitted_scorer", over("preferences", "analyses", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + """, m AS (SELECT avg(w.harmony - l.harmony) AS h, avg(w.colorfulness - l.colorfulness) AS c FROM active a JOIN latest w ON w.entry_id = a.winner JOIN latest l ON l.entry_id = a.loser)
- SELECT entry_id, round(coalesce(h, 0) * harmony + coalesce(c, 0) * colorfulness, 5) AS score FROM latest, m"""))
+@query("ud_fitted_scorer", over("preferences", "analyses", "entries", body=ACTIVE.rstrip() + ",\n" + LATEST_SIGNALS + """, s AS (SELECT l.entry_id, e.connector_id, l.harmony, l.colorfulness FROM latest l JOIN entries e ON e.id = l.entry_id),
+ m AS (SELECT w.connector_id, sum(round((w.harmony - l.harmony) * 1e6)::bigint) / count(*) / 1e6 AS h, sum(round((w.colorfulness - l.colorfulness) * 1e6)::bigint) / count(*) / 1e6 AS c
+  FROM active a JOIN s w ON w.entry_id = a.winner JOIN s l ON l.entry_id = a.loser GROUP BY w.connector_id)
+ SELECT entry_id, connector_id, 0.0 + coalesce(h, 0) * harmony + coalesce(c, 0) * colorfulness AS score FROM s LEFT JOIN m USING (connector_id)"""))
 def fitted_scorer(spark, sf):
-    """UD7, UD8: entries scored by a scorer that the votes give."""
-    names = ("harmony", "colorfulness")
-    s = signals(spark, sf).select("entry_id", *names)
-    p = votes(spark, sf).join(s.toDF("winner", "wh", "wc"), "winner").join(s.toDF("loser", "lh", "lc"), "loser")
-    fitted = scorer_of(p.select((F.col("wh") - F.col("lh")).alias("harmony"), (F.col("wc") - F.col("lc")).alias("colorfulness")), names)
-    return apply_scorer(s, fitted).select("entry_id", F.round("score", 5).alias("score"))
+    """UD7, UD8: entries scored by the scorer that the votes of their connector give."""
+    names, part = ("harmony", "colorfulness"), "connector_id"
+    s = signals(spark, sf).select("entry_id", *names).join(D.entries(spark, sf).select(F.col("id").alias("entry_id"), part), "entry_id")
+    won, lost = s.toDF("winner", "wh", "wc", part), s.drop(part).toDF("loser", "lh", "lc")
+    pairs = votes(spark, sf).join(won, "winner").join(lost, "loser")
+    fitted = scorers_of(pairs.select(part, (F.col("wh") - F.col("lh")).alias("harmony"), (F.col("wc") - F.col("lc")).alias("colorfulness")), part, names)
+    return scored_by(s, fitted, part, names).select("entry_id", part, "score")
 
 
 @query("wn_rank_by_scorer", over("entries", "analyses", body="--more " + LATEST_SIGNALS + f", s AS (SELECT e.id, e.cluster_id, round(coalesce(e.quality_score, 0.0) + {DELTA_SQL}, 6) AS trained, round(coalesce(e.quality_score, 0.0), 6) AS base FROM entries e JOIN latest l ON l.entry_id = e.id WHERE e.cluster_id IS NOT NULL) SELECT id, row_number() OVER (PARTITION BY cluster_id ORDER BY trained DESC, id) - row_number() OVER (PARTITION BY cluster_id ORDER BY base DESC, id) AS moved FROM s"))
@@ -549,7 +562,5 @@ def rank_by_scorer(spark, sf):
     base = F.coalesce("quality_score", F.lit(0.0))
     s = e.select("id", "cluster_id", F.round(base + delta(), 6).alias("trained"), F.round(base, 6).alias("base"))
 
-    def place(c):
-        return F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc(c), "id")).cast("long")
-
-    return s.select("id", (place("trained") - place("base")).alias("moved"))
+    trained, base = (placed_within(s.select("cluster_id", "id", c), ["cluster_id"], F.desc(c), "id", name=f"by_{c}") for c in ("trained", "base"))
+    return trained.select("id", "by_trained").join(base.select("id", "by_base"), "id").select("id", (F.col("by_trained") - F.col("by_base")).alias("moved"))

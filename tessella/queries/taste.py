@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
 from tessella.operators.latest import clamped_replay, latest
-from tessella.operators.ordering import numbered_by
+from tessella.operators.ordering import numbered_by, placed_within
 from tessella.operators.pairs import most_uncertain
 from tessella.operators.similarity import NEAR as NEAR_BITS
 from tessella.operators.similarity import hash_classes, image_clusters, near_hashes, vector_search
-from tessella.plans import materialise
+from tessella.plans import broadcast_if_small, materialise
 from tessella.sources import derived as D
 from tessella.sources.derived import with_tables as over
 
@@ -127,7 +127,7 @@ def rank(spark, sf):
     """WN8, WN9: rank by baseline + delta, stable on input order."""
     e = D.entries(spark, sf).where("cluster_id is not null").join(signals(spark, sf).withColumnRenamed("entry_id", "id"), "id")
     scored = e.select("id", "cluster_id", F.round(F.coalesce("quality_score", F.lit(0.0)) + delta(), 6).alias("score"))
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc("score"), "id")))
+    return placed_within(scored, ["cluster_id"], F.desc("score"), "id", name="rank")
 
 
 @query("ag_largest_contribution", over("analyses", body="--more " + LATEST_SIGNALS + """, parts AS (SELECT entry_id, p.signal, p.c FROM latest, LATERAL (VALUES """ + ", ".join(f"('{s}', round(({w}) * {s}, 6))" for s, w in FIXED.items()) + """) p(signal, c))
@@ -171,10 +171,9 @@ def spearman(spark, sf):
     """AG26: spearman over shared ids."""
     e = D.entries(spark, sf).where("cluster_id is not null").join(signals(spark, sf).withColumnRenamed("entry_id", "id"), "id")
 
-    def place(c):
-        return F.row_number().over(Window.partitionBy("cluster_id").orderBy(F.desc(c), "id")).cast("double")
-
-    p = e.select("cluster_id", place("aesthetic_quality").alias("a"), place("harmony").alias("b"))
+    places = ((c, placed_within(e.select("cluster_id", "id", c), ["cluster_id"], F.desc(c), "id")) for c in ("aesthetic_quality", "harmony"))
+    a, b = (p.select("cluster_id", "id", F.col("place").cast("double").alias(n)) for n, (_, p) in zip("ab", places, strict=True))
+    p = a.join(b.drop("cluster_id"), "id")
     varies = (F.count(F.lit(1)) >= 2) & (F.max("a") > F.min("a"))
     return p.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("n"), F.when(varies, F.round(F.try_divide(F.covar_pop("a", "b"), F.stddev_pop("a") * F.stddev_pop("b")), 6)).otherwise(0.0).alias("rho"))
 
@@ -242,7 +241,7 @@ def token_counts(spark, sf):
 def veto(spark, sf):
     """ST12: demote or drop vetoed candidates."""
     s = signals(spark, sf).select("entry_id", (F.col("harmony") > 0.5).alias("disliked"))
-    return s.withColumn("place", F.row_number().over(Window.partitionBy(F.col("entry_id") % 10).orderBy("disliked", "entry_id")))
+    return placed_within(s.withColumn("part", F.col("entry_id") % 10), ["part"], "disliked", "entry_id").drop("part")
 
 
 @query("fm_blend", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, [round(0.3 * technical_quality + 0.7 * harmony, 6), round(0.3 * pairing_affinity + 0.7 * aesthetic_quality, 6)] AS blend, [CASE WHEN pairing_affinity > 0.8 THEN pairing_affinity ELSE technical_quality END, CASE WHEN aesthetic_quality > 0.8 THEN aesthetic_quality ELSE harmony END] AS vetoed FROM latest"))
@@ -451,9 +450,17 @@ def overlaps(spark, sf):
 @query("ag_percentiles", over("analyses", body="SELECT entry_id % 100 AS part, round(quantile_cont(technical_quality, 0.1), 6) AS p10, round(quantile_cont(technical_quality, 0.9), 6) AS p90, round(stddev_pop(pairing_affinity), 6) AS sd, round(var_pop(harmony), 6) AS var FROM analyses GROUP BY 1"))
 def percentiles(spark, sf):
     """AG30: percentiles p10 / p90."""
-    return D.analyses(spark, sf).groupBy((F.col("entry_id") % 100).alias("part")).agg(
-        F.round(F.percentile("technical_quality", 0.1), 6).alias("p10"), F.round(F.percentile("technical_quality", 0.9), 6).alias("p90"), F.round(F.stddev_pop("pairing_affinity"), 6).alias("sd"), F.round(F.var_pop("harmony"), 6).alias("var")
-    )
+    a = D.analyses(spark, sf).withColumn("part", F.col("entry_id") % 100)
+    others = materialise(a.groupBy("part").agg(
+        F.count("technical_quality").alias("n"), F.round(F.stddev_pop("pairing_affinity"), 6).alias("sd"), F.round(F.var_pop("harmony"), 6).alias("var")
+    ), "parts")
+    # a percentile lies between two places of its part; only the rows at those are looked up
+    placed = placed_within(a.where("technical_quality is not null").select("part", "technical_quality", "id"), ["part"], "technical_quality", "id")
+    at = placed.join(broadcast_if_small(others.select("part", "n"), 10_000), "part")
+    between = [(p, (F.col("n") - 1) * s) for p, s in (("p10", 0.1), ("p90", 0.9))]
+    share = [F.greatest(1 - F.abs(F.col("place") - 1 - w), F.lit(0.0)) for _, w in between]
+    found = at.groupBy("part").agg(*[F.round(F.sum(F.col("technical_quality") * x), 6).alias(p) for (p, _), x in zip(between, share, strict=True)])
+    return others.join(found, "part", "left").select("part", "p10", "p90", "sd", "var")
 
 
 @query("ag_weighted_centroid", "SELECT l_suppkey, round(sum(l_quantity * l_discount) / sum(l_quantity), 6) AS x, round(sum(l_quantity * l_tax) / sum(l_quantity), 6) AS y FROM lineitem GROUP BY l_suppkey")

@@ -5,11 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.scalar import MEDIA, RAW, basename, suffix
-
-#: Suffixes that go with an image: what a consolidation takes besides media.
-SIDECARS = ("xmp", "json", "aae")
-
+from tessella.functions.scalar import MEDIA, RAW, SIDECARS, basename, suffix
 
 def scan(spark: SparkSession, path: str, suffixes: tuple[str, ...] = MEDIA + RAW, after: str = "") -> DataFrame:
     """SC1, SC4, SC22, SC23: files below ``path`` whose suffix is one of ``suffixes``, in the order of

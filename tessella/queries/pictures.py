@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessella.functions import scalar as S
 from tessella.operators import grids
+from tessella.operators.palette import palettes
 from tessella.queries.taste import ORACLE as TASTE_SQL
 from tessella.queries.taste import pair_affinity
 from tessella.sources import derived as D
@@ -158,3 +159,17 @@ def proposals(spark, sf):
     rows = s.select("key", F.explode(each).alias("t"), fit.alias("fit")).select("key", "t.*", "fit")
     place = F.row_number().over(Window.partitionBy("key").orderBy(F.desc("score"), "rank"))  # at most eight rows a key
     return rows.select("key", "treatment", "score", "fit", place.alias("place"))
+
+
+@query("ag_kmeans_palette")
+def kmeans_palette(spark, sf):
+    """AG33: the dominant colours of each part, whose line items are its pixels: five centres, fifteen rounds at
+    most, near centres merged, by falling share. Tested against a plain loop on every key."""
+    found = palettes(pixels(spark, sf), "p_partkey")
+    return found.select("p_partkey", F.posexplode("palette").alias("place", "c")).select("p_partkey", "place", "c.r", "c.g", "c.b", F.round("c.share", 6).alias("share"))
+
+
+def pixels(spark, sf):
+    """Line items as pixels of their part's image."""
+    line = D.table(spark, sf, "lineitem").select(F.col("l_partkey").alias("p_partkey"), D._line_id().alias("id"), (F.col("l_quantity") * 5).alias("r"), (F.col("l_suppkey") * 37 % 256).alias("g"), F.round(F.col("l_discount") * 2550).alias("b"))
+    return line.dropDuplicates(["p_partkey", "id"])

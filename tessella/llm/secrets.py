@@ -5,8 +5,10 @@ triples were scanned and what was found. A run scans each unseen triple once, wh
 paths carry the blob, appends to the ledger, and joins the findings back to all paths. Raising a
 rule's version rescans all blobs with that rule only.
 
-A ledger is kept in a folder: a run reads what is there, scans what is missing, and appends it in
-one commit, so a run that fails leaves the folder as it was. Rows of a blob lie together by rule.
+A ledger is kept in a folder: a run asks it first, by hash, and only texts of unseen pairs are moved
+and scanned; with nothing new no text is read twice or shuffled. What is missing is appended. A run
+that ends in the middle may leave some of its rows, and two runs at once the same rows: a later run
+scans what is missing, and rows of one blob, rule and version count once.
 
 Defined cases: a null text counts as empty and finds nothing; copies are scanned once and each
 gets the findings; spans count code points, the end is exclusive; of spans with one start the kinds
@@ -27,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.llm.text import arrow_bytes, chunks, doc_id, text_or_empty
-from tessella.plans import materialise
+from tessella.plans import broadcast_if_small, materialise
 from tessella.plans.materialise import shared_dir
 
 
@@ -59,6 +61,9 @@ RULES = (
 BASE = ("assign", "access", "hex")
 _HEXES = bytes(0x78 if chr(b) in "0123456789abcdef" else 0x20 for b in range(256))
 
+#: Unseen blobs up to which their list is broadcast to the scan of texts.
+SMALL = 1_000_000
+
 LEDGER = "blob string, kind string, version int, spans array<struct<start:int,end:int>>"
 
 
@@ -73,7 +78,7 @@ def find(rule: Rule, compiled: re.Pattern, text: str, lowered: str, raw: bytes)
 
 
 def blobs(docs: DataFrame) -> DataFrame:
-    """doc_id, blob (the text's SHA-256) and n_chars of every row; no text."""
+    """doc_id and blob (the text's SHA-256) of every row; no text."""
     text = text_or_empty()
     return docs.select(doc_id(), F.sha2(text.cast("binary"), 256).alias("blob"))
 
@@ -96,16 +101,19 @@ def distinct_blobs(docs: DataFrame) -> DataFrame:
     return docs.select(text_or_empty().alias("text")).mapInArrow(named, "blob string, text string").dropDuplicates(["blob"])
 
 
+def unseen(names: DataFrame, seen: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
+    """(blob, done) of the blobs of ``names`` that lack a rule's present version in ``seen`` (blob, kind,
+    version); done: the kinds that they have."""
+    current = F.array(*[F.struct(F.lit(r.kind).alias("kind"), F.lit(r.version).alias("version")) for r in rules])
+    had = seen.where(F.array_contains(current, F.struct("kind", "version"))).groupBy("blob").agg(F.collect_set("kind").alias("done"))
+    every = names.select("blob").distinct().join(had, "blob", "left")
+    return every.withColumn("done", F.coalesce("done", F.array().cast("array<string>"))).where(F.size("done") < len(rules))
+
+
 def scan(content: DataFrame, rules: tuple[Rule, ...] = RULES, seen: DataFrame | None = None) -> DataFrame:
     """New ledger rows of ``content`` (blob, text): one per blob and rule version not in ``seen``
     (blob, kind, version). Blobs whose pairs are all seen are never shipped to Python."""
-    wanted = [(r.kind, r.version) for r in rules]
-    todo = content.withColumn("done", F.array().cast("array<string>"))
-    if seen is not None:
-        current = F.array(*[F.struct(F.lit(k).alias("kind"), F.lit(v).alias("version")) for k, v in wanted])
-        had = seen.where(F.array_contains(current, F.struct("kind", "version"))).groupBy("blob").agg(F.collect_set("kind").alias("done"))
-        todo = content.join(had, "blob", "left").withColumn("done", F.coalesce("done", F.array().cast("array<string>")))
-        todo = todo.where(F.size("done") < len(rules))
+    todo = content.withColumn("done", F.array().cast("array<string>")) if seen is None else content.join(unseen(content, seen, rules), "blob")
 
     def scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compiled = [(r, re.compile(r.pattern, r.flags)) for r in rules]
@@ -129,7 +137,7 @@ def findings_by_path(paths: DataFrame, ledger: DataFrame, rules: tuple[Rule, ...
     rank = F.create_map(*[F.lit(x) for i, r in enumerate(rules) for x in (f"{r.kind}:{r.version}", i)])
     current = ledger.withColumn("rank", F.element_at(rank, F.concat_ws(":", "kind", "version"))).where("rank is not null and size(spans) > 0")
     spans = F.transform("spans", lambda s: F.struct(s["start"].alias("start"), F.col("rank").alias("rank"), F.col("kind").alias("kind"), s["end"].alias("end")))
-    per = current.select("blob", spans.alias("s")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
+    per = current.dropDuplicates(["blob", "kind", "version"]).select("blob", spans.alias("s")).groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("s"))).alias("found"))
     # at most one ledger row per rule is gathered; written first, so that the paths of one frequent blob can be split
     per = materialise(per, "found")
     nothing = F.array().cast("array<struct<start:int,rank:int,kind:string,end:int>>")
@@ -149,7 +157,15 @@ def scan_documents(docs: DataFrame, rules: tuple[Rule, ...] = RULES, at: str | N
     at = at or f"{shared_dir(spark)}/tessella/ledger-{uuid.uuid4().hex}"
     seen = read_ledger(spark, at)
     with arrow_bytes(spark):
-        scan(distinct_blobs(docs), rules, None if seen.isEmpty() else seen.select("blob", "kind", "version")).write.mode("append").parquet(at)
+        if seen.isEmpty():
+            scan(distinct_blobs(docs), rules).write.mode("append").parquet(at)
+        else:
+            # the ledger is asked by hash; texts follow only where something is missing
+            todo = materialise(unseen(blobs(docs), seen.select("blob", "kind", "version"), rules), "unseen")
+            if not todo.isEmpty():
+                named = docs.withColumn("blob", F.sha2(text_or_empty().cast("binary"), 256)).select("blob", text_or_empty().alias("text"))
+                own = named.join(broadcast_if_small(todo.select("blob"), SMALL), "blob", "left_semi")
+                scan(distinct_blobs(own), rules, seen.select("blob", "kind", "version")).write.mode("append").parquet(at)
     ledger = spark.read.schema(LEDGER).parquet(at)
     return findings_by_path(blobs(docs), ledger, rules), ledger
 

@@ -5,10 +5,11 @@ shingles, as hexadecimal text. Unlike bins still agree by chance with probabilit
 the likeness of two fingerprints takes out.
 
 To compare each document with the next by doc_id, rows are dealt into ranges of doc_id and, among
-equal ids, of a hash of the text. There are as many ranges as the text's bytes call for, and the
-first row of a range is also given to the range before it (the very first to the last). A task then
-reads its range in order and holds one row back; the text is shuffled once, and no task or driver
-sees more than its range.
+equal ids, of a hash of the text. There are as many ranges as the text's bytes call for, ``MOST_RANGES``
+at most, and the first row of a range is also given to the range before it (the very first to the
+last). A task then reads its range in order, sorted by Spark, and holds one row back, so that a
+range may be of any size; the text is read twice and shuffled once. The driver holds a sample of at
+most ``RANGE_SAMPLE`` rows a range and one row a range.
 
 Defined cases: a null text counts as empty; a text without words has an empty fingerprint, like
 only to another such; a text of fewer than five words has one shingle, the whole; rows of equal
@@ -30,11 +31,14 @@ from pyspark.sql import functions as F
 
 from tessella.llm.minhash import low_bits, signatures, walks
 from tessella.llm.text import chunks, doc_id, hash_words, shingle_hashes, text_or_empty, words
+from tessella.plans import materialise
 
 WORDS = 5
 BINS, BITS = 256, 4
 #: Bytes of text in a range on average, and rows sampled per range to find the ranges' bounds.
-RANGE_BYTES, RANGE_SAMPLE = 8_000_000, 200
+RANGE_BYTES, RANGE_SAMPLE = 8_000_000, 100
+#: Ranges at most, whatever the input.
+MOST_RANGES = 10_000
 
 
 def packed(texts: list[str], walk: np.ndarray, bins: int = BINS, bits: int = BITS, k: int = WORDS) -> tuple[np.ndarray, np.ndarray]:
@@ -68,9 +72,9 @@ def ranged(docs: DataFrame, ranges: int | None = None) -> tuple[DataFrame, int]:
     before it gets; and the number of ranges. The driver holds a sample of bounded size, which only
     sets the bounds, and a few numbers per range."""
     spark = docs.sparkSession
-    keys = docs.select(doc_id(), F.xxhash64(text_or_empty()).alias("tie"), F.octet_length(text_or_empty()).alias("size"))
+    keys = materialise(docs.select(doc_id(), F.xxhash64(text_or_empty()).alias("tie"), F.octet_length(text_or_empty()).alias("size")), "range-keys")
     total = keys.agg(F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum("size"), F.lit(0)).alias("bytes")).first()
-    ranges = ranges or max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["bytes"] // RANGE_BYTES)
+    ranges = ranges or min(MOST_RANGES, max(int(spark.conf.get("spark.sql.shuffle.partitions")), total["bytes"] // RANGE_BYTES))
     every = max(1, total["rows"] // (ranges * RANGE_SAMPLE))
     sample = keys.where(F.pmod(F.xxhash64("doc_id", "tie", F.lit(9)), F.lit(every)) == 0).select("doc_id", "tie").toArrow()
     known = np.sort(_placed(sample.column("doc_id").to_numpy(), sample.column("tie").to_numpy()))

@@ -243,6 +243,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
 def _fitted(docs: DataFrame, wanted: DataFrame) -> Model:
     rows = docs.select(doc_id(), text_or_empty().alias("text")).join(F.broadcast(wanted), "doc_id")
+    # one text of each id, however many rows share it
+    rows = rows.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
     vectors = word_vectors(docs)
     shared = docs.sparkSession.sparkContext.broadcast(vectors)
 

@@ -247,6 +247,42 @@ def test_ledger_is_kept_and_only_unseen_pairs_are_scanned(spark, tmp_path):
     assert secrets.scan(secrets.distinct_blobs(more), raised, secrets.read_ledger(spark, at)).count() == 3
     _, again = secrets.scan_documents(more, at=at)
     assert again.count() == whole.count()
+    again.limit(1000).coalesce(1).write.mode("append").parquet(at)  # what two runs at once would leave
+    found, _ = secrets.scan_documents(more, at=at)
+    assert {r["doc_id"]: len(r["found"]) for r in found.collect()} == {900: 1, 901: 0, 902: 0}
+
+
+def test_a_run_with_nothing_new_moves_no_text(spark, tmp_path, monkeypatch):
+    at = f"file://{tmp_path}/ledger"
+    docs = spark.createDataFrame([(i, f"secret=abcdefgh{i}") for i in range(30)], "doc_id long, text string")
+    secrets.scan_documents(docs, at=at)
+    moved = []
+    first = secrets.distinct_blobs
+    monkeypatch.setattr(secrets, "distinct_blobs", lambda d: moved.append(sorted(r["blob"] for r in d.select("blob").collect())) or first(d))
+    secrets.scan_documents(docs, at=at)
+    assert moved == []
+    one = spark.createDataFrame([(77, "token=unseen-one")], "doc_id long, text string")
+    found, ledger = secrets.scan_documents(docs.unionByName(one), at=at)
+    assert [len(x) for x in moved] == [1] and ledger.count() == 31 * len(secrets.RULES)
+    assert sum(len(r["found"]) for r in found.collect()) == 31
+
+
+def test_ranges_and_sample_have_bounds(spark, monkeypatch):
+    monkeypatch.setattr(fingerprints, "RANGE_BYTES", 1)
+    monkeypatch.setattr(fingerprints, "MOST_RANGES", 5)
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.concat(F.lit("some words of text "), "id").alias("text"))
+    parts, number = fingerprints.ranged(rows)
+    assert number <= 5 and parts.groupBy("range").count().count() <= 5
+    assert fingerprints.compared(rows).count() == 3000
+
+
+def test_repeated_ids_teach_the_network_once(spark, monkeypatch):
+    rows = [(i % 2, f"a text of words {i % 2}") for i in range(500)]
+    labels = spark.createDataFrame([(0, 1), (1, 0)], "doc_id long, quality int")
+    taught = []
+    monkeypatch.setattr(quality, "train", lambda x, y: taught.append(len(x)))
+    quality._fitted(spark.createDataFrame(rows, "doc_id long, text string"), labels)
+    assert taught == [2]
 
 
 def test_urls(spark):

@@ -10,7 +10,8 @@ from tessella.operators.latest import latest, numbered
 from tessella.operators.layout import feed_order, slice_cells
 from tessella.operators.ordering import placed_within
 from tessella.operators.pairs import uncertainty
-from tessella.operators.similarity import vector_search
+from tessella.operators.similarity import image_clusters, vector_search
+from tessella.queries.taste import ORACLE as TASTE_SQL
 from tessella.queries.taste import ACTIVE, COS, FIXED, LATEST_SIGNALS, signals, votes
 from tessella.plans import materialise
 from tessella.sources import derived as D
@@ -128,6 +129,17 @@ def duplicate_groups(spark, sf):
 
 
 
+@query("ag_duplicate_report", over("images", body="--more x AS (" + TASTE_SQL["gr_image_clusters"] + """)
+ SELECT x.cluster, count(*) AS members, CASE WHEN count(DISTINCT i.sha256) = 1 THEN 'exact' ELSE 'near' END AS kind, max(x.key) FILTER (x.best) AS best FROM x JOIN images i USING (key) GROUP BY x.cluster HAVING count(*) > 1"""))
+def duplicate_report(spark, sf):
+    """AG8, AG19, GR1: groups of two members or more: exact where all have one content, else near, with the best
+    original."""
+    i = D.images(spark, sf)
+    x = image_clusters(i).join(i.select("key", "sha256"), "key")
+    kind = F.when(F.min("sha256") == F.max("sha256"), "exact").otherwise("near")
+    return x.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), kind.alias("kind"), F.max(F.when(F.col("best"), F.col("key"))).alias("best")).where("members > 1")
+
+
 @query("wn_entry_position", over("approvals", body="SELECT entry_id, list(id ORDER BY id)[2] AS second_id, list_position(list(id ORDER BY id), max(id)) - 1 AS last_position FROM approvals GROUP BY entry_id"))
 def entry_position(spark, sf):
     """WN12: position of entry in member list."""
@@ -163,6 +175,36 @@ def first_category(spark, sf):
     return D.files(spark, sf).select("path", f.alias("category"))
 
 
+# The sources that each treatment takes, fewest and most.
+ARITY = {"single_fullbleed": (1, 1), "diptych": (2, 2), "triptych": (3, 3), "quad": (4, 4), "packed": (2, 9)}
+#: The treatment that an order's priority asks for.
+ASKED = dict(zip("12345", ARITY, strict=True))
+
+
+@query("ru_manifests", "WITH a(p, treatment, low, high) AS (VALUES " + ", ".join(f"('{p}', '{t}', {ARITY[t][0]}, {ARITY[t][1]})" for p, t in ASKED.items()) + """),
+m AS (SELECT l_orderkey, left(o_orderpriority, 1) AS p, count(*) AS n, count(DISTINCT l_partkey) AS parts, count(*) FILTER (l_returnflag <> 'R') AS regions, count(DISTINCT l_partkey) FILTER (l_returnflag <> 'R') AS named, bool_or(l_returnflag <> 'R' AND l_quantity <= 2) AS flat
+ FROM lineitem JOIN orders ON o_orderkey = l_orderkey GROUP BY ALL)
+SELECT l_orderkey, treatment, CASE WHEN parts <> n THEN 'duplicate sources' WHEN n NOT BETWEEN low AND high THEN 'arity: ' || n || ' of ' || low || ' to ' || high WHEN regions > 0 AND regions <> n THEN 'one region per source: ' || regions || ' of ' || n WHEN flat THEN 'geometry' END AS error,
+ CASE WHEN parts = n AND n BETWEEN low AND high AND regions IN (0, n) AND NOT flat THEN regions END AS regions FROM m JOIN a USING (p)""")
+def manifests(spark, sf):
+    """RU5, RU7, ST11: a manifest of each order's parts under the treatment that its priority asks for: the first
+    of its errors (sources twice, too few or many for the treatment, regions that are not those of the sources,
+    regions without extent), or the number of its regions."""
+    line = D.table(spark, sf, "lineitem").select("l_orderkey", "l_partkey", (F.col("l_returnflag") != "R").alias("set"), "l_quantity")
+    asked = D.table(spark, sf, "orders").select(F.col("o_orderkey").alias("l_orderkey"), F.substring("o_orderpriority", 1, 1).alias("p"))
+    treatment = F.create_map(*[F.lit(x) for kv in ASKED.items() for x in kv])[F.col("p")]
+    bounds = F.create_map(*[x for t, (a, b) in ARITY.items() for x in (F.lit(t), F.array(F.lit(a), F.lit(b)))])[F.col("treatment")]
+    region = F.col("set")
+    m = line.groupBy("l_orderkey").agg(
+        F.count(F.lit(1)).alias("n"), F.countDistinct("l_partkey").alias("parts"), F.count_if(region).alias("regions"), F.max(region & (F.col("l_quantity") <= 2)).alias("flat")
+    ).join(asked, "l_orderkey").withColumn("treatment", treatment).withColumns({"low": bounds[0], "high": bounds[1]})
+    error = (
+        F.when(F.col("parts") != F.col("n"), "duplicate sources").when(~F.col("n").between(F.col("low"), F.col("high")), F.concat(F.lit("arity: "), "n", F.lit(" of "), "low", F.lit(" to "), "high"))
+        .when((F.col("regions") > 0) & (F.col("regions") != F.col("n")), F.concat(F.lit("one region per source: "), "regions", F.lit(" of "), "n")).when(F.col("flat"), "geometry")
+    )
+    return m.select("l_orderkey", "treatment", error.alias("error"), F.when(error.isNull(), F.col("regions")).alias("regions"))
+
+
 @query("st_region_checks", "SELECT l_orderkey, len(list_distinct(list(l_suppkey))) <> count(*) AS repeats, count(DISTINCT l_partkey) AS parts FROM lineitem GROUP BY l_orderkey")
 def region_checks(spark, sf):
     """ST11: region–source set equality checks, duplicate detection."""
@@ -170,13 +212,44 @@ def region_checks(spark, sf):
 
 
 
-@query("fs_override_merge", "SELECT c_custkey, coalesce(CASE WHEN c_acctbal > 5000 THEN c_mktsegment END, 'base') AS mode, coalesce(CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey END, -1)::int AS crop FROM customer")
+# The fields of a manifest, and those that are merged key by key.
+FIELDS, NESTED = ("layout_treatment", "background", "processing_intent"), ("background", "processing_intent")
+BASE = '{"layout_treatment":"contain_matte","background":{"mode":"solid","color":"#101010"},"processing_intent":{"sharpen":"none","upscale":"2"}}'
+
+
+def overridden(base, override):
+    """A manifest with an override, both JSON text: (fields, error). Known scalar fields are replaced, those of
+    ``NESTED`` merged key by key, and an unknown field is an error; no override leaves the base."""
+    keys = F.coalesce(F.json_object_keys(override), F.array().cast("array<string>"))
+    unknown = F.array_sort(F.array_except(keys, F.array(*map(F.lit, FIELDS))))
+    error = F.when(F.size(unknown) > 0, F.concat(F.lit("unknown field: "), F.array_join(unknown, ",")))
+    out = {}
+    for name in FIELDS:
+        if name in NESTED:
+            old, new = (F.coalesce(F.from_json(F.get_json_object(t, f"$.{name}"), "map<string,string>"), F.create_map().cast("map<string,string>")) for t in (base, override))
+            out[name] = F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key(new, k)), new)  # noqa: B023
+        else:
+            out[name] = F.coalesce(F.get_json_object(override, f"$.{name}"), F.get_json_object(base, f"$.{name}"))
+    return {k: F.when(error.isNull(), v) for k, v in out.items()}, error
+
+
+@query("fs_override_merge", f"""SELECT c_custkey, CASE WHEN error IS NULL THEN m->>'layout_treatment' END AS treatment, CASE WHEN error IS NULL THEN m->'background'->>'mode' END AS mode, CASE WHEN error IS NULL THEN m->'background'->>'color' END AS color,
+ CASE WHEN error IS NULL THEN m->'processing_intent'->>'sharpen' END AS sharpen, CASE WHEN error IS NULL THEN m->'processing_intent'->>'upscale' END AS upscale, error
+ FROM (SELECT c_custkey, json_merge_patch('{BASE}', coalesce(o, '{{}}')) AS m, CASE WHEN c_nationkey = 7 THEN 'unknown field: crop' END AS error FROM (SELECT c_custkey, c_nationkey,
+  CASE WHEN c_nationkey = 7 THEN '{{"crop":1,"background":{{"mode":"x"}}}}' WHEN c_nationkey % 3 = 0 THEN '{{"layout_treatment":"' || c_mktsegment || '","background":{{"color":"c' || c_nationkey || '"}}}}'
+   WHEN c_nationkey % 3 = 1 THEN '{{"processing_intent":{{"upscale":"' || c_nationkey || '","denoise":"1"}}}}' END AS o FROM customer))""")
 def override_merge(spark, sf):
-    """FS16: nested override merge."""
-    return D.table(spark, sf, "customer").select(
-        "c_custkey", F.coalesce(F.when(F.col("c_acctbal") > 5000, F.col("c_mktsegment")), F.lit("base")).alias("mode"),
-        F.coalesce(F.when(F.col("c_nationkey") % 2 == 0, F.col("c_nationkey")), F.lit(-1)).alias("crop"),
-    )
+    """FS16: a target's override over its manifest: scalar fields replaced, two nested ones merged by key, an
+    unknown field an error."""
+    n = F.col("c_nationkey")
+    o = F.when(n == 7, F.lit('{"crop":1,"background":{"mode":"x"}}')).when(
+        n % 3 == 0, F.to_json(F.struct(F.col("c_mktsegment").alias("layout_treatment"), F.struct(F.concat(F.lit("c"), n).alias("color")).alias("background")))
+    ).when(n % 3 == 1, F.to_json(F.struct(F.struct(n.cast("string").alias("upscale"), F.lit("1").alias("denoise")).alias("processing_intent"))))
+    c = D.table(spark, sf, "customer").select("c_custkey", F.lit(BASE).alias("base"), o.alias("o"))
+    fields, error = overridden(F.col("base"), F.col("o"))
+    merged = c.select("c_custkey", *[v.alias(k) for k, v in fields.items()], error.alias("error"))
+    keys = (("background", "mode"), ("background", "color"), ("processing_intent", "sharpen"), ("processing_intent", "upscale"))
+    return merged.select("c_custkey", F.col("layout_treatment").alias("treatment"), *[F.element_at(f, k).alias(k) for f, k in keys], "error")
 
 
 @query("fs_signed_template", over("analyses", body="--more " + LATEST_SIGNALS + " SELECT entry_id, CASE WHEN harmony - 0.5 >= 0 THEN '+' ELSE '-' END || printf('%.3f', abs(round(harmony - 0.5, 2))) || ' harmony' AS text FROM latest"))
@@ -186,13 +259,20 @@ def signed_template(spark, sf):
     return signals(spark, sf).select("entry_id", F.concat(F.when(F.col("harmony") - 0.5 >= 0, "+").otherwise("-"), F.format_string("%.3f", F.abs(x)), F.lit(" harmony")).alias("text"))
 
 
-@query("fd_parse_formats", """SELECT o_orderkey, epoch(coalesce(try_strptime(s, '%Y:%m:%d'), try_strptime(s, '%Y-%m-%d'), try_strptime(s, '%Y%m%d')))::bigint AS seconds
- FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN strftime(o_orderdate, '%Y:%m:%d') WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y%m%d') ELSE 'unknown' END AS s FROM orders)""")
+# The formats of a stated date, in the order in which they are tried.
+FORMATS = (("%Y:%m:%d %H:%M:%S", "yyyy:MM:dd HH:mm:ss"), ("%Y%m%d", "yyyyMMdd"), ("%Y-%m-%d", "yyyy-MM-dd"), ("%Y%m%d%H%M%S", "yyyyMMddHHmmss"))
+
+
+@query("fd_parse_formats", """SELECT o_orderkey, CASE WHEN s LIKE ' %' THEN NULL ELSE epoch(coalesce(""" + ", ".join(f"try_strptime(s, '{f}')" for f, _ in FORMATS) + """)) END::bigint AS seconds
+ FROM (SELECT o_orderkey, CASE o_orderkey % 5 """ + " ".join(f"WHEN {i} THEN strftime(t, '{f}')" for i, (f, _) in enumerate(FORMATS)) + """ ELSE 'unknown' END AS s FROM (SELECT o_orderkey, o_orderdate + INTERVAL 1 SECOND * (o_orderkey % 86400) AS t FROM orders))""")
 def parse_formats(spark, sf):
-    """FD1: four-format date parse → epoch seconds, local time zone, first match wins."""
-    k, d = F.col("o_orderkey") % 4, F.col("o_orderdate").cast("timestamp")
-    s = F.when(k == 0, F.date_format(d, "yyyy:MM:dd")).when(k == 1, F.date_format(d, "yyyy-MM-dd")).when(k == 2, F.date_format(d, "yyyyMMdd")).otherwise("unknown")
-    parsed = F.coalesce(*[F.try_to_timestamp("s", F.lit(f)) for f in ("yyyy:MM:dd", "yyyy-MM-dd", "yyyyMMdd")])
+    """FD1: four-format date parse → epoch seconds, local time zone, first match wins, whole text only."""
+    k, d = F.col("o_orderkey") % 5, F.timestamp_seconds(F.unix_seconds(F.col("o_orderdate").cast("timestamp")) + F.col("o_orderkey") % 86400)
+    s = F.lit("unknown")
+    for i, (_, form) in reversed(list(enumerate(FORMATS))):
+        s = F.when(k == i, F.date_format(d, form)).otherwise(s)
+    # a format is only tried on texts of its own length, as the parser may stop early
+    parsed = F.coalesce(*[F.when(F.length("s") == len(form), F.try_to_timestamp("s", F.lit(form))) for _, form in FORMATS])
     return D.table(spark, sf, "orders").select("o_orderkey", s.alias("s")).select("o_orderkey", F.unix_seconds(parsed).alias("seconds"))
 
 

@@ -367,13 +367,39 @@ def prefix_forms(spark, sf):
     return D.entries(spark, sf).select("id", F.concat(F.lit("cl-"), F.substring("sha256", 1, 16)).alias("cluster"), F.substring("sha256", 1, 12).alias("short"))
 
 
-@query("fd_capture_date", "SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END, CASE WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS taken FROM orders")
+@query("fd_capture_date", """SELECT o_orderkey, coalesce(CASE WHEN o_orderkey % 3 = 0 THEN strftime(o_orderdate, '%Y:%m:%d %H:%M:%S') END, CASE WHEN o_orderkey % 3 = 1 THEN strftime(o_orderdate, '%Y-%m-%d') END) AS taken,
+ CASE WHEN o_orderkey % 3 = 1 THEN epoch(date_trunc('day', o_orderdate))::bigint END AS from_id FROM orders""")
 def capture_date(spark, sf):
-    """FD9, FD2: the date that the file states, else the one in its name, else none."""
+    """FD9, FD2: the date that the file states, else the one in its name, else none; and the epoch seconds of
+    the first eight digits of this or the last century in its id, where they are a date."""
     k, d = F.col("o_orderkey") % 3, F.col("o_orderdate").cast("timestamp")
-    name = F.when(k == 1, F.concat(F.lit("IMG_"), F.date_format(d, "yyyyMMdd"), F.lit(".jpg"))).otherwise("IMG.jpg")
+    name = F.when(k == 1, F.concat(F.lit("IMG_"), F.date_format(d, "yyyyMMdd"), F.lit(".jpg"))).when(k == 2, "IMG_20241399.jpg").otherwise("IMG.jpg")
     stated = F.when(k == 0, F.date_format(d, "yyyy:MM:dd HH:mm:ss"))
-    return D.table(spark, sf, "orders").select("o_orderkey", F.coalesce(stated, S.filename_date(name)).alias("taken"))
+    digits = F.regexp_extract(name, r"(19|20)\d{6}", 0)
+    from_id = F.unix_seconds(F.try_to_timestamp(digits, F.lit("yyyyMMdd")))
+    in_name = F.when(k != 2, S.filename_date(name))
+    return D.table(spark, sf, "orders").select("o_orderkey", F.coalesce(stated, in_name).alias("taken"), from_id.alias("from_id"))
+
+
+@query("fs_validation", over("entries", body="""SELECT id, CASE WHEN id % 5 = 0 THEN 'not a sha256: ' || left(sha256, 12) WHEN id % 5 = 1 THEN 'not a sha256: ' || upper(sha256) END AS error,
+ CASE WHEN id % 5 > 1 THEN substr(sha256, 1, 2) || '/' || substr(sha256, 3, 2) || '/' || sha256 END AS shard, CASE WHEN id % 3 = 0 THEN 'bad number: x' WHEN id % 3 = 1 AND id % 2 = 0 THEN 'bad number: -1' END AS weights_error,
+ CASE WHEN NOT (id % 3 = 0 OR (id % 3 = 1 AND id % 2 = 0)) THEN (id % 7) + 2.5 END::double AS total FROM entries"""))
+def validation(spark, sf):
+    """FS18, FS20: content hashes must be 64 digits of lower-case hexadecimal, else they name no shard; weights are
+    finite numbers from 0 on, and the first that is not is named."""
+    i = F.col("id")
+    sha = F.when(i % 5 == 0, F.substring("sha256", 1, 12)).when(i % 5 == 1, F.upper("sha256")).otherwise(F.col("sha256"))
+    raw = F.concat_ws(",", (i % 7).cast("string"), F.when(i % 3 == 0, "x").when((i % 3 == 1) & (i % 2 == 0), "-1").otherwise(" 2.5 "))
+    e = D.entries(spark, sf).select("id", sha.alias("sha"), F.split(raw, ",").alias("raw"))
+    good = F.col("sha").rlike("^[0-9a-f]{64}$")
+    weights = F.transform("raw", lambda t: F.struct(F.trim(t).alias("t"), F.try_to_number(F.trim(t), F.lit("S999999D999")).cast("double").alias("w")))
+    bad = F.filter("weights", lambda w: w["w"].isNull() | (w["w"] < 0))
+    e = e.withColumn("weights", weights)
+    total = F.aggregate("weights", F.lit(0.0), lambda a, w: a + w["w"])
+    return e.select(
+        "id", F.when(~good, F.concat(F.lit("not a sha256: "), "sha")).alias("error"), F.when(good, F.concat_ws("/", F.substring("sha", 1, 2), F.substring("sha", 3, 2), "sha")).alias("shard"),
+        F.when(F.size(bad) > 0, F.concat(F.lit("bad number: "), F.get(bad, F.lit(0))["t"])).alias("weights_error"), F.when(F.size(bad) == 0, total).alias("total"),
+    )
 
 
 @query("fd_iso", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%S') || '+00:00' AS iso, epoch_us(ts) AS micros FROM events")

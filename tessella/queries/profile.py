@@ -88,11 +88,11 @@ def verified_read(spark, sf):
     return read.select("page_id", F.octet_length("html").cast("long").alias("n"), "checksum")
 
 
-@query("sc_preview", "SELECT doc_id, md5(substr(coalesce(text, ''), 1, length(coalesce(text, '')) // 2)) AS preview FROM documents")
+@query("sc_preview", "SELECT doc_id, md5(encode(coalesce(text, ''))[1:octet_length(encode(coalesce(text, ''))) // 2]) AS preview FROM documents")
 def preview(spark, sf):
-    """SC17: preview read."""
-    t = F.coalesce("text", F.lit(""))
-    return D.table(spark, sf, "documents").select("doc_id", F.md5(F.substr(t, F.lit(1), F.floor(F.length(t) / 2).cast("int")).cast("binary")).alias("preview"))
+    """SC17: preview read: the first half of the bytes."""
+    t = F.coalesce("text", F.lit("")).cast("binary")
+    return D.table(spark, sf, "documents").select("doc_id", t.alias("t")).select("doc_id", F.md5(F.substr("t", F.lit(1), F.floor(F.octet_length("t") / 2).cast("int"))).alias("preview"))
 
 
 @query("sc_revision_observation", over("remote", body="SELECT q.asset_id, coalesce(r.revision, 'deleted') AS revision, r.asset_id IS NOT NULL AS available FROM (SELECT DISTINCT 'a-' || lpad((o_custkey * 2)::varchar, 8, '0') AS asset_id FROM orders) q LEFT JOIN (SELECT * FROM remote WHERE available) r ON r.asset_id = q.asset_id"))

@@ -35,16 +35,21 @@ ACTIVE = """--more active AS (SELECT vote_group, max(CASE WHEN preference > 0 TH
 """
 
 
-def votes(spark, sf):
-    """Complete votes: winner, loser, whether retracted, and the first row's id."""
+def votes_of(preferences):
+    """Complete votes of a journal: winner, loser, whether retracted, and the first row's id."""
     win, lose = F.col("preference") > 0, F.col("preference") < 0
     return (
-        D.preferences(spark, sf).where("vote_group is not null").groupBy("vote_group")
+        preferences.where("vote_group is not null").groupBy("vote_group")
         .agg(F.max(F.when(win, F.col("entry_id"))).alias("winner"), F.max(F.when(lose, F.col("entry_id"))).alias("loser"), F.max(F.col("retracted_at").isNotNull()).alias("retracted"), F.min("id").alias("first_id"))
         .where("winner is not null and loser is not null")
     )
 
 
+def votes(spark, sf):
+    """The complete votes of the catalog's journal."""
+    return votes_of(D.preferences(spark, sf))
+
+
 @query("ag_vote_pivot", over("preferences", body=ACTIVE + "SELECT * FROM active"))
 def vote_pivot(spark, sf):
     """AG20: vote pivot."""
@@ -87,10 +92,14 @@ def six_signals(spark, sf):
 
 
 def weights(spark, sf):
+    """The replay of the catalog's votes."""
+    return weights_of(votes(spark, sf), signals(spark, sf))
+
+
+def weights_of(all_votes, a):
     """Vote replay: per signal an ordered fold of steps of 0.1 in the direction of the winner."""
-    a = signals(spark, sf)
     w, lo = a.select(*[F.col(c).alias(f"w_{c}") for c in a.columns]), a.select(*[F.col(c).alias(f"l_{c}") for c in a.columns])
-    pairs = votes(spark, sf).where("not retracted").join(w, F.col("winner") == F.col("w_entry_id")).join(lo, F.col("loser") == F.col("l_entry_id"))
+    pairs = all_votes.where("not retracted").join(w, F.col("winner") == F.col("w_entry_id")).join(lo, F.col("loser") == F.col("l_entry_id"))
     long = pairs.select("first_id", F.explode(F.array(*[F.struct(F.lit(s).alias("signal"), (F.signum(F.col(f"w_{s}") - F.col(f"l_{s}")) * 0.1).alias("step")) for s in SIGNAL_NAMES])).alias("x"))
     return clamped_replay(long.select("first_id", "x.*"), ["signal"], "first_id", "step", 10.0)
 

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from tessella.queries import machines
 from tessella.sources import connector
-from tessella.streaming import delivery, journal
+from tessella.operators import stores, strict
+from tessella.streaming import consolidate, delivery, journal
 
 
 def assets(spark, rows):
@@ -126,3 +127,39 @@ def test_a_drain_reclaims_and_does_each_row_once(spark, tmp_path):
     got = {r["id"]: (r["state"], r["attempt"], r["run"]) for r in delivery.queue(spark, store).collect()}
     assert got == {i: ("error" if i == 7 else "done", 2 if 3 <= i <= 5 else 1, 1 if i < 3 else 2) for i in range(10)}
     assert sorted(taken) == sorted([*range(10), 3, 4, 5])
+
+
+def test_consolidation_resumes_at_any_step_and_checks_bytes(spark, tmp_path):
+    root = f"file://{tmp_path}/root"
+    files = spark.createDataFrame([("a", b"one"), ("b", b"two"), ("c", b"one")], "asset_id string, content binary")
+
+    def ended():
+        return {r["asset_id"]: r["status"] for r in consolidate.checkpoints(spark, root).collect()}
+
+    consolidate.consolidate(files, root, 1, until="staged")
+    assert set(ended().values()) == {"staged"}
+    consolidate.consolidate(files, root, 2, until="verified")
+    assert set(ended().values()) == {"verified"}
+    # staged bytes that are lost are an error, and staged anew by the next run
+    lost = stores.stored(spark, f"{root}/staging").where("content <> cast('two' as binary)").collect()
+    spark.createDataFrame(lost, "sha256 string, content binary").withColumn("_part", F.substring("sha256", 1, 2)).write.mode("overwrite").partitionBy("_part").parquet(f"{root}/staging")
+    consolidate.consolidate(files, root, 3)
+    assert ended() == {"a": "promoted", "b": "error", "c": "promoted"}
+    consolidate.consolidate(files, root, 4)
+    assert set(ended().values()) == {"promoted"}
+    assert sorted(bytes(r["content"]) for r in stores.stored(spark, f"{root}/library").collect()) == [b"one", b"two"]
+    before = consolidate.journal(spark, root).count()
+    consolidate.consolidate(files, root, 5)
+    assert consolidate.journal(spark, root).count() == before  # all are skipped
+
+
+def test_what_is_missing_fails(spark):
+    rows = spark.createDataFrame([(1, "a"), (2, "b"), (2, "c")], "id long, v string")
+    asked = spark.createDataFrame([(0, 2), (1, 1)], "place long, id long")
+    assert sorted((r["place"], r["v"]) for r in strict.looked_up(asked, rows, "id", "place", "entry").collect()) == [(0, "b"), (0, "c"), (1, "a")]
+    assert [(r["seq"], r["v"]) for r in strict.history(rows, asked.where("id = 2"), "id", "v", "asset").orderBy("seq").collect()] == [(1, "b"), (2, "c")]
+    for missing in (7, None):
+        more = spark.createDataFrame([(0, missing)], "place long, id long")
+        for job in (strict.looked_up(more, rows, "id", "place", "entry"), strict.history(rows, more, "id", "v", "asset")):
+            with pytest.raises(Exception, match="not found: " + ("7" if missing else "null")):
+                job.collect()

@@ -25,6 +25,11 @@ def saturate(x: Column, k: float) -> Column:
     return F.when(x + k > 0, x / (x + k)).otherwise(0.0)
 
 
+def usable_weight(x: Column) -> Column:
+    """A weight that is finite and positive, else 0."""
+    return F.when(~F.isnan(x) & (x > 0) & (x < float("inf")), x).otherwise(0.0)
+
+
 def tokens(text: Column) -> Column:
     """Lower-case runs of a-z and 0-9."""
     return F.filter(F.split(F.lower(text), "[^a-z0-9]+"), lambda w: w != "")

@@ -53,6 +53,13 @@ def replace_groups(members: DataFrame, path: str, group: str) -> None:
     after.write.partitionBy("_part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
+def known(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The keys of a store; none where nothing was put yet."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    there = at.getFileSystem(spark._jsc.hadoopConfiguration()).exists(at)
+    return stored(spark, path).select(*keys) if there else None
+
+
 def stored(spark: SparkSession, path: str) -> DataFrame:
     """The rows of a store."""
     return spark.read.parquet(path).drop("_part")

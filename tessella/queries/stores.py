@@ -459,17 +459,6 @@ def mask_components(spark, sf):
     return m.select("id").join(c, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
 
 
-@query("gr_equal_cells", "SELECT l_orderkey, count(*) AS n, (1920 - 33) // 2 AS half, CASE WHEN count(*) = 2 THEN (1920 - 33) * 1 // 2 ELSE 1920 END AS first_width FROM lineitem GROUP BY l_orderkey HAVING count(*) <= 2")
-def equal_cells(spark, sf):
-    """GR7, RU4: the cells of frames of one or two equal sources."""
-    from tessella.operators.layout import slice_cells
-
-    lines = D.table(spark, sf, "lineitem")
-    few = lines.groupBy("l_orderkey").agg(F.count(F.lit(1)).alias("n")).where("n <= 2")
-    cells = slice_cells(lines.join(few, "l_orderkey").select(F.col("l_orderkey").alias("frame"), F.col("l_linenumber").alias("item"), F.col("l_partkey").alias("tie"), F.lit(1.0).alias("weight")), 1920, 1080)
-    return cells.groupBy(F.col("frame").alias("l_orderkey")).agg(F.count(F.lit(1)).alias("n"), F.lit((1920 - 33) // 2).cast("long").alias("half"), F.min_by("w", "x").cast("long").alias("first_width"))
-
-
 @query("ru_packed_weights", over("analyses", body="--more " + LATEST_SIGNALS + """, w AS (SELECT e.l_orderkey AS o, CASE WHEN e.l_orderkey % 4 = 0 THEN e.l_quantity ELSE a.aesthetic_quality END AS w, e.l_orderkey % 4 = 0 AS own FROM lineitem e JOIN latest a ON a.entry_id = e.l_orderkey)
  SELECT o, CASE WHEN sum(greatest(w, 0)) <= 0 THEN 'uniform_fallback' WHEN bool_or(own) THEN 'caller_override' ELSE 'quality.aesthetic_quality' END AS source, round(CASE WHEN sum(greatest(w, 0)) <= 0 THEN count(*) ELSE sum(w) END, 6) AS total FROM w GROUP BY o"""))
 def packed_weights(spark, sf):

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.queries import catalog, dialogue, flow, history, kept, machines, pictures, profile, records, remote, stores, taste
+from tessella.queries import catalog, dialogue, flow, history, kept, machines, pictures, profile, records, regions, remote, stores, taste
 
-MODULES = (catalog, taste, dialogue, flow, profile, records, stores, remote, machines, pictures, kept, history)
+MODULES = (catalog, taste, dialogue, flow, profile, records, stores, remote, machines, pictures, kept, history, regions)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

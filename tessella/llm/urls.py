@@ -2,11 +2,12 @@
 
 Listed rules decide the urls they fit and label them. For all others a tree is learnt per host:
 a url's path is a chain of segments; a segment with a digit, or one whose siblings are many and
-thinly spread, is generalised into a wildcard. A branch is merged with its siblings into a shared
-branch where it is statistically like them: none of its shares of blocked, allowed and unlabelled
-urls differs from the share among its siblings' urls by more than ``Z`` standard errors. Each
-remaining node is a template with a purity, the share of blocked urls among its labelled ones,
-smoothed towards ``NEUTRAL`` so that a template without labels is not rejected. A url takes the
+thinly spread, is generalised into a wildcard. The other siblings are put in the order of their shares
+of blocked and allowed urls, and neighbours are merged where they are statistically alike: none of
+their shares of blocked, allowed and unlabelled urls differs by more than ``Z`` standard errors. So
+unlike branches stay apart, however many of each kind there are, and alike ones share what is known
+of them. Each remaining node is a template with a purity, the share of blocked urls among its labelled
+ones, smoothed towards ``NEUTRAL`` so that a template without labels is not rejected. A url takes the
 purity of its deepest template and is blocked at ``reject`` or more.
 
 The tree is built level by level with grouped counts, so a host with a third of all pages is
@@ -21,7 +22,7 @@ is cut; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessella.plans import materialise, scratch
@@ -34,8 +35,9 @@ RULES = (
     ("block", "example.net", "/de/8"),
     ("block", "org", "/es/"),
 )
-#: Levels of the tree; the segments below the last are one segment of it.
-DEPTH = 4
+#: Levels of the tree; the segments below the last are one segment of it. Levels that no url reaches
+#: are not built.
+DEPTH = 8
 #: A parent with more distinct children than this, each seen less than ``THIN`` times on average, varies.
 CHILDREN, THIN = 16, 8.0
 #: The purity that no label gives, its weight in labelled urls, and the standard errors of a
@@ -76,20 +78,18 @@ def segments(path: Column, depth: int = DEPTH) -> Column:
     )
 
 
-def unlike(own: dict[str, Column], parent: dict[str, Column]) -> Column:
-    """Whether a branch's urls (n, labelled, blocked) differ from those of its siblings, which are the
-    parent's without its own; false without siblings."""
-    rest = {k: parent[k] - own[k] for k in own}
+def shares(of: dict[str, Column]) -> list[Column]:
+    """The smoothed shares of a branch's urls (n, labelled, blocked) that are blocked, allowed and
+    unlabelled."""
+    return [(k + 1.0) / (of["n"] + 3.0) for k in (of["blocked"], of["labelled"] - of["blocked"], of["n"] - of["labelled"])]
 
-    def shares(of: dict[str, Column]) -> list[tuple[Column, Column]]:
-        kinds = (of["blocked"], of["labelled"] - of["blocked"], of["n"] - of["labelled"])
-        p = [(k + 1.0) / (of["n"] + 3.0) for k in kinds]
-        return [(x, x * (1 - x) / (of["n"] + 3.0)) for x in p]
 
+def unlike(a: dict[str, Column], b: dict[str, Column]) -> Column:
+    """Whether the urls of two branches differ in any share."""
     out = F.lit(False)
-    for (p, v), (q, w) in zip(shares(own), shares(rest), strict=True):
-        out = out | (F.abs(p - q) > Z * F.sqrt(v + w))
-    return out & (rest["n"] > 0)
+    for p, q in zip(shares(a), shares(b), strict=True):
+        out = out | (F.abs(p - q) > Z * F.sqrt(p * (1 - p) / (a["n"] + 3.0) + q * (1 - q) / (b["n"] + 3.0)))
+    return out
 
 
 COUNTS = ("n", "labelled", "blocked")
@@ -112,33 +112,36 @@ def judged(pages: DataFrame, rules=RULES, depth: int = DEPTH, reject: float = RE
         )
         chains = materialise(chains, "chains")
         purity = (F.col("blocked") + PRIOR * NEUTRAL) / (F.col("labelled") + PRIOR)
-        of_parent = [F.col(k).alias(f"p_{k}") for k in COUNTS]
-        roots = materialise(chains.groupBy("host").agg(*counts).select("host", F.lit("").alias("template"), purity.alias("purity"), *of_parent), "roots")
+        roots = materialise(chains.groupBy("host").agg(*counts).select("host", F.lit("").alias("template"), purity.alias("purity")), "roots")
         tree = materialise(chains.join(roots, "host"), "tree-0")
+        own = {k: F.col(k) for k in COUNTS}
         for level in range(depth):
             here = tree.withColumn("segment", F.get("segments", F.lit(level)))
-            children = here.where("segment is not null").groupBy("host", "template", "segment").agg(*counts, *[F.max(f"p_{k}").alias(f"p_{k}") for k in COUNTS])
-            children = materialise(children, f"children-{level}")
+            children = materialise(here.where("segment is not null").groupBy("host", "template", "segment").agg(*counts), f"children-{level}")
+            if children.isEmpty():
+                break
             fixed = F.col("segment") != WILD
             spread = children.groupBy("host", "template").agg(
-                (F.count_if(fixed) > CHILDREN).alias("many"),
-                (F.sum(F.when(fixed, F.col("n"))) < THIN * F.count_if(fixed)).alias("thin"),
+                ((F.count_if(fixed) > CHILDREN) & (F.coalesce(F.sum(F.when(fixed, F.col("n"))), F.lit(0)) < THIN * F.count_if(fixed))).alias("thin")
             )
-            differs = unlike({k: F.col(k) for k in COUNTS}, {k: F.col(f"p_{k}") for k in COUNTS})
-            varies = (F.coalesce("many", F.lit(False)) & F.coalesce("thin", F.lit(False))) | ~fixed
-            named = children.join(materialise(spread, f"spread-{level}"), ["host", "template"]).withColumn(
-                "branch", F.when(varies | ~differs, F.lit(WILD)).otherwise(F.col("segment"))
-            )
-            named = materialise(named.select("host", "template", "segment", "branch", *COUNTS), f"named-{level}")
-            branches = materialise(
-                named.groupBy("host", "template", "branch").agg(*counts).select("host", "template", "branch", purity.alias("b_purity"), *[F.col(k).alias(f"b_{k}") for k in COUNTS]), f"branches-{level}"
-            )
-            given = materialise(named.select("host", "template", "segment", "branch").join(branches, ["host", "template", "branch"]), f"given-{level}")
+            named = children.join(materialise(spread, f"spread-{level}"), ["host", "template"]).withColumn("varies", F.col("thin") | ~fixed)
+            # siblings that stay: as each stands for THIN urls or there are CHILDREN at most, far fewer than urls
+            order = Window.partitionBy("host", "template", "varies").orderBy(*shares(own)[:2], "segment")
+            before = {k: F.lag(k).over(order) for k in COUNTS}
+            begins = F.when(F.col("varies") | before["n"].isNull(), F.lit(0)).otherwise(unlike(own, before).cast("int"))
+            named = named.withColumn("begins", begins).withColumn("part", F.when(F.col("varies"), -1).otherwise(F.sum("begins").over(order)))
+            named = materialise(named.select("host", "template", "segment", "part", *COUNTS), f"named-{level}")
+            # a path holds no #, so that a merged branch's name is no segment's
+            several = F.when(F.count(F.lit(1)) > 1, F.concat(F.lit("#"), F.count(F.lit(1)))).otherwise("")
+            name = F.when(F.col("part") < 0, WILD).otherwise(F.concat(F.min("segment"), several))
+            branches = named.groupBy("host", "template", "part").agg(*counts, name.alias("branch"))
+            branches = materialise(branches.select("host", "template", "part", "branch", purity.alias("b_purity")), f"branches-{level}")
+            given = materialise(named.select("host", "template", "segment", "part").join(branches, ["host", "template", "part"]).drop("part"), f"given-{level}")
             tree = materialise(
                 here.join(given, ["host", "template", "segment"], "left").select(
                     "host", "segments", *COUNTS,
                     F.when(F.col("branch").isNull(), F.col("template")).otherwise(F.concat("template", F.lit("/"), "branch")).alias("template"),
-                    F.coalesce("b_purity", "purity").alias("purity"), *[F.coalesce(f"b_{k}", f"p_{k}").alias(f"p_{k}") for k in COUNTS],
+                    F.coalesce("b_purity", "purity").alias("purity"),
                 ),
                 f"tree-{level + 1}",
             )

@@ -336,14 +336,23 @@ def plain_urls(rows):
                 kids.setdefault(x[2][level], []).append(x)
         fixed = {k: v for k, v in kids.items() if k != "*"}
         thin = len(fixed) > urls.CHILDREN and sum(map(len, fixed.values())) < urls.THIN * len(fixed)
-        merged = {}
-        for k, v in kids.items():
-            c, r = counts(v), [a - b for a, b in zip((n, labelled, blocked), counts(v), strict=True)]
+        merged, last = {}, None
+
+        def shares(v):
+            c = counts(v)
+            return c[0], [(x + 1) / (c[0] + 3) for x in (c[2], c[1] - c[2], c[0] - c[1])]
+
+        for k, v in sorted(kids.items(), key=lambda x: (*shares(x[1])[1][:2], x[0])):
+            if k == "*" or thin:
+                merged.setdefault("*", []).extend(v)
+                continue
             differs = False
-            for mine, theirs in ((c[2], r[2]), (c[1] - c[2], r[1] - r[2]), (c[0] - c[1], r[0] - r[1])):
-                p, q = (mine + 1) / (c[0] + 3), (theirs + 1) / (r[0] + 3)
-                differs |= abs(p - q) > urls.Z * (p * (1 - p) / (c[0] + 3) + q * (1 - q) / (r[0] + 3)) ** 0.5
-            merged.setdefault(k if k != "*" and not thin and differs and r[0] else "*", []).extend(v)
+            if last is not None:
+                (m, p), (w, q) = shares(v), shares(last[1])
+                differs = any(abs(x - y) > urls.Z * (x * (1 - x) / (m + 3) + y * (1 - y) / (w + 3)) ** 0.5 for x, y in zip(p, q, strict=True))
+            name = k if last is None or differs else last[0]
+            last = (name, v)
+            merged.setdefault(name + "#", []).extend(v)
         for v in merged.values():
             walk(v, level + 1)
 
@@ -364,6 +373,22 @@ def test_urls_against_a_plain_tree(spark):
     assert {r["page_id"]: r["verdict"] for r in urls.judged(d).collect()} == plain_urls(rows)
 
 
+def test_alike_branches_are_merged_and_unlike_ones_stay(spark):
+    # six sections, half of them with blocked pages; a section that is not listed itself follows its own kind
+    rules = [("block", "h.com", f"/bad{x}/l/") for x in "abc"] + [("allow", "h.com", f"/good{x}/l/") for x in "abc"]
+    rows, i = [], 0
+    for x in "abc":
+        for kind in ("bad", "good"):
+            for j in range(60):
+                rows.append((i, f"http://h.com/{kind}{x}/l/{j}"))
+                i += 1
+            rows.append((10_000 + i, f"http://h.com/{kind}{x}"))
+    got = {r["page_id"]: r for r in urls.judged(spark.createDataFrame(rows, "page_id long, url string"), rules).collect()}
+    for p, url in rows:
+        assert got[p]["verdict"] == ("block" if "/bad" in url else "allow"), url
+    assert {r["template"].split("/")[1] for r in got.values()} == {"bada#3", "gooda#3"}
+
+
 def test_tokenizer_equals_the_library():
     rng = random.Random(3)
     chars = [chr(c) for c in [*range(0, 0x250), 0x3A3, 0x301, 0x308, 0x1E9E, 0x212A, 0x2028, 0x3000, 0x4E2D, 0xAC00, 0x1100, 0x1161, 0x660, 0x1F600]]

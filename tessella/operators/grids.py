@@ -94,7 +94,7 @@ def stages(df: DataFrame, h: int, w: int) -> DataFrame:
     """``df`` (with ``grid``, ``colourful``, ``width`` and ``height``) with the measures of an image:
     sharpness, exposure, contrast, technical and aesthetic quality, focal point, the four crop margins, whether
     each side is safe, and whether the size is enough. Rounded to four digits. A flat grid has its
-    focal point in the middle and margins of a half, all safe."""
+    focal point in the middle and margins of a half, all safe; an unknown size counts as none."""
     ys, xs = [float(i // w) for i in range(h * w)], [float(i % w) for i in range(h * w)]
     n = float(h * w)
     d = df.withColumns({"gy": gradient("grid", h, w, 0), "gx": gradient("grid", h, w, 1)})
@@ -131,10 +131,10 @@ def stages(df: DataFrame, h: int, w: int) -> DataFrame:
     uneven = F.abs(F.col("l") - F.col("r")) / (F.col("l") + F.col("r") + 1e-9) + F.abs(F.col("t") - F.col("b")) / (F.col("t") + F.col("b") + 1e-9)
     aesthetic = clamp01(0.4 * clamp01(_products("saliency", thirds(h, w)) / (F.col("total") + 1e-9) / 4) + 0.3 * clamp01(1 - 0.5 * uneven) + 0.3 * F.col("colourful"))
     enough = (F.col("width") >= SCREEN[0]) & (F.col("height") >= SCREEN[1])
-    size = F.when(enough, 1.0).otherwise(clamp01(F.least(F.col("width") / SCREEN[0], F.col("height") / SCREEN[1])))
+    size = F.when(F.col("width").isNull() | F.col("height").isNull(), 0.0).when(enough, 1.0).otherwise(clamp01(F.least(F.col("width") / SCREEN[0], F.col("height") / SCREEN[1])))
     sharpness, contrast = clamp01(saturate(F.col("sharp"), 0.001)), clamp01(saturate(F.sqrt("contrast"), 0.5))
     exposure = clamp01(1 - F.abs(0.5 * (percentile(0.1) + percentile(0.9)) - 0.5) * 2)
-    technical = clamp01(0.4 * sharpness + 0.3 * exposure + 0.2 * contrast + 0.1 * F.coalesce(size, F.lit(0.0)))
+    technical = clamp01(0.4 * sharpness + 0.3 * exposure + 0.2 * contrast + 0.1 * size)
     found = F.col("total") >= 1e-9
     focal = {"focal_x": F.when(found, clamp01(_products("saliency", xs) / F.col("total") / w)).otherwise(0.5), "focal_y": F.when(found, clamp01(_products("saliency", ys) / F.col("total") / h)).otherwise(0.5)}
     values = {"sharpness": sharpness, "exposure": exposure, "contrast": contrast, "technical": technical, "aesthetic": aesthetic, **focal, **{f"margin_{k}": F.col(f"margin_{k}") for k in NAMES}}

@@ -88,7 +88,7 @@ n AS (SELECT *, coalesce(top / 8, 0.5) AS mn, coalesce((7 - bottom) / 8, 0.5) AS
  {_clamp("(list_var_pop(lap)) / (list_var_pop(lap) + 0.001)")} AS sharp, {_clamp("list_stddev_pop(grid) / (list_stddev_pop(grid) + 0.5)")} AS con,
  {_clamp("1 - abs(0.5 * (so[7] + 0.3 * (so[8] - so[7]) + so[57] + 0.7 * (so[58] - so[57])) - 0.5) * 2")} AS exposed FROM l),
 measured AS (SELECT key, width, height, colourful, round(sharp, 4) AS sharpness, round(exposed, 4) AS exposure, round(con, 4) AS contrast,
- round({_clamp("0.4 * sharp + 0.3 * exposed + 0.2 * con + 0.1 * coalesce(CASE WHEN width >= 1920 AND height >= 1080 THEN 1.0 ELSE " + _clamp("least(width / 1920, height / 1080)") + " END, 0.0)")}, 4) AS technical,
+ round({_clamp("0.4 * sharp + 0.3 * exposed + 0.2 * con + 0.1 * (CASE WHEN width IS NULL OR height IS NULL THEN 0.0 WHEN width >= 1920 AND height >= 1080 THEN 1.0 ELSE " + _clamp("least(width / 1920, height / 1080)") + " END)")}, 4) AS technical,
  round({_clamp("0.4 * " + _clamp(_weighted('sal', grids.thirds(SIDE, SIDE)) + " / (total + 1e-9) / 4") + " + 0.3 * " + _clamp("1 - 0.5 * (abs(pl - pr) / (pl + pr + 1e-9) + abs(pt - pb) / (pt + pb + 1e-9))") + " + 0.3 * colourful")}, 4) AS aesthetic,
  round(CASE WHEN total >= 1e-9 THEN {_clamp(_weighted('sal', XS) + ' / total / 8')} ELSE 0.5 END, 4) AS focal_x, round(CASE WHEN total >= 1e-9 THEN {_clamp(_weighted('sal', YS) + ' / total / 8')} ELSE 0.5 END, 4) AS focal_y,
  round(mn, 4) AS margin_north, round(ms, 4) AS margin_south, round(me, 4) AS margin_east, round(mw, 4) AS margin_west,

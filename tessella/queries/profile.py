@@ -175,7 +175,7 @@ def dms(spark, sf):
 
 
 @query("ag_inventory_counts", over("files", body="""SELECT count(*) AS files, count(*) FILTER (lower(path) LIKE '%.jpg') AS photos, count(*) FILTER (lower(path) LIKE '%.nef' OR path LIKE '%.dng') AS raw,
- count(*) FILTER (regexp_matches(lower(path), '\.(xmp|json|txt|md)$')) AS sidecars, sum(length)::bigint AS bytes, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS folders FROM files"""))
+ count(*) FILTER (regexp_matches(lower(path), '[.](xmp|json|txt|md)$')) AS sidecars, sum(length)::bigint AS bytes, count(DISTINCT regexp_replace(path, '/[^/]*$', '')) AS folders FROM files"""))
 def inventory_counts(spark, sf):
     """SC18, AG7, AG36: directory inventory scan."""
     p, s = F.col("path"), S.suffix(F.col("path"))

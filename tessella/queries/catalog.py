@@ -250,11 +250,13 @@ def blob_store(spark, sf):
 
 @query("constraint_unique", over("entries", body="SELECT sha256, connector_id, count(*) AS n FROM entries GROUP BY ALL HAVING count(*) > 1"))
 def unique(spark, sf):
+    """The keys of entries that stand more than once, which a unique constraint would refuse."""
     return assert_unique(D.entries(spark, sf), ["sha256", "connector_id"])
 
 
 @query("constraint_reference", over("analyses", "entries", body="SELECT entry_id, id FROM (SELECT entry_id + 1000 AS entry_id, id FROM analyses) WHERE entry_id NOT IN (SELECT id FROM entries)"))
 def reference(spark, sf):
+    """The analyses whose entry does not exist, which a reference would refuse."""
     a = D.analyses(spark, sf).select((F.col("entry_id") + 1000).alias("entry_id"), "id")
     return assert_reference(a, "entry_id", D.entries(spark, sf), "id")
 

@@ -78,6 +78,7 @@ def missing_vectors(spark, sf):
 
 @query("jn_liked_shas", over("entries", "preferences", body=ACTIVE + "SELECT DISTINCT sha256 FROM entries WHERE id IN (SELECT winner FROM active WHERE NOT retracted)"))
 def liked_shas(spark, sf):
+    """JN23: the contents of entries that a vote which stands has won, the liked subset of exemplars."""
     liked = votes(spark, sf).where("not retracted").select(F.col("winner").alias("id")).distinct()
     return D.entries(spark, sf).join(liked, "id", "left_semi").select("sha256").distinct()
 
@@ -394,4 +395,5 @@ def stream_job_state(spark, sf):
 
 @query("ss_stream_windows", "SELECT time_bucket(INTERVAL 6 HOURS, ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_windows(spark, sf):
+    """Events per six hours and type, late ones within a day included."""
     return journal.window_counts(spark, f"{sf}/events.parquet")

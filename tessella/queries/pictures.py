@@ -39,7 +39,8 @@ def pictures(spark, sf):
     metric = F.sqrt(F.var_pop(rg) + F.var_pop(yb)) + 0.3 * F.sqrt(F.pow(F.avg(rg), 2) + F.pow(F.avg(yb), 2))
     colour = D.palettes(spark, sf).groupBy("key").agg(F.round(S.clamp01(S.saturate(metric, 25.0)), 6).alias("colourful"))
     sizes = D.images(spark, sf).select("key", "width", "height")
-    return v.join(sizes, "key", "left").join(colour, "key", "left").select("key", "grid", F.coalesce("colourful", F.lit(0.0)).alias("colourful"), "width", "height")
+    # all parts stand on the right, of which a file's size tells little: never broadcast
+    return v.join(sizes.hint("merge"), "key", "left").join(colour.hint("merge"), "key", "left").select("key", "grid", F.coalesce("colourful", F.lit(0.0)).alias("colourful"), "width", "height")
 
 
 def _cells(f: str) -> str:
@@ -139,7 +140,7 @@ def proposals(spark, sf):
     safety, quality, size and aspect and, where it stands for a group of one content, the group's
     affinity; by score, then the fixed order; and whether it may fill a cell of 16 to 9."""
     pairs = pair_affinity(spark, sf).groupBy(F.col("a").alias("key")).agg((F.count(F.lit(1)) + 1).alias("n"), F.round(F.avg("affinity"), 4).alias("affinity"), F.min_by("affinity", "b").alias("first"))
-    s = grids.stages(pictures(spark, sf), SIDE, SIDE).join(pairs, "key", "left").withColumn("aspect", F.col("width") / F.col("height"))
+    s = grids.stages(pictures(spark, sf), SIDE, SIDE).join(pairs.hint("merge"), "key", "left").withColumn("aspect", F.col("width") / F.col("height"))
     safe = F.col("safe_north") & F.col("safe_south") & F.col("safe_east") & F.col("safe_west")
     margin = F.least(*[f"margin_{k}" for k in grids.NAMES])
     s = s.withColumns({"safe": safe, "margin": margin})

@@ -2,6 +2,8 @@
 
 import random
 
+from conftest import DATA, same
+
 
 from tessella.operators.similarity import near_hashes
 
@@ -25,3 +27,11 @@ def test_near_hashes_broadcast_nothing_and_lose_no_pair(spark):
     found = near_hashes(items)
     assert sorted(map(tuple, found.collect())) == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y))
     assert "BroadcastExchange" not in plan_of(found)
+
+
+def test_pictures_and_affinity_broadcast_no_table_of_parts(spark):
+    from tessella.queries.pictures import pictures
+    from tessella.queries.taste import pair_affinity
+
+    assert "BroadcastExchange" not in plan_of(pictures(spark, DATA))
+    assert "Generate" not in plan_of(pair_affinity(spark, DATA)).split("== Physical Plan ==")[-1]

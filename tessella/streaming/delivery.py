@@ -91,8 +91,9 @@ def drain(rows: DataFrame, store: str, run: int, process: Callable[[DataFrame],
     more attempt; rows that are done or in error stay."""
     spark = rows.sparkSession
     had = materialise(queue(spark, store), "queue")
-    todo = rows.join(had, "id", "left").where("state is null or state in ('queued', 'processing')").drop("state", "run")
-    todo = numbered_by(todo.withColumn("attempt", F.coalesce("attempt", F.lit(0)) + 1), "id")
+    todo = rows.join(had.hint("merge"), "id", "left").where("state is null or state in ('queued', 'processing')").drop("state", "run")
+    # written with its places, in their order, so that a batch reads its own rows and not the queue
+    todo = materialise(numbered_by(todo.select(*rows.columns, (F.coalesce("attempt", F.lit(0)) + 1).alias("attempt")), "id"), "to-drain")
     total = todo.agg(F.max("place")).first()[0] or 0
 
     def move(df: DataFrame, batch: int, step: int, state) -> None:
@@ -103,4 +104,4 @@ def drain(rows: DataFrame, store: str, run: int, process: Callable[[DataFrame],
         own = todo.where((F.col("place") > batch * batch_rows) & (F.col("place") <= (batch + 1) * batch_rows))
         move(own, batch, 1, F.lit("processing"))
         done = process(own.drop("place", "attempt")).select("id", "ok")
-        move(own.join(done, "id", "left"), batch, 2, F.when(F.col("ok"), "done").otherwise("error"))
+        move(own.join(done.hint("merge"), "id", "left"), batch, 2, F.when(F.col("ok"), "done").otherwise("error"))

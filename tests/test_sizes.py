@@ -35,3 +35,12 @@ def test_pictures_and_affinity_broadcast_no_table_of_parts(spark):
 
     assert "BroadcastExchange" not in plan_of(pictures(spark, DATA))
     assert "Generate" not in plan_of(pair_affinity(spark, DATA)).split("== Physical Plan ==")[-1]
+
+
+def test_the_rest_of_a_queue_is_drained_in_few_batches(spark, tmp_path, monkeypatch):
+    from tessella.queries import machines
+
+    monkeypatch.setattr(machines, "DRAINED_ROWS", 100)
+    monkeypatch.setattr(machines, "_store", lambda spark, name: str(tmp_path / name))
+    assert machines.drain(spark, DATA).groupBy("run", "attempt").count().orderBy("run", "attempt").collect() == [(1, 1, 100), (2, 1, 1300), (2, 2, 100)]
+    assert len(list((tmp_path / "drain/moves/run=2").glob("batch=*"))) == 1

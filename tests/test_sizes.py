@@ -2,6 +2,7 @@
 
 import random
 
+import pytest
 from conftest import DATA, same
 
 
@@ -44,3 +45,48 @@ def test_the_rest_of_a_queue_is_drained_in_few_batches(spark, tmp_path, monkeypa
     monkeypatch.setattr(machines, "_store", lambda spark, name: str(tmp_path / name))
     assert machines.drain(spark, DATA).groupBy("run", "attempt").count().orderBy("run", "attempt").collect() == [(1, 1, 100), (2, 1, 1300), (2, 2, 100)]
     assert len(list((tmp_path / "drain/moves/run=2").glob("batch=*"))) == 1
+
+
+def tied(spark, tmp_path, name, rows):
+    """Rows as a table of one file, and the same in DuckDB with one thread."""
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    pq.write_table(pa.Table.from_pylist(rows), tmp_path / f"{name}.parquet")
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    return duck
+
+
+def test_the_first_of_analyses_with_one_id_counts(spark, tmp_path):
+    from tessella import registry
+
+    one = {"l_linenumber": 4, "l_quantity": 9.0, "l_discount": 0.05, "l_tax": 0.04, "l_returnflag": "A"}
+    rows = [{**one, "l_orderkey": o, "l_partkey": 13637 + 1009 * (i + o), "l_suppkey": 7 * o + 31 * i} for i in range(3) for o in range(40)]
+    duck = tied(spark, tmp_path, "lineitem", rows)
+    for name in ("pf_signals", "pf_latest_ok_analysis", "pf_summary", "fm_personal_delta", "fm_alignment", "fm_blend", "fm_strong_veto", "ag_largest_contribution"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()[name]))
+        assert left == right, name
+
+
+def test_the_first_of_parts_with_one_path_is_the_file(spark, tmp_path):
+    from tessella import registry
+
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    (tmp_path / "part.parquet").mkdir()
+    for name, turns in (("a", range(1)), ("b", range(1, 9))):  # Spark reads the larger file first
+        rows = [{"p_partkey": k + 6300 * i, "p_brand": "Brand#12", "p_size": (k * 7 + 11 * i) % 50} for i in turns for k in range(60)]
+        pq.write_table(pa.Table.from_pylist(rows), tmp_path / f"part.parquet/{name}.parquet")
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    duck.execute(f"create view part as select * from '{tmp_path}/part.parquet/*.parquet'")
+    for name in ("sc_local_scan", "sc_legacy_categories", "ag_inventory_counts"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()[name]))
+        assert left == right, name

@@ -90,3 +90,27 @@ def test_the_first_of_parts_with_one_path_is_the_file(spark, tmp_path):
         got = registry.queries()[name](spark, str(tmp_path))
         left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()[name]))
         assert left == right, name
+
+
+@pytest.mark.parametrize("ties", ["id", "-id"])
+def test_vector_search_by_matrices_keeps_ties_and_uneven_vectors(spark, ties):
+    from tessella.operators.similarity import vector_search
+
+    draw = random.Random(4)
+    vectors = [[draw.randint(-2, 2) / 3 for _ in range(6)] for _ in range(70)]
+    vectors += vectors[:40] + [[2 * x for x in v] for v in vectors[:20]] + [[0.0] * 6, [1e200] * 6, [-1e200] * 6]
+    rows = list(enumerate(vectors))
+
+    def cosine(a, b):
+        dot = lambda x, y: sum((p * q for p, q in zip(x, y, strict=True)), 0.0)
+        return dot(a, b) / (dot(a, a) ** 0.5 * dot(b, b) ** 0.5)
+
+    table = spark.createDataFrame(rows, "id long, vector array<double>")
+    usual, sign = [(i, v) for i, v in rows if any(v) and max(v) < 1e9 and min(v) > -1e9], 1 if ties == "id" else -1
+    want = [(q, i, n) for q, u in usual if q % 10 == 0 for n, i in enumerate(sorted((i for i, _ in usual if i != q), key=lambda i: (-cosine(vectors[i], u), sign * i))[:4], 1)]
+    asked = table.where("id % 10 = 0 and id < 130")
+    found = vector_search(asked, table.where("id <= 130"), 4, ties)
+    assert "MapInArrow" in plan_of(found)
+    assert sorted(map(tuple, found.select("query", "id", "rank").collect())) == sorted(want)
+    huge = vector_search(table.where("id = 5"), table, 200, ties)  # vectors whose length is infinite are scored by the formula
+    assert {131, 132} <= {r["id"] for r in huge.collect()} and huge.count() == len(rows) - 2

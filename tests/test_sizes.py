@@ -114,3 +114,19 @@ def test_vector_search_by_matrices_keeps_ties_and_uneven_vectors(spark, ties):
     assert sorted(map(tuple, found.select("query", "id", "rank").collect())) == sorted(want)
     huge = vector_search(table.where("id = 5"), table, 200, ties)  # vectors whose length is infinite are scored by the formula
     assert {131, 132} <= {r["id"] for r in huge.collect()} and huge.count() == len(rows) - 2
+
+
+def test_many_frames_are_cut_as_one_by_one():
+    import numpy as np
+
+    from tessella.operators.layout import FrameTooSmall, tiles, tiles_of_many
+
+    draw = np.random.default_rng(5)
+    sizes = np.concatenate([draw.integers(1, 14, 400), [0, 30, 1]])
+    weights = draw.choice([0.0, 1.0, 2.0, 0.1, 7.5, np.nan, np.inf, -3.0], sizes.sum())
+    weights[: sizes[:100].sum()] = draw.random(sizes[:100].sum())
+    ends = np.cumsum(sizes)
+    one = [tiles(weights[e - n : e], 3840, 2160, 3) for n, e in zip(sizes, ends, strict=True) if n]
+    assert (tiles_of_many(sizes, weights, 3840, 2160, 3) == np.concatenate(one)).all()
+    with pytest.raises(FrameTooSmall):
+        tiles_of_many(np.array([9]), np.ones(9), 4, 4, 1)

@@ -130,3 +130,18 @@ def test_many_frames_are_cut_as_one_by_one():
     assert (tiles_of_many(sizes, weights, 3840, 2160, 3) == np.concatenate(one)).all()
     with pytest.raises(FrameTooSmall):
         tiles_of_many(np.array([9]), np.ones(9), 4, 4, 1)
+
+
+def test_the_neighbours_of_a_mask_are_not_broadcast(spark, monkeypatch):
+    from tessella.queries import stores
+
+    seen, before = [], stores.connected_components
+    monkeypatch.setattr(stores, "connected_components", lambda edges: seen.append(plan_of(edges)) or before(edges))
+    stores.mask_components(spark, DATA)
+    assert seen and "BroadcastExchange" not in seen[0]
+
+
+def test_the_duplicate_report_reads_the_images_once(spark):
+    from tessella.queries.flow import duplicate_report
+
+    assert "part.parquet" not in plan_of(duplicate_report(spark, DATA))

@@ -136,9 +136,7 @@ def duplicate_report(spark, sf):
     """AG8, AG19, GR1: groups of two members or more: exact where all have one content, else near, with the best
     original."""
     i = D.images(spark, sf)
-    x = image_clusters(i).join(i.select("key", "sha256"), "key")
-    kind = F.when(F.min("sha256") == F.max("sha256"), "exact").otherwise("near")
-    return x.groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), kind.alias("kind"), F.max(F.when(F.col("best"), F.col("key"))).alias("best")).where("members > 1")
+    return image_clusters(i).groupBy("cluster").agg(F.count(F.lit(1)).alias("members"), F.min("kind").alias("kind"), F.max(F.when(F.col("best"), F.col("key"))).alias("best")).where("members > 1")
 
 
 @query("wn_entry_position", over("approvals", body="SELECT entry_id, list(id ORDER BY id)[2] AS second_id, list_position(list(id ORDER BY id), max(id)) - 1 AS last_position FROM approvals GROUP BY entry_id"))

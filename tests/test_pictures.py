@@ -54,6 +54,29 @@ def test_palettes_equal_a_loop_on_every_key(spark):
     assert palette.palettes(frame.where("false"), "key", rounds=2).count() == 0
 
 
+def test_palettes_in_tasks_and_in_rounds_are_the_same(spark):
+    draw = np.random.default_rng(6)
+    colours = [(f"k{i}", j, *map(int, draw.integers(0, 256, 3))) for i, n in enumerate([1, 2, 3, 5, 9, 40, 41, 90, 300]) for j in range(n)]
+    colours += [("same", j, 7, 7, 7) for j in range(12)] + [("twice", j // 2, j // 2, 0, 9) for j in range(14)] + [("null", 1, None, 2, 3), (None, 1, 1, 2, 3)]
+    frame = spark.createDataFrame(colours, "key string, id long, r long, g long, b long")
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before, found = spark.conf.get(size), []
+    try:
+        for most, rows in ((palette.GATHERED, "10000"), (palette.GATHERED, "7"), (40, "7"), (0, "7")):
+            spark.conf.set(size, rows)
+            found.append(sorted(map(repr, palette.palettes(frame, "key", most=most).collect())))
+    finally:
+        spark.conf.set(size, before)
+    assert len(found[0]) == 11
+    assert found[0] == found[1] == found[2] == found[3]
+
+
+def test_palettes_of_small_keys_take_no_round_of_joins(spark, monkeypatch):
+    monkeypatch.setattr(palette, "_in_rounds", lambda *_: pytest.fail("a job for each round"))
+    frame = spark.range(600).selectExpr("id % 50 AS key", "id", "id * 7 % 256 AS r", "id * 11 % 256 AS g", "id % 256 AS b")
+    assert palette.palettes(frame, "key").count() == 50
+
+
 def test_stages_equal_plain_arrays(spark):
     rng = np.random.default_rng(3)
     h, w = 6, 9

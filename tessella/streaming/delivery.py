@@ -25,10 +25,23 @@ def _folder(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
 
 
+def _steps(spark: SparkSession, store: str) -> DataFrame:
+    """The rows of the journal that can be the newest: of a batch that has ended its last step, in which
+    every row of the batch stands, only those of that step."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    files = path(store).getFileSystem(spark._jsc.hadoopConfiguration())
+    every = [str(f.getPath()) for f in files.globStatus(path(f"{store}/journal/batch=*")) or []]
+    ended = [str(f.getPath().getParent().getParent()) for f in files.globStatus(path(f"{store}/journal/batch=*/step={DONE}/_SUCCESS")) or []]
+    paths = [f"{b}/step={DONE}" for b in ended] + sorted(set(every) - set(ended))
+    if not paths:
+        return spark.createDataFrame([], JOURNAL)
+    return spark.read.schema(JOURNAL).option("recursiveFileLookup", "true").parquet(*paths)
+
+
 def journal(spark: SparkSession, store: str, before: int | None = None) -> DataFrame:
     """The newest step of each publish, or that of the batches before a number."""
     rest = F.struct("sha", "status", "error", "batch", "step")
-    rows = _folder(spark, f"{store}/journal", JOURNAL)
+    rows = _steps(spark, store)
     if before is not None:
         rows = rows.where(F.col("batch") < before)
     rows = rows.groupBy("artifact_id", "adapter_id", "row_id").agg(F.max_by(rest, F.struct("batch", "step")).alias("row"))
@@ -46,7 +59,8 @@ def publish(batch: DataFrame, number: int, store: str, adapter: Adapter) -> None
     spark = batch.sparkSession
     keys = ["artifact_id", "adapter_id"]
     last = batch.groupBy(*keys).agg(F.max_by("data", "seq").alias("data")).withColumn("sha", F.sha2("data", 256))
-    before = journal(spark, store, number).groupBy(*keys).agg(F.max_by(F.struct("row_id", "sha", "status"), F.struct("batch", "row_id")).alias("had"))
+    earlier = _steps(spark, store).where(F.col("batch") < number)
+    before = earlier.groupBy(*keys).agg(F.max_by(F.struct("row_id", "sha", "status"), F.struct("batch", "row_id", "step")).alias("had"))
     new_id = F.concat_ws("/", F.lpad(F.lit(str(number)), 9, "0"), *keys)
     row_id = F.when(F.col("had.status") != "applied", F.col("had.row_id"))
     todo = last.join(before, keys, "left").where("had is null or had.status <> 'applied' or had.sha <> sha")

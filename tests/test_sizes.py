@@ -168,3 +168,18 @@ def test_the_duplicate_report_reads_the_images_once(spark):
     from tessella.queries.flow import duplicate_report
 
     assert "part.parquet" not in plan_of(duplicate_report(spark, DATA))
+
+
+def test_a_publish_reads_the_last_step_of_what_has_ended(spark, tmp_path):
+    from tessella.queries.machines import destination
+    from tessella.streaming import delivery
+
+    store = str(tmp_path / "store")
+    rows = spark.createDataFrame([("a", "d", 1, b"one"), ("b", "d", 2, b"two!")], "artifact_id string, adapter_id string, seq long, data binary")
+    delivery.publish(rows, 0, store, destination)
+    delivery.publish(rows.where("seq = 2"), 1, store, destination)
+    (tmp_path / "store/journal/batch=1/step=3/_SUCCESS").unlink()  # the second has not ended
+    files = delivery.journal(spark, store).inputFiles()
+    assert {f.split("journal/")[1].rsplit("/", 1)[0] for f in files} == {"batch=0/step=3", "batch=1/step=1", "batch=1/step=2", "batch=1/step=3"}
+    found = delivery.journal(spark, store).select("artifact_id", "status", "batch", "step").orderBy("artifact_id").collect()
+    assert [tuple(r) for r in found] == [("a", "applied", 0, 3), ("b", "error", 1, 3)]

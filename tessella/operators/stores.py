@@ -29,7 +29,8 @@ def add_new(rows: DataFrame, path: str, keys: list[str], partition: Column | Non
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in own.schema)
     there = _there(spark, path, schema, "_part").select("_part", *keys)
     new = own.dropDuplicates(keys).join(there, ["_part", *keys], "left_anti")
-    materialise(new, "new-rows").select(*own.columns).write.partitionBy("_part").mode("append").parquet(path)
+    # what is new is written once, and a part by one task, or by several where it is large
+    new.select(*own.columns).hint("rebalance", F.col("_part")).write.partitionBy("_part").mode("append").parquet(path)
 
 
 def put_blobs(blobs: DataFrame, path: str) -> None:

@@ -183,3 +183,14 @@ def test_a_publish_reads_the_last_step_of_what_has_ended(spark, tmp_path):
     assert {f.split("journal/")[1].rsplit("/", 1)[0] for f in files} == {"batch=0/step=3", "batch=1/step=1", "batch=1/step=2", "batch=1/step=3"}
     found = delivery.journal(spark, store).select("artifact_id", "status", "batch", "step").orderBy("artifact_id").collect()
     assert [tuple(r) for r in found] == [("a", "applied", 0, 3), ("b", "error", 1, 3)]
+
+
+def test_a_store_writes_a_small_part_in_one_file(spark, tmp_path):
+    from tessella.operators import stores
+
+    blobs = spark.range(0, 2000, 1, 8).selectExpr("CAST(id % 1500 AS STRING) AS content").selectExpr("CAST(content AS BINARY) AS content")
+    for _ in range(2):
+        stores.put_blobs(blobs, str(tmp_path / "blobs"))
+        assert stores.stored(spark, str(tmp_path / "blobs")).count() == 1500
+        parts = list((tmp_path / "blobs").glob("_part=*"))
+        assert len(parts) > 200 and all(len(list(p.glob("*.parquet"))) == 1 for p in parts)

@@ -6,6 +6,7 @@ import random
 import re
 import struct
 import zlib
+from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
@@ -486,6 +487,43 @@ def test_blocks_grow_with_the_input_within_the_bound(spark):
     assert len({(r["source"], r["block"]) for r in got}) == 101 and max(r["slot"] for r in got) == 100
 
 
+def test_blocks_have_one_length_at_any_size(spark):
+    own = F.when(F.col("id") < 9, "tiny").when(F.col("id") % 3 == 0, "third").otherwise("rest")
+    rows = spark.range(540_000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), own.alias("source"))
+    got = materialise(mixing.mix(rows).groupBy("source", "block").agg(F.count(F.lit(1)).alias("n"), F.min("slot").alias("slot"), F.max("slot").alias("to"), F.sum(F.col("in_mix").cast("int")).alias("in_mix")))
+    assert got.where("slot != to or n != in_mix").count() == 0
+    counts = {(r["source"], r["n"]): r["count"] for r in got.groupBy("source", "n").count().collect()}
+    assert counts == {("tiny", 4): 2, ("tiny", 1): 1, ("third", 4): 44_999, ("third", 1): 1, ("rest", 4): 89_998, ("rest", 2): 1}
+    want = {(k, j): slot for k, j, slot in mixing.schedule({"tiny": 3, "third": 45_000, "rest": 89_999}, {"tiny": 3, "third": 45_000, "rest": 89_999})}
+    assert {(r["source"], r["block"]): r["slot"] for r in got.collect()} == want and len(want) > 2 * mixing.SLOTS
+
+
+def test_stretches_give_one_schedule(spark):
+    rng = random.Random(5)
+    for _ in range(150):
+        blocks = [rng.choice([1, 1, 2, 3, 9, 40, 200, rng.randint(1, 400)]) for _ in range(rng.randint(1, 12))]
+        exact = list(mixing.whole({i: rng.random() ** 4 + 1e-4 for i in range(len(blocks))}).values())
+        units = rng.choice([blocks, exact, [rng.randint(1, 30) for _ in blocks]])
+        end, slots = mixing.end_of(blocks, units), rng.choice([1, 2, 7, 50])
+        found, got = defaultdict(list), []
+        for i in range(-(-end // slots)):
+            for later, *row in mixing.lows(blocks, units, i, slots, -(-end // slots)):
+                found[later].append(tuple(row))
+        for i in range(-(-end // slots)):
+            got += mixing.run(blocks, units, i * slots, min(end, (i + 1) * slots), mixing.waiting_at(units, i * slots, found[i]))
+        assert got == mixing.run(blocks, units, 0, end)
+    rows = mixing.slots_of(spark, blocks, units, slots=max(1, end // 9)).collect()
+    assert sorted(map(tuple, rows)) == sorted(got)
+
+
+def test_order_of_a_source_does_not_depend_on_its_buckets(spark, monkeypatch):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"), F.when(F.col("id") < 700, "a").otherwise("b").alias("source"))
+    want = sorted(mixing.mix(rows).collect())
+    for each in (20, 7):
+        monkeypatch.setattr(mixing, "BUCKET_ROWS", each)
+        assert sorted(mixing.mix(rows).collect()) == want
+
+
 def test_mixing_against_a_plain_schedule(spark):
     names = ["a"] * 33 + ["b"] * 70 + ["c"] * 8 + [None] * 5 + ["unnamed"] * 4
     rows = spark.createDataFrame([(i, "t", s) for i, s in enumerate(names)], "doc_id long, text string, source string")

@@ -115,6 +115,17 @@ def test_the_first_of_parts_with_one_path_is_the_file(spark, tmp_path):
         assert left == right, name
 
 
+def test_sizes_of_parts_that_are_missing_are_passed_over(spark, tmp_path):
+    from tessella import registry
+
+    rows = [{"p_partkey": k, "p_brand": None if k % 50 == 7 else "Brand#12", "p_size": None if k % 3 == 1 else (k * 7 + k // 6300) % 50} for k in range(25_200)]
+    duck = tied(spark, tmp_path, "part", rows)
+    for name in ("ag_inventory_counts", "sc_legacy_categories", "sc_local_scan"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()[name]))
+        assert left == right, name
+
+
 @pytest.mark.parametrize("ties", ["id", "-id"])
 def test_vector_search_by_matrices_keeps_ties_and_uneven_vectors(spark, ties):
     from tessella.operators.similarity import vector_search

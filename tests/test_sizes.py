@@ -126,6 +126,16 @@ def test_sizes_of_parts_that_are_missing_are_passed_over(spark, tmp_path):
         assert left == right, name
 
 
+def test_a_file_without_a_path_has_a_class(spark, tmp_path):
+    from tessella import registry
+
+    rows = [{"p_partkey": k, "p_brand": [None, "Brand#12", "Brand#3"][k % 3], "p_size": k % 50} for k in range(12_600)]
+    duck = tied(spark, tmp_path, "part", rows)
+    got = registry.queries()["sc_inventory_classes"](spark, str(tmp_path))
+    left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()["sc_inventory_classes"]))
+    assert left == right and sum("None" in row for row in left) == 1
+
+
 @pytest.mark.parametrize("ties", ["id", "-id"])
 def test_vector_search_by_matrices_keeps_ties_and_uneven_vectors(spark, ties):
     from tessella.operators.similarity import vector_search

@@ -95,6 +95,19 @@ def test_missing_values_of_analyses_are_passed_over(spark, tmp_path):
         assert left == right, name
 
 
+def test_scores_are_rounded_as_in_the_sql(spark, tmp_path):
+    from tessella import registry
+
+    draw = random.Random(12)
+    prices = [252935.5, 142399.5, 1e305, float("inf"), float("nan"), 0.5, -252935.5, 1e22] + [draw.randrange(1, 50_000_000) / 100 for _ in range(20_000)]
+    tied(spark, tmp_path, "orders", [{"o_orderkey": i, "o_custkey": i, "o_orderstatus": "O", "o_totalprice": x, "o_orderdate": None} for i, x in enumerate(prices)])
+    duck = tied(spark, tmp_path, "lineitem", [{"l_orderkey": i, "l_linenumber": 1, "l_partkey": i, "l_suppkey": i, "l_quantity": 1.0, "l_discount": 0.1, "l_tax": 0.0, "l_returnflag": "N"} for i in range(len(prices))])
+    duck.execute(f"create view orders as select * from '{tmp_path}/orders.parquet'")
+    got = registry.queries()["jn_vote_candidates"](spark, str(tmp_path))
+    left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()["jn_vote_candidates"]))
+    assert len(left) == len(prices) and left == right
+
+
 def test_the_first_of_parts_with_one_path_is_the_file(spark, tmp_path):
     from tessella import registry
 

@@ -255,7 +255,8 @@ def override_merge(spark, sf):
 def signed_template(spark, sf):
     """FS7: text templates."""
     x = F.round(F.col("harmony") - 0.5, 2)
-    return signals(spark, sf).select("entry_id", F.concat(F.when(F.col("harmony") - 0.5 >= 0, "+").otherwise("-"), F.format_string("%.3f", F.abs(x)), F.lit(" harmony")).alias("text"))
+    text = F.concat(F.when(F.col("harmony") - 0.5 >= 0, "+").otherwise("-"), F.format_string("%.3f", F.abs(x)), F.lit(" harmony"))
+    return signals(spark, sf).select("entry_id", F.when(x.isNotNull(), text).alias("text"))
 
 
 # The formats of a stated date, in the order in which they are tried.

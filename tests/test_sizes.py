@@ -95,6 +95,16 @@ def test_missing_values_of_analyses_are_passed_over(spark, tmp_path):
         assert left == right, name
 
 
+def test_a_template_of_a_missing_value_is_missing(spark, tmp_path):
+    from tessella import registry
+
+    one = {"l_linenumber": 1, "l_quantity": 9.0, "l_discount": 0.05, "l_tax": 0.04, "l_returnflag": "A"}
+    duck = tied(spark, tmp_path, "lineitem", [{**one, "l_orderkey": o, "l_partkey": o, "l_suppkey": None if o % 3 == 0 else 7 * o} for o in range(60)])
+    got = registry.queries()["fs_signed_template"](spark, str(tmp_path))
+    left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()["fs_signed_template"]))
+    assert left == right and sum("None" in row for row in left) == 20
+
+
 def test_scores_are_rounded_as_in_the_sql(spark, tmp_path):
     from tessella import registry
 

@@ -105,6 +105,31 @@ def test_a_template_of_a_missing_value_is_missing(spark, tmp_path):
     assert left == right and sum("None" in row for row in left) == 20
 
 
+def test_the_wall_takes_the_first_of_tied_rows_and_lists_what_has_no_name_last(spark, tmp_path):
+    import duckdb
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessella import registry
+
+    one = {"l_linenumber": 4, "l_quantity": 9.0, "l_discount": 0.05, "l_tax": 0.04, "l_returnflag": "A", "l_linestatus": "F"}
+    tables = {
+        "lineitem": [{**one, "l_orderkey": o, "l_partkey": 13637 + 1009 * (i + o), "l_suppkey": 7 * o + 31 * i} for i in range(3) for o in range(40)],
+        "orders": [{"o_orderkey": o, "o_custkey": None if o % 5 == 2 else o % 8, "o_orderstatus": "O", "o_totalprice": 9.0, "o_orderdate": None} for o in range(100)],
+        "events": [{"event_id": i % 70, "user_id": i % 70, "event_type": ("error", "click")[i // 70], "ts": None} for i in range(140)],
+        "part": [{"p_partkey": k, "p_size": k % 9} for k in range(90)],
+    }
+    duck = duckdb.connect()
+    duck.execute("set threads = 1")
+    for name, rows in tables.items():
+        pq.write_table(pa.Table.from_pylist(rows), tmp_path / f"{name}.parquet")
+        duck.execute(f"create view {name} as select * from '{tmp_path}/{name}.parquet'")
+    for name in ("jn_wall_state", "sl_wall_order"):
+        got = registry.queries()[name](spark, str(tmp_path))
+        left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()[name]))
+        assert left == right, name
+
+
 def test_scores_are_rounded_as_in_the_sql(spark, tmp_path):
     from tessella import registry
 

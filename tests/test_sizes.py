@@ -130,6 +130,30 @@ def test_the_wall_takes_the_first_of_tied_rows_and_lists_what_has_no_name_last(s
         assert left == right, name
 
 
+def test_journal_rows_without_an_id_come_last(spark, tmp_path):
+    from tessella import registry
+
+    rows = [{"l_orderkey": None if i == 3 else i, "l_linenumber": 1, "l_partkey": p, "l_suppkey": 2, "l_quantity": 0.5 * (i + p), "l_returnflag": "ANR"[(i + p) % 3], "l_linestatus": "OF"[i % 2]} for p in range(30) for i in range(9)]
+    duck = tied(spark, tmp_path, "lineitem", rows)
+    got = registry.queries()["pf_journal_by_run"](spark, str(tmp_path))
+    left, right = same([tuple(r) for r in got.collect()], got.columns, duck.execute(registry.oracle_sql()["pf_journal_by_run"]))
+    assert left == right and sum("None" in row for row in left) == 30
+
+
+def test_journal_rows_of_one_id_keep_the_order_of_the_table(spark, tmp_path):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tessella import registry
+
+    (tmp_path / "lineitem.parquet").mkdir()
+    one = {"l_orderkey": 5, "l_linenumber": 1, "l_partkey": 3, "l_suppkey": 2, "l_quantity": 4.0, "l_linestatus": "F"}
+    for name, flags in (("a", "R"), ("b", "AARA" * 50)):  # Spark reads the larger file first
+        pq.write_table(pa.Table.from_pylist([{**one, "l_returnflag": x} for x in flags]), tmp_path / f"lineitem.parquet/{name}.parquet")
+    got = registry.queries()["pf_journal_by_run"](spark, str(tmp_path)).orderBy("place").collect()
+    assert [r["status"] for r in got] == [{"R": "error", "A": "applied"}[x] for x in "R" + "AARA" * 50]
+
+
 def test_scores_are_rounded_as_in_the_sql(spark, tmp_path):
     from tessella import registry
 

@@ -30,6 +30,26 @@ def test_near_hashes_broadcast_nothing_and_lose_no_pair(spark):
     assert "BroadcastExchange" not in plan_of(found)
 
 
+@pytest.mark.parametrize(("block", "dense"), [(5, 0), (5, 2), (4096, 1 / 8)])
+def test_items_of_near_hashes_meet_in_blocks_and_lose_no_pair(spark, monkeypatch, block, dense):
+    from tessella.operators import similarity
+
+    monkeypatch.setattr(similarity, "BLOCK", block)
+    monkeypatch.setattr(similarity, "DENSE", dense)
+    draw = random.Random(9)
+    base = [draw.getrandbits(64) for _ in range(4)]
+    hashes = [b ^ sum(1 << i for i in draw.sample(range(64), draw.randint(0, 9))) for b in base for _ in range(8)]
+    rows = [(f"k{n:03}{i}", f"{h:016x}", w, 900) for n, h in enumerate(hashes) for i, w in enumerate(draw.sample([None, 300, 400, 800, 1000, 2000, 4000], draw.randint(1, 6)))]
+    draw.shuffle(rows)
+    found = near_hashes(spark.createDataFrame(rows, "key string, phash string, width int, height int"))
+
+    def near(x, y):
+        return bin(int(x[1], 16) ^ int(y[1], 16)).count("1") <= 10 and (x[2] is None or y[2] is None or max(x[2], y[2]) <= 2 * min(x[2], y[2]))
+
+    assert sorted(map(tuple, found.collect())) == sorted((x[0], y[0]) for x in rows for y in rows if x[0] < y[0] and near(x, y))
+    assert not any("/near-hashes-" in f for f in found.inputFiles())  # items are not repeated by pair of hashes
+
+
 def test_pictures_and_affinity_broadcast_no_table_of_parts(spark):
     from tessella.queries.pictures import pictures
     from tessella.queries.taste import pair_affinity
